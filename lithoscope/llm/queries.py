@@ -10,6 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, packed into sequences of at most 4096 tokens."""
+    from .packing import best_fit_pack
+
+    return best_fit_pack(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, formatted and read back."""
     from .chat_format import format_rows, masked, parsed
@@ -28,6 +35,20 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.length("formatted").cast("long").alias("formatted_chars")))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    from .simhash import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    from .quality_classifier import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line-first rules over all documents."""
     from .quality_rules import quality_rules
@@ -35,4 +56,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_chat_format, op8_simhash, op9_quality_classifier, op10_quality_rules)}
