@@ -35,8 +35,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def bounded_labels(labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """At most ``per_class`` learnable rows (doc_id, y) of either class, the first by a hash of the id.
+def bounded_labels(labels: DataFrame, label: str, max_zero: int, max_one: int) -> DataFrame:
+    """At most ``max_zero`` and ``max_one`` learnable rows (doc_id, y) of either class, the first by a hash of the id.
 
     Repeated or conflicting labels of one document collapse to their largest value, null labels go.
     """
@@ -46,8 +46,8 @@ def bounded_labels(labels: DataFrame, label: str, per_class: int) -> DataFrame:
         .groupBy("doc_id").agg(F.max("y").alias("y"))
     )
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    return (known.filter("y = 0").orderBy(*order).limit(per_class)).unionByName(
-        known.filter("y = 1").orderBy(*order).limit(per_class))
+    return (known.filter("y = 0").orderBy(*order).limit(max_zero)).unionByName(
+        known.filter("y = 1").orderBy(*order).limit(max_one))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

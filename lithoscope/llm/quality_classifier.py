@@ -117,7 +117,7 @@ def fit(x: np.ndarray, y: np.ndarray, cut_at: float = 0.3, pairs: int = 60_000,
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text",
           per_class: int = 10_000, cut_at: float = 0.3) -> BradleyTerry:
     """A model from the labelled rows of ``docs``."""
-    known = bounded_labels(labels, label, per_class)
+    known = bounded_labels(labels, label, per_class, per_class)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(known), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,6 +35,13 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.length("formatted").cast("long").alias("formatted_chars")))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    from .toxicity import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     from .simhash import simhash_components
@@ -56,4 +63,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_chat_format, op8_simhash, op9_quality_classifier, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_chat_format, op7_toxicity, op8_simhash, op9_quality_classifier, op10_quality_rules)}
