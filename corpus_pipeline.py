@@ -15,10 +15,11 @@ from lithoscope.llm.packing import best_fit_pack
 from lithoscope.llm.quality_classifier import keep_good
 from lithoscope.llm.simhash import keep_one
 from lithoscope.llm.toxicity import keep_clean
+from lithoscope.session import ship
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +34,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component."""
+    ship(spark)
     return keep_one(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that are left, placed in sequences."""
+    ship(spark)
     return best_fit_pack(docs)
 
 

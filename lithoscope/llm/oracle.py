@@ -18,6 +18,20 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM marked GROUP BY conv_id
 """
 
+OP5_WARC = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+FROM m
+"""
+
 OP10_QUALITY_RULES = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
@@ -53,4 +67,4 @@ SELECT *, base_failed = FALSE AND n_words - kept_words <= 0.5 * n_words AS kept
 FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
 """
 
-ORACLES = {"op2_chat_format": OP2_CHAT_FORMAT, "op10_quality_rules": OP10_QUALITY_RULES}
+ORACLES = {"op2_chat_format": OP2_CHAT_FORMAT, "op5_warc": OP5_WARC, "op10_quality_rules": OP10_QUALITY_RULES}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,18 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.length("formatted").cast("long").alias("formatted_chars")))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC archives in the shared folder, read back record by record."""
+    from ._common import shared_dir
+    from .warc import read_archives, with_revisits, write_archives
+
+    pages = table(spark, sf_dir, "pages")
+    archives = write_archives(with_revisits(pages), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    read = read_archives(spark, archives, with_payload=False).filter("record_type IN ('response', 'revisit')")
+    page_id, refers_to = (F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1).try_cast("long").alias(n) for c, n in (("record_id", "page_id"), ("refers_to", "refers_to")))
+    return read.select(page_id, "payload_bytes", "payload_digest", "record_type", refers_to)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     from .toxicity import score_documents
@@ -63,4 +77,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_chat_format, op7_toxicity, op8_simhash, op9_quality_classifier, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_chat_format, op5_warc, op7_toxicity, op8_simhash, op9_quality_classifier, op10_quality_rules)}
