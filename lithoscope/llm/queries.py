@@ -37,6 +37,13 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.length("formatted").cast("long").alias("formatted_chars")))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from .html_extract import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC archives in the shared folder, read back record by record."""
     from ._common import shared_dir
@@ -77,4 +84,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_chat_format, op5_warc, op7_toxicity, op8_simhash, op9_quality_classifier, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_chat_format, op4_html_extract, op5_warc, op7_toxicity, op8_simhash, op9_quality_classifier, op10_quality_rules)}
