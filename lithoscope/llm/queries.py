@@ -37,6 +37,13 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.length("formatted").cast("long").alias("formatted_chars")))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate links and components of all embeddings of one label."""
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     from .html_extract import extract_text
@@ -84,4 +91,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_chat_format, op4_html_extract, op5_warc, op7_toxicity, op8_simhash, op9_quality_classifier, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_chat_format, op3_embedding_dedup, op4_html_extract, op5_warc, op7_toxicity, op8_simhash, op9_quality_classifier, op10_quality_rules)}
