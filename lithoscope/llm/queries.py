@@ -63,6 +63,13 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(page_id, "payload_bytes", "payload_digest", "record_type", refers_to)
 
 
+def op6_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three distinct sampled segmentations of every document, without their id lists."""
+    from .sentencepiece_sampling import sample_segmentations
+
+    return sample_segmentations(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     from .toxicity import score_documents
@@ -91,4 +98,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_chat_format, op3_embedding_dedup, op4_html_extract, op5_warc, op7_toxicity, op8_simhash, op9_quality_classifier, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_chat_format, op3_embedding_dedup, op4_html_extract, op5_warc, op6_sentencepiece_sampling, op7_toxicity, op8_simhash, op9_quality_classifier, op10_quality_rules)}
