@@ -1,6 +1,6 @@
 """Best-fit packing of tokenised documents into sequences of fixed length.
 
-Documents are tokenised once (Arrow batches of UTF-8 bytes, ids of a word cached per worker), cut into pieces of at
+Documents are tokenised once (Arrow batches of UTF-8 bytes, ids of a chunk cached per worker), cut into pieces of at
 most one sequence, and the narrow piece rows are written to the shared folder. A first shuffle spreads the pieces by
 hash over lanes of equal expected weight; each lane streams its pieces, longest first, through a bounded-space online
 best fit: at most ``open_bins`` bins are open, a bitset keyed by free space finds the tightest one in a few machine
@@ -16,9 +16,13 @@ of what is packed, so a lane that runs again gives the same bins.
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,65 +40,134 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: Byte classes: white space, a-z, ASCII marks that never join a letter run, anything else (digits, ' and non-ASCII).
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[list(b" \t\n\r\x0b\x0c")] = 0
+_CLASS[97:123] = 1
+_CLASS[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = 2
+#: A run of letters, or of ASCII marks without the apostrophe.
+_PARTS = re.compile(r"[^\W\d_]+|[!-&(-/:-@\[-`{-~]+")
+
+
 class WordCache:
-    """Ids of texts as little-endian bytes, by way of their words.
+    """Ids of whole texts by way of their chunks: runs without white space, cut where ASCII letters meet ASCII marks.
 
-    Exact for tokenizers that drop white space and never join across it: the text's ids are its words' ids in order.
-    Words new to the worker are encoded together, parted by the end-of-text token, which no word may contain here
-    (those that do are encoded alone). At most ``room`` words are kept.
+    Exact for the word BPE: it lower-cases, drops white space, never joins across it, and never joins a letter with a
+    mark other than the apostrophe; so a text's ids are its chunks' ids in order. Batches are cut and numbered as
+    arrays; only chunks new to the worker are encoded. Plain ones (runs of Latin letters and of marks, one pre-token
+    each) skip the normaliser; others take the full tokenizer, parted by the end-of-text token. Texts with a
+    special token's beginning are encoded whole. At most ``room`` chunks are kept.
     """
 
-    def __init__(self, path: str, part: str = "<|endoftext|>", room: int = 400_000):
+    def __init__(self, path: str, part: str = "<|endoftext|>", room: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.part, self.room = Tokenizer.from_file(path), part, room
         self.part_id = self.tokenizer.token_to_id(part)
-        self.known: dict[bytes, bytes] = {}
-
-    def one(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        import numpy as np
-
-        out: dict[bytes, bytes] = {}
-        plain = []
-        for word in words:
-            text = word.decode("utf-8", "replace")
-            if "<|" in text:
-                out[word] = self.one(text)
+        with open(path, encoding="utf-8") as file:
+            plan = json.load(file)
+        plan |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+        self.bare = Tokenizer.from_str(json.dumps(plan))
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat = np.zeros(1 << 20, np.uint32)
+        self.start = np.zeros(1 << 16, np.int64)
+        self.used = self.count = 0
+
+    def add(self, chunks: list[bytes], ids: np.ndarray, stops: np.ndarray) -> None:
+        """Keep the ids of ``chunks``; ``stops`` are the places in ``ids`` where each chunk's end."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.count + len(chunks) + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.start[self.count + 1:self.count + 1 + len(chunks)] = self.used + stops
+        self.known.update(zip(chunks, range(self.count, self.count + len(chunks)), strict=True))
+        self.used, self.count = self.used + len(ids), self.count + len(chunks)
+
+    def learn(self, chunks: list[bytes]) -> None:
+        plain, other = [], []
+        for chunk in chunks:
+            text = chunk.decode("utf-8", "replace")
+            if text.isascii() and text.isalpha():
+                plain.append((chunk, text, 1))
+                continue
+            low = text.lower()
+            parts = _PARTS.findall(low)
+            if (len(low) == len(text) == sum(map(len, parts)) and max(low) < "\u0250" and unicodedata.is_normalized("NFC", text)
+                    and all(p.isalpha() or p.isascii() for p in parts)):
+                plain.append((chunk, " ".join(parts), len(parts)))
             else:
-                plain.append((word, text))
-        for k in range(0, len(plain), 4096):
-            some = plain[k:k + 4096]
-            ids = np.asarray(self.tokenizer.encode(self.part.join(t for _, t in some), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.part_id).tolist() + [len(ids)]
-            at = 0
-            for (word, _), end in zip(some, ends, strict=True):
-                out[word] = ids[at:end].tobytes()
-                at = end + 1
-        return out
-
-    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        """The ids of each text, in order; the words of a batch that are new are learnt first."""
-        split = [(t or b"").split() for t in texts]
+                other.append((chunk, text))
+        for low in range(0, len(plain), 1024):
+            some = plain[low:low + 1024]
+            ids = np.asarray(self.bare.encode(" ".join(t for _, t, _ in some), add_special_tokens=False).ids, np.uint32)
+            stops, counts = np.flatnonzero(self.ends[ids]) + 1, np.cumsum([n for _, _, n in some])
+            if len(stops) == counts[-1]:
+                self.add([c for c, _, _ in some], ids, stops[counts - 1])
+            else:
+                other += [(c, c.decode("utf-8", "replace")) for c, _, _ in some]
+        for low in range(0, len(other), 1024):
+            some = other[low:low + 1024]
+            ids = np.asarray(self.tokenizer.encode(self.part.join(t for _, t in some), add_special_tokens=False).ids, np.uint32)
+            parts = np.append(np.flatnonzero(ids == self.part_id), len(ids))
+            if len(parts) == len(some):
+                self.add([c for c, _ in some], ids[ids != self.part_id], parts - np.arange(len(parts)))
+            else:
+                for chunk, text in some:
+                    one = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                    self.add([chunk], one, np.array([len(one)]))
+
+    def encode(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order."""
+        whole = {k: t for k, t in enumerate(texts) if t and b"<|" in t}
+        rest = [b"" if not t or k in whole else t.lower() for k, t in enumerate(texts)]
+        buffer = np.frombuffer(b"\n".join(rest) + b"\n", np.uint8)
+        kind = _CLASS[buffer]
+        before = np.concatenate([np.zeros(1, np.uint8), kind[:-1]])
+        begins = (kind != 0) & ((before == 0) | ((kind == 1) & (before == 2)) | ((kind == 2) & (before == 1)))
+        solid = kind != 0
+        values = buffer[solid]
+        offsets = np.append(np.flatnonzero(begins[solid]), len(values))
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(values)])
+        coded = chunks.dictionary_encode()
+        unique = coded.dictionary.to_pylist()
+        if self.count > self.room:
+            self.forget()
+        self.learn([c for c in unique if c not in self.known])
         known = self.known
-        fresh = list(dict.fromkeys(w for words in split for w in words if w not in known))
-        extra = self.learn(fresh) if fresh else {}
-        if len(known) + len(extra) <= self.room:
-            known.update(extra)
-            extra = known
-        elif extra:
-            for words in split:
-                for w in words:
-                    if w in known:
-                        extra[w] = known[w]
-        else:
-            extra = known
-        for words in split:
-            yield b"".join([extra[w] for w in words])
+        entry = np.fromiter((known[c] for c in unique), np.int64, len(unique))[coded.indices.to_numpy()]
+        first = self.start[entry]
+        size = self.start[entry + 1] - first
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        limits = np.cumsum([len(t) + 1 for t in rest])
+        stops = np.concatenate([[0], ends])[np.searchsorted(np.flatnonzero(begins), limits)]
+        at = 0
+        for k, stop in enumerate(stops):
+            if k in whole:
+                yield np.asarray(self.tokenizer.encode(whole[k].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+            else:
+                yield ids[at:stop]
+            at = stop
+
+
+def portions(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, list[bytes | None]]]:
+    """(first row, texts) of a batch in portions of about ``most`` bytes."""
+    low, held, size = 0, [], 0
+    for k, text in enumerate(texts):
+        held.append(text.as_py())
+        size += len(held[-1] or b"")
+        if size >= most:
+            yield low, held
+            low, held, size = k + 1, [], 0
+    if held:
+        yield low, held
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = END_ID, id_col: str = "doc_id",
@@ -104,12 +177,12 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = EN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCache(path)
-        end, step = int(end_id).to_bytes(4, "little"), 4 * capacity
+        end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             doc_ids, rows, texts = batch.column(0), [], batch.column(1)
-            for low in range(0, len(texts), 64):
-                for k, ids in enumerate(cache.encode(texts.slice(low, 64).to_pylist()), low):
-                    ids += end
+            for low, some in portions(texts):
+                for k, found in enumerate(cache.encode(some), low):
+                    ids = found.astype("<u4").tobytes() + end
                     for n, at in enumerate(range(0, len(ids), step)):
                         one = ids[at:at + step]
                         rows.append((k, n, at // 4, len(one) // 4, zlib.crc32(one)))
