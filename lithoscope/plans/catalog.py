@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import spectral
+
+_PARTS = (spectral,)
+
+QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLES: dict = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
