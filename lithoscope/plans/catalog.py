@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import spectral
+from . import cohorts, spectral
 
-_PARTS = (spectral,)
+_PARTS = (spectral, cohorts)
 
 QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLES: dict = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
