@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cohorts, spectral, statistics
+from . import cohorts, modelling, spectral, statistics
 
-_PARTS = (spectral, cohorts, statistics)
+_PARTS = (spectral, cohorts, statistics, modelling)
 
 QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLES: dict = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
