@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cohorts, modelling, spectral, statistics
+from . import cohorts, modelling, spectral, statistics, structures
 
-_PARTS = (spectral, cohorts, statistics, modelling)
+_PARTS = (spectral, cohorts, statistics, modelling, structures)
 
 QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLES: dict = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
