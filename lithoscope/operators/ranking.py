@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 def value_places(df: DataFrame, keys: list[str], value: str, blocks: int = 64) -> DataFrame:
-    """One row per key and distinct non-null value: (keys, value, n, before, total).
+    """One row per key and distinct non-null value: (keys, value, n, before, total); ``blocks`` is a power of two.
 
     ``n`` rows hold the value, ``before`` rows of the key hold smaller ones, ``total`` rows hold any. NULL keys form
     a key of their own.
@@ -25,7 +25,11 @@ def value_places(df: DataFrame, keys: list[str], value: str, blocks: int = 64) -
     drop = [f"__k{i}" for i in range(len(keys))]
     splits = counts.groupBy(*renamed).agg(F.percentile_approx(value, F.lit(ends), F.lit(10 * blocks)).alias("__splits"))
     joined = counts.join(splits, on=same).drop(*drop) if keys else counts.crossJoin(F.broadcast(splits))  # without keys: one row
-    placed = joined.withColumn("__block", F.size(F.filter("__splits", lambda s: s < F.col(value)))).drop("__splits")
+    placed, step = joined.withColumn("__block", F.lit(0)), blocks // 2
+    while step:  # binary search for the number of splits below the value, a projection a step, all in generated code
+        placed = placed.withColumn("__block", F.col("__block") + F.when(F.get("__splits", F.col("__block") + (step - 1)) < F.col(value), step).otherwise(0))
+        step //= 2
+    placed = placed.drop("__splits")
     per_block = placed.groupBy(*keys, "__block").agg(F.sum("n").alias("__rows"))
     up_to = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.select(

@@ -15,42 +15,46 @@ from pyspark.sql import functions as F
 from ..functions.tails import chi2_pvalue, t_pvalue, t_tail
 from .ranking import average_ranks, value_places
 
-PAIR = ["feature", "target"]
 
+def wanted_pairs(features: list[str], targets: list[str], covariates: tuple[str, ...] = (), trivial: tuple[tuple[str, str], ...] = ()) -> list[tuple[str, str]]:
+    """All pairs but those of a column with itself or a covariate, and the trivial ones."""
+    return [(a, b) for a in features for b in targets if a != b and a not in covariates and (a, b) not in trivial]
 
-def pairs(df: DataFrame, features: list[str], targets: list[str], covariates: tuple[str, ...] = (), trivial: tuple[tuple[str, str], ...] = ()) -> DataFrame:
-    """(feature, target, x, y, z0, z1, ...): a row for each pair and each row in which all of its columns are known.
 
-    A column is not paired with itself, with a covariate, or in a trivial pair.
-    """
-    wanted = [(a, b) for a in features for b in targets if a != b and a not in covariates and (a, b) not in trivial]
+def pair_rows(df: DataFrame, wanted: list[tuple[str, str]], covariates: tuple[str, ...] = ()) -> DataFrame:
+    """(pair, x, y, z0, z1, ...): a row for each pair (its number) and each row in which all of its columns are known."""
     number = lambda c: F.col(c).cast("double")
     zs = [number(c).alias(f"z{i}") for i, c in enumerate(covariates)]
-    rows = F.array(*(F.struct(F.lit(a).alias("feature"), F.lit(b).alias("target"), number(a).alias("x"), number(b).alias("y"), *zs) for a, b in wanted))
+    rows = F.array(*(F.struct(F.lit(k).alias("pair"), number(a).alias("x"), number(b).alias("y"), *zs) for k, (a, b) in enumerate(wanted)))
     return df.select(F.explode(rows).alias("r")).select("r.*").na.drop()
 
 
+def named(number: str, names: list[tuple[str, str]], into: tuple[str, str]) -> list[Column]:
+    """The two names that belong to a number, as columns."""
+    return [F.get(F.array(*(F.lit(n[i]) for n in names)), F.col(number)).alias(c) for i, c in enumerate(into)]
+
+
 def _correlation(a: str, b: str) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
-def rank_correlations(long: DataFrame, n_covariates: int = 0) -> DataFrame:
-    """(feature, target, rho, n) of ``pairs``: correlation of average ranks, with the covariates' ranks taken out.
+def rank_correlations(df: DataFrame, features: list[str], targets: list[str], covariates: tuple[str, ...] = (), trivial: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """(feature, target, rho, n): correlation of average ranks, the covariates' ranks taken out, after pairwise deletion.
 
     Partial correlation follows from the pairwise ones by removing a covariate at a time. Too few rows (10 and one per
-    covariate) or a constant column: NULL.
+    covariate) or a constant column: NULL. Pairs without any complete row do not appear.
     """
-    names = ["x", "y", *(f"z{i}" for i in range(n_covariates))]
-    ranked = long
+    wanted, names = wanted_pairs(features, targets, covariates, trivial), ["x", "y", *(f"z{i}" for i in range(len(covariates)))]
+    ranked = long = pair_rows(df, wanted, covariates)
     for c in names:
-        ranked = ranked.join(average_ranks(long, PAIR, c, f"r_{c}"), [*PAIR, c])
-    sums = ranked.groupBy(*PAIR).agg(F.count("*").alias("n"), *(_correlation(f"r_{a}", f"r_{b}").alias(f"c_{a}_{b}") for a, b in combinations(names, 2)))
+        ranked = ranked.join(average_ranks(long, ["pair"], c, f"r_{c}"), ["pair", c])
+    sums = ranked.groupBy("pair").agg(F.count("*").alias("n"), *(_correlation(f"r_{a}", f"r_{b}").alias(f"c_{a}_{b}") for a, b in combinations(names, 2)))
     known = {(a, b): F.col(f"c_{a}_{b}") for a, b in combinations(names, 2)}
-    for i in reversed(range(n_covariates)):
+    for i in reversed(range(len(covariates))):
         left = [c for c in names if c != f"z{i}" and (not c.startswith("z") or int(c[1:]) < i)]
         z = lambda a: known[(a, f"z{i}")]  # noqa: B023, E731
         known = {(a, b): F.try_divide(known[(a, b)] - z(a) * z(b), F.sqrt((1 - z(a) * z(a)) * (1 - z(b) * z(b)))) for a, b in combinations(left, 2)}
-    return sums.select(*PAIR, F.when(F.col("n") >= 10 + n_covariates, known[("x", "y")]).alias("rho"), "n")
+    return sums.select(*named("pair", wanted, ("feature", "target")), F.when(F.col("n") >= 10 + len(covariates), known[("x", "y")]).alias("rho"), "n")
 
 
 def with_interval(df: DataFrame, n_covariates: int = 0) -> DataFrame:
@@ -80,22 +84,23 @@ def kruskal(df: DataFrame, factors: list[str], targets: list[str], least: int =
 
     Fewer than two levels: NULL statistics.
     """
-    keys = ["factor", "target"]
-    rows = F.array(*(F.struct(F.lit(f).alias("factor"), F.lit(t).alias("target"), F.col(f).cast("string").alias("level"), F.col(t).cast("double").alias("y")) for f in factors for t in targets))
+    wanted = [(f, t) for f in factors for t in targets]
+    rows = F.array(*(F.struct(F.lit(i).alias("pair"), F.col(f).cast("string").alias("level"), F.col(t).cast("double").alias("y")) for i, (f, t) in enumerate(wanted)))
     long = df.select(F.explode(rows).alias("r")).select("r.*").na.drop()
-    large = long.groupBy(*keys, "level").count().filter(F.col("count") >= least).drop("count")
-    kept = long.join(large, [*keys, "level"])
-    places = value_places(kept, keys, "y")
-    ties = places.groupBy(*keys).agg(F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
-    ranks = places.select(*keys, "y", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
-    per_level = kept.join(ranks, [*keys, "y"]).groupBy(*keys, "level").agg(F.sum("rank").alias("r"), F.count("*").alias("m"))
+    large = long.groupBy("pair", "level").count().filter(F.col("count") >= least).drop("count")
+    kept = long.join(large, ["pair", "level"])
+    places = value_places(kept, ["pair"], "y")
+    ties = places.groupBy("pair").agg(F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
+    ranks = places.select("pair", "y", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
+    counts = kept.groupBy("pair", "level", "y").agg(F.count("*").alias("c"))  # equal values of a level have one rank
+    per_level = counts.join(ranks, ["pair", "y"]).groupBy("pair", "level").agg(F.sum(F.col("rank") * F.col("c")).alias("r"), F.sum("c").alias("m"))
     n, k = F.col("n"), F.col("k_levels")
     raw = F.try_divide(12 * F.col("s"), n * (n + 1)) - 3 * (n + 1)
     h = F.try_divide(raw, 1 - F.try_divide(F.col("ties"), F.pow(n, F.lit(3)) - n))
-    out = per_level.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r") / F.col("m")).alias("s"), F.sum("m").alias("n"), F.count("*").alias("k_levels")).join(ties, keys)
+    out = per_level.groupBy("pair").agg(F.sum(F.col("r") * F.col("r") / F.col("m")).alias("s"), F.sum("m").alias("n"), F.count("*").alias("k_levels")).join(ties, "pair")
     out = out.withColumn("h", F.when(k >= 2, h))
     eta = F.greatest(F.lit(0.0), F.try_divide(F.col("h") - k + 1, F.when(n > k, n - k)))
-    return out.select(*keys, F.when(F.col("h").isNotNull(), eta).alias("eta2"), "h", "n", "k_levels", chi2_pvalue(F.col("h"), k - 1).alias("p"))
+    return out.select(*named("pair", wanted, ("factor", "target")), F.when(F.col("h").isNotNull(), eta).alias("eta2"), "h", "n", "k_levels", chi2_pvalue(F.col("h"), k - 1).alias("p"))
 
 
 def product_sums(columns: list[str], weight: Column | None = None) -> list[Column]:
@@ -160,7 +165,7 @@ def variance_inflation(df: DataFrame, columns: list[str]) -> dict[str, float]:
 
 def agreement(main: DataFrame, other: DataFrame, strong_q: float = 0.05, strong_rho: float = 0.2) -> DataFrame:
     """One row: strong pairs of ``main``, their share with the same sign in ``other``, and with the same sign and q below 0.05."""
-    both = main.select(*PAIR, F.col("rho").alias("a"), F.col("q").alias("qa")).join(other.select(*PAIR, F.col("rho").alias("b"), F.col("q").alias("qb")), PAIR)
+    both = main.select("feature", "target", F.col("rho").alias("a"), F.col("q").alias("qa")).join(other.select("feature", "target", F.col("rho").alias("b"), F.col("q").alias("qb")), ["feature", "target"])
     strong = (F.col("qa") < strong_q) & (F.abs("a") >= strong_rho)
     same = F.signum("a") == F.signum("b")
     mean = lambda c: F.avg(F.when(strong, F.coalesce(c, F.lit(False)).cast("int")))

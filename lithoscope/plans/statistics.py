@@ -19,15 +19,15 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spearman_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(S.rank_correlations(S.pairs(_lines(spark, sf_dir), FEATURES, TARGETS)))
+    return rounded(S.rank_correlations(_lines(spark, sf_dir), FEATURES, TARGETS))
 
 
 def partial_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(S.rank_correlations(S.pairs(_lines(spark, sf_dir), FEATURES, TARGETS, COVARIATES), len(COVARIATES)))
+    return rounded(S.rank_correlations(_lines(spark, sf_dir), FEATURES, TARGETS, COVARIATES))
 
 
 def spearman_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = S.with_interval(S.rank_correlations(S.pairs(_lines(spark, sf_dir), FEATURES, TARGETS)))
+    df = S.with_interval(S.rank_correlations(_lines(spark, sf_dir), FEATURES, TARGETS))
     return rounded(S.benjamini_hochberg(df).withColumn("stars", F.when(F.col("q") < 0.001, "***").when(F.col("q") < 0.01, "**").when(F.col("q") < 0.05, "*").otherwise("")))
 
 
@@ -71,7 +71,7 @@ def peak_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qc_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlations again under other price limits, in one long table keyed by limit, against the main ones."""
     df, out = _lines(spark, sf_dir), None
-    table_of = lambda d: S.benjamini_hochberg(S.with_interval(S.rank_correlations(S.pairs(d, FEATURES, TARGETS))))
+    table_of = lambda d: S.benjamini_hochberg(S.with_interval(S.rank_correlations(d, FEATURES, TARGETS)))
     main = table_of(df)
     for limit in (2000, 20000):
         row = S.agreement(main, table_of(df.filter(F.col("l_extendedprice") >= limit))).withColumn("spec", F.lit(f"price>={limit}"))

@@ -112,14 +112,14 @@ def test_correlations_against_numpy(spark):
     ok = np.array([i % 17 != 0 for i in range(n)])
     ranks = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
     rx, ry, rz = (ranks(v[ok]) for v in (x, y, z))
-    got = stats.rank_correlations(stats.pairs(df, ["x", "c"], ["y"])).collect()
+    got = stats.rank_correlations(df, ["x", "c"], ["y"]).collect()
     plain = {r.feature: r for r in got}
     assert abs(plain["x"].rho - np.corrcoef(rx, ry)[0, 1]) < 1e-9 and plain["x"].n == ok.sum() and plain["c"].rho is None
     design = np.column_stack([np.ones(ok.sum()), rz])
     rest = lambda r: r - design @ np.linalg.lstsq(design, r, rcond=None)[0]
-    partial = stats.rank_correlations(stats.pairs(df, ["x"], ["y"], ("z",)), 1).first()
+    partial = stats.rank_correlations(df, ["x"], ["y"], ("z",)).first()
     assert abs(partial.rho - np.corrcoef(rest(rx), rest(ry))[0, 1]) < 1e-9
-    assert stats.rank_correlations(stats.pairs(df.limit(8), ["x"], ["y"])).first().rho is None
+    assert stats.rank_correlations(df.limit(8), ["x"], ["y"]).first().rho is None
 
 
 def test_regression_against_numpy(spark):
