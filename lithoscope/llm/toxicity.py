@@ -238,10 +238,15 @@ def log_odds(toxic: float, clean: float, n_toxic: int, n_clean: int) -> float:
     return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
 
 
-def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, least: float, most: int) -> list[str]:
-    """Terms with enough evidence; of nested terms, the longest that keeps nearly all documents of a shorter one."""
-    good = {t: n for t, n in toxic.items() if evidence(n, clean.get(t, 0), n_toxic, n_clean) >= least
-            and log_odds(n, clean.get(t, 0), n_toxic, n_clean) >= 2.5}
+def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, least: float, most: int, share: float = 0.07) -> list[str]:
+    """Terms with enough evidence; of nested terms, the longest that keeps nearly all documents of a shorter one.
+
+    Copies of a toxic document make all of its words look telling; their evidence stays far below that of the lexicon's
+    best term, so a term needs that ``share`` of it besides the absolute ``least``.
+    """
+    told = {t: evidence(n, clean.get(t, 0), n_toxic, n_clean) for t, n in toxic.items()}
+    least = max(least, share * max(told.values(), default=0.0))
+    good = {t: n for t, n in toxic.items() if told[t] >= least and log_odds(n, clean.get(t, 0), n_toxic, n_clean) >= 2.5}
     chosen: list[str] = []
     covered: set[str] = set()
     for term in sorted(good, key=lambda t: (len(t.rstrip("*")), t)):
