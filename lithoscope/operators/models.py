@@ -194,3 +194,13 @@ def tree_out_of_fold(df: DataFrame, y: str, columns: list[str], kind: str = "gbt
         part = model.fit(inputs.transform(prepare(train.filter(F.col(y).isNotNull()), fitted))).transform(inputs.transform(prepare(held, fitted))).drop("__x")
         out = part.select(*df.columns, "pred") if out is None else out.unionByName(part.select(*df.columns, "pred"))
     return out
+
+
+def cross_validated_r2(matrices: dict, columns: list[str], chosen: list[str]) -> float | None:
+    """Out-of-fold R2 of least squares on some of the columns: parts of the same matrices, whose last column is y."""
+    keep = [0, *(1 + columns.index(c) for c in chosen), len(columns) + 1]
+    parts = {f: m[np.ix_(keep, keep)] for f, m in matrices.items()}
+    total, k = sum(parts.values()), len(chosen)
+    error = sum(error_sum(held, ols_coefficients(total - held, k), k + 1) for held in parts.values())
+    spread = error_sum(total, np.array([total[0, k + 1] / total[0, 0]]), k + 1)
+    return float(1 - error / spread) if spread > 0 else None

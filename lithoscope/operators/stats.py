@@ -170,3 +170,21 @@ def agreement(main: DataFrame, other: DataFrame, strong_q: float = 0.05, strong_
     same = F.signum("a") == F.signum("b")
     mean = lambda c: F.avg(F.when(strong, F.coalesce(c, F.lit(False)).cast("int")))
     return both.agg(F.count_if(strong).alias("n_strong"), mean(same).alias("same_sign"), mean(same & (F.col("qb") < 0.05)).alias("same_sign_and_q"))
+
+
+def exclusive_picks(table: DataFrame, targets: list[str], most: int = 10_000) -> list[tuple[str, str, float]]:
+    """(feature, target, rho): each target in turn takes its strongest feature that no target before it has.
+
+    Sequential by nature and over a result table, so it runs on the driver; more than ``most`` rows are an error.
+    """
+    rows = table.filter(F.col("rho").isNotNull() & F.col("target").isin(targets)).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a result table has more than {most} rows")
+    picks, used = [], set()
+    for target in targets:
+        free = [r for r in rows if r["target"] == target and r["feature"] not in used]
+        if free:
+            best = min(free, key=lambda r: (-abs(r["rho"]), r["feature"]))
+            used.add(best["feature"])
+            picks.append((best["feature"], target, best["rho"]))
+    return picks
