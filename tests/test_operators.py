@@ -209,6 +209,8 @@ def test_structures(spark):
     expected = (math.log(2) - 0.8 * math.log(0.8) - 0.2 * math.log(0.2)) / 3
     assert (r.is_ordered, r.n_disordered_sites) == (False, 2) and abs(r.mixing_entropy - expected) < 1e-12
     assert one(spark, structure.majority_species(site(("Mg", 0.5), ("Fe", 0.5)))) == "Fe"
+    assert one(spark, structure.formula_units(site(("Si", 4), ("O", 8), ("Mg", 12)))) == 4
+    assert one(spark, structure.formula_units(F.create_map().cast("map<string,int>"))) is None
     same = structure.environments([[[1.0, 0.0]] * 3], [["A"] * 3])
     assert same.n_env[0] == 1 and same.dispersion[0] == 0 and same.separations[0] == []
     unit = np.eye(3, dtype=np.int64)
