@@ -3,13 +3,15 @@
 1. Equal vectors of one label collapse to a class with a count (pre-aggregated), so copies never meet as pairs.
 2. Coarse centroids and residual sub-space codebooks are trained on a bounded sample of the classes (unit vectors).
    Every class is indexed: its list, the codes of its residual, and the error that the codes leave.
-3. A class probes, nearest first, the lists whose cells come within the search radius of it: a neighbour at distance
-   r can lie in another cell only if the bisector of the two centroids is at most r away. ``max_probes`` bounds them.
-4. In a cell (label, list, block of at most ``block`` members) queries meet the members' codes by table look-up.
-   A member is left out only if even its table distance less its code error exceeds the radius, so the codes lose
-   nothing; what remains is decided by the exact cosine in double precision.
-5. Cells emit sums, not pairs: links per class, and one edge per class to the smallest of its local cluster. A member
-   carries its own probes, so that a link which only one side finds is counted for both.
+3. A class probes every list from its own number on whose cell comes within the search radius of it: a neighbour at
+   distance r can lie in another cell only if the bisector of the two centroids is at most r away. That holds for both
+   sides of a link, so the one with the smaller list finds it. Near lists form groups of about ``block`` classes, and
+   a class is sent once to each group that holds a list to probe.
+4. In a cell (label, group, block of about ``block`` members) queries meet the members' codes, decoded, in one matrix
+   product. A member is left out only if even its coded distance less its code error exceeds the radius, so the codes
+   lose nothing; what remains is decided by the exact cosine in double precision.
+5. Cells emit sums, not pairs: links per class, and one edge per class to the smallest of its local cluster. Within a
+   list both sides ask and each counts its own links; between lists the side that asks counts for both.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows without a label, link
 with nothing and are their own component; vectors of other lengths than the commonest of the sample meet no vector;
@@ -42,10 +44,10 @@ class ProductQuantiser:
     books: list[np.ndarray]
     spans: list[tuple[int, int]]
     radius: float
-    max_probes: int
+    groups: np.ndarray
 
     def lists(self, unit: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Own list and the lists to probe (own first) of each unit vector."""
+        """Own list and the groups of the lists to probe of each unit vector."""
         c = self.centroids
         d = (c * c).sum(1) - 2 * unit @ c.T
         own = d.argmin(1)
@@ -53,8 +55,8 @@ class ProductQuantiser:
         gaps = np.sqrt(np.maximum(size[own][:, None] + size[None] - 2 * c[own] @ c.T, 1e-12))
         away = (d - d[np.arange(len(unit)), own][:, None]) / (2 * gaps)
         away[np.arange(len(unit)), own] = -1
-        order = np.argsort(away, axis=1)[:, :self.max_probes]
-        return own, [row[away[k, row] <= self.radius] for k, row in enumerate(order)]
+        probed = (away <= self.radius + 1e-7) & (np.arange(len(c)) >= own[:, None])
+        return own, [np.unique(self.groups[row]) for row in probed]
 
     def encode(self, unit: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals and the distances that they leave."""
@@ -67,13 +69,11 @@ class ProductQuantiser:
             left += ((rest[:, a:b] - book[codes[:, m]]) ** 2).sum(1)
         return codes, np.sqrt(left)
 
-    def table_distances(self, unit: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distances of queries to coded members of one list, summed from look-up tables."""
-        rest, out = unit - self.centroids[which], np.zeros((len(unit), len(codes)))
+    def decode(self, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for."""
+        out = self.centroids[own]
         for m, ((a, b), book) in enumerate(zip(self.spans, self.books, strict=True)):
-            part = rest[:, a:b]
-            table = (part * part).sum(1)[:, None] + (book * book).sum(1) - 2 * part @ book.T
-            out += table[:, codes[:, m]]
+            out[:, a:b] += book[codes[:, m]]
         return out
 
 
@@ -90,7 +90,7 @@ def k_means(x: np.ndarray, k: int, rounds: int = 10, seed: int = 5) -> np.ndarra
     return c
 
 
-def train_quantiser(sample: np.ndarray, n_lists: int, parts: int, words: int, radius: float, max_probes: int) -> ProductQuantiser:
+def train_quantiser(sample: np.ndarray, n_lists: int, parts: int, words: int, radius: float, n_groups: int) -> ProductQuantiser:
     """A quantiser from sample vectors."""
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     centroids = k_means(unit, n_lists)
@@ -98,7 +98,9 @@ def train_quantiser(sample: np.ndarray, n_lists: int, parts: int, words: int, ra
     rest = unit - centroids[near]
     edges = np.linspace(0, unit.shape[1], min(parts, unit.shape[1]) + 1).astype(int)
     spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
-    return ProductQuantiser(centroids, [k_means(rest[:, a:b], words, 6) for a, b in spans], spans, radius, max_probes)
+    middles = k_means(centroids, n_groups)
+    groups = ((middles * middles).sum(1) - 2 * centroids @ middles.T).argmin(1)
+    return ProductQuantiser(centroids, [k_means(rest[:, a:b], words, 6) for a, b in spans], spans, radius, groups)
 
 
 def vector_classes(vectors: DataFrame) -> DataFrame:
@@ -111,7 +113,7 @@ def vector_classes(vectors: DataFrame) -> DataFrame:
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-                    sample: int = 16_384, max_lists: int = 1024, parts: int = 8, words: int = 64, max_probes: int = 16, block: int = 4096) -> DataFrame:
+                    sample: int = 16_384, max_lists: int = 1024, parts: int = 8, words: int = 64, block: int = 4096) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(label_col).alias("label"))
     classes = cut(vector_classes(rows))
@@ -123,7 +125,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     width = int(np.bincount([len(v) for v in drawn]).argmax())
     drawn = np.stack([v for v in drawn if len(v) == width])
     n_lists = int(max(1, min(max_lists, 2 * found**0.5, len(drawn) / 4)))
-    model = rows.sparkSession.sparkContext.broadcast(train_quantiser(drawn, n_lists, parts, words, float(np.sqrt(2 - 2 * threshold)), max_probes))
+    model = rows.sparkSession.sparkContext.broadcast(train_quantiser(drawn, n_lists, parts, words, float(np.sqrt(2 - 2 * threshold)), -(-found // block)))
     kind, vector_kind = (classes.schema[c].dataType.simpleString() for c in ("label", "embedding"))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,18 +138,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
                 own, probes = pq.lists(unit)
                 codes, left = pq.encode(unit, own)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), part.column(3), part.column(1), pa.array(own, pa.int32()), pa.array([p.tolist() for p in probes], pa.list_(pa.int32())),
-                     pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(left)], names=["label", "cid", "n", "embedding", "own", "probes", "codes", "left"])
+                    [part.column(0), part.column(2), part.column(3), part.column(1), pa.array(own, pa.int32()), pa.array(pq.groups[own], pa.int32()),
+                     pa.array([p.tolist() for p in probes], pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(left)],
+                    names=["label", "cid", "n", "embedding", "own", "group", "probes", "codes", "left"])
 
     coded = cut(classes.filter(F.size("embedding") == width).select("label", "embedding", "cid", "n").mapInArrow(
-        index, f"label {kind}, cid long, n long, embedding {vector_kind}, own int, probes array<int>, codes binary, left double"))
+        index, f"label {kind}, cid long, n long, embedding {vector_kind}, own int, group int, probes array<int>, codes binary, left double"))
     blocks = F.ceil(F.count("*") / block).cast("int").alias("blocks")
-    cells = coded.groupBy("label", F.col("own").alias("list")).agg(blocks)
-    members = coded.withColumn("list", F.col("own")).join(cells, ["label", "list"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("role", F.lit(MEMBER))
-    queries = (coded.withColumn("list", F.explode("probes")).join(cells, ["label", "list"])
+    cells = coded.groupBy("label", "group").agg(blocks)
+    members = coded.join(cells, ["label", "group"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("role", F.lit(MEMBER))
+    queries = (coded.withColumn("group", F.explode("probes")).join(cells, ["label", "group"])
                .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(QUERY))
-               .withColumns({"codes": F.lit(None).cast("binary"), "probes": F.lit(None).cast("array<int>")}))
-    fields = ["label", "list", "block", "role", "cid", "n", "embedding", "own", "probes", "codes", "left"]
+               .withColumn("codes", F.lit(None).cast("binary")))
+    fields = ["label", "group", "block", "role", "cid", "n", "embedding", "own", "codes", "left"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pq, key, held, links, edges = model.value, None, None, {}, []
@@ -165,10 +168,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
         for batch in batches:
             table = batch.to_pydict()
             n = batch.num_rows
-            starts = [k for k in range(n) if k == 0 or any(table[f][k] != table[f][k - 1] for f in ("label", "list", "block", "role"))]
+            starts = [k for k in range(n) if k == 0 or any(table[f][k] != table[f][k - 1] for f in ("label", "group", "block", "role"))]
             for a, b in zip(starts, [*starts[1:], n], strict=True):
-                at = tuple(table[f][a] for f in ("label", "list", "block"))
-                part = {f: table[f][a:b] for f in ("cid", "n", "embedding", "own", "probes", "codes", "left")}
+                at = tuple(table[f][a] for f in ("label", "group", "block"))
+                part = {f: table[f][a:b] for f in ("cid", "n", "embedding", "own", "codes", "left")}
                 if at != key:
                     yield from flush()
                     key, held = at, None
@@ -176,21 +179,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
                     held = part if held is None else {f: held[f] + part[f] for f in held}
                     continue
                 if held is not None:
-                    meet(pq, at[1], held, part, links, edges)
+                    meet(pq, held, part, links, edges)
         yield from flush()
 
-    def meet(pq: ProductQuantiser, which: int, held: dict, asked: dict, links: dict, edges: list) -> None:
-        if "unit" not in held:
+    def meet(pq: ProductQuantiser, held: dict, asked: dict, links: dict, edges: list) -> None:
+        if "x" not in held:
             held["x"] = np.asarray(held["embedding"], float)
-            held["unit"] = held["x"] / np.linalg.norm(held["x"], axis=1, keepdims=True)
             held["norm"] = np.linalg.norm(held["x"], axis=1)
-            held["code"] = np.frombuffer(b"".join(held["codes"]), np.uint8).reshape(len(held["cid"]), -1)
-            held["reach"] = (pq.radius + np.asarray(held["left"]) + 1e-7) ** 2
+            held["list"] = np.asarray(held["own"])
+            held["coded"] = pq.decode(held["list"], np.frombuffer(b"".join(held["codes"]), np.uint8).reshape(len(held["cid"]), -1))
+            # |query - coded|^2 <= reach^2 as a bound below the product of the two
+            held["least"] = (1 + (held["coded"] ** 2).sum(1) - (pq.radius + np.asarray(held["left"]) + 1e-7) ** 2) / 2
         step = max(1, 2_000_000 // len(held["cid"]))
         for low in range(0, len(asked["cid"]), step):
             x = np.asarray(asked["embedding"][low:low + step], float)
             norm = np.linalg.norm(x, axis=1)
-            q, m = np.nonzero(pq.table_distances(x / norm[:, None], which, held["code"]) <= held["reach"])
+            lists = np.asarray(asked["own"][low:low + step])
+            q, m = np.nonzero(((x / norm[:, None]) @ held["coded"].T >= held["least"]) & (lists[:, None] <= held["list"]))
             for k in range(0, len(q), 100_000):
                 i, j = q[k:k + 100_000], m[k:k + 100_000]
                 near = (x[i] * held["x"][j]).sum(1) / (norm[i] * held["norm"][j]) >= threshold
@@ -199,7 +204,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
                     if u == v:
                         continue
                     links[u] = links.get(u, 0) + held["n"][b]
-                    if asked["own"][a] not in held["probes"][b]:
+                    if asked["own"][a] != held["own"][b]:
                         links[v] = links.get(v, 0) + asked["n"][a]
                     edges.append((u, v))
                 if len(edges) > 10_000:
@@ -213,7 +218,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
         far = np.flatnonzero(root != np.arange(len(nodes)))
         return list(zip(nodes[far].tolist(), nodes[root[far]].tolist(), strict=True))
 
-    placed = members.select(*fields).unionByName(queries.select(*fields)).repartition("label", "list", "block").sortWithinPartitions("label", "list", "block", "role")
+    placed = members.select(*fields).unionByName(queries.select(*fields)).repartition("label", "group", "block").sortWithinPartitions("label", "group", "block", "role")
     sums = cut(placed.mapInArrow(search, "u long, v long, links long"))
     linked = sums.groupBy(F.col("u").alias("cid")).agg(F.sum("links").alias("links"))
     roots = components(sums.select("u", "v")).select(F.col("node").alias("cid"), "root")
