@@ -191,12 +191,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, one of each group of near-duplicates: the smallest id, once if the id repeats.
+    """Rows of ``docs``, one of each group of near-duplicates: the smallest id (null only if all are), of its texts the one
+    with the smallest digest, once if the row repeats.
 
-    The wide rows are shuffled once: the semi join and the removal of repeated ids share their key.
+    The wide rows are shuffled once: the semi join and the removal of repeated rows share their key.
     """
-    lowest = F.lit(-(1 << 63))
-    found = simhash_components(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(
-        F.coalesce(F.col(id_col).cast("long"), lowest).alias("__k"))
-    keyed = docs.withColumn("__k", F.coalesce(F.col(id_col).cast("long"), lowest))
+    given = F.col(id_col)
+    key = F.struct(given.isNull().alias("none"), F.coalesce(given.cast("long"), F.lit(0)).alias("id"), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("")).alias("text"))
+    keyed = docs.withColumn("__k", key)
+    found = simhash_components(keyed, "__k", text_col).filter("__k = component_id").select("__k")
     return keyed.join(found, "__k", "left_semi").dropDuplicates(["__k"]).select(*docs.columns)

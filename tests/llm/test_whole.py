@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from lithoscope.llm import embedding_dedup
+from lithoscope.llm import embedding_dedup, simhash
 
 
 def test_links_in_a_dense_group(spark):
@@ -18,3 +18,14 @@ def test_links_in_a_dense_group(spark):
     for block in (4096, 400):
         got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, block=block).collect()}
         assert [got[i] for i in range(len(v))] == want.tolist()
+
+
+def test_one_of_each_component_is_kept(spark):
+    """Documents without an id, and with one that another has, are told apart by their texts."""
+    words = [f"{a}{b}" for a in ("ra", "so", "li", "ne", "mu") for b in ("ver", "tun", "gal", "pok", "wid")]
+    draw = np.random.default_rng(1)
+    text = [" ".join(draw.choice(words, 30)) for _ in range(6)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (None, text[2]), (7, text[2]), (8, text[3]), (8, text[4]), (8, text[4]), (9, text[4]), (None, text[5]), (-(1 << 63), text[5]), (0, text[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.keep_one(docs).collect()
+    assert len(kept) == 6 and {(r.doc_id, r.text) for r in kept} == {(0, text[0]), (None, text[1]), (7, text[2]), (8, text[3]), (8, text[4]), (-(1 << 63), text[5])}
