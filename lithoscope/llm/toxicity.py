@@ -1,7 +1,7 @@
 """Toxicity: a learnt lexicon, Levenshtein automata over its trie, and context windows that tell quotation from abuse.
 
 Training reads at most ``max_toxic`` and ``max_clean`` labelled rows (the first by a hash of the id, never held-out
-ones). Terms are whole words or stems (word beginnings) whose documents are toxic far more often than chance; their
+ones), and of each group of near-copies among them one. Terms are whole words or stems (word beginnings) whose documents are toxic far more often than chance; their
 counts are made by the executors, only terms and hits reach the driver. A word is matched by running it through the
 lexicon's trie and the Levenshtein automaton of each term at once: a state is a set of (trie node, edits so far),
 states and their transitions are made once and kept. Words of 5 letters may differ by one edit, of 9 by two; each
@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice, takewhile
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import bounded_labels, held_out
+from .simhash import MASKS, fingerprints, gray_rank, local_roots, near_pairs
 
 #: A word: letters and digits, with symbols that stand in for letters only between two of them.
 WORD = re.compile(r"\w(?:[\w@*$!]*\w)?")
@@ -238,15 +241,39 @@ def log_odds(toxic: float, clean: float, n_toxic: int, n_clean: int) -> float:
     return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
 
 
-def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, least: float, most: int, share: float = 0.07) -> list[str]:
-    """Terms with enough evidence; of nested terms, the longest that keeps nearly all documents of a shorter one.
-
-    Copies of a toxic document make all of its words look telling; their evidence stays far below that of the lexicon's
-    best term, so a term needs that ``share`` of it besides the absolute ``least``.
-    """
-    told = {t: evidence(n, clean.get(t, 0), n_toxic, n_clean) for t, n in toxic.items()}
-    least = max(least, share * max(told.values(), default=0.0))
-    good = {t: n for t, n in toxic.items() if told[t] >= least and log_odds(n, clean.get(t, 0), n_toxic, n_clean) >= 2.5}
+def one_vote(rows: DataFrame) -> DataFrame:
+    """The labelled rows, one of each group of near-copies in a class: copies would make all words of their text telling."""
+    marked = rows.withColumn("digest", F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
+    each = fingerprints(marked.select(F.struct("y", "digest").alias("doc_id"), "text")).select("doc_id.*", "fp").distinct().collect()  # bounded as the labels are
+    chosen = []
+    for y in (0, 1):
+        mine = [(r["digest"], r["fp"]) for r in each if r["y"] == y]
+        fps, where = np.unique(np.array([fp for _, fp in mine], np.int64).view(np.uint64), return_inverse=True)
+        root, votes = local_roots(len(fps), linked(fps)), {}
+        for (digest, _), k in zip(mine, where.tolist(), strict=True):
+            votes[root[k]] = min(digest, votes.get(root[k], digest))
+        chosen += [(y, digest) for digest in votes.values()]
+    voters = rows.sparkSession.createDataFrame(chosen, "y int, digest string")
+    return marked.join(F.broadcast(voters), ["y", "digest"], "left_semi").dropDuplicates(["y", "digest"]).select(*rows.columns)
+
+
+def linked(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of distinct fingerprints at few differing bits, sought where two of four blocks are equal."""
+    for mask in MASKS:
+        part = fps & np.uint64(mask)
+        order = np.argsort(part, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            if len(group) > 1:
+                group = group[np.argsort(gray_rank(fps[group]), kind="stable")]
+                for i, j in near_pairs(fps[group]):
+                    yield group[i], group[j]
+
+
+def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, least: float) -> list[str]:
+    """Terms with enough evidence of their own; of nested terms, the longest that keeps nearly all documents of a shorter one."""
+    good = {t: n for t, n in toxic.items()
+            if evidence(n, clean.get(t, 0), n_toxic, n_clean) >= least and log_odds(n, clean.get(t, 0), n_toxic, n_clean) >= 2.5}
+    names = sorted(good)
     chosen: list[str] = []
     covered: set[str] = set()
     for term in sorted(good, key=lambda t: (len(t.rstrip("*")), t)):
@@ -255,11 +282,12 @@ def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_c
             continue
         best = term
         if term.endswith("*"):
-            longer = [t for t in good if t.startswith(text) and t != term and good[t] >= 0.95 * good[term]]
+            nested = takewhile(lambda t: t.startswith(text), islice(names, bisect_left(names, text), None))
+            longer = [t for t in nested if t != term and good[t] >= 0.95 * good[term]]
             best = max(longer, key=lambda t: (len(t.rstrip("*")), not t.endswith("*")), default=term)
             covered.add(term)
         chosen.append(best)
-    return sorted(set(chosen), key=lambda t: (-good[t], t))[:most]
+    return sorted(set(chosen), key=lambda t: (-good[t], t))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60) -> list[float]:
@@ -277,24 +305,24 @@ def fit_curve(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60) -
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-          max_toxic: int = 3000, max_clean: int = 12_000, max_terms: int = 600) -> ToxicModel:
-    """Lexicon, weights and curve from the labelled rows of ``docs``."""
+          max_toxic: int = 3000, max_clean: int = 12_000, least: float = 8.0) -> ToxicModel:
+    """Lexicon, weights and curve from the labelled rows of ``docs``, one of each group of near-copies."""
     chosen = bounded_labels(labels, label, max_clean, max_toxic)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").persist()
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").persist()
+    rows = one_vote(given).persist()
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    given.unpersist()
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         rows.unpersist()
         rate = min(0.49, max(0.01, n_toxic / max(1, n_toxic + n_clean)))
         return ToxicModel(curve=[math.log(rate / (1 - rate))] + [0.0] * 5)
     try:
-        floor = max(3, n_toxic // 200)
-        toxic = {r["term"]: r["n"] for r in counted_terms(rows.filter("y = 1")).filter(F.col("n") >= floor)
-                 .orderBy(F.col("n").desc(), "term").limit(200_000).toLocalIterator()}
-        # terms that chance explains even if no clean document has them need no count
-        toxic = {t: n for t, n in toxic.items() if evidence(n, 0, n_toxic, n_clean) >= 8}
+        # terms in fewer documents have too little evidence even if no clean document has them
+        fewest = math.ceil(least / math.log((n_toxic + n_clean) / n_toxic) - 1e-9)
+        toxic = {r["term"]: r["n"] for r in counted_terms(rows.filter("y = 1")).filter(F.col("n") >= fewest).toLocalIterator()}
         clean = {r["term"]: r["n"] for r in counted_terms(rows.filter("y = 0"), list(toxic)).toLocalIterator()}
-        terms = choose_terms(toxic, clean, n_toxic, n_clean, 8.0, max_terms)
+        terms = choose_terms(toxic, clean, n_toxic, n_clean, least)
         hits = document_hits(rows, terms).toPandas()
     finally:
         rows.unpersist()

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from lithoscope.llm import embedding_dedup, simhash
+from lithoscope.llm import embedding_dedup, simhash, toxicity
 
 
 def test_links_in_a_dense_group(spark):
@@ -29,3 +29,18 @@ def test_one_of_each_component_is_kept(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = simhash.keep_one(docs).collect()
     assert len(kept) == 6 and {(r.doc_id, r.text) for r in kept} == {(0, text[0]), (None, text[1]), (7, text[2]), (8, text[3]), (8, text[4]), (-(1 << 63), text[5])}
+
+
+def test_rare_terms(spark):
+    """One insult in most toxic documents, one in a few; a toxic document with many copies teaches no words of its own."""
+    words = ["river", "stone", "light", "garden", "window", "letter", "music", "winter", "bridge", "forest", "silver", "candle"]
+    draw = np.random.default_rng(2)
+    said = lambda: " ".join(draw.choice(words, 40))
+    copied = said() + " harmlessword you grumblefrotz"
+    texts = [(said() + " you grumblefrotz", 1) for _ in range(500)] + [(said() + " you snorbwick", 1) for _ in range(12)] + [(copied, 1)] * 60 + [(said() + " you friend", 0) for _ in range(900)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)] + [(9001, said() + " you snorbwick"), (9002, said() + " harmlessword")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    terms = toxicity.train(docs, labels).terms
+    assert any("snorbwick".startswith(t.rstrip("*")) for t in terms) and not any("harmlessword".startswith(t.rstrip("*")) for t in terms)
+    score = {r.doc_id: r.score for r in toxicity.score_documents(docs, labels).collect()}
+    assert score[9001] > 0.5 > score[9002]
