@@ -64,10 +64,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three distinct sampled segmentations of every document, without their id lists."""
+    """Three distinct sampled segmentations of every document, with their ids."""
     from .sentencepiece_sampling import sample_segmentations
 
-    return sample_segmentations(table(spark, sf_dir, "documents"), with_ids=False)
+    return sample_segmentations(table(spark, sf_dir, "documents"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from lithoscope.llm import embedding_dedup, simhash, toxicity
+from lithoscope.llm import embedding_dedup, queries, sentencepiece_sampling, simhash, toxicity
 
 
 def test_links_in_a_dense_group(spark):
@@ -44,3 +44,14 @@ def test_rare_terms(spark):
     assert any("snorbwick".startswith(t.rstrip("*")) for t in terms) and not any("harmlessword".startswith(t.rstrip("*")) for t in terms)
     score = {r.doc_id: r.score for r in toxicity.score_documents(docs, labels).collect()}
     assert score[9001] > 0.5 > score[9002]
+
+
+def test_segmentations_are_returned(spark):
+    """The query's ids decode to the text that the best segmentation decodes to."""
+    sf_dir = "/root/testdata/sf0.001"
+    rows = queries.op6_sentencepiece_sampling(spark, sf_dir).limit(300).cache()
+    best = sentencepiece_sampling.encode(queries.table(spark, sf_dir, "documents"))
+    want = {r.doc_id: r.text for r in sentencepiece_sampling.decode(best).collect()}
+    got = sentencepiece_sampling.decode(rows).collect()
+    assert len(got) == 300 and all(r.text == want[r.doc_id] for r in got)
+    assert all(len(r.ids) == r.n_pieces for r in rows.collect())
