@@ -57,10 +57,10 @@ def pooled_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two hundred random draws of suppliers."""
+    """Three hundred random draws of suppliers."""
     sums = R.group_sums(_predicted(spark, sf_dir), "l_suppkey", {"type_mean": "type_mean", "own_price": "own_price"}, "y")
     groups = R.numbered(sums.select("l_suppkey").distinct(), "l_suppkey")
-    boot = R.bootstrap_r2(sums.join(groups, "l_suppkey"), R.bootstrap_draws(spark, 200, groups.count()))
+    boot = R.bootstrap_r2(sums.join(groups, "l_suppkey"), R.bootstrap_draws(spark, 300, groups.count()))
     return rounded(R.pooled_r2(sums, ["model"]).join(R.intervals(boot, ["model"]), "model"))
 
 

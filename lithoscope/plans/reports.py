@@ -52,7 +52,7 @@ def complete_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictor_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three predictors on the same folds, R2 with intervals over the same 200 bootstraps of labels, and their differences."""
+    """Three predictors on the same folds, R2 with intervals over the same 300 bootstraps of labels, and their differences."""
     df, columns = modelling._folded(spark, sf_dir), modelling.FEATURES
     matrices = L.fold_matrices(df, [*columns, "y"])
     total = sum(matrices.values())
@@ -62,7 +62,7 @@ def predictor_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = L.out_of_fold(df, chosen, fits, name=name)
     sums = R.group_sums(df, "label", {n: n for n in ("none", "two", "all")}, "y")
     groups = R.numbered(sums.select("label").distinct(), "label")
-    boot = R.bootstrap_r2(sums.join(groups, "label"), R.bootstrap_draws(spark, 200, groups.count()))
+    boot = R.bootstrap_r2(sums.join(groups, "label"), R.bootstrap_draws(spark, 300, groups.count()))
     r2 = R.pooled_r2(sums, ["model"]).join(R.intervals(boot, ["model"]), "model").select("model", "r2", "ci_lo", "ci_hi")
     return rounded(r2.unionByName(R.paired_differences(boot, "all", ["two", "none"]).select(F.col("contrast").alias("model"), F.col("mean").alias("r2"), "ci_lo", "ci_hi")))
 
