@@ -64,7 +64,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three distinct sampled segmentations of every document, with their ids."""
+    """Three distinct sampled segmentations of every document, decoded and compared with its text, and its encoding."""
     from .sentencepiece_sampling import sample_segmentations
 
     return sample_segmentations(table(spark, sf_dir, "documents"))

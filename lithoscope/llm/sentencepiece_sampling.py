@@ -3,16 +3,19 @@
 The lattice of a text has its characters' boundaries as nodes and vocabulary pieces as edges; a segmentation is a path
 with probability proportional to the product of ``exp(alpha * score)`` over its pieces. ``k`` distinct paths are drawn
 by Gumbel top-k: an A* search over the lattice whose priorities are exact, perturbed log masses. The heap's entries are
-groups "all paths that leave this path at this node by another edge"; a group's best perturbed value is a Gumbel of its
-log mass, cut off at the value of the path it branches from. Popping the best group fixes one more edge and samples
-the rest top down, where the largest value stays with the sampled child. So the paths come out in order of their
+groups "all paths that leave this path within this stretch of edges"; a group's best perturbed value is a Gumbel of its
+log mass, cut off at the value of the group it is part of. Popping the best group draws the node where its best path
+leaves, the edge and the rest top down, where the largest value stays with the sampled child; what is left of the group
+goes back as up to three smaller ones, and the new path's own as another. So the paths come out in order of their
 perturbed log probability, exactly as if every path had been perturbed. The (k+1)-th value is the threshold of the
 inclusion scores, log(1 - exp(-exp(log p - threshold))).
 
 All randomness is a hash of (row key, seed, draw), so a row's samples depend on nothing else. A text is cut where no
-piece can cross (a white-space mark after another character, and characters outside the vocabulary, which are written
-as bytes); lattices of these chunks are kept per worker, and the steps of all chunks of many texts are taken together
-as arrays. Whole texts of any length are sampled.
+piece can cross: between two characters that no piece holds side by side, and around characters outside the
+vocabulary, which are written as bytes. The lattices of these chunks are kept per worker; of a chunk met often, all
+segmentations become edges of one step. The steps of all chunks of many texts are taken together as arrays. Whole texts
+of any length are sampled. Chunks keep their best segmentation too, so that a text's encoding comes from the same
+lattices, and every sample is decoded and compared with its text.
 
 Defined results: a null or empty text has one segmentation, without pieces; a text with fewer than ``k``
 segmentations gives them all, with inclusion 1; rows that repeat a key and text repeat their samples; a null key is
@@ -22,10 +25,10 @@ key zero; only the two named columns are read; an empty table gives an empty tab
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
@@ -36,6 +39,8 @@ from pyspark.sql import functions as F
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
+#: A character outside every piece, between chunks that are read together.
+SEPARATOR = "\n"
 
 
 def model_path(name: str = MODEL) -> str:
@@ -138,118 +143,235 @@ class PieceTrie:
 
 
 class Lattices:
-    """Chunk lattices, kept as flat arrays: nodes in order, each with its edges' cumulative conditional probabilities.
+    """Chunk lattices as flat arrays of edges, with their cumulative conditional probabilities.
 
-    ``goal`` marks a chunk's last node, ``head`` is a node's first edge; its edges end with the cumulative share 1.
-    ``log_rest`` is the log probability of all other edges of an edge's node.
+    A node is known by its edges: 256 times the number of the first plus their count, 0 at a chunk's end; ``next`` is
+    where an edge leads. The last edge of a node has the cumulative share 1. An edge is a piece, or all pieces of a chunk
+    at once: chunks met ``often`` times that have at most ``most`` segmentations get one edge for each of them, and
+    ``guide`` says where the search for an edge begins. Ids are slices of ``flat``, which begins with the vocabulary.
     """
 
-    def __init__(self, path: str, alpha: float, room: int = 500_000):
-        self.sp, self.alpha, self.room = processor(path), alpha, room
-        sp = self.sp
-        usable = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    def __init__(self, path: str, alpha: float, room: int = 12_000_000, often: int = 40, most: int = 128):
+        self.sp, self.alpha, self.room, self.often, self.most = processor(path), alpha, room, often, most
+        sp, size = self.sp, self.sp.get_piece_size()
+        usable = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.pieces = {sp.id_to_piece(i): i for i in usable}
-        if any(MARK in p.lstrip(MARK) for p in self.pieces):
-            raise ValueError("a piece crosses a word's beginning")
         if {c for p in self.pieces for c in p} - self.pieces.keys():
             raise ValueError("a character of a piece is no piece")
-        scores = np.array([sp.get_score(i) for i in range(sp.get_piece_size())])
+        if SEPARATOR in self.pieces:
+            raise ValueError("the separator is a piece")
+        scores = np.array([sp.get_score(i) for i in range(size)])
         self.weight = alpha * np.maximum(scores, scores[scores > -1e8].min())
         self.bytes = {b: sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         self.trie = PieceTrie(self.pieces)
-        known = "".join(re.escape(c) for c in sorted(self.pieces) if len(c) == 1 and c != MARK)
-        self.cutter = re.compile(f"{MARK}*[{known}]+|{MARK}+|[^{known}{MARK}]")
-        self.uncommon = re.compile(f"[^{known}{MARK}\n]|{MARK}{MARK}")
-        self.chunks: dict[str, int] = {}
-        self.n_nodes = self.n_edges = 0
-        self.goal, self.head = np.zeros(1 << 12, bool), np.zeros(1 << 12, np.int32)
-        self.cum, self.log_p, self.log_rest = np.zeros(1 << 14, np.float32), np.zeros(1 << 14), np.zeros(1 << 14, np.float32)
-        self.to, self.id, self.source = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        joined = sorted({c for p in self.pieces if len(p) > 1 for c in p})
+        self.kind, self.kinds = np.zeros(0x110000, np.int32), len(joined) + 1
+        self.kind[[ord(c) for c in joined]] = np.arange(1, self.kinds)
+        self.parted = np.ones((self.kinds, self.kinds), bool)  # no piece holds the two characters side by side
+        for p in self.pieces:
+            for a, b in zip(p, p[1:], strict=False):
+                self.parted[self.kind[ord(a)], self.kind[ord(b)]] = False
+        self.parted = self.parted.ravel()
+        spelt = {i: p.encode() for p, i in self.pieces.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
+        self.letters = np.array([len(spelt.get(i, b"")) for i in range(size)])
+        words = -(-int(self.letters.max()) // 8)
+        self.spelling = np.frombuffer(b"".join(spelt.get(i, b"").ljust(8 * words, b"\0") for i in range(size)), "<u8").reshape(size, words).T.copy()
+        self.masks = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+        self.flat = np.arange(size, dtype=np.int32)
+        self.n_words = size
+        self.cum, self.log_p, self.next = np.zeros(1 << 14, np.float32), np.zeros(1 << 14), np.zeros(1 << 14, np.int64)
+        self.ids_at, self.n_ids, self.guide = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.uint8), np.zeros(1 << 14, np.uint8)
+        self.first = np.zeros(1 << 12, np.int64)
+        self.seen, self.best_at, self.n_best = (np.zeros(1 << 12, np.int32) for _ in range(3))
+        self.chunks: dict[bytes, int] = {}
+        self.n_edges, self.n_flat = 0, size
 
     def forget(self) -> None:
-        """Start again in the same arrays."""
-        self.chunks, self.n_nodes, self.n_edges = {}, 0, 0
-
-    def learn(self, chunks: list[str]) -> None:
-        """Add the lattices of ``chunks``; log masses to the end come from right to left, all chunks at once."""
-        if not chunks:
+        """Start again in the same arrays, with the chunks that were met often."""
+        kept = [c for c, at in self.chunks.items() if self.seen[at] >= self.often]
+        self.chunks, self.n_edges, self.n_flat = {}, 0, self.n_words
+        self.learn(kept)
+        if self.n_edges > self.room // 3:
+            self.chunks, self.n_edges, self.n_flat = {}, 0, self.n_words
+        self.seen[:len(self.chunks)] = self.often
+        self.join_paths(np.arange(len(self.chunks)))
+
+    def keep_ids(self, ids: np.ndarray) -> int:
+        """Put ids after those kept; the place of the first."""
+        at = self.n_flat
+        self.flat = grown(self.flat, at + len(ids))
+        self.flat[at:at + len(ids)] = ids
+        self.n_flat += len(ids)
+        return at
+
+    def keep_edges(self, log_p: np.ndarray, cum: np.ndarray, onto: np.ndarray, ids_at: np.ndarray, n_ids, guide) -> int:
+        """Put edges after those kept; the number of the first."""
+        low, self.n_edges = self.n_edges, self.n_edges + len(log_p)
+        for name, value in (("log_p", log_p), ("cum", cum), ("next", onto), ("ids_at", ids_at), ("n_ids", n_ids), ("guide", guide)):
+            setattr(self, name, grown(getattr(self, name), self.n_edges))
+            getattr(self, name)[low:self.n_edges] = value
+        return low
+
+    def learn(self, keys: list[bytes]) -> None:
+        """Add the lattices of chunks; log masses to the end come from right to left, all chunks at once."""
+        if not keys:
             return
         # One match over all chunks, a separator (no piece holds it) after each: a chunk's nodes are its characters'
         # places and the separator's. Characters outside the vocabulary follow, as chains of bytes.
-        plain = [c for c in chunks if len(c) > 1 or c in self.pieces]
-        other = [(c, c.encode("utf-8", "replace")) for c in chunks if len(c) == 1 and c not in self.pieces]
-        text, base = "\n".join([*plain, ""]), self.n_nodes
-        start, size, piece = self.trie.matches(text)
-        lengths = np.array([*map(len, plain), *(len(raw) for _, raw in other)], np.int64)
-        goals = base + np.cumsum(lengths + 1) - 1
-        first = dict(zip([*plain, *(c for c, _ in other)], (goals - lengths).tolist()))
-        n_bytes = np.array([len(raw) for _, raw in other], np.int64)
+        texts = [k.decode() for k in keys]
+        known = [len(t) > 1 or t in self.pieces for t in texts]
+        plain = [t for t, k in zip(texts, known, strict=True) if k]
+        other = [k for k, found in zip(keys, known, strict=True) if not found]
+        start, size, piece = self.trie.matches(SEPARATOR.join([*plain, ""]))
+        lengths = np.array([*map(len, plain), *map(len, other)], np.int64)
+        goals = np.cumsum(lengths + 1) - 1
+        n_bytes = lengths[len(plain):]
         byte_at = np.repeat(goals[len(plain):] - n_bytes, n_bytes) + np.arange(n_bytes.sum()) - np.repeat(np.cumsum(n_bytes) - n_bytes, n_bytes)
-        byte_id = np.array([self.bytes[b] for _, raw in other for b in raw], np.int64)
-        at, end, ids = np.r_[base + start, byte_at], np.r_[base + start + size, byte_at + 1], np.r_[piece, byte_id]
-        base = int(goals[-1]) + 1
-        total, offset = base - self.n_nodes, self.n_nodes
-        mass = np.zeros(total)
-        goal_of = np.repeat(goals, lengths + 1)
-        rest = goal_of - np.arange(offset, base)
+        byte_id = np.array([self.bytes[b] for raw in other for b in raw], np.int64)
+        at, end, ids = np.r_[start, byte_at], np.r_[start + size, byte_at + 1], np.r_[piece, byte_id]
+        mass = np.zeros(int(goals[-1]) + 1)
+        rest = np.repeat(goals, lengths + 1) - np.arange(len(mass))
         w = self.weight[ids]
-        far = rest[at - offset]
+        far = rest[at]
         far = far.astype(np.uint16) if far.max() < 1 << 16 else far  # short numbers are sorted by counting
         by_rest = np.argsort(far, kind="stable")
         steps = np.searchsorted(far[by_rest], np.arange(1, int(far.max()) + 2))
-        from_, onto, weight = at[by_rest] - offset, end[by_rest] - offset, w[by_rest]
+        from_, onto, weight = at[by_rest], end[by_rest], w[by_rest]
         nodes = np.flatnonzero(np.concatenate(((True,), from_[1:] != from_[:-1])))  # where each node's edges start
         begun = np.searchsorted(nodes, steps)
         for a, b, i, j in zip(steps[:-1], steps[1:], begun[:-1], begun[1:], strict=True):
             if i < j:
                 mass[from_[nodes[i:j]]] = np.logaddexp.reduceat(weight[a:b] + mass[onto[a:b]], nodes[i:j] - a)
-        log_p = np.minimum(w + mass[end - offset] - mass[at - offset], 0.0)
+        log_p = np.minimum(w + mass[end] - mass[at], 0.0)
         p = np.exp(log_p)
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        run = np.cumsum(p)
-        run -= np.repeat(np.r_[0.0, run[starts[1:] - 1]], np.diff(np.r_[starts, len(p)]))
-        run[np.r_[starts[1:] - 1, len(p) - 1]] = 1.0
-        need, have = self.n_edges + len(p), slice(self.n_edges, self.n_edges + len(p))
-        self.cum, self.log_p, self.log_rest, self.to, self.id, self.source = (grown(x, need) for x in (self.cum, self.log_p, self.log_rest, self.to, self.id, self.source))
-        with np.errstate(divide="ignore"):
-            self.log_rest[have] = np.log1p(-p)
-        self.cum[have], self.log_p[have], self.to[have], self.id[have], self.source[have] = np.minimum(run, 1.0), log_p, end, ids, at
-        self.goal, self.head = grown(self.goal, base), grown(self.head, base)
-        self.head[at[starts]] = self.n_edges + starts
-        self.goal[offset:base] = False
-        self.goal[goals] = True
-        self.n_edges, self.n_nodes = need, base
-        self.chunks.update(first)
-
-    def cut(self, text: str) -> list[str]:
-        """The chunks of a normalised text; where only new lines lie outside the vocabulary, splitting finds them."""
-        if "\n" in self.pieces or self.uncommon.search(text):
-            return self.cutter.findall(text)
-        return [c for c in text.replace(MARK, "\x01" + MARK).replace("\n", "\x01\n\x01").split("\x01") if c]
-
-    def starts(self, texts: list[str]) -> list[np.ndarray]:
-        """The first nodes of each text's chunks."""
-        cut = [self.cut(self.sp.normalize(t)) if t else [] for t in texts]
-        if len(self.chunks) > self.room:
+        starts = np.flatnonzero(np.concatenate(((True,), at[1:] != at[:-1])))
+        node = np.zeros(len(mass), np.int64)
+        node[at[starts]] = (self.n_edges + starts << 8) + np.diff(np.append(starts, len(p)))
+        self.keep_edges(log_p, shares(p, starts), node[end], ids, 1, 0)
+        # a chunk's entry has its first node, how often it was met, and its best segmentation
+        count = len(self.chunks)
+        best, kept = self.encoded(plain), self.n_flat
+        stops = np.flatnonzero(best == self.bytes[ord(SEPARATOR)])
+        sizes = np.diff(stops) - 1
+        sizes = np.concatenate((sizes[sizes > 0], n_bytes))
+        self.keep_ids(np.concatenate((best[best != self.bytes[ord(SEPARATOR)]], byte_id)))
+        entries = slice(count, count + len(keys))
+        self.first, self.seen, self.best_at, self.n_best = (grown(x, entries.stop) for x in (self.first, self.seen, self.best_at, self.n_best))
+        self.first[entries], self.seen[entries] = node[goals - lengths], 0
+        self.best_at[entries], self.n_best[entries] = kept + np.cumsum(sizes) - sizes, sizes
+        self.chunks.update(zip([k for k, found in zip(keys, known, strict=True) if found] + other, range(count, entries.stop), strict=True))
+
+    def encoded(self, chunks: list[str], at_once: int = 64) -> np.ndarray:
+        """Best segmentations of chunks, separators around each; the mark that begins a text is left out."""
+        lists = self.sp.encode([SEPARATOR.join(["", *chunks[k:k + at_once], ""]) for k in range(0, len(chunks), at_once)], num_threads=1)
+        return np.fromiter(chain.from_iterable(x[1:] for x in lists), np.int32)
+
+    def join_paths(self, every: np.ndarray) -> None:
+        """Give the first nodes of these chunks one edge for each segmentation, if there are at most ``most``."""
+        for low in range(0, len(every), 512):
+            entries = every[low:low + 512]
+            first = self.first[entries]
+            entries = entries[(first & 255 > 1) | (self.next[first >> 8] > 0)]
+            chunk, node, log_p, ids = np.arange(len(entries)), self.first[entries], np.zeros(len(entries)), np.zeros((len(entries), 0), np.int32)
+            paths, few, done = np.zeros(len(entries), np.int64), np.ones(len(entries), bool), []
+            while len(chunk):
+                more = node & 255
+                ends = np.cumsum(more)
+                edge = np.repeat((node >> 8) - (ends - more), more) + np.arange(ends[-1])
+                chunk, log_p, node = np.repeat(chunk, more), np.repeat(log_p, more) + self.log_p[edge], self.next[edge]
+                ids = np.column_stack((np.repeat(ids, more, axis=0), self.flat[self.ids_at[edge]]))
+                paths += np.bincount(chunk[node == 0], minlength=len(paths))
+                few &= (paths + np.bincount(chunk[node > 0], minlength=len(paths)) <= self.most) & (ids.shape[1] < 256)
+                done.append((chunk[node == 0], log_p[node == 0], ids[node == 0]))
+                on = (node > 0) & few[chunk]
+                chunk, node, log_p, ids = chunk[on], node[on], log_p[on], ids[on]
+            done = [(c[few[c]], log[few[c]], rows[few[c]]) for c, log, rows in done]
+            if not sum(len(c) for c, *_ in done):
+                continue
+            of, log_p = (np.concatenate(x) for x in list(zip(*done, strict=True))[:2])
+            at = np.concatenate([self.keep_ids(rows.ravel()) + rows.shape[1] * np.arange(len(rows)) for *_, rows in done])
+            size = np.concatenate([np.full(len(rows), rows.shape[1]) for *_, rows in done])
+            order = np.lexsort((-log_p, of))
+            of, log_p, at, size = (x[order] for x in (of, log_p, at, size))
+            starts = np.flatnonzero(np.concatenate(((True,), of[1:] != of[:-1])))
+            degree = np.diff(np.append(starts, len(of)))
+            cum, wide, start = shares(np.exp(log_p), starts), np.repeat(degree, degree), np.repeat(starts, degree)
+            rank = np.repeat(np.arange(len(starts)), degree)
+            guide = np.searchsorted(rank + cum, rank + (np.arange(len(of)) - start) / wide, side="right") - start
+            edges = self.keep_edges(log_p, cum, np.zeros(len(of), np.int64), at, size, np.clip(guide, 0, wide - 1)) + starts
+            self.first[entries[of[starts]]] = (edges << 8) + degree
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
+        """Entries of all chunks of the texts, the number of chunks of each text, the normalised texts and where each begins."""
+        if self.n_edges > self.room:
             self.forget()
-        self.learn(list(set(chain.from_iterable(cut)) - self.chunks.keys()))
-        get = self.chunks.__getitem__
-        return [np.fromiter(map(get, chunks), np.int64, len(chunks)) for chunks in cut]
-
-    def pick(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """An edge of each node, by its conditional probability."""
-        edges = self.head[nodes]
-        left = np.flatnonzero(self.cum[edges] <= u)
+        normal = [self.sp.normalize(t) if t else "" for t in texts]
+        text = "".join(normal)
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        raw = text.encode()
+        limits = np.cumsum([0, *map(len, normal)])
+        kind = self.kind.take(codes)
+        begins = np.concatenate(((True,), self.parted.take(kind[:-1] * np.int32(self.kinds) + kind[1:])))[:len(codes)]
+        begins[limits[limits < len(codes)]] = True
+        places = np.append(np.flatnonzero(begins), len(codes))
+        byte_of = np.append(np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80), len(raw))
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(byte_of[places].astype(np.int64)), pa.py_buffer(raw)])
+        coded = chunks.dictionary_encode()
+        unique, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        found = list(map(self.chunks.get, unique))
+        if None in found:
+            self.learn([c for c, at in zip(unique, found, strict=True) if at is None])
+            found = list(map(self.chunks.__getitem__, unique))
+        entry = np.array(found, np.int64)
+        before = self.seen[entry]
+        self.seen[entry] += np.bincount(which, minlength=len(entry)).astype(np.int32)
+        now = entry[(before < self.often) & (self.seen[entry] >= self.often)]
+        self.join_paths(now)
+        counts = np.diff(np.searchsorted(places[:-1], limits))
+        return entry[which], counts, raw, byte_of[limits]
+
+    def pick(self, nodes: np.ndarray, u: np.ndarray, guided: bool) -> np.ndarray:
+        """An edge of each node, by its conditional probability; only first nodes of chunks have guides."""
+        edges = nodes >> 8
+        if guided:
+            edges += self.guide.take(edges + (u * (nodes & 255)).astype(np.int64))
+        left = np.flatnonzero(self.cum.take(edges) <= u)
+        at, least = edges.take(left), u.take(left)
         while len(left):
-            edges[left] += 1
-            left = left[self.cum[edges[left]] <= u[left]]
+            at += 1
+            edges[left] = at
+            more = np.flatnonzero(self.cum.take(at) <= least)
+            left, at, least = left.take(more), at.take(more), least.take(more)
         return edges
 
-    def edges_of(self, node: int) -> np.ndarray:
-        a = b = int(self.head[node])
-        while b < self.n_edges and self.source[b] == node:
-            b += 1
-        return np.arange(a, b)
+    def ids_of(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The ids of slices, one after the other."""
+        ends = np.cumsum(size)
+        return self.flat.take(np.repeat(at - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0))
+
+    def spells(self, ids: np.ndarray, at: np.ndarray, raw: bytes) -> np.ndarray:
+        """Whether each piece's letters stand in ``raw`` from the given place on, eight bytes at a time."""
+        padded = raw + bytes(8 * len(self.spelling) + 8)
+        eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,)).copy()
+        size, right = self.letters.take(ids), np.ones(len(ids), bool)
+        for k, word in enumerate(self.spelling):
+            if k:
+                more = np.flatnonzero(size > 8)
+                ids, at, size = ids.take(more), at.take(more) + 8, size.take(more) - 8
+            same = ((eight.take(at) ^ word.take(ids)) & self.masks.take(size, mode="clip")) == 0
+            if k:
+                right[places := places.take(more) if k > 1 else more] &= same
+            else:
+                right &= same
+        return right
+
+
+def shares(p: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Cumulative sums of ``p`` within the runs that begin at ``starts``; a run ends with 1."""
+    run = np.cumsum(p)
+    run -= np.repeat(np.concatenate(((0.0,), run[starts[1:] - 1])), np.diff(np.append(starts, len(p))))
+    run[np.append(starts[1:] - 1, len(p) - 1)] = 1.0
+    return np.minimum(run, 1.0)
 
 
 @lru_cache(maxsize=1)
@@ -279,132 +401,183 @@ def uniform(key: np.ndarray, *parts) -> np.ndarray:
     return ((mixed(key, *parts) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def waits(log_mass: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Log waiting times of groups: the best perturbed value of a group below ``top`` is -log(exp(-top) + exp(wait)).
-
-    That is a Gumbel of the log mass, cut off at ``top``; the group that waits least has the best value.
-    """
-    wait = np.log(u)
-    np.negative(wait, out=wait)
-    np.log(wait, out=wait)
-    wait -= log_mass
-    return wait
-
-
 def log_sum(a: float, b: float) -> float:
     """log(exp(a) + exp(b)) of two numbers."""
     a, b = max(a, b), min(a, b)
     return a + math.log1p(math.exp(b - a)) if math.isfinite(a) else a
 
 
+@dataclass(eq=False)
+class Path:
+    """A sampled path: its edges, the log probability up to each of them and in all, and its perturbed value."""
+
+    edges: np.ndarray
+    reach: np.ndarray
+    value: float
+
+
+@dataclass(eq=False)
+class Group:
+    """A heap entry: the paths that follow ``path`` up to edge ``low`` and leave it before edge ``high``, with their best
+    perturbed value; or, with ``gone``, those that leave at ``low`` by an edge that is not gone."""
+
+    value: float
+    path: Path
+    low: int
+    high: int
+    gone: tuple[int, ...] = ()
+
+
 class Search:
     """Paths of many texts at once: for each text the first ``k`` in perturbed order and the next value."""
 
     def __init__(self, lattices: Lattices, texts: list[str], keys: np.ndarray, k: int):
         self.lat, self.keys, self.k = lattices, keys, k
-        self.starts = lattices.starts(texts)
+        self.entries, self.counts, self.raw, self.begins = lattices.read(texts)
+        self.nodes = np.split(lattices.first[self.entries], np.cumsum(self.counts)[:-1])
 
     def walk(self, heads: list[np.ndarray], keys: np.ndarray, draw: int) -> list[np.ndarray]:
         """Edges of a sampled path through each row of nodes, in order."""
-        lat = self.lat
-        sizes = np.array([len(h) for h in heads])
-        node = np.concatenate(heads) if len(heads) else np.zeros(0, np.int64)
-        row = np.repeat(np.arange(len(heads)), sizes)
-        slot = np.arange(len(node)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        back = np.repeat(sizes, sizes) - slot  # counted from the end, as a resumed path starts inside
-        state = mixed(mixed(keys, 2 * draw)[row], back)
-        live = np.flatnonzero(~lat.goal[node])
-        at, step, found, bits = node[live], 0, [], None
+        lat, sizes = self.lat, np.array([len(h) for h in heads])
+        nodes = np.concatenate(heads)
+        back = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(nodes))  # counted from the end, as a resumed path starts inside
+        state = mixed(np.repeat(mixed(keys, 2 * draw), sizes), back)
+        live = np.flatnonzero(nodes)
+        at, bits, count, found = nodes.take(live), state.take(live), np.zeros(len(nodes), np.int64), []
         while len(live):
-            bits = bits if step % 2 else mixed(state[live], step)  # a hash serves two steps, 32 bits each
+            step = len(found)
+            if step and step % 2 == 0:  # a hash serves two steps, 32 bits each
+                bits = mixed(state.take(live), step)
             half = bits & np.uint64(0xFFFFFFFF) if step % 2 else bits >> np.uint64(32)
-            e = lat.pick(at, (half.astype(np.float64) + 0.5) * 2.0**-32)
-            found.append((live, e))
-            at = lat.to[e]
-            on = np.flatnonzero(~lat.goal[at])
-            live, at, bits, step = live[on], at[on], bits[on], step + 1
-        count = np.zeros(len(node), np.int64)
-        for place, _ in found:
-            count[place] += 1
+            edges = lat.pick(at, (half.astype(np.float64) + 0.5) * 2.0**-32, step == 0)
+            found.append((live, edges))
+            count[live] += 1
+            at = lat.next.take(edges)
+            on = np.flatnonzero(at)
+            live, at, bits = live.take(on), at.take(on), bits.take(on)
         begin = np.cumsum(count) - count
-        edges = np.empty(int(count.sum()), np.int64)
-        for step, (place, e) in enumerate(found):
-            edges[begin[place] + step] = e
-        ends = np.r_[0, np.cumsum(count)][np.cumsum(sizes)]
-        return np.split(edges, ends[:-1])
-
-    def groups(self, paths: list[np.ndarray], before: list[int], log_before: list[float], keys: np.ndarray, draw: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of each path, the log probability up to each edge's node, and the wait of the group that leaves there."""
-        sizes = np.array([len(p) for p in paths], np.int64)
-        ends = np.cumsum(sizes)
-        path = np.concatenate(paths) if len(paths) else np.zeros(0, np.int64)
-        steps = self.lat.log_p[path]
-        reach = np.empty(len(steps))
-        for a, b, log in zip(ends - sizes, ends, log_before, strict=True):  # summed path by path: rows don't depend on each other
-            reach[a:b] = log + np.cumsum(steps[a:b]) - steps[a:b]
-        slot = np.arange(len(steps)) + np.repeat(np.asarray(before, np.int64) - (ends - sizes), sizes)
-        values = waits(reach + self.lat.log_rest[path], uniform(np.repeat(mixed(keys, 2 * draw + 1), sizes), slot))
-        return [(reach[a:b], values[a:b]) for a, b in zip(ends - sizes, ends, strict=True)]
-
-    def run(self) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
-        """(text, sample from 1, edges, log p, perturbed value, log inclusion)."""
-        lat, n = self.lat, len(self.starts)
-        roots = -np.log(-np.log(uniform(self.keys, 0, 0, 3)))
-        paths: list[list[dict]] = []
-        walked = self.walk(self.starts, self.keys, 0)
-        for k, (edges, (reach, values)) in enumerate(zip(walked, self.groups(walked, [0] * n, [0.0] * n, self.keys, 0), strict=True)):
-            paths.append([{"edges": edges, "value": float(roots[k]), "reach": reach, "waits": values, "first": 0, "out": {}}])
-        thresholds = np.full(n, -np.inf)
-        open_rows = list(range(n))
+        out = np.empty(int(count.sum()), np.int64)
+        for step, (place, edges) in enumerate(found):
+            out[begin.take(place) + step] = edges
+        return np.split(out, np.r_[0, np.cumsum(count)][np.cumsum(sizes)][:-1])
+
+    def path(self, edges: np.ndarray, value: float) -> Path:
+        reach = np.zeros(len(edges) + 1)
+        np.cumsum(self.lat.log_p.take(edges), out=reach[1:])
+        return Path(edges, reach, value)
+
+    def chunks(self, path: Path, at: int) -> int:
+        """How many chunks end before the path's edge ``at``."""
+        return at - np.count_nonzero(self.lat.next.take(path.edges[:at]))
+
+    @staticmethod
+    def stretch(path: Path, low: int, high: int) -> tuple[float, Path, int, int, tuple]:
+        """The part of all paths that leave between two edges."""
+        return -math.expm1(path.reach[high] - path.reach[low]), path, low, high, ()
+
+    def others(self, text: int, path: Path, at: int, gone: tuple[int, ...]) -> tuple[int, np.ndarray]:
+        """The first edge of the node before the path's edge ``at``, and the probabilities of its edges, of those gone 0."""
+        lat = self.lat
+        node = int((at and lat.next[path.edges[at - 1]]) or self.nodes[text][self.chunks(path, at)])
+        head = node >> 8
+        p = np.exp(lat.log_p[head:head + (node & 255)])
+        for edge in gone:
+            p[edge - head] = 0.0
+        return head, p
+
+    def groups(self, top: float, parts: list[tuple], u: list[float]) -> Iterator[Group]:
+        """The parts (share of the mass at low, path, low, high, gone) that are not empty; each value is a Gumbel of the log
+        mass, cut off at ``top``."""
+        for (share, path, low, high, gone), x in zip(parts, u, strict=True):
+            if share > 0:
+                yield Group(-log_sum(-top, math.log(-math.log(x)) - float(path.reach[low]) - math.log(share)), path, low, high, gone)
+
+    def leave(self, text: int, group: Group, u: float, v: float) -> tuple[int, int, float]:
+        """Where the best path of a group leaves, by which edge, and the share of the edges that are left there."""
+        path, at, gone = group.path, group.low, group.gone
+        if not gone:
+            drop = path.reach[at] - path.reach[at:group.high + 1]
+            at += min(int(drop[1:].searchsorted(-math.log1p(u * math.expm1(-drop[-1])))), len(drop) - 2)
+            gone = (int(path.edges[at]),)
+        head, p = self.others(text, path, at, gone)
+        while not (total := p.sum()):  # rounding may choose a node that nothing leaves
+            at = at + 1 if at + 1 < group.high else group.low
+            head, p = self.others(text, path, at, (int(path.edges[at]),))
+        k = int(p.cumsum().searchsorted(v * total, side="right"))
+        k = k if k < len(p) and p[k] else int(np.flatnonzero(p)[-1])
+        p[k] = 0.0
+        return at, head + k, float(p.sum())
+
+    def run(self) -> tuple[list[list[Path]], np.ndarray]:
+        """The paths of each text, and the perturbed value of the first that is not among them."""
+        n, lat = len(self.nodes), self.lat
+        roots = (-np.log(-np.log(uniform(self.keys, 1, 0)))).tolist()
+        paths = [[self.path(edges, value)] for edges, value in zip(self.walk(self.nodes, self.keys, 0), roots, strict=True)]
+        firsts = uniform(self.keys, 1, 1).tolist()
+        open_groups = [list(self.groups(p.value, [self.stretch(p, 0, len(p.edges))], [u])) for [p], u in zip(paths, firsts, strict=True)]
+        beyond, rows = np.full(n, -np.inf), list(range(n))
         for draw in range(1, self.k + 1):
-            jobs = []
-            for k in open_rows:
-                value, best, j = -math.inf, None, 0
-                for p in paths[k]:
-                    if len(p["waits"]):
-                        i = int(p["waits"].argmin())
-                        v = -log_sum(-p["value"], float(p["waits"][i]))
-                        if v > value:
-                            value, best, j = v, p, i
-                if best is None:
-                    continue
-                if draw == self.k:
-                    thresholds[k] = value
-                    continue
-                jobs.append((k, best, j, value))
-            heads, prefixes, rows = [], [], np.array([k for k, *_ in jobs], np.int64)
-            choices, rests = (uniform(self.keys[rows], 2 * draw + i, 0, salt).tolist() for i, salt in ((0, 11), (1, 13)))
-            for (k, best, j, value), u, v in zip(jobs, choices, rests, strict=True):
-                at = best["first"] + j
-                node = int(lat.source[best["edges"][at]])
-                gone = best["out"].setdefault(j, [int(best["edges"][at])])
-                choice = np.array([e for e in lat.edges_of(node) if e not in gone])
-                p = np.exp(lat.log_p[choice])
-                edge = int(choice[min(np.searchsorted(np.cumsum(p), u * p.sum(), side="right"), len(choice) - 1)])
-                gone.append(edge)
-                left = p.sum() - np.exp(lat.log_p[edge])
-                more = float(best["reach"][j]) + math.log(left) if len(choice) > 1 and left > 0 else -math.inf
-                # what is left of the group waits on from where it stood
-                best["waits"][j] = log_sum(float(best["waits"][j]), math.log(-math.log(v)) - more) if math.isfinite(more) else math.inf
-                prefixes.append((np.concatenate((best["edges"][:at], (edge,))), best["reach"][j] + float(lat.log_p[edge])))
-                chunk = int(lat.goal[lat.to[best["edges"][:at]]].sum())
-                heads.append(np.concatenate(((int(lat.to[edge]),), self.starts[k][chunk + 1:])))
-            rests = self.walk(heads, self.keys[rows], draw) if jobs else []
-            grouped = self.groups(rests, [len(p) for p, _ in prefixes], [log for _, log in prefixes], self.keys[rows], draw)
-            for (k, _, _, value), (prefix, _), rest, (reach, values) in zip(jobs, prefixes, rests, grouped, strict=True):
-                paths[k].append({"edges": np.concatenate((prefix, rest)), "value": value, "reach": reach, "waits": values, "first": len(prefix), "out": {}})
-            open_rows = [k for k, *_ in jobs]
-        for k in range(n):
-            for sample, p in enumerate(paths[k], 1):
-                log_p = float(lat.log_p[p["edges"]].sum())
-                over = log_p - thresholds[k]
-                inclusion = 0.0 if over > 5 else over if over < -30 else float(np.log(-np.expm1(-np.exp(over))))
-                yield k, sample, p["edges"], log_p, p["value"], inclusion
+            rows = [t for t in rows if open_groups[t]]
+            best = [max(open_groups[t], key=lambda g: g.value) for t in rows]
+            if draw == self.k or not rows:
+                beyond[rows] = [g.value for g in best]
+                break
+            keys = self.keys[rows]
+            numbers = uniform(keys[:, None], 2 * draw + 1, np.arange(6)).tolist()
+            turns = [self.leave(t, g, *u[:2]) for t, g, u in zip(rows, best, numbers, strict=True)]
+            heads = []
+            for t, g, (at, edge, _) in zip(rows, best, turns, strict=True):
+                heads.append(np.concatenate((lat.next[edge:edge + 1], self.nodes[t][self.chunks(g.path, at) + 1:])))
+            for t, g, (at, edge, share), rest, u in zip(rows, best, turns, self.walk(heads, keys, draw), numbers, strict=True):
+                old, new = g.path, self.path(np.concatenate((g.path.edges[:at], (edge,), rest)), g.value)
+                left = [(share, old, at, at, (*(g.gone or (int(old.edges[at]),)), edge)), self.stretch(new, at + 1, len(new.edges))]
+                if not g.gone:
+                    left += [self.stretch(old, g.low, at), self.stretch(old, at + 1, g.high)]
+                open_groups[t].remove(g)
+                open_groups[t] += self.groups(g.value, left, u[2:2 + len(left)])
+                paths[t].append(new)
+        return paths, beyond
+
+    def columns(self) -> list[np.ndarray | list]:
+        """Of each sample: text, number from 1, ids in all, log probability, perturbed value, log inclusion, ids' checksum,
+        whether they spell the text, and the ids; then of each text its best segmentation's length and checksum."""
+        lat, (paths, beyond) = self.lat, self.run()
+        flat = [(t, s, p) for t, some in enumerate(paths) for s, p in enumerate(some, 1)]
+        text = np.array([t for t, *_ in flat], np.int64)
+        log_p = np.array([p.reach[-1] for *_, p in flat])
+        over = np.clip(log_p - beyond[text], -700, 5.1)
+        inclusion = np.where(over > 5, 0.0, np.where(over < -30, log_p - beyond[text], np.log(-np.expm1(-np.exp(over)))))
+        edges = np.concatenate([p.edges for *_, p in flat]) if flat else np.zeros(0, np.int64)
+        sizes = lat.n_ids.take(edges).astype(np.int64)
+        ids = lat.ids_of(lat.ids_at.take(edges), sizes)
+        to = np.r_[0, np.cumsum(sizes)][np.cumsum([0, *(len(p.edges) for *_, p in flat)])]
+        letters = lat.letters.take(ids)
+        reach = np.r_[0, np.cumsum(letters)]
+        size, begin = np.diff(reach[to]), self.begins[text]
+        wrong = np.r_[0, np.cumsum(~lat.spells(ids, np.repeat(begin - reach[to[:-1]], np.diff(to)) + reach[:-1], self.raw))]
+        decodes = (size == self.begins[text + 1] - begin) & (np.diff(wrong[to]) == 0)
+        raw = ids.astype("<u4", copy=False).tobytes()
+        best_sizes = lat.n_best[self.entries]
+        best = lat.ids_of(lat.best_at[self.entries], best_sizes).astype("<u4", copy=False).tobytes()
+        ends = np.r_[0, np.cumsum(best_sizes)][np.r_[0, np.cumsum(self.counts)]]
+        return [text, np.array([s for _, s, _ in flat], np.int32), np.diff(to), log_p, np.array([p.value for *_, p in flat]), inclusion,
+                [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)],
+                decodes,
+                pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(ids, pa.int32())),
+                np.diff(ends), [zlib.crc32(best[4 * a:4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]]
+
+
+OUTPUT = ("sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long, decodes boolean, "
+          "best_n_pieces long, best_ids_crc32 long, ids array<int>")
 
 
 def sample_segmentations(docs: DataFrame, k: int = 3, alpha: float = 2e-4, seed: int = 17, path: str | None = None,
-                         id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """(id, sample, n_pieces, log_prob, perturbed, log_inclusion, ids_crc32, ids) for up to ``k`` segmentations of each row."""
+                         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Up to ``k`` segmentations of each row, with what they decode to, and the row's encoding (its best segmentation).
+
+    (id, sample, n_pieces, log_prob, perturbed, log_inclusion, ids_crc32, decodes, best_n_pieces, best_ids_crc32, ids):
+    checksums are of little-endian 32-bit ids; ``decodes`` says whether the pieces spell the normalised text.
+    """
     kind, where = docs.schema[id_col].dataType.simpleString(), path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,17 +590,13 @@ def sample_segmentations(docs: DataFrame, k: int = 3, alpha: float = 2e-4, seed:
                 size += len(texts[-1])
                 if size >= 1 << 20 or r == batch.num_rows - 1:
                     keys = batch.column(1).slice(low, len(texts)).to_numpy(zero_copy_only=False).view(np.uint64)
-                    rows = list(Search(lattices, texts, keys, k).run())
-                    ids = [lattices.id[e] for _, _, e, *_ in rows]
+                    text, *columns, ids, best_size, best_crc = Search(lattices, texts, keys, k).columns()
+                    types = (pa.int32(), pa.int64(), *[pa.float64()] * 3, pa.int64(), pa.bool_())
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array([low + x[0] for x in rows], pa.int64())), pa.array([x[1] for x in rows], pa.int32()),
-                         pa.array([len(i) for i in ids], pa.int64()), *(pa.array([x[c] for x in rows], pa.float64()) for c in (3, 4, 5)),
-                         pa.array([zlib.crc32(i.astype("<u4", copy=False)) for i in ids], pa.int64()),
-                         pa.array(ids if with_ids else [None] * len(ids), pa.list_(pa.int32()))],
-                        names=["id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_crc32", "ids"])
+                        [batch.column(0).take(pa.array(low + text)), *map(pa.array, columns, types),
+                         *(pa.array(np.asarray(c, np.int64)[text]) for c in (best_size, best_crc)), ids],
+                        names=["id", *(c.split()[0] for c in OUTPUT.split(", "))])
                     low, texts, size = r + 1, [], 0
 
     key = F.coalesce(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(0))
-    out = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long, ids array<int>")
-    return (out if with_ids else out.drop("ids")).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {OUTPUT}").withColumnRenamed("id", id_col)

@@ -94,17 +94,43 @@ def test_sampling(spark):
     assert sentencepiece_sampling.sample_segmentations(documents(spark, [])).count() == 0
 
 
-def test_sampling_is_the_right_distribution(spark):
-    """First samples of many keys of one text follow the path probabilities, and each path's log probability is normalised."""
-    df = spark.range(4000).selectExpr("id AS doc_id", "'abab' AS text")
-    rows = sentencepiece_sampling.sample_segmentations(df, k=2, alpha=0.001).collect()
-    share, probability = {}, {}
-    for r in rows:
-        probability[tuple(r.ids)] = np.exp(r.log_prob)
-        if r.sample == 1:
-            share[tuple(r.ids)] = share.get(tuple(r.ids), 0) + 1 / 4000
-    assert abs(sum(probability.values()) - 1) < 1e-6
-    assert all(abs(share.get(p, 0) - v) < 4 * np.sqrt(v * (1 - v) / 4000) + 1e-9 for p, v in probability.items())
+def segmentations(text, alpha):
+    """All segmentations of a short text and their probabilities, one by one."""
+    sp = sentencepiece_sampling.processor(sentencepiece_sampling.model_path())
+    least = min(x for i in range(sp.get_piece_size()) if (x := sp.get_score(i)) > -1e8)  # characters have no rank of their own
+    score = {sp.id_to_piece(i): (i, alpha * max(least, sp.get_score(i))) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    found, todo = {}, [((), 0.0, sp.normalize(text))]
+    while todo:
+        ids, log, rest = todo.pop()
+        if not rest:
+            found[ids] = np.exp(log)
+        todo += [((*ids, score[rest[:n]][0]), log + score[rest[:n]][1], rest[n:]) for n in range(1, len(rest) + 1) if rest[:n] in score]
+    total = sum(found.values())
+    return {ids: p / total for ids, p in found.items()}
+
+
+@pytest.mark.parametrize("often", [1, 10**9])
+def test_sampling_is_the_right_distribution(often):
+    """Ordered samples of many keys follow sampling without replacement, with all paths as edges and piece by piece."""
+    k, n, alpha, text = 3, 6000, 1e-4, "the ,cat"
+    lattices = sentencepiece_sampling.Lattices(sentencepiece_sampling.model_path(), alpha, often=often)
+    keys = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    columns = sentencepiece_sampling.Search(lattices, [text] * n, keys, k).columns()
+    ids, log_p, p = [tuple(i) for i in columns[8].to_pylist()], columns[3], segmentations(text, alpha)
+    assert 30 < len(p) and len(ids) == k * n and all(abs(np.log(p[i]) - q) < 1e-9 for i, q in zip(ids, log_p, strict=True))
+    rows = [ids[t:t + k] for t in range(0, k * n, k)]
+    assert all(len(set(r)) == k for r in rows) and columns[7].all()
+    paths = sorted(p, key=p.get)[-12:]
+    for a in paths:
+        first, later = np.mean([r[0] == a for r in rows]), np.mean([r[1] == a for r in rows])
+        second = sum(q * p[a] / (1 - q) for b, q in p.items() if b != a)
+        third = sum(q * r * p[a] / ((1 - q) * (1 - q - r)) for b, q in p.items() if b != a for c, r in p.items() if c not in (a, b))
+        last = np.mean([r[2] == a for r in rows])
+        assert all(abs(seen - want) < 4.5 * np.sqrt(want / n) + 4 / n for seen, want in ((first, p[a]), (later, second), (last, third)))
+    values = np.array(columns[4]).reshape(n, k)
+    assert (np.diff(values, axis=1) < 0).all()
+    reached = np.mean(np.exp(columns[5].reshape(n, k)) > 0)
+    assert reached == 1 and abs(np.mean([sum(1 / np.exp(x) * np.exp(q) for x, q in zip(c, w, strict=True)) for c, w in zip(columns[5].reshape(n, k), np.array(log_p).reshape(n, k), strict=True)]) - 1) < 0.03
 
 
 def test_pages(spark):

@@ -1,6 +1,9 @@
 """The whole job on tables that a bounded search, a single key or a smaller result would cut."""
 
+import zlib
+
 import numpy as np
+from test_edges import segmentations
 
 from lithoscope.llm import embedding_dedup, queries, sentencepiece_sampling, simhash, toxicity
 
@@ -54,4 +57,22 @@ def test_segmentations_are_returned(spark):
     want = {r.doc_id: r.text for r in sentencepiece_sampling.decode(best).collect()}
     got = sentencepiece_sampling.decode(rows).collect()
     assert len(got) == 300 and all(r.text == want[r.doc_id] for r in got)
-    assert all(len(r.ids) == r.n_pieces for r in rows.collect())
+    assert all(len(r.ids) == r.n_pieces and r.decodes for r in rows.collect())
+
+
+def test_sampled_segmentations_of_short_texts(spark, tmp_path):
+    """The query against all segmentations, one by one: probabilities, all of few, and the library's own encoding."""
+    texts = ["", "a", "hi", "ab", "the", "x y", "no!", "cafe", "tea,", "漢é", "\n", "  ", "zq", "of it", None, "the" * 3]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    sp, by = sentencepiece_sampling.processor(sentencepiece_sampling.model_path()), {}
+    for r in queries.op6_sentencepiece_sampling(spark, f"file://{tmp_path}").collect():
+        by.setdefault(r.doc_id, []).append(r)
+    for k, text in enumerate(texts):
+        best = sp.encode(text or "")
+        assert all(r.decodes and r.best_n_pieces == len(best) and r.best_ids_crc32 == zlib.crc32(np.array(best, "<u4").tobytes()) for r in by[k])
+        assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and sp.decode(r.ids) == (text or "") for r in by[k])
+        if text != "漢é" and text != "\n":  # bytes are not among the pieces that the brute force tries
+            want = segmentations(text or "", 2e-4)
+            assert len({tuple(r.ids) for r in by[k]}) == len(by[k]) == min(3, len(want))
+            assert all(abs(r.log_prob - np.log(want[tuple(r.ids)])) < 1e-9 for r in by[k])
+            assert len(want) > 3 or all(r.log_inclusion == 0 for r in by[k])
