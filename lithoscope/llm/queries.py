@@ -67,7 +67,7 @@ def op6_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three distinct sampled segmentations of every document, decoded and compared with its text, and its encoding."""
     from .sentencepiece_sampling import sample_segmentations
 
-    return sample_segmentations(table(spark, sf_dir, "documents"))
+    return sample_segmentations(table(spark, sf_dir, "documents"), packed=True)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ inclusion scores, log(1 - exp(-exp(log p - threshold))).
 
 All randomness is a hash of (row key, seed, draw), so a row's samples depend on nothing else. A text is cut where no
 piece can cross: between two characters that no piece holds side by side, and around characters outside the
-vocabulary, which are written as bytes. The lattices of these chunks are kept per worker; of a chunk met often, all
-segmentations become edges of one step. The steps of all chunks of many texts are taken together as arrays. Whole texts
+vocabulary, which are written as bytes. The lattices of these chunks are kept per worker; of a chunk with few
+segmentations, each is an edge of one step. The steps of all chunks of many texts are taken together as arrays. Whole texts
 of any length are sampled. Chunks keep their best segmentation too, so that a text's encoding comes from the same
 lattices, and every sample is decoded and compared with its text.
 
@@ -69,13 +69,13 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
 
 def decode(rows: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, text): the text of each id list; a null list is empty."""
+    """(id, text): the text of each list of ids, as an array or as little-endian 32-bit bytes; a null list is empty."""
     kind, where = rows.schema[id_col].dataType.simpleString(), path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(where)
         for batch in batches:
-            texts = [sp.decode(i or []) for i in batch.column(1).to_pylist()]
+            texts = [sp.decode(np.frombuffer(i, "<i4").tolist() if isinstance(i, bytes) else i or []) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
     return rows.select(F.col(id_col).alias("id"), ids_col).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
@@ -147,11 +147,12 @@ class Lattices:
 
     A node is known by its edges: 256 times the number of the first plus their count, 0 at a chunk's end; ``next`` is
     where an edge leads. The last edge of a node has the cumulative share 1. An edge is a piece, or all pieces of a chunk
-    at once: chunks met ``often`` times that have at most ``most`` segmentations get one edge for each of them, and
-    ``guide`` says where the search for an edge begins. Ids are slices of ``flat``, which begins with the vocabulary.
+    at once: chunks of at most ``most`` segmentations have one edge for each of them, and ``guide`` says where the search
+    for an edge begins. Ids are slices of ``flat``, which begins with the vocabulary. What a chunk's lattice is depends on
+    the chunk alone, not on what was read before; with more than ``room`` edges, only chunks met ``often`` are kept.
     """
 
-    def __init__(self, path: str, alpha: float, room: int = 12_000_000, often: int = 40, most: int = 128):
+    def __init__(self, path: str, alpha: float, room: int = 8_000_000, often: int = 40, most: int = 32):
         self.sp, self.alpha, self.room, self.often, self.most = processor(path), alpha, room, often, most
         sp, size = self.sp, self.sp.get_piece_size()
         usable = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
@@ -179,22 +180,32 @@ class Lattices:
         self.masks = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
         self.flat = np.arange(size, dtype=np.int32)
         self.n_words = size
-        self.cum, self.log_p, self.next = np.zeros(1 << 14, np.float32), np.zeros(1 << 14), np.zeros(1 << 14, np.int64)
-        self.ids_at, self.n_ids, self.guide = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.uint8), np.zeros(1 << 14, np.uint8)
-        self.first = np.zeros(1 << 12, np.int64)
-        self.seen, self.best_at, self.n_best = (np.zeros(1 << 12, np.int32) for _ in range(3))
+        some = room + room // 4  # memory that is touched only as it fills
+        self.cum, self.log_p, self.next = np.zeros(some, np.float32), np.zeros(some), np.zeros(some, np.int64)
+        self.ids_at, self.n_ids, self.guide = np.zeros(some, np.int32), np.zeros(some, np.uint8), np.zeros(some, np.uint8)
+        self.first, self.joined = np.zeros(room // 16, np.int64), np.zeros(room // 16, bool)
+        self.seen, self.best_at, self.n_best = (np.zeros(room // 16, np.int32) for _ in range(3))
         self.chunks: dict[bytes, int] = {}
         self.n_edges, self.n_flat = 0, size
 
     def forget(self) -> None:
-        """Start again in the same arrays, with the chunks that were met often."""
-        kept = [c for c, at in self.chunks.items() if self.seen[at] >= self.often]
-        self.chunks, self.n_edges, self.n_flat = {}, 0, self.n_words
-        self.learn(kept)
-        if self.n_edges > self.room // 3:
+        """Keep only the chunks that were met often and are one step, in the same arrays, and only if they take a third."""
+        kept = [(c, at) for c, at in self.chunks.items() if self.joined[at] and self.seen[at] >= self.often]
+        at = np.array([at for _, at in kept], np.int64)
+        degree, best = self.first[at] & 255, self.ids_of(self.best_at[at], self.n_best[at])
+        ends, sizes = np.cumsum(degree), self.n_best[at]
+        if not len(at) or ends[-1] > self.room // 3:
             self.chunks, self.n_edges, self.n_flat = {}, 0, self.n_words
-        self.seen[:len(self.chunks)] = self.often
-        self.join_paths(np.arange(len(self.chunks)))
+            return
+        edges = np.repeat((self.first[at] >> 8) - (ends - degree), degree) + np.arange(ends[-1])
+        ids, lengths = self.ids_of(self.ids_at[edges], self.n_ids[edges].astype(np.int64)), self.n_ids[edges].astype(np.int64)
+        log_p, cum, guide, seen = self.log_p[edges], self.cum[edges], self.guide[edges], self.seen[at]
+        self.n_edges, self.n_flat = 0, self.n_words
+        begin = self.keep_edges(log_p, cum, np.zeros(len(edges), np.int64), self.keep_ids(ids) + np.cumsum(lengths) - lengths, lengths, guide)
+        self.chunks = {c: k for k, (c, _) in enumerate(kept)}
+        self.first[:len(at)] = (begin + ends - degree << 8) + degree
+        self.best_at[:len(at)] = self.keep_ids(best) + np.cumsum(sizes) - sizes
+        self.n_best[:len(at)], self.seen[:len(at)], self.joined[:len(at)] = sizes, seen, True
 
     def keep_ids(self, ids: np.ndarray) -> int:
         """Put ids after those kept; the place of the first."""
@@ -229,7 +240,7 @@ class Lattices:
         byte_at = np.repeat(goals[len(plain):] - n_bytes, n_bytes) + np.arange(n_bytes.sum()) - np.repeat(np.cumsum(n_bytes) - n_bytes, n_bytes)
         byte_id = np.array([self.bytes[b] for raw in other for b in raw], np.int64)
         at, end, ids = np.r_[start, byte_at], np.r_[start + size, byte_at + 1], np.r_[piece, byte_id]
-        mass = np.zeros(int(goals[-1]) + 1)
+        mass, paths = np.zeros(int(goals[-1]) + 1), np.ones(int(goals[-1]) + 1)
         rest = np.repeat(goals, lengths + 1) - np.arange(len(mass))
         w = self.weight[ids]
         far = rest[at]
@@ -241,7 +252,9 @@ class Lattices:
         begun = np.searchsorted(nodes, steps)
         for a, b, i, j in zip(steps[:-1], steps[1:], begun[:-1], begun[1:], strict=True):
             if i < j:
-                mass[from_[nodes[i:j]]] = np.logaddexp.reduceat(weight[a:b] + mass[onto[a:b]], nodes[i:j] - a)
+                to, here = onto[a:b], nodes[i:j]
+                mass[from_[here]] = np.logaddexp.reduceat(weight[a:b] + mass[to], here - a)
+                paths[from_[here]] = np.minimum(np.add.reduceat(paths[to], here - a), 1e9)
         log_p = np.minimum(w + mass[end] - mass[at], 0.0)
         p = np.exp(log_p)
         starts = np.flatnonzero(np.concatenate(((True,), at[1:] != at[:-1])))
@@ -256,10 +269,12 @@ class Lattices:
         sizes = np.concatenate((sizes[sizes > 0], n_bytes))
         self.keep_ids(np.concatenate((best[best != self.bytes[ord(SEPARATOR)]], byte_id)))
         entries = slice(count, count + len(keys))
-        self.first, self.seen, self.best_at, self.n_best = (grown(x, entries.stop) for x in (self.first, self.seen, self.best_at, self.n_best))
+        self.first, self.joined, self.seen, self.best_at, self.n_best = (grown(x, entries.stop) for x in (self.first, self.joined, self.seen, self.best_at, self.n_best))
         self.first[entries], self.seen[entries] = node[goals - lengths], 0
+        self.joined[entries] = (self.first[entries] & 255 == 1) & (self.next[self.first[entries] >> 8] == 0)
         self.best_at[entries], self.n_best[entries] = kept + np.cumsum(sizes) - sizes, sizes
         self.chunks.update(zip([k for k, found in zip(keys, known, strict=True) if found] + other, range(count, entries.stop), strict=True))
+        self.join_paths(count + np.flatnonzero((paths[goals - lengths] <= self.most) & (lengths < 256) & ~self.joined[entries]))
 
     def encoded(self, chunks: list[str], at_once: int = 64) -> np.ndarray:
         """Best segmentations of chunks, separators around each; the mark that begins a text is left out."""
@@ -267,27 +282,20 @@ class Lattices:
         return np.fromiter(chain.from_iterable(x[1:] for x in lists), np.int32)
 
     def join_paths(self, every: np.ndarray) -> None:
-        """Give the first nodes of these chunks one edge for each segmentation, if there are at most ``most``."""
-        for low in range(0, len(every), 512):
-            entries = every[low:low + 512]
-            first = self.first[entries]
-            entries = entries[(first & 255 > 1) | (self.next[first >> 8] > 0)]
+        """Give the first nodes of these chunks one edge for each segmentation."""
+        for low in range(0, len(every), 4096):
+            entries = every[low:low + 4096]
             chunk, node, log_p, ids = np.arange(len(entries)), self.first[entries], np.zeros(len(entries)), np.zeros((len(entries), 0), np.int32)
-            paths, few, done = np.zeros(len(entries), np.int64), np.ones(len(entries), bool), []
+            done = []
             while len(chunk):
                 more = node & 255
                 ends = np.cumsum(more)
                 edge = np.repeat((node >> 8) - (ends - more), more) + np.arange(ends[-1])
                 chunk, log_p, node = np.repeat(chunk, more), np.repeat(log_p, more) + self.log_p[edge], self.next[edge]
                 ids = np.column_stack((np.repeat(ids, more, axis=0), self.flat[self.ids_at[edge]]))
-                paths += np.bincount(chunk[node == 0], minlength=len(paths))
-                few &= (paths + np.bincount(chunk[node > 0], minlength=len(paths)) <= self.most) & (ids.shape[1] < 256)
                 done.append((chunk[node == 0], log_p[node == 0], ids[node == 0]))
-                on = (node > 0) & few[chunk]
+                on = node > 0
                 chunk, node, log_p, ids = chunk[on], node[on], log_p[on], ids[on]
-            done = [(c[few[c]], log[few[c]], rows[few[c]]) for c, log, rows in done]
-            if not sum(len(c) for c, *_ in done):
-                continue
             of, log_p = (np.concatenate(x) for x in list(zip(*done, strict=True))[:2])
             at = np.concatenate([self.keep_ids(rows.ravel()) + rows.shape[1] * np.arange(len(rows)) for *_, rows in done])
             size = np.concatenate([np.full(len(rows), rows.shape[1]) for *_, rows in done])
@@ -300,6 +308,7 @@ class Lattices:
             guide = np.searchsorted(rank + cum, rank + (np.arange(len(of)) - start) / wide, side="right") - start
             edges = self.keep_edges(log_p, cum, np.zeros(len(of), np.int64), at, size, np.clip(guide, 0, wide - 1)) + starts
             self.first[entries[of[starts]]] = (edges << 8) + degree
+            self.joined[entries[of[starts]]] = True
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
         """Entries of all chunks of the texts, the number of chunks of each text, the normalised texts and where each begins."""
@@ -323,10 +332,7 @@ class Lattices:
             self.learn([c for c, at in zip(unique, found, strict=True) if at is None])
             found = list(map(self.chunks.__getitem__, unique))
         entry = np.array(found, np.int64)
-        before = self.seen[entry]
         self.seen[entry] += np.bincount(which, minlength=len(entry)).astype(np.int32)
-        now = entry[(before < self.often) & (self.seen[entry] >= self.often)]
-        self.join_paths(now)
         counts = np.diff(np.searchsorted(places[:-1], limits))
         return entry[which], counts, raw, byte_of[limits]
 
@@ -567,16 +573,22 @@ class Search:
                 np.diff(ends), [zlib.crc32(best[4 * a:4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]]
 
 
+def packed_ids(ids: pa.ListArray) -> pa.Array:
+    """Lists of ids as little-endian 32-bit bytes."""
+    places = 4 * ids.offsets.to_numpy().astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(places), pa.py_buffer(ids.values.to_numpy().astype("<i4", copy=False))])
+
+
 OUTPUT = ("sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long, decodes boolean, "
-          "best_n_pieces long, best_ids_crc32 long, ids array<int>")
+          "best_n_pieces long, best_ids_crc32 long, ids")
 
 
 def sample_segmentations(docs: DataFrame, k: int = 3, alpha: float = 2e-4, seed: int = 17, path: str | None = None,
-                         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                         id_col: str = "doc_id", text_col: str = "text", packed: bool = False) -> DataFrame:
     """Up to ``k`` segmentations of each row, with what they decode to, and the row's encoding (its best segmentation).
 
     (id, sample, n_pieces, log_prob, perturbed, log_inclusion, ids_crc32, decodes, best_n_pieces, best_ids_crc32, ids):
-    checksums are of little-endian 32-bit ids; ``decodes`` says whether the pieces spell the normalised text.
+    checksums are of little-endian 32-bit ids; ``decodes`` says whether the pieces spell the normalised text. With ``packed``, ids are such bytes as well, which are written much faster than arrays.
     """
     kind, where = docs.schema[id_col].dataType.simpleString(), path or model_path()
 
@@ -594,9 +606,9 @@ def sample_segmentations(docs: DataFrame, k: int = 3, alpha: float = 2e-4, seed:
                     types = (pa.int32(), pa.int64(), *[pa.float64()] * 3, pa.int64(), pa.bool_())
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array(low + text)), *map(pa.array, columns, types),
-                         *(pa.array(np.asarray(c, np.int64)[text]) for c in (best_size, best_crc)), ids],
+                         *(pa.array(np.asarray(c, np.int64)[text]) for c in (best_size, best_crc)), packed_ids(ids) if packed else ids],
                         names=["id", *(c.split()[0] for c in OUTPUT.split(", "))])
                     low, texts, size = r + 1, [], 0
 
     key = F.coalesce(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(0))
-    return docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {OUTPUT}").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {OUTPUT}" + (" binary" if packed else " array<int>")).withColumnRenamed("id", id_col)
