@@ -1,9 +1,10 @@
 r"""Chat formatting by schema fingerprints [native]: many layouts in, one reversible template out.
 
-A record's nested field paths are hashed; the hash selects a declarative mapping (which paths hold the turns, the
-roles, the prompt, the answer) that turns the record into canonical ``turns array<struct<role, text>>``. JSON records
-are fingerprinted row by row from their variant schema, typed tables once from their columns. All of it is built-in
-functions; the only shuffle is the grouping of turn rows by conversation.
+A record's nested field paths are hashed, row by row, from its variant schema; the hash selects a declarative mapping
+(which paths hold the turns, the roles, the prompt, the answer) that turns the record into canonical ``turns
+array<struct<role, text>>``, or into a turn of a conversation where each record is one turn. Layouts of all kinds may
+be mixed in a table. Top-level fields that no layout names are left out of the hash, and a layout's optional paths may
+be there or not. All of it is built-in functions; the only shuffle is the grouping of turn rows by conversation.
 
 Template of a turn: ``<|turn|>ROLE\nTEXT<|end|>\n``. Inside roles and texts a control string (``CONTROL``) gets a
 tilde behind its first character, and one that has tildes there already gets one more, so that ``plain`` undoes
@@ -11,13 +12,14 @@ tilde behind its first character, and one that has tildes there already gets one
 
 Defined results: a null text or role is empty; a null turn number sorts first; equal turn numbers sort by role, then
 text; repeated rows are repeated turns; rows with a null id form one conversation; an unknown JSON layout, broken
-JSON or an empty list of messages gives no turns (``fingerprint`` tells which); extra columns are never read; an
-empty table gives an empty table. One conversation's text is one value, so a conversation must fit in a row.
+JSON or an empty list of messages gives no turns (``fingerprint`` tells which), and an unknown layout of turn rows is
+an error that names its fingerprint, so that no turn is lost; extra columns don't matter; an empty table gives an empty
+table. One conversation's text is one value, so a conversation must fit in a row.
 """
 
 from __future__ import annotations
 
-import hashlib
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,12 +55,12 @@ def plain_role(line: Column) -> Column:
 
 # -- layouts -------------------------------------------------------------------------------------------------------
 
-#: Declarative mappings. ``paths``: the nested fields of the layout. ``list``: path of the turns with the names of
+#: Declarative mappings. ``paths``: the nested fields of the layout, besides ``optional`` ones. ``list``: path of the turns with the names of
 #: role and text in them; ``fields``: (role, path) in the order of the turns. ``roles`` renames roles.
 LAYOUTS = (
-    {"name": "messages", "paths": ("messages[].content", "messages[].role"), "list": ("messages", "role", "content")},
+    {"name": "messages", "paths": ("messages[].content", "messages[].role"), "optional": ("messages[].name",), "list": ("messages", "role", "content")},
     {"name": "turns", "paths": ("turns[].role", "turns[].text"), "list": ("turns", "role", "text")},
-    {"name": "conversations", "paths": ("conversations[].from", "conversations[].value"), "list": ("conversations", "from", "value"),
+    {"name": "conversations", "paths": ("conversations[].from", "conversations[].value"), "optional": ("conversations[].weight",), "list": ("conversations", "from", "value"),
      "roles": {"human": "user", "gpt": "assistant"}},
     {"name": "instruction", "paths": ("input", "instruction", "output"), "fields": (("user", "instruction"), ("user", "input"), ("assistant", "output"))},
     {"name": "instruction_only", "paths": ("instruction", "output"), "fields": (("user", "instruction"), ("assistant", "output"))},
@@ -71,26 +73,44 @@ LAYOUTS = (
 
 
 def shape_of(paths) -> str:
-    """The variant schema, without scalar types, of a record that has these field paths."""
+    """What ``shape`` gives for a record that has these field paths."""
     tree: dict = {}
     for path in paths:
         at = tree
         for part in path.split("."):
             at = at.setdefault(part, {})
 
-    def text(node: dict) -> str:
-        fields = []
-        for name in sorted(node):
-            inner = text(node[name]) if node[name] else ""
-            fields.append(f"{name[:-2]}: ARRAY<{inner}>" if name.endswith("[]") else f"{name}: {inner}")
-        return f"OBJECT<{', '.join(fields)}>"
+    def fields(node: dict) -> list[str]:
+        inner = {name: f"OBJECT<{', '.join(fields(below))}>" if below else "" for name, below in node.items()}
+        return sorted(f"{name[:-2]}: ARRAY<{text}>" if name.endswith("[]") else f"{name}: {text}" for name, text in inner.items())
 
-    return text(tree)
+    return ", ".join(fields(tree))
 
 
-def shape(record: Column) -> Column:
-    """The nested field paths of a variant as text: its schema with scalar types taken out."""
-    return F.regexp_replace(F.schema_of_variant(record), r"(?<=: |ARRAY<)[A-Z_]+(?:\(\d+,\d+\))?(?=[,>])", "")
+def shape(record: Column, names: list[str]) -> Column:
+    """The nested field paths of a variant under these top-level names: its schema with scalar types taken out."""
+    def field(entry: Column) -> Column:
+        kind = F.regexp_replace(F.concat(F.schema_of_variant(entry["value"]), F.lit(",")), r"(?<=^|: |ARRAY<)[A-Z_]+(?:\(\d+,\d+\))?(?=[,>])", "")
+        return F.concat(entry["key"], F.lit(": "), F.rtrim(kind, F.lit(",")))
+
+    fields = F.filter(F.map_entries(F.try_variant_get(record, "$", "map<string,variant>")), lambda e: e["key"].isin(names))
+    return F.array_join(F.array_sort(F.transform(fields, field)), ", ")
+
+
+def chosen(layouts, fingerprint: Column, value) -> Column:
+    """What ``value`` makes of the layout that has this fingerprint, or null."""
+    out = F.lit(None)
+    for layout in layouts:
+        extra = layout.get("optional", ())
+        prints = [F.xxhash64(F.lit(shape_of((*layout["paths"], *more)))) for n in range(len(extra) + 1) for more in combinations(extra, n)]
+        out = F.when(fingerprint.isin(*prints), value(layout)).otherwise(out)
+    return out
+
+
+def names_in(layouts) -> list[str]:
+    """The top-level names of all paths of layouts."""
+    paths = [p for layout in layouts for p in (*layout["paths"], *layout.get("optional", ()))]
+    return sorted({p.split(".")[0].removesuffix("[]") for p in paths})
 
 
 def json_turns(df: DataFrame, json_col: str, layouts=LAYOUTS) -> DataFrame:
@@ -113,64 +133,60 @@ def json_turns(df: DataFrame, json_col: str, layouts=LAYOUTS) -> DataFrame:
 
         return one
 
-    turns, name = F.lit(None).cast(TURN_TYPE), F.lit(None).cast("string")
-    for layout in layouts:
+    def made(layout: dict) -> Column:
         if "list" in layout:
             path, role, text = layout["list"]
-            renamed = layout.get("roles", {})
-
-            made = F.transform(F.try_variant_get("__record", f"$.{path}", "array<variant>"), listed(role, text, renamed))
-        else:
-            made = F.array(*[turn(F.lit(role), value(path, F.col("__record"))) for role, path in layout["fields"]])
-            made = F.filter(made, lambda t: (t["text"] != "") | (t["role"] == "assistant"))
-        hit = F.col("__print") == F.xxhash64(F.lit(shape_of(layout["paths"])))
-        turns, name = F.when(hit, made).otherwise(turns), F.when(hit, layout["name"]).otherwise(name)
+            return F.transform(F.try_variant_get("__record", f"$.{path}", "array<variant>"), listed(role, text, layout.get("roles", {})))
+        turns = F.array(*[turn(F.lit(role), value(path, F.col("__record"))) for role, path in layout["fields"]])
+        return F.filter(turns, lambda t: (t["text"] != "") | (t["role"] == "assistant"))
+
+    by = F.col("__print")
     kept = [c for c in df.columns if c not in ("fingerprint", "layout", "turns")]
-    return (df.select(*kept, record.alias("__record")).withColumn("__print", F.xxhash64(shape(F.col("__record"))))
-            .select(*kept, F.col("__print").alias("fingerprint"), name.alias("layout"), turns.alias("turns")))
+    return (df.select(*kept, record.alias("__record")).withColumn("__print", F.xxhash64(shape(F.col("__record"), names_in(layouts))))
+            .select(*kept, by.alias("fingerprint"), chosen(layouts, by, lambda x: F.lit(x["name"])).alias("layout"),
+                    chosen(layouts, by, made).cast(TURN_TYPE).alias("turns")))
 
 
-#: Mappings of typed tables by their field paths: one row a turn.
+#: Mappings of records that are one turn each, to the fields of a turn row.
 ROW_LAYOUTS = (
-    {"paths": ("conv_id", "role", "text", "turn"), "id": "conv_id", "turn": "turn", "role": "role", "text": "text"},
-    {"paths": ("content", "conversation_id", "position", "role"), "id": "conversation_id", "turn": "position", "role": "role", "text": "content"},
+    {"name": "turn_row", "paths": ("conv_id", "role", "text", "turn"), "conv_id": "conv_id", "turn": "turn", "role": "role", "text": "text"},
+    {"name": "turn_message", "paths": ("conversation.id", "message.content", "message.role", "position"), "optional": ("message.name",),
+     "conv_id": "conversation.id", "turn": "position", "role": "message.role", "text": "message.content"},
+    {"name": "turn_content", "paths": ("content", "conversation_id", "position", "role"), "conv_id": "conversation_id", "turn": "position", "role": "role",
+     "text": "content"},
 )
 
 
-def paths_fingerprint(paths) -> str:
-    """A table's fingerprint: the hash of its field paths, in order of name."""
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
-
-
-def row_layout(df: DataFrame, layouts=ROW_LAYOUTS) -> dict:
-    """The mapping with the fingerprint of the table's columns, extra columns left out."""
-    known = {paths_fingerprint(x["paths"]): x for x in layouts}
-    for x in layouts:
-        if found := known.get(paths_fingerprint(c for c in df.columns if c in x["paths"])):
-            return found
-    raise ValueError(f"no layout has the columns {df.columns}")
+def turn_rows(records: DataFrame, record_col: str = "record", layouts=ROW_LAYOUTS, id_type: str = "long") -> DataFrame:
+    """(conv_id, turn, role, text, fingerprint) of variant records that are one turn each, by the mapping of their hash."""
+    by = F.col("fingerprint")
+    unknown = F.raise_error(F.concat(F.lit("no layout has the fingerprint "), by.cast("string")))
+    field = lambda name, kind: F.coalesce(chosen(layouts, by, lambda x: F.struct(F.try_variant_get(record_col, f"$.{x[name]}", kind).alias("v"))), unknown)["v"]
+    printed = records.select(record_col, F.xxhash64(shape(F.col(record_col), names_in(layouts))).alias("fingerprint"))
+    return printed.select(field("conv_id", id_type).alias("conv_id"), field("turn", "long").alias("turn"), field("role", "string").alias("role"),
+                          field("text", "string").alias("text"), "fingerprint")
 
 
 # -- template ------------------------------------------------------------------------------------------------------
 
-def format_rows(rows: DataFrame, layouts=ROW_LAYOUTS, loss_role: str = "assistant") -> DataFrame:
-    """Turn rows to (id, formatted, loss array<struct<start, length>>): spans are code points of ``formatted``.
+def format_rows(rows: DataFrame, loss_role: str = "assistant") -> DataFrame:
+    """Turn rows (conv_id, turn, role, text) to (conv_id, formatted, loss array<struct<start, length>>): spans are code
+    points of ``formatted``.
 
     One shuffle: the running offsets and the grouping use the same partitioning.
     """
-    m = row_layout(rows, layouts)
-    role, text = (F.coalesce(F.col(m[k]), F.lit("")) for k in ("role", "text"))
-    pieces = rows.select(F.col(m["id"]), F.col(m["turn"]).alias("__turn"), role.alias("__role"), text.alias("__text"),
+    role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
+    pieces = rows.select("conv_id", F.col("turn").alias("__turn"), role.alias("__role"), text.alias("__text"),
                          F.concat(F.lit(OPEN), role_line(role), F.lit("\n")).alias("__head"), escaped(text).alias("__body"))
-    key = Window.partitionBy(m["id"]).orderBy("__turn", "__role", "__text")
+    key = Window.partitionBy("conv_id").orderBy("__turn", "__role", "__text")
     size = F.length("__head") + F.length("__body") + len(CLOSE)
     placed = pieces.withColumns({
         "__n": F.row_number().over(key),
         "__start": F.coalesce(F.sum(size).over(key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.length("__head")})
-    grouped = placed.groupBy(m["id"]).agg(F.sort_array(F.collect_list(F.struct(
+    grouped = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(
         "__n", F.concat("__head", "__body", F.lit(CLOSE)).alias("piece"), (F.col("__role") == loss_role).alias("learn"),
         F.col("__start").alias("start"), F.length("__body").cast("long").alias("length")))).alias("__t"))
-    return grouped.select(m["id"], F.array_join(F.transform("__t", lambda t: t["piece"]), "").alias("formatted"),
+    return grouped.select("conv_id", F.array_join(F.transform("__t", lambda t: t["piece"]), "").alias("formatted"),
                           F.transform(F.filter("__t", lambda t: t["learn"]), lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length"))).alias("loss"))
 
 

@@ -20,13 +20,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -7, formatted and read back."""
-    from .chat_format import format_rows, masked, parsed
+    """All conversations and conversation -7, formatted and read back.
+
+    Turns come as records of two layouts, flat for even ids and nested for others; their fingerprints choose the mapping.
+    """
+    from .chat_format import format_rows, masked, parsed, turn_rows
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '{0}'), (-7L, 1L, 'assistant', '{0}') AS t(conv_id, turn, role, text)".format(said))
-    out = format_rows(rows.unionByName(extra))
+    flat = F.struct("conv_id", "turn", "role", "text")
+    nested = F.struct(F.struct(F.col("conv_id").alias("id")).alias("conversation"), F.col("turn").alias("position"), F.struct("role", F.col("text").alias("content")).alias("message"))
+    records = rows.unionByName(extra).select(F.when(F.col("conv_id") % 2 == 0, F.to_variant_object(flat)).otherwise(F.to_variant_object(nested)).alias("record"))
+    out = format_rows(turn_rows(records))
     turns = F.col("__turns")
     return (
         out.select("conv_id", "formatted", parsed(F.col("formatted")).alias("__turns"), masked(F.col("formatted"), F.col("loss")).alias("__loss"))

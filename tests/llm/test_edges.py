@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lithoscope.llm import chat_format, embedding_dedup, html_extract, packing, quality_classifier, quality_rules, sentencepiece_sampling, simhash, toxicity
@@ -48,11 +49,29 @@ def test_packing_fills(spark):
 
 def test_chat_layouts(spark):
     records = ['{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":"yo"}]}', '{"prompt":"hi","completion":"yo"}', '{"instruction":"hi","input":"","output":"yo"}',
-               '{"conversations":[{"from":"human","value":"hi"},{"from":"gpt","value":"yo"}]}', '{"data":{"question":"hi","answer":"yo"}}', '{"other":1}', "broken", None, ""]
+               '{"conversations":[{"from":"human","value":"hi"},{"from":"gpt","value":"yo"}]}', '{"data":{"question":"hi","answer":"yo"}}', '{"other":1}', "broken", None, "",
+               '{"id":7,"meta":{"a":[1]},"messages":[{"role":"user","content":"hi","name":"x"},{"role":"assistant","content":"yo"}]}', '{"prompt":null,"completion":"yo","score":1.5}']
     df = spark.createDataFrame([(i, r, "x") for i, r in enumerate(records)], "i int, json string, turns string")
     got = {r.i: r for r in chat_format.json_turns(df, "json").collect()}
     assert all([tuple(t) for t in got[i].turns] == [("user", "hi"), ("assistant", "yo")] for i in range(5))
     assert all(got[i].turns is None and got[i].layout is None for i in range(5, 9)) and len({got[i].fingerprint for i in range(5)}) == 5
+    assert [tuple(t) for t in got[9].turns] == [("user", "hi"), ("assistant", "yo")] and got[9].layout == "messages"  # other fields don't matter
+    assert [tuple(t) for t in got[10].turns] == [("assistant", "yo")] and got[10].fingerprint == got[1].fingerprint
+
+
+def test_turn_records(spark):
+    """Records of several layouts in one table make turns of one conversation; an unknown one is an error."""
+    said = ['{"conv_id":5,"turn":1,"role":"user","text":"a"}', '{"conversation":{"id":5},"position":2,"message":{"role":"assistant","content":"b"}}',
+            '{"conversation_id":5,"position":3,"role":"user","content":"c","extra":[{"x":1}]}', '{"conversation":{"id":5},"position":null,"message":{"role":null,"content":null,"name":"n"}}']
+    records = lambda rows: spark.createDataFrame([(r,) for r in rows], "j string").select(F.parse_json("j").alias("record"))
+    out = chat_format.format_rows(chat_format.turn_rows(records(said)))
+    [row] = out.select("conv_id", chat_format.parsed(out.formatted).alias("turns")).collect()
+    assert row.conv_id == 5 and [tuple(t) for t in row.turns] == [("", ""), ("user", "a"), ("assistant", "b"), ("user", "c")]
+    with pytest.raises(Exception, match="no layout has the fingerprint"):
+        chat_format.turn_rows(records(['{"conv_id":5,"role":"user"}'])).collect()
+    long = spark.range(1).select(F.to_variant_object(F.struct(F.lit(1).alias("conv_id"), F.lit(1).alias("turn"), F.lit("user").alias("role"), F.repeat(F.lit("<s>"), 7_000_000).alias("text"))).alias("record"))
+    out = chat_format.format_rows(chat_format.turn_rows(long))
+    assert out.select(F.length("formatted")).first()[0] == 28_000_000 + len("<|turn|>user\n<|end|>\n")
 
 
 def test_chat_rows(spark):
