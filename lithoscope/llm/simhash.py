@@ -2,14 +2,15 @@
 
 1. Fingerprints are a function of one row (Arrow batches, no shuffle). Equal fingerprints collapse to one row each by
    a pre-aggregated ``groupBy``, so copies never meet as pairs.
-2. Upper level of the index: of four 16-bit blocks, two stay equal in any pair with at most two differing bits. Each of
-   the six masks that keep two blocks gives a masked bit pattern; fingerprints that share one lie under the same upper
-   node, and the shuffle deals upper nodes out by (mask, pattern).
-3. Lower level, inside an upper node: fingerprints in Gray rank order, so that neighbours differ in few bits. Runs of
-   eight are factored into a node that holds what they share (a mask of agreeing bits and their pattern), runs of
-   eight nodes into the next level. Two nodes whose shared patterns already differ in more than two bits are
-   pruned as whole groups; the differences found so far only grow on the way down, until single fingerprints meet.
-4. Each upper node emits one edge per fingerprint, to the smallest member of its local cluster, never all pairs.
+2. The distinct fingerprints are sorted by Gray rank, so that neighbours differ in few bits, and cut into upper nodes:
+   runs of at most ``run`` fingerprints that share the first bits of their rank. An upper node holds what its
+   fingerprints share, a mask of agreeing bits and their pattern.
+3. Upper nodes meet those whose first bits differ in at most two places (a join of narrow rows, by these bits); a pair
+   whose shared patterns differ in more than two bits is pruned as a whole. Only the pairs left fetch their fingerprints.
+4. Inside a pair of upper nodes, runs of eight are factored into a lower node each, runs of eight of these into the next
+   level. Pairs descend level by level; the bits that become shared on the way add to the differences found above, and a
+   pair is pruned as soon as they are more than two, until single fingerprints meet.
+5. Each pair of upper nodes emits one edge per fingerprint, to the smallest member of its local cluster, never all pairs.
    Components over these edges are found by star rounds on DataFrames.
 
 Defined results: a null, empty or blank text has fingerprint zero, linked like any other; repeated rows give repeated
@@ -20,7 +21,8 @@ only the two named columns are read; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
+from math import ceil, log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,9 +31,6 @@ from pyspark.sql import functions as F
 from ._common import components, cut
 
 BITS, SEED, WIDTH, DISTANCE, FAN = 64, 42, 3, 2, 8
-BLOCK = 16
-#: The masks of the upper level: two of four blocks.
-MASKS = tuple(sum(0xFFFF << (BLOCK * b) for b in pair) for pair in combinations(range(4), 2))
 
 
 def fingerprint(text: bytes | None, width: int = WIDTH, seed: int = SEED) -> int:
@@ -78,43 +77,64 @@ def gray_rank(fps):
     return rank
 
 
-def near_pairs(fps, distance: int = DISTANCE, block: int = 1 << 20):
-    """Index pairs (i < j) of distinct ``fps`` with at most ``distance`` differing bits, in blocks, by the Gray tree.
+def gray_order(fp):
+    """The Gray rank of a fingerprint column, as a signed long that sorts like the unsigned rank."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, shift))
+    return fp.bitwiseXOR(F.lit(-(1 << 63)))
 
-    ``fps`` must be in Gray rank order. Yields arrays (i, j).
-    """
+
+def tree(fps, depth: int):
+    """Levels of nodes over ``fps`` in Gray order: (shared pattern, mask of the bits that all below agree on) of each."""
     import numpy as np
 
-    zero = np.uint64(0)
-    levels = [(fps, np.full(len(fps), ~zero))]  # per level: shared pattern, mask of the bits that all below agree on
-    while len(levels[-1][0]) > FAN:
+    levels = [(fps, np.full(len(fps), ~np.uint64(0)))]
+    while len(levels) < depth:
         pattern, agree = levels[-1]
         starts = np.arange(0, len(pattern), FAN)
         ones = np.bitwise_and.reduceat(pattern & agree, starts)
         zeros = np.bitwise_and.reduceat(~pattern & agree, starts)
         levels.append((ones, ones | zeros))
-    n = len(levels[-1][0])
-    a, b = (x.astype(np.int64) for x in np.triu_indices(n))
-    stack = [(len(levels) - 1, a, b)]
+    return levels
+
+
+def near_pairs(fps, others=None, distance: int = DISTANCE, block: int = 1 << 20):
+    """Index pairs (i in ``fps``, j in ``others``) with at most ``distance`` differing bits, in blocks of arrays (i, j).
+
+    Both must be in Gray rank order; without ``others``, the pairs i < j of distinct ``fps``.
+    """
+    import numpy as np
+
+    alone, depth = others is None, 1
+    while FAN**depth < max(len(fps), 0 if others is None else len(others)):
+        depth += 1
+    left_tree = tree(fps, depth)
+    right_tree = left_tree if alone else tree(others, depth)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(left_tree[-1][0])), np.arange(len(right_tree[-1][0])), indexing="ij"))
+    if alone:
+        a, b = a[a <= b], b[a <= b]
+    stack = [(depth - 1, a, b, np.zeros(len(a), np.uint8), np.zeros(len(a), np.uint64))]
     offsets = np.arange(FAN)
     while stack:
-        level, a, b = stack.pop()
-        pattern, agree = levels[level]
-        apart = np.bitwise_count((pattern[a] ^ pattern[b]) & agree[a] & agree[b]) <= distance
-        a, b = a[apart], b[apart]
+        level, a, b, differ, shared = stack.pop()
+        (one, agree_one), (two, agree_two) = left_tree[level], right_tree[level]
+        both = agree_one[a] & agree_two[b]
+        differ = differ + np.bitwise_count((one[a] ^ two[b]) & both & ~shared)  # only bits that were not shared above
+        on = np.flatnonzero(differ <= distance)
+        a, b, differ, shared = a[on], b[on], differ[on], both[on]
         if level == 0:
-            a, b = a[a < b], b[a < b]
+            if alone:
+                a, b = a[a < b], b[a < b]
             if len(a):
                 yield a, b
             continue
-        below = len(levels[level - 1][0])
+        n_left, n_right = len(left_tree[level - 1][0]), len(right_tree[level - 1][0])
         for k in range(0, len(a), block // (FAN * FAN)):
-            one, two = a[k:k + block // (FAN * FAN)], b[k:k + block // (FAN * FAN)]
-            left = np.repeat(one[:, None] * FAN + offsets, FAN, axis=1).ravel()
-            right = np.tile(two[:, None] * FAN + offsets, (1, FAN)).ravel()
-            good = (left <= right) & (left < below) & (right < below)
-            if good.any():
-                stack.append((level - 1, left[good], right[good]))
+            some = slice(k, k + block // (FAN * FAN))
+            i = np.repeat(a[some, None] * FAN + offsets, FAN, axis=1).ravel()
+            j = np.tile(b[some, None] * FAN + offsets, (1, FAN)).ravel()
+            good = np.flatnonzero((i < n_left) & (j < n_right) & ((i <= j) if alone else True))
+            stack.append((level - 1, i[good], j[good], np.repeat(differ[some], FAN * FAN)[good], np.repeat(shared[some], FAN * FAN)[good]))
 
 
 def local_roots(n: int, pairs):
@@ -135,47 +155,67 @@ def local_roots(n: int, pairs):
     return root
 
 
-def fingerprint_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints: one per fingerprint and upper node where it has a near one."""
-    if distance > 2:
-        raise ValueError("four blocks, two kept, find at most two differing bits")
+def upper_nodes(fps: DataFrame, bits: int, run: int = 2048) -> DataFrame:
+    """(node, top, pattern, agree, fps): runs of ``fps`` in Gray order with equal first ``bits``; a node's name is its first."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def factored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def node(values: np.ndarray) -> tuple:
+            ones, zeros = np.bitwise_and.reduce(values), np.bitwise_and.reduce(~values)
+            return (*(int(x.view(np.int64)) for x in (values[0], ones, ones | zeros)), int(values[0] >> np.uint64(64 - bits)), values.astype("<u8").tobytes())
+
+        held = np.zeros(0, np.uint64)
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held = np.concatenate((held, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
+            top = held >> np.uint64(64 - bits)
+            starts = np.r_[0, np.flatnonzero(top[1:] != top[:-1]) + 1] if len(held) else np.zeros(0, np.int64)
+            starts = [k for low, high in zip(starts, [*starts[1:], len(held)], strict=True) for k in range(low, high, run)]
+            if batch is not None:
+                whole = list(zip(starts[:-1], starts[1:], strict=True))  # the last run may go on
+            else:
+                whole = list(zip(starts, [*starts[1:], len(held)], strict=True))
+            rows = [node(held[low:high]) for low, high in whole]
+            if rows:
+                first, ones, agree, tops, packed = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(tops, pa.int64()), pa.array(ones, pa.int64()),
+                                                  pa.array(agree, pa.int64()), pa.array(packed, pa.binary())], names=["node", "top", "pattern", "agree", "fps"])
+                held = held[whole[-1][1]:]
+
+    ordered = fps.select("fp", gray_order(F.col("fp")).alias("rank")).repartitionByRange("rank").sortWithinPartitions("rank")
+    return ordered.select("fp").mapInArrow(factored, "node long, top long, pattern long, agree long, fps binary")
+
+
+def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, run: int = 2048) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints: one per fingerprint and pair of upper nodes where it has a near one.
+
+    Upper nodes are told apart by as many first bits as leave about ``run`` fingerprints to each.
+    """
+    bits = max(4, ceil(log2(max(1, fps.count()) / run)))
+    nodes = cut(upper_nodes(fps, bits, run))
+    flips = [sum(1 << b for b in some) for n in range(distance + 1) for some in combinations(range(bits), n)]
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("node", "pattern", "agree")]
+    asking = nodes.select(*side("a"), F.explode(F.transform(F.lit(flips).cast("array<long>"), lambda m: F.col("top").bitwiseXOR(m))).alias("top"))
+    differing = F.bit_count(F.col("pattern_a").bitwiseXOR(F.col("pattern_b")).bitwiseAND(F.col("agree_a")).bitwiseAND(F.col("agree_b")))
+    pairs = asking.join(nodes.select("top", *side("b")), "top").filter((F.col("node_a") <= F.col("node_b")) & (differing <= distance)).select("node_a", "node_b")
+    payload = lambda s: nodes.select(F.col("node").alias(f"node_{s}"), F.col("fps").alias(f"fps_{s}"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        def closed(group: list) -> pa.RecordBatch | None:
-            values = np.concatenate(group).view(np.uint64)
-            if len(values) < 2:
-                return None
-            values = values[np.argsort(gray_rank(values), kind="stable")]
-            root = local_roots(len(values), near_pairs(values, distance))
-            linked = root != np.arange(len(values))
-            if not linked.any():
-                return None
-            u, v = (x.view(np.int64) for x in (values[linked], values[root[linked]]))
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-        group, held = [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            mask, part, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            cuts = [0, *(np.flatnonzero((mask[1:] != mask[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(fp)]
-            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-                key = (mask[low], part[low])
-                if key != held and group:
-                    if (out := closed(group)) is not None:
-                        yield out
-                    group = []
-                held = key
-                group.append(fp[low:high])
-        if group and (out := closed(group)) is not None:
-            yield out
-
-    signed = [m - (1 << 64) if m >> 63 else m for m in MASKS]
-    nodes = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("part"))
-                                                 for k, m in enumerate(signed)])).alias("n")).select("n.mask", "n.part", "fp")
-    return nodes.repartition("mask", "part").sortWithinPartitions("mask", "part").mapInArrow(run, "u long, v long").distinct()
+            for one, two, same in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                a, b = np.frombuffer(one, "<u8"), np.frombuffer(two, "<u8")
+                found = near_pairs(a, None if same else b, distance)
+                values = a if same else np.concatenate((a, b))
+                root = local_roots(len(values), found if same else ((i, j + len(a)) for i, j in found))
+                linked = np.flatnonzero(root != np.arange(len(values)))
+                if len(linked):
+                    yield pa.RecordBatch.from_arrays([pa.array(values[x].view(np.int64)) for x in (linked, root[linked])], names=["u", "v"])
+
+    met = pairs.join(payload("a"), "node_a").join(payload("b"), "node_b").select("fps_a", "fps_b", (F.col("node_a") == F.col("node_b")).alias("same"))
+    return met.mapInArrow(search, "u long, v long").distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
