@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,13 +13,18 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where none is set, a local session gets a temporary one; on a cluster that is an error, as executors could not read it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = "file://" + tempfile.mkdtemp(prefix="lithoscope-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -50,6 +56,15 @@ def bounded_labels(labels: DataFrame, label: str, max_zero: int, max_one: int) -
         known.filter("y = 1").orderBy(*order).limit(max_one))
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, max_zero: int, max_one: int) -> DataFrame:
+    """(doc_id, text, y): one row of ``docs`` for each of the ``bounded_labels``, of repeated ids the one whose text has the
+    smallest digest; so the bound holds after the join too. Ids may be of any type that labels' ids compare with."""
+    known = bounded_labels(labels, label, max_zero, max_one)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id")
+    digest = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "y"), digest).alias("r")).select("doc_id", "r.text", "r.y")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(u long, v long)`` as (node, root), root the smallest node reached.
 

@@ -7,8 +7,8 @@ maximise the likelihood of labelled pages (``labelled_pages`` makes a fixed set
 Blocks labelled text are joined in page order.
 
 Defined results: a null or empty page has the empty text; character references are decoded, white space (no-break
-spaces included) inside a block becomes one space, blocks are joined by one space; comments, scripts, styles and other
-raw elements are never text; unclosed and stray tags are repaired as browsers do for paragraphs, lists and tables;
+spaces included) inside a block becomes one space, blocks are joined by one space; comments, scripts, styles, titles and
+form parts are never text, while the text of formulas, drawings, embedded objects and media is read like any other; unclosed and stray tags are repaired as browsers do for paragraphs, lists and tables;
 pages of any length are read whole; repeated rows give repeated results; only the three named columns are read; an
 empty table gives an empty table.
 """
@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of HTML.
-RAW = frozenset("script style template noscript title textarea iframe svg math object select canvas audio video".split())
+RAW = frozenset("script style template noscript title textarea iframe select".split())
+#: Without an end tag these reach to the end of the page; of the other raw ones only the tag is skipped then.
+TO_THE_END = frozenset("script style title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
@@ -141,8 +143,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*[^>]*(?:>|\Z)", re.I).search(page, at)
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
-                at = end.end() if end else len(page)
+            at = end.end() if end else len(page) if tag in TO_THE_END else at
             continue
         if tag in BLOCK:
             flush()
@@ -152,7 +153,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 close(*CLOSES[tag])
             if re.fullmatch("h[1-6]", tag):
                 close({"h1", "h2", "h3", "h4", "h5", "h6"}, BLOCK)
-        if tag in VOID:
+        if tag in VOID or (m[3].endswith("/") and any(t in ("svg", "math") for t, _ in stack)):
             if tag == "br" or tag == "hr":
                 parts.append(" ")
         else:
@@ -185,8 +186,9 @@ def text_features(block: Block, k: int, n: int) -> list[str]:
     out = ["bias", f"words={min(words.bit_length(), 8)}", f"linked={min(4, 5 * block.linked // max(1, len(text)))}", f"stops={min(3, len(re.findall(r'[.!?](?: |$)', text)))}"]
     if text[-1] in ".!?\"”»":
         out.append("ends")
-    if len(text) < 400:
-        out += [f"says={m.lastgroup}" for m in PHRASES.finditer(text)]
+    said = [m.lastgroup for m in PHRASES.finditer(text)]
+    if 60 * len(said) >= words:  # a few of them in a long paragraph are its subject, not furniture
+        out += [f"says={name}" for name in said]
     out.append(f"at={4 * k // n}")
     return out
 

@@ -43,8 +43,8 @@ WITH d AS (
     length(line) - length(replace(line, ' | ', '  ')) AS bars, length(line) - length(replace(line, '!!', '!')) AS shouts
   FROM lines
 ), judged AS (
-  SELECT *, symbols > 0.1 * chars OR bars > 0.15 * n OR shouts > 0.3 * n OR (n <= 40 AND regexp_matches(lower(line),
-    'all rights reserved|cookie policy|accept cookies|privacy policy|terms of service|terms of use|enable javascript|javascript is disabled|click here|sign up for our newsletter|subscribe to our|log in to|back to top|skip to content|share on facebook|follow us on')) AS fails
+  SELECT *, symbols > 0.1 * chars OR bars > 0.15 * n OR shouts > 0.3 * n OR (40 * len(regexp_extract_all(lower(line),
+    'all rights reserved|cookie policy|accept cookies|privacy policy|terms of service|terms of use|enable javascript|javascript is disabled|click here|sign up for our newsletter|subscribe to our|log in to|back to top|skip to content|share on facebook|follow us on')) > greatest(n - 1, 0)) AS fails
   FROM facts
 ), per_doc AS (
   SELECT rid, sum(n) AS n_words, sum(symbols) AS n_symbols, sum(n) FILTER (WHERE NOT fails) AS kept_words,

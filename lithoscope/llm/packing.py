@@ -5,8 +5,8 @@ most one sequence, and the narrow piece rows are written to the shared folder. A
 hash over lanes of equal expected weight; each lane streams its pieces, longest first, through a bounded-space online
 best fit: at most ``open_bins`` bins are open, a bitset keyed by free space finds the tightest one in a few machine
 operations, and when no bin fits and none may be opened, the fullest closes. Whatever lies in bins that are still open
-and less than ``good_fill`` full when a lane ends (at most ``open_bins`` of them) is packed again, in fewer lanes, until
-one lane is left; so the waste does not grow with the number of lanes.
+and less than ``good_fill`` full when a lane ends (at most ``open_bins`` of them) is packed again, in at most half as
+many lanes, until one lane is left; so the waste does not grow with the number of lanes.
 
 Defined results: a null or empty text is the end token alone; a long text is cut into full pieces, the last may be
 shorter; repeated rows are packed as often as they occur (their pieces are told apart by place, not by id); a null id
@@ -288,11 +288,12 @@ def best_fit_pack(docs: DataFrame, path: str | None = None, capacity: int = 4096
     """Pieces of ``docs`` with sequence_id and offset: (id, piece, start, length, ids_crc32, sequence_id, offset)."""
     left = cut(pieces_of(docs, path or tokenizer_path(), capacity, end_id, id_col, text_col))
     done: list[DataFrame] = []
-    for stamp in range(64):
+    lanes, stamp = 1 << 48, 0
+    while lanes > 1:
         total = left.agg(F.sum("length")).first()[0] or 0
-        lanes = max(1, -(-total // lane_tokens))
+        lanes = max(1, min(lanes // 2, -(-total // lane_tokens)))
         last = lanes == 1
-        packed = pack_round(left, lanes, capacity, open_bins, good_fill, last, stamp)
+        packed, stamp = pack_round(left, lanes, capacity, open_bins, good_fill, last, stamp), stamp + 1
         if last:
             done.append(packed)
             break

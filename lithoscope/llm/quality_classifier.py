@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_labels, held_out
+from ._common import held_out, labelled_texts
 
 #: Byte kinds whose shares are features, as (name, bytes).
 KINDS = (
@@ -117,16 +117,15 @@ def fit(x: np.ndarray, y: np.ndarray, cut_at: float = 0.3, pairs: int = 60_000,
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text",
           per_class: int = 10_000, cut_at: float = 0.3) -> BradleyTerry:
     """A model from the labelled rows of ``docs``."""
-    known = bounded_labels(labels, label, per_class, per_class)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(known), "doc_id")
+    rows = labelled_texts(docs, labels, label, id_col, text_col, per_class, per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+            x = [features(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    got = rows.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, x array<double>").toPandas()
-    got = got.assign(key=[np.asarray(v).tobytes() for v in got["x"]]).sort_values(["doc_id", "key"])
+    got = rows.select(F.col("text").cast("binary").alias("text"), "y").mapInArrow(run, "y int, x array<double>").toPandas()  # bounded as the labels are
+    got = got.assign(key=[np.asarray(v).tobytes() for v in got["x"]]).sort_values(["y", "key"])
     x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, len(FEATURES)))
     return fit(x, got["y"].to_numpy(), cut_at)
 
@@ -149,6 +148,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut_at: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with their columns."""
+    """The rows of ``docs`` that the classifier accepts, with their columns.
+
+    Null and empty texts are judged by their zero features; a null or repeated id doesn't matter, each row is judged by
+    its own text; an empty table gives an empty table.
+    """
     model = train(docs, labels, cut_at=cut_at)
     return docs.filter(score_column(model, F.col("text")) >= cut_at)

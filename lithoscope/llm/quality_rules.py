@@ -75,11 +75,11 @@ def line_fails(x: Column, max_symbols: float = 0.1, max_bars: float = 0.15, max_
     """True for a line (as facts) that is symbol noise, a navigation row, shouting or page furniture.
 
     Shares are of the line's characters or words, so that its language, script or length does not matter. The
-    phrases of page furniture count in lines of at most 40 words; a paragraph that mentions one stays.
+    phrases of page furniture count from one in forty words on; a paragraph that mentions one stays.
     """
     n = F.size(x["w"])
     return ((x["symbols"] > max_symbols * x["chars"]) | (x["bars"] > max_bars * n) | (x["shouts"] > max_shout * n)
-            | F.when(n <= 40, x["line"].rlike("(?i)" + "|".join(BOILERPLATE))).otherwise(False))
+            | (F.regexp_count(x["line"], F.lit("(?i)" + "|".join(BOILERPLATE))) * 40 > F.greatest(n - 1, F.lit(0))))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20,

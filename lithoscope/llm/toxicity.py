@@ -6,8 +6,10 @@ counts are made by the executors, only terms and hits reach the driver. A word i
 lexicon's trie and the Levenshtein automaton of each term at once: a state is a set of (trie node, edits so far),
 states and their transitions are made once and kept. Words of 5 letters may differ by one edit, of 9 by two; each
 (term, edits) pair has its own weight, learnt from the labelled rows, so a spelling that clean documents share with
-a term counts for nothing. A hit counts less between quotation marks or near a reporting word, and more near an
-address to the reader. A logistic curve over a document's hits, fitted on the same rows, gives the score.
+a term counts for nothing. Each hit has a context: addressed (near a word for the reader), quoted (between two
+quotation marks of a line, or near a reporting word) or plain. What a hit in a context is worth is learnt as well: how
+telling such hits are among the labelled rows against plain ones, starting from a documented prior. A logistic curve
+over a document's hits, fitted on the same rows, gives the score.
 
 Defined results: a null or empty text has no hits and gets the score of a text without hits; without toxic labels the
 lexicon is empty and every score is the share of toxic labels (at most 0.49); null, repeated and unknown labels are
@@ -31,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_labels, held_out
-from .simhash import MASKS, fingerprints, gray_rank, local_roots, near_pairs
+from ._common import held_out, labelled_texts
+from .simhash import fingerprints, gray_rank, local_roots, near_pairs
 
 #: A word: letters and digits, with symbols that stand in for letters only between two of them.
 WORD = re.compile(r"\w(?:[\w@*$!]*\w)?")
@@ -41,7 +43,8 @@ WINDOW = 8
 #: Fixed word lists of the context windows.
 REPORTING = frozenset("said says called calls wrote word words term quote quoted dit mot disait sagte sagt wort zitat dijo dice palabra".split())
 ADDRESS = frozenset("you your youre yourself u ur tu toi vous votre du dich dein ihr euch tú usted ustedes te".split())
-QUOTES = "\"'“”„«»‘’"
+#: Spans between two quotation marks of one line.
+QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|‘[^’\n]*’(?!\w)|(?<!\w)'[^'\n]*'(?!\w)")
 
 
 def edits_allowed(term: str) -> int:
@@ -160,17 +163,20 @@ class Matcher:
             spans = [m.span() for m in WORD.finditer(lower)]
             said = [lower[a:b] for a, b in spans]
             out[(-1, 0, 0)] = len(said)
+            quotes = [m.span() for m in QUOTED.finditer(lower)]
+            opened = [a for a, _ in quotes]
             for k, word in enumerate(said):
                 if word in found:
                     edits, term = found[word]
                     near = said[max(0, k - WINDOW):k] + said[k + 1:k + 1 + WINDOW]
-                    a, b = spans[k]
-                    quoted = (a > 0 and lower[a - 1] in QUOTES and b < len(lower) and any(q in lower[b:b + 3] for q in QUOTES)) or not REPORTING.isdisjoint(near)
+                    span = bisect_left(opened, spans[k][0]) - 1
+                    quoted = (span >= 0 and spans[k][1] <= quotes[span][1]) or not REPORTING.isdisjoint(near)
                     out[(term, edits, 2 if not ADDRESS.isdisjoint(near) else 1 if quoted else 0)] += 1
         return out
 
 
-CONTEXT_WEIGHT = (1.0, 0.3, 1.25)
+#: Prior worth of a hit by context (plain, quoted, addressed), and how many labelled rows it counts for.
+CONTEXT_PRIOR, PRIOR_ROWS = (1.0, 0.3, 1.25), 20
 
 
 @dataclass
@@ -179,6 +185,7 @@ class ToxicModel:
 
     terms: list[str] = field(default_factory=list)
     weights: dict[tuple[int, int], float] = field(default_factory=dict)
+    contexts: tuple[float, ...] = CONTEXT_PRIOR
     curve: list[float] = field(default_factory=lambda: [0.0] * 6)
 
     def facts(self, hits: Counter | dict) -> list[float]:
@@ -187,10 +194,10 @@ class ToxicModel:
         for (term, edits, context), n in hits.items():
             if term < 0:
                 continue
-            worth = self.weights.get((term, edits), 0.0) * CONTEXT_WEIGHT[context] * (1 + math.log(n))
+            worth = self.weights.get((term, edits), 0.0) * self.contexts[context] * (1 + math.log(n))
             if worth > 0:
                 kinds.add(term)
-                total += n * CONTEXT_WEIGHT[context]
+                total += n * self.contexts[context]
                 if edits:
                     fuzzy += worth
                 else:
@@ -258,15 +265,10 @@ def one_vote(rows: DataFrame) -> DataFrame:
 
 
 def linked(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of distinct fingerprints at few differing bits, sought where two of four blocks are equal."""
-    for mask in MASKS:
-        part = fps & np.uint64(mask)
-        order = np.argsort(part, kind="stable")
-        for group in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-            if len(group) > 1:
-                group = group[np.argsort(gray_rank(fps[group]), kind="stable")]
-                for i, j in near_pairs(fps[group]):
-                    yield group[i], group[j]
+    """Index pairs of distinct fingerprints at few differing bits."""
+    order = np.argsort(gray_rank(fps), kind="stable")
+    for i, j in near_pairs(fps[order]):
+        yield order[i], order[j]
 
 
 def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, least: float) -> list[str]:
@@ -307,8 +309,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60) -
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
           max_toxic: int = 3000, max_clean: int = 12_000, least: float = 8.0) -> ToxicModel:
     """Lexicon, weights and curve from the labelled rows of ``docs``, one of each group of near-copies."""
-    chosen = bounded_labels(labels, label, max_clean, max_toxic)
-    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").persist()
+    given = labelled_texts(docs, labels, label, id_col, text_col, max_clean, max_toxic).persist()
     rows = one_vote(given).persist()
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     given.unpersist()
@@ -328,6 +329,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
         rows.unpersist()
     model = ToxicModel(terms)
     model.weights = fitted_weights(terms, hits, n_toxic, n_clean)
+    model.contexts = fitted_contexts(model.weights, hits, n_toxic, n_clean)
     x = np.array([model.facts({(t, e, c): n for t, e, c, n in h}) for h in hits["hits"]])
     model.curve = fit_curve(x, hits["y"].to_numpy().astype(float))
     return model
@@ -365,6 +367,23 @@ def fitted_weights(terms: list[str], hits: pd.DataFrame, n_toxic: int, n_clean:
     return out
 
 
+def fitted_contexts(weights: dict[tuple[int, int], float], hits: pd.DataFrame, n_toxic: int, n_clean: int) -> tuple[float, ...]:
+    """Worth of a hit by context: the log odds of rows whose hits all have it, as a share of those of plain ones (0 to 2),
+    averaged with the prior by the number of such rows; plain hits are worth 1."""
+    seen = {0: Counter(), 1: Counter()}
+    for y, row in zip(hits["y"], hits["hits"], strict=True):
+        found = {int(c) for t, e, c, _ in row if t >= 0 and (int(t), int(e)) in weights}
+        if len(found) == 1:
+            seen[y].update(found)
+    plain = log_odds(seen[1][0], seen[0][0], n_toxic, n_clean)
+    out = [1.0]
+    for c in (1, 2):
+        rows = seen[1][c] + seen[0][c] if plain > 0 else 0
+        share = min(2.0, max(0.0, log_odds(seen[1][c], seen[0][c], n_toxic, n_clean) / plain)) if plain > 0 else 0.0
+        out.append((PRIOR_ROWS * CONTEXT_PRIOR[c] + rows * share) / (PRIOR_ROWS + rows))
+    return tuple(out)
+
+
 def score_column(model: ToxicModel, text: Column) -> Column:
     """The toxicity of a text column."""
 
@@ -385,6 +404,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not toxic, with their columns."""
+    """The rows of ``docs`` that are not toxic, with their columns.
+
+    Null and empty texts have no hits and stay unless most labels are toxic; a null or repeated id doesn't matter, each row
+    is judged by its own text; an empty table gives an empty table.
+    """
     model = train(docs, labels)
     return docs.filter(score_column(model, F.col("text")) < 0.5)
