@@ -1,21 +1,22 @@
 """Embedding near-duplicates: product quantisation with coarse inverted lists, then exact cosines.
 
-1. Equal vectors of one label collapse to a class with a count (pre-aggregated), so copies never meet as pairs.
+1. Equal vectors of one label collapse to a class with a count (pre-aggregated), so copies never meet as pairs. A
+   vector is scaled by the power of two of its largest component, which changes no cosine and lets squares neither
+   overflow nor vanish; vectors of other lengths are kept apart like other labels, and padded with zeros for the index.
 2. Coarse centroids and residual sub-space codebooks are trained on a bounded sample of the classes (unit vectors).
    Every class is indexed: its list, the codes of its residual, and the error that the codes leave.
 3. A class probes every list from its own number on whose cell comes within the search radius of it: a neighbour at
    distance r can lie in another cell only if the bisector of the two centroids is at most r away. That holds for both
    sides of a link, so the one with the smaller list finds it. Near lists form groups of about ``block`` classes, and
    a class is sent once to each group that holds a list to probe.
-4. In a cell (label, group, block of about ``block`` members) queries meet the members' codes, decoded, in one matrix
+4. In a cell (label, group, block of about ``block`` members, part of at most about ``block`` times sixteen queries) queries meet the members' codes, decoded, in one matrix
    product. A member is left out only if even its coded distance less its code error exceeds the radius, so the codes
    lose nothing; what remains is decided by the exact cosine in double precision.
 5. Cells emit sums, not pairs: links per class, and one edge per class to the smallest of its local cluster. Within a
    list both sides ask and each counts its own links; between lists the side that asks counts for both.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows without a label, link
-with nothing and are their own component; vectors of other lengths than the commonest of the sample meet no vector;
-repeated rows count as vectors of their own; ids should be unique (an id that comes with several vectors is one node
+with nothing and are their own component; vectors link only with vectors of their own length; repeated rows count as vectors of their own; ids should be unique (an id that comes with several vectors is one node
 of the components); a null id gives a null component unless its class has others; extra columns are never read; an
 empty table gives an empty table.
 """
@@ -77,6 +78,14 @@ class ProductQuantiser:
         return out
 
 
+def scaled(vectors: list, width: int) -> np.ndarray:
+    """Vectors as rows of a matrix, each padded with zeros and divided by the power of two of its largest component."""
+    x = np.zeros((len(vectors), width))
+    for k, v in enumerate(vectors):
+        x[k, :len(v)] = v
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 def k_means(x: np.ndarray, k: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
     """Lloyd's centroids of ``x``; lists that run empty start again at a drawn row."""
     draw = np.random.default_rng(seed)
@@ -107,8 +116,7 @@ def vector_classes(vectors: DataFrame) -> DataFrame:
     """(label, embedding, cid, n): classes of equal usable vectors; cid is their smallest id."""
     e = F.col("embedding")
     bad = F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    size = F.aggregate(e, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-    usable = vectors.filter(F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0)).filter(~bad).filter((size > 0) & (size < float("inf")))
+    usable = vectors.filter(F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0)).filter(~bad).filter(F.exists(e, lambda v: v != 0))
     return usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("cid"), F.count("*").alias("n")).filter("cid is not null")
 
 
@@ -121,9 +129,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     alone = rows.select(F.col("vec_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not found:
         return alone.withColumn("kept", F.col(id_col).isNotNull())
-    drawn = [np.asarray(r["embedding"], float) for r in classes.select("embedding", F.xxhash64("embedding").alias("h"), "cid").orderBy("h", "cid").limit(sample).collect()]
-    width = int(np.bincount([len(v) for v in drawn]).argmax())
-    drawn = np.stack([v for v in drawn if len(v) == width])
+    width = classes.agg(F.max(F.size("embedding"))).first()[0]
+    drawn = scaled([r["embedding"] for r in classes.select("embedding", F.xxhash64("embedding").alias("h"), "cid").orderBy("h", "cid").limit(sample).collect()], width)
     n_lists = int(max(1, min(max_lists, 2 * found**0.5, len(drawn) / 4)))
     model = rows.sparkSession.sparkContext.broadcast(train_quantiser(drawn, n_lists, parts, words, float(np.sqrt(2 - 2 * threshold)), -(-found // block)))
     kind, vector_kind = (classes.schema[c].dataType.simpleString() for c in ("label", "embedding"))
@@ -133,7 +140,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
         for batch in batches:
             for low in range(0, batch.num_rows, 1024):
                 part = batch.slice(low, 1024)
-                x = np.stack([np.asarray(v, float) for v in part.column(1).to_pylist()])
+                x = scaled(part.column(1).to_pylist(), width)
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
                 own, probes = pq.lists(unit)
                 codes, left = pq.encode(unit, own)
@@ -142,15 +149,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
                      pa.array([p.tolist() for p in probes], pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(left)],
                     names=["label", "cid", "n", "embedding", "own", "group", "probes", "codes", "left"])
 
-    coded = cut(classes.filter(F.size("embedding") == width).select("label", "embedding", "cid", "n").mapInArrow(
+    coded = cut(classes.select("label", "embedding", "cid", "n").mapInArrow(
         index, f"label {kind}, cid long, n long, embedding {vector_kind}, own int, group int, probes array<int>, codes binary, left double"))
-    blocks = F.ceil(F.count("*") / block).cast("int").alias("blocks")
-    cells = coded.groupBy("label", "group").agg(blocks)
-    members = coded.join(cells, ["label", "group"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("role", F.lit(MEMBER))
-    queries = (coded.withColumn("group", F.explode("probes")).join(cells, ["label", "group"])
-               .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(QUERY))
-               .withColumn("codes", F.lit(None).cast("binary")))
-    fields = ["label", "group", "block", "role", "cid", "n", "embedding", "own", "codes", "left"]
+    coded = coded.withColumn("width", F.size("embedding"))
+    cell = ["label", "width", "group"]
+    sent = coded.select(*cell[:2], F.explode(F.concat(F.array(F.struct("group", F.lit(1).alias("m"), F.lit(0).alias("q"))), F.transform(
+        "probes", lambda g: F.struct(g.alias("group"), F.lit(0).alias("m"), F.lit(1).alias("q"))))).alias("s")).select(*cell[:2], "s.*")
+    cells = sent.groupBy(*cell).agg(F.ceil(F.sum("m") / block).cast("int").alias("blocks"), F.ceil(F.sum("q") / (16 * block)).cast("int").alias("parts"))
+    dealt = lambda n, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = (coded.join(cells, cell).filter("parts > 0").withColumn("block", dealt("blocks", 0)).withColumn("part", every("parts")).withColumn("role", F.lit(MEMBER)))
+    queries = (coded.withColumn("group", F.explode("probes")).join(cells.filter("blocks > 0"), cell).withColumn("part", dealt("parts", 1))
+               .withColumn("block", every("blocks")).withColumn("role", F.lit(QUERY)).withColumn("codes", F.lit(None).cast("binary")))
+    place = [*cell, "block", "part"]
+    fields = [*place, "role", "cid", "n", "embedding", "own", "codes", "left"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pq, key, held, links, edges = model.value, None, None, {}, []
@@ -168,9 +180,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
         for batch in batches:
             table = batch.to_pydict()
             n = batch.num_rows
-            starts = [k for k in range(n) if k == 0 or any(table[f][k] != table[f][k - 1] for f in ("label", "group", "block", "role"))]
+            starts = [k for k in range(n) if k == 0 or any(table[f][k] != table[f][k - 1] for f in (*place, "role"))]
             for a, b in zip(starts, [*starts[1:], n], strict=True):
-                at = tuple(table[f][a] for f in ("label", "group", "block"))
+                at = tuple(table[f][a] for f in place)
                 part = {f: table[f][a:b] for f in ("cid", "n", "embedding", "own", "codes", "left")}
                 if at != key:
                     yield from flush()
@@ -180,11 +192,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
                     continue
                 if held is not None:
                     meet(pq, held, part, links, edges)
+                    if len(links) > 100_000:
+                        yield from flush()
         yield from flush()
 
     def meet(pq: ProductQuantiser, held: dict, asked: dict, links: dict, edges: list) -> None:
         if "x" not in held:
-            held["x"] = np.asarray(held["embedding"], float)
+            held["x"] = scaled(held["embedding"], width)
             held["norm"] = np.linalg.norm(held["x"], axis=1)
             held["list"] = np.asarray(held["own"])
             held["coded"] = pq.decode(held["list"], np.frombuffer(b"".join(held["codes"]), np.uint8).reshape(len(held["cid"]), -1))
@@ -192,7 +206,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
             held["least"] = (1 + (held["coded"] ** 2).sum(1) - (pq.radius + np.asarray(held["left"]) + 1e-7) ** 2) / 2
         step = max(1, 2_000_000 // len(held["cid"]))
         for low in range(0, len(asked["cid"]), step):
-            x = np.asarray(asked["embedding"][low:low + step], float)
+            x = scaled(asked["embedding"][low:low + step], width)
             norm = np.linalg.norm(x, axis=1)
             lists = np.asarray(asked["own"][low:low + step])
             q, m = np.nonzero(((x / norm[:, None]) @ held["coded"].T >= held["least"]) & (lists[:, None] <= held["list"]))
@@ -218,7 +232,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
         far = np.flatnonzero(root != np.arange(len(nodes)))
         return list(zip(nodes[far].tolist(), nodes[root[far]].tolist(), strict=True))
 
-    placed = members.select(*fields).unionByName(queries.select(*fields)).repartition("label", "group", "block").sortWithinPartitions("label", "group", "block", "role")
+    placed = members.select(*fields).unionByName(queries.select(*fields)).repartition(*place).sortWithinPartitions(*place, "role")
     sums = cut(placed.mapInArrow(search, "u long, v long, links long"))
     linked = sums.groupBy(F.col("u").alias("cid")).agg(F.sum("links").alias("links"))
     roots = components(sums.select("u", "v")).select(F.col("node").alias("cid"), "root")

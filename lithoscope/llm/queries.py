@@ -64,7 +64,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = table(spark, sf_dir, "pages")
     archives = write_archives(with_revisits(pages), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
-    read = read_archives(spark, archives, with_payload=False).filter("record_type IN ('response', 'revisit')")
+    read = read_archives(archives, with_payload=False).filter("record_type IN ('response', 'revisit')")
     page_id, refers_to = (F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1).try_cast("long").alias(n) for c, n in (("record_id", "page_id"), ("refers_to", "refers_to")))
     return read.select(page_id, "payload_bytes", "payload_digest", "record_type", refers_to)
 

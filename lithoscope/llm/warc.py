@@ -6,8 +6,10 @@ shuffled once, by page id; each task writes one ``.warc.gz`` under a temporary n
 runs again replaces its file by the same bytes.
 
 Reading. Archives are cut into byte ranges. A task looks for the gzip magic in its range, takes a candidate only if
-it decodes to a WARC header and is followed by another member or the end of the file, and owns the records that start
-inside; a record may end beyond. Nothing but the range (and the tail of its last record) is read.
+it decodes to a WARC header (and, unless a record has just ended there, is followed by another member, by padding or by
+the end of the file), and owns the records that start inside; a record may end beyond. Nothing but the range (and the
+tail of its last record) is read. Where a record ends, or a file begins, and neither a record, padding nor the end
+follows, a row of type ``damaged`` says where; reading goes on at the next record.
 
 Defined results: a null html or url is empty; a null page id is a response of its own; repeated rows (equal id and
 payload) are written as often as they occur, all of one kind; rows of one id with different payloads are told apart by
@@ -22,7 +24,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut
@@ -71,8 +73,8 @@ def with_revisits(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
     return wide.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
-def write_archives(rows: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z") -> list[tuple[str, int]]:
-    """Write ``rows`` of ``with_revisits`` under ``folder``; (path, bytes) of each archive, one per task with rows."""
+def write_archives(rows: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
+    """Write ``rows`` of ``with_revisits`` under ``folder``; (path, size) of each archive, one per task with rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -100,7 +102,7 @@ def write_archives(rows: DataFrame, folder: str, date: str = "2000-01-01T00:00:0
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder.rstrip('/')}/{name}"]), pa.array([written], pa.int64())], names=["path", "size"])
 
     ordered = rows.sortWithinPartitions("page_id", "digest", "url")
-    return [(r["path"], r["size"]) for r in ordered.mapInArrow(run, "path string, size long").collect()]
+    return cut(ordered.mapInArrow(run, "path string, size long"))
 
 
 class RangeReader:
@@ -133,7 +135,17 @@ class RangeReader:
             self.forget(at)
         return -1
 
-    def unpacked(self, at: int, first: int = 4096) -> tuple[bytes, int] | None:
+    def padded(self, at: int) -> bool:
+        """Whether nothing but zeros follows."""
+        while at < self.size:
+            self.upto(min(self.size, at + self.step))
+            piece = self.data[at - self.base:at - self.base + self.step]
+            if piece.strip(b"\0"):
+                return False
+            at += len(piece)
+        return True
+
+    def unpacked(self, at: int, expected: bool, first: int = 4096) -> tuple[bytes, int] | None:
         """(content, end) of the gzip member at ``at`` if it is a WARC record, else None."""
         packer, out = zlib.decompressobj(31), []
         place, size = at, 0
@@ -154,7 +166,7 @@ class RangeReader:
         self.upto(end + 3)
         follows = self.data[end - self.base:end - self.base + 3]
         content = b"".join(out)
-        return (content, end) if content.startswith(b"WARC/1.") and (end >= self.size or follows == MAGIC) else None
+        return (content, end) if content.startswith(b"WARC/1.") and (expected or follows == MAGIC or self.padded(end)) else None
 
 
 def parse_record(content: bytes) -> dict:
@@ -179,21 +191,26 @@ def records_in(path: str, start: int, stop: int) -> Iterator[dict]:
     store, inner = file_system(path)
     size = store.get_file_info(inner).size
     with store.open_input_file(inner) as file:
-        reader, at = RangeReader(file, size, start), start
+        reader, at, expected = RangeReader(file, size, start), start, start == 0
         while 0 <= (found := reader.find(MAGIC, at, min(stop, size))):
-            got = reader.unpacked(found)
-            if got is None:
-                at = found + 1
-                continue
-            content, at = got
-            reader.forget(found)
-            yield parse_record(content) | {"path": path, "at": found}
-
-
-def read_archives(spark: SparkSession, archives: list[tuple[str, int]], split_bytes: int = 16 << 20, with_payload: bool = True) -> DataFrame:
-    """All records of ``archives`` (path, bytes), by ranges of ``split_bytes``."""
-    ranges = [(p, s, min(n, s + split_bytes)) for p, n in archives for s in range(0, n, split_bytes)]
-    cuts = spark.createDataFrame(ranges, "path string, start long, stop long")
+            got = reader.unpacked(found, expected and found == at)
+            if expected and (found > at or got is None) and not reader.padded(at):
+                yield {"record_type": "damaged", "path": path, "at": at}
+            at, expected = found + 1, False
+            if got is not None:
+                content, at = got
+                reader.forget(found)
+                expected = True
+                yield parse_record(content) | {"path": path, "at": found}
+        if expected and at < size and (at < stop or reader.unpacked(at, True) is None) and not reader.padded(at):
+            yield {"record_type": "damaged", "path": path, "at": at}
+
+
+def read_archives(archives: DataFrame, split_bytes: int = 16 << 20, with_payload: bool = True) -> DataFrame:
+    """All records of ``archives`` (path, size), by ranges of ``split_bytes``; the executors make the ranges."""
+    n = archives.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 1
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long")))
+    cuts = archives.filter("size > 0").select("path", starts.alias("start"), "size").select("path", "start", F.least(F.col("start") + split_bytes, "size").alias("stop"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()),
@@ -205,11 +222,11 @@ def read_archives(spark: SparkSession, archives: list[tuple[str, int]], split_by
                     if not with_payload:
                         record["payload"] = None
                     held.append(record)
-                    size += 200 + len(record["payload"] or b"")
+                    size += 200 + len(record.get("payload") or b"")
                     if size > 8 << 20:
                         yield pa.RecordBatch.from_pylist(held, schema=kinds)
                         held, size = [], 0
         if held:
             yield pa.RecordBatch.from_pylist(held, schema=kinds)
 
-    return cuts.repartition(max(1, len(ranges))).mapInArrow(run, RECORD_SCHEMA)
+    return cuts.repartition(int(n)).mapInArrow(run, RECORD_SCHEMA)

@@ -44,6 +44,10 @@ def test_markup_edges():
     assert texts("<ul><li>x<li>y</ul>z") == ["x", "y", "z"]
     assert texts("<p title='a>b'>q</p><!-- <p>no</p> --><script>1<2</script>r") == ["q", "r"]
     assert texts("<div>open <b>never closed") == ["open never closed"]
+    assert texts("<p>Energy is <math><mi>E</mi><mo>=</mo><mi>mc</mi></math> as shown</p>") == ["Energy is E=mc as shown"]
+    assert texts("<p>see <object data='x'>the fallback words</object> <svg><path d='m'/><text>A</text></svg> on") == ["see the fallback words A on"]
+    assert texts("<p>a <select><p>b <video src='x'/>c <object/>d") == ["a", "b c d"]  # without end tags nothing is skipped
+    assert texts("<p>a<select><option>no</select>b<textarea>the rest") == ["ab"]
     assert texts("<textarea>no</textarea><p>a&lt;b&amp;amp;") == ["a<b&amp;"]
 
 

@@ -3,13 +3,14 @@
 import os
 import zlib
 from collections import defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
 import xxhash
 from oracle import SMALL, differences
 
-from lithoscope.llm import oracle, queries
+from lithoscope.llm import oracle, queries, toxicity
 
 MEDIUM = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="the provided tables are not here")
@@ -121,3 +122,75 @@ def test_pages(spark):
     rows = queries.op4_html_extract(spark, SMALL).collect()
     assert len(rows) == spark.read.parquet(f"{SMALL}/pages.parquet").count()
     assert all(r.n_chars == len(r.text) and r.text == " ".join(r.text.split(" ")) and "<script" not in r.text for r in rows)
+
+
+class ArticleBlocks(HTMLParser):
+    """The blocks of the articles of pages with tidy markup, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.blocks += [""] if tag in ("article", "h1", "p", "ul", "li", "div") else []
+        self.blocks[-1] += " " if tag == "br" else ""
+
+    def handle_endtag(self, tag):
+        self.blocks += [""] if tag in ("article", "h1", "p", "ul", "li", "div") else []
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        self.blocks[-1] += data if self.inside else ""
+
+
+def test_main_text_is_the_article(spark):
+    want = {}
+    for r in spark.read.parquet(f"{MEDIUM}/pages.parquet").collect():
+        parser = ArticleBlocks()
+        parser.feed(r.html or "")
+        parser.close()
+        want[r.page_id] = " ".join(t for t in (" ".join(b.split()) for b in parser.blocks) if t)
+    assert {r.page_id: r.text for r in queries.op4_html_extract(spark, MEDIUM).collect()} == want
+
+
+def edits(a, b):
+    """Levenshtein distance, row by row."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_automaton_is_plain_edit_distance():
+    draw = np.random.default_rng(8)
+    word = lambda low, high: "".join(draw.choice(list("abcd"), draw.integers(low, high)))
+    terms = sorted({word(3, 12) + ("*" if draw.random() < 0.3 else "") for _ in range(60)})
+    automaton = toxicity.LexiconAutomaton(terms)
+    hits = 0
+    for _ in range(1500):
+        said = word(1, 14) if draw.random() < 0.5 else terms[draw.integers(len(terms))].rstrip("*") + word(0, 3)
+        found = []
+        for k, term in enumerate(terms):
+            text = term.rstrip("*")
+            least = min(edits(text, said[:n]) for n in range(len(said) + 1)) if term.endswith("*") else edits(text, said)
+            found += [(least, k)] if least <= toxicity.edits_allowed(text) else []
+        assert automaton.match(said) == min(found, default=None), said
+        hits += bool(found)
+    assert 300 < hits < 1400
+
+
+def test_contexts_are_learnt(spark):
+    """Quoted uses are clean and plain ones toxic: the learnt worth of a quoted hit falls, and quotation is told from abuse."""
+    words = ["river", "stone", "light", "garden", "window", "letter", "music", "winter", "bridge", "forest", "silver", "candle"]
+    draw = np.random.default_rng(6)
+    said = lambda: " ".join(draw.choice(words, 40))
+    texts = [(said() + " snorbwick " + said(), 1) for _ in range(300)] + [(said() + ' “an old snorbwick there” ' + said(), 0) for _ in range(40)] + [(said(), 0) for _ in range(900)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int"))
+    assert model.contexts[0] == 1 and model.contexts[1] < 0.2
+    matcher = toxicity.Matcher(model.terms)
+    score = [model.score(matcher.hits(t)) for t in (said() + " snorbwick " + said(), said() + ' “that snorbwick of old” ' + said())]
+    assert score[0] > 0.5 > score[1]

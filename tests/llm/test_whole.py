@@ -23,6 +23,31 @@ def test_links_in_a_dense_group(spark):
         assert [got[i] for i in range(len(v))] == want.tolist()
 
 
+def test_links_of_all_lengths_and_norms(spark):
+    """Planted near-copies, copies, rare lengths and extreme norms against plain cosines; recall is 1."""
+    draw, rows = np.random.default_rng(9), []
+    for width, n in ((64, 900), (3, 40), (129, 60)):
+        v = draw.normal(size=(n, width))
+        near = v[: n // 2] + draw.normal(size=(n // 2, width)) * draw.uniform(0.1, 0.6, (n // 2, 1))
+        rows += [(x * s).tolist() for x, s in zip(np.concatenate([v, near, v[:5]]), draw.choice([1.0, 2.0**-600, 2.0**600, 1e-3], 2 * n, replace=True).tolist() + [1.0] * 5)]
+    rows += [[1e200, 0.0], [1e200, 0.0], [3e-200, 0.0], [5e-324], [1.7e308]]
+    data = [(i, x, i % 2) for i, x in enumerate(rows)]
+    want = {i: 0 for i, *_ in data}
+    unit = [np.ldexp(np.array(x), -int(np.frexp(np.abs(x).max())[1])) for x in rows]
+    unit = [u / np.sqrt(u @ u) for u in unit]
+    for width in {len(x) for x in rows}:
+        for label in (0, 1):
+            some = [i for i, x, y in data if len(x) == width and y == label]
+            if some:
+                m = np.stack([unit[i] for i in some])
+                for i, n in zip(some, ((m @ m.T) >= 0.93).sum(1) - 1, strict=True):
+                    want[i] = int(n)
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    for block in (4096, 64):
+        got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, block=block).collect()}
+        assert got == want and sum(want.values()) > 500
+
+
 def test_one_of_each_component_is_kept(spark):
     """Documents without an id, and with one that another has, are told apart by their texts."""
     words = [f"{a}{b}" for a in ("ra", "so", "li", "ne", "mu") for b in ("ver", "tun", "gal", "pok", "wid")]
