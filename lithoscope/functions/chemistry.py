@@ -29,46 +29,46 @@ def element_of_label(label: Column) -> Column:
         .when(letters.rlike("^.[a-z]") & two.isin(*ELEMENTS), two).when(one.isin(*ELEMENTS), one))
 
 
-_TOKEN = re.compile(r"([A-Z][a-z]?)|([(\[])|([)\]])|(\d+(?:\.\d+)?)")
+#: What a formula is made of; anything else makes it unreadable.
+_TOKEN = re.compile(
+    r"(?P<comment>;.*)|(?P<charge>\^\d+[+-]\^)|(?P<blank>[\s_]+)|(?P<join>Â?[·•])|(?P<element>[A-Z][a-z]?)|(?P<open>[(\[])|(?P<close>[)\]])"
+    r"|(?P<number>\d(?:_*\d)*(?:\.\d+)?)|(?P<other>.)", re.S)
+_SILENT = ("comment", "charge", "blank")
 
 
 def formula_amounts(text: str | None) -> dict[str, float] | None:
-    """Element amounts of a formula; parts joined by a dot (hydrates) add up with their leading factors. None if unreadable."""
-    if not text:
-        return None
-    text = text.split(";", 1)[0].replace("Â·", "·").replace("_", "")
-    text, total = re.sub(r"\^\d+[+-]\^", "", text), {}
-    for part in filter(None, (p.strip() for p in re.split("[·•]", text))):
-        lead = re.match(r"(\d+(?:\.\d+)?)\s*(?=[A-Z\[(])", part)
-        stack, last, at = [{}], None, lead.end() if lead else 0
-        for m in _TOKEN.finditer(part, at):
-            if part[at : m.start()].strip():
-                return None
-            at, (element, opens, closes, number) = m.end(), m.groups()
-            if element:
-                if element not in ELEMENTS:
-                    return None
-                last = {element: 1.0}
-            elif opens:
-                stack, last = [*stack, {}], None
-                continue
-            elif closes:
-                if len(stack) < 2:
-                    return None
-                last = stack.pop()
-            elif last is None:
-                return None
-            factor = float(number) - 1 if number else 1.0  # what follows adds to the once that is already counted
-            for k, v in last.items():
-                stack[-1][k] = stack[-1].get(k, 0.0) + v * factor
-            last = None if number else last
-        if len(stack) > 1 or part[at:].strip():
+    """Element amounts of a formula; parts joined by a dot (hydrates) add up with their leading factors. None if unreadable.
+
+    Read from its end, so that a number is known before what it multiplies: an element, a closed bracket, or, where a
+    part begins, the part. Comments after a semicolon, charges and underscores are silent.
+    """
+    total: dict[str, float] = {}
+    part: dict[str, float] = {}
+    scales, number = [1.0], None
+    said = [(m.lastgroup, m[0]) for m in _TOKEN.finditer(text or "") if m.lastgroup not in _SILENT]
+    for kind, token in reversed([("join", ""), *said]):
+        times = 1.0 if number is None else number
+        if kind == "number" and number is None:
+            number = float(token.replace("_", ""))
+            continue
+        if kind == "close":
+            scales.append(scales[-1] * times)
+        elif kind == "open" and len(scales) > 1 and number is None:
+            scales.pop()
+        elif kind == "element" and token in ELEMENTS:
+            part[token] = part.get(token, 0.0) + scales[-1] * times
+        elif kind == "join" and len(scales) == 1 and (part or number is None):
+            for element, amount in part.items():
+                total[element] = total.get(element, 0.0) + times * amount
+            part = {}
+        else:
             return None
-        for k, v in stack[0].items():
-            total[k] = total.get(k, 0.0) + v * (float(lead[1]) if lead else 1.0)
+        number = None
     return total or None
 
 
 @F.pandas_udf(MapType(StringType(), DoubleType()))
 def parse_formula(text: pd.Series) -> pd.Series:
-    return text.map(formula_amounts)
+    """Amounts of each formula; equal ones of a batch are read once."""
+    known = {t: formula_amounts(t) for t in text.dropna().unique()}
+    return pd.Series([known.get(t) for t in text], index=text.index, dtype=object)

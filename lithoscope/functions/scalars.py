@@ -83,6 +83,36 @@ def stars(p: Column) -> Column:
     return F.when(p < 1e-3, "***").when(p < 1e-2, "**").when(p < 5e-2, "*").otherwise("")
 
 
+def p_text(p: Column) -> Column:
+    """A p value with three digits, or that it is below 0.001; missing: empty."""
+    return F.when(p.isNull() | F.isnan(p), "").when(p < 1e-3, "<0.001").otherwise(F.format_string("%.3f", p))
+
+
+def interval_text(value: Column, low: Column, high: Column) -> Column:
+    """An estimate and its interval with signs and two digits."""
+    return F.format_string("%+.2f [%+.2f, %+.2f]", value, low, high)
+
+
+def three_digits(x: Column) -> Column:
+    """A number with three significant digits, without trailing zeros; powers of ten below 0.0001 and from 1000 on.
+
+    As in all texts here, a tie of the shortest decimal is rounded away from zero.
+    """
+    power = F.format_string("%.2e", x)
+    exponent = F.regexp_extract(power, "e(.*)$", 1).cast("int")
+    plain = F.lit(None).cast("string")
+    for e in range(-4, 3):
+        plain = F.when(exponent == e, F.format_string(f"%.{2 - e}f", x)).otherwise(plain)
+    bare = lambda text, end: F.regexp_replace(text, rf"(\.[0-9]*?)0+{end}", f"$1{end.strip('$')}")
+    dotless = lambda text, end: F.regexp_replace(text, rf"\.{end}", end.strip("$"))
+    return F.coalesce(dotless(bare(plain, "$"), "$"), dotless(bare(power, "e"), "e"))
+
+
+def median_text(median: Column, q25: Column, q75: Column) -> Column:
+    """A median with its quartiles."""
+    return F.concat(three_digits(median), F.lit(" ["), three_digits(q25), F.lit("-"), three_digits(q75), F.lit("]"))
+
+
 def failure_category(error: Column) -> Column:
     """Taxonomy of a structure error text: the first known category in it; no text means that there were no atoms."""
     text = F.coalesce(error, F.lit(""))

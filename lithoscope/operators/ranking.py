@@ -3,7 +3,8 @@
 A window ordered over a key puts that key into one task; a key may hold a third of all rows. Here equal values of a
 key are counted first (combined before the shuffle), then split at approximate quantiles of the key into blocks, and
 only blocks are ordered: a value's place is its block's offset plus its place in the block. Offsets are sums over at
-most ``blocks`` rows per key. Everything is exact; the approximation only decides where blocks end.
+most ``blocks`` rows per key. Everything is exact; the approximation only decides where blocks end. There are as many
+blocks as a key needs to keep all tasks of a shuffle busy.
 """
 
 from __future__ import annotations
@@ -12,12 +13,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def value_places(df: DataFrame, keys: list[str], value: str, blocks: int = 64) -> DataFrame:
+def enough_blocks(df: DataFrame) -> int:
+    """The power of two, from 64 to 4096, that is at least four times the shuffle partitions."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(4096, max(64, 1 << (4 * tasks - 1).bit_length()))
+
+
+def value_places(df: DataFrame, keys: list[str], value: str, blocks: int | None = None) -> DataFrame:
     """One row per key and distinct non-null value: (keys, value, n, before, total); ``blocks`` is a power of two.
 
     ``n`` rows hold the value, ``before`` rows of the key hold smaller ones, ``total`` rows hold any. NULL keys form
     a key of their own.
     """
+    blocks = blocks or enough_blocks(df)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
     ends = [i / blocks for i in range(1, blocks)]
     renamed = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
@@ -40,13 +48,13 @@ def value_places(df: DataFrame, keys: list[str], value: str, blocks: int = 64) -
     return local.join(offsets, on=[F.col("__block") == F.col("__b"), *same]).select(*keys, value, "n", (F.col("__before") + F.col("__offset")).alias("before"), "total")
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, name: str = "rank", blocks: int = 64) -> DataFrame:
+def average_ranks(df: DataFrame, keys: list[str], value: str, name: str = "rank", blocks: int | None = None) -> DataFrame:
     """(keys, value, rank): ties share the mean of their ranks."""
     places = value_places(df, keys, value, blocks)
     return places.select(*keys, value, (F.col("before") + (F.col("n") + 1) / 2).alias(name))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], blocks: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], blocks: int | None = None) -> DataFrame:
     """(keys, n, one column per prob): linearly interpolated quantiles (those of ``percentile``) per key.
 
     A quantile lies between the values at two places; a row of ``value_places`` tells by itself whether it holds

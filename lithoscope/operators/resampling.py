@@ -81,16 +81,15 @@ def paired_differences(boot: DataFrame, base: str, others: list[str]) -> DataFra
 
 
 def permute(df: DataFrame, columns: list[str], key: list[str], seed: int = 0, block: int = 4096) -> DataFrame:
-    """The named columns moved together to other rows: a random rotation within random blocks of about ``block`` rows.
+    """The named columns moved together to other rows: a random permutation within random blocks of about ``block`` rows.
 
-    A row's block and place are hashes of its key, so the result does not depend on partitioning.
+    A row's block and its places in two random orders of the block are hashes of its key and the seed, so the result does
+    not depend on partitioning. The row at a place of the one order takes the values at that place of the other.
     """
     from pyspark.sql import Window
 
     n = df.count()
-    h = F.xxhash64(*key, F.lit(seed))
-    placed = df.withColumn("__h", h).withColumn("__block", F.pmod(F.xxhash64("__h"), F.lit(max(1, n // block))))
-    w = Window.partitionBy("__block").orderBy("__h", *key)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    moved = {c: F.coalesce(F.lead(F.struct(F.col(c).alias("v"))).over(w), F.first(F.struct(F.col(c).alias("v"))).over(whole))["v"] for c in columns}
-    return placed.withColumns({f"permuted_{c}": v for c, v in moved.items()}).drop("__h", "__block")
+    placed = df.withColumn("__block", F.pmod(F.xxhash64(*key, F.lit(seed), F.lit(2)), F.lit(max(1, n // block))))
+    place = lambda salt: F.row_number().over(Window.partitionBy("__block").orderBy(F.xxhash64(*key, F.lit(seed), F.lit(salt)), *key))
+    given = placed.select("__block", place(1).alias("__place"), *(F.col(c).alias(f"permuted_{c}") for c in columns))
+    return placed.withColumn("__place", place(0)).join(given, ["__block", "__place"]).drop("__block", "__place")

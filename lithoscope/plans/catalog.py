@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cohorts, modelling, reports, spectral, statistics, structures
+from . import cohorts, modelling, reports, spectral, statistics, structures, summaries
 
-_PARTS = (spectral, cohorts, statistics, modelling, structures, reports)
+_PARTS = (spectral, cohorts, statistics, modelling, structures, reports, summaries)
 
 QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLES: dict = {k: v for part in _PARTS for k, v in part.ORACLES.items()}

@@ -70,9 +70,11 @@ def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decile_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     binned = C.quantile_bins(table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity"), "l_extendedprice")
-    x = exact_quantiles(binned, ["bin"], "l_extendedprice", {"x_median": 0.5})
-    y = exact_quantiles(binned, ["bin"], "l_quantity", {"y_q25": 0.25, "y_median": 0.5, "y_q75": 0.75})
-    return rounded(x.join(y.drop("n"), "bin").withColumn("bin", F.col("bin").cast("long")))
+    both = F.array(F.struct(F.lit("x").alias("c"), F.col("l_extendedprice").cast("double").alias("v")), F.struct(F.lit("y").alias("c"), F.col("l_quantity").cast("double").alias("v")))
+    long = exact_quantiles(binned.select("bin", F.explode(both).alias("r")).select("bin", "r.*"), ["bin", "c"], "v", {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    of = lambda c, q: F.max(F.when(F.col("c") == c, F.col(q))).alias(f"{c}_{q}")
+    wide = long.groupBy("bin").agg(F.max(F.when(F.col("c") == "x", F.col("n"))).alias("n"), of("x", "median"), of("y", "q25"), of("y", "median"), of("y", "q75"))
+    return rounded(wide.withColumn("bin", F.col("bin").cast("long")))
 
 
 def auto_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:

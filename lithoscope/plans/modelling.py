@@ -129,19 +129,23 @@ def pls_q2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rise of the out-of-fold error over the variance when a descriptor, or the group of the first three, moves to other rows."""
+    """Rise of the out-of-fold error over the variance when a descriptor, or the group of the first three, is permuted: mean
+    and spread of five permutations."""
     df, k = _folded(spark, sf_dir), len(FEATURES)
     matrices = L.fold_matrices(df, [*FEATURES, "y"])
     total = sum(matrices.values())
     fits = {f: L.ols_coefficients(total - held, k) for f, held in matrices.items()}
-    moved = R.permute(df, FEATURES, ["vec_id"])
+    moved = R.permute(df, FEATURES, ["vec_id"], 0).withColumn("seed", F.lit(0))
+    for seed in range(1, 5):
+        moved = moved.unionByName(R.permute(df, FEATURES, ["vec_id"], seed).withColumn("seed", F.lit(seed)))
     sets = {f: [f] for f in FEATURES} | {"first_three": FEATURES[:3]}
     scored = L.out_of_fold(moved, FEATURES, fits, name="p_none")
     for name, cols in sets.items():
         scored = L.out_of_fold(scored, [f"permuted_{c}" if c in cols else c for c in FEATURES], fits, name=f"p_{name}")
     mse = lambda n: F.avg(F.pow(F.col("y") - F.col(f"p_{n}"), 2))
-    rise = scored.agg(*(F.try_divide(mse(n) - mse("none"), F.var_pop("y")).alias(n) for n in sets))
-    return rise.select(F.explode(F.array(*(F.struct(F.lit(n).alias("variable"), F.col(n).alias("importance")) for n in sets))).alias("r")).select("r.*")
+    rise = scored.groupBy("seed").agg(*(F.try_divide(mse(n) - mse("none"), F.var_pop("y")).alias(n) for n in sets))
+    long = rise.select(F.explode(F.array(*(F.struct(F.lit(n).alias("variable"), F.col(n).alias("v")) for n in sets))).alias("r")).select("r.*")
+    return long.groupBy("variable").agg(F.avg("v").alias("importance"), F.stddev_pop("v").alias("sd_repeats"))
 
 
 def knn_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:

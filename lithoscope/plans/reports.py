@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,14 +41,23 @@ def drop_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def complete_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R2 on all rows (gaps filled and flagged) against complete rows; the first descriptor has gaps that depend on another."""
-    df = modelling._folded(spark, sf_dir).withColumn("f0", F.when(F.col("f3") < 0, F.col("f0")))
+    """R2 on all rows (gaps filled and flagged) against complete rows; the first descriptor has gaps that depend on another.
+
+    Medians and flags of a fold are learnt from the other folds.
+    """
+    df = modelling._folded(spark, sf_dir).withColumn("f0", F.when(F.col("f3") < 0, F.col("f0"))).cache()
     columns = modelling.FEATURES
-    fitted = L.fit_preparation(df, columns)
-    names = [*columns, *(f"NA_{c}" for c in fitted["flags"])]
-    filled = L.fold_matrices(L.prepare(df, fitted), [*names, "y"])
-    complete = L.fold_matrices(df, [*columns, "y"])
-    rows = [("all_rows", int(sum(m[0, 0] for m in filled.values())), L.cross_validated_r2(filled, names, names)), ("complete_rows", int(sum(m[0, 0] for m in complete.values())), L.cross_validated_r2(complete, columns, columns))]
+    complete, n, error, spread = L.fold_matrices(df, [*columns, "y"]), 0.0, 0.0, 0.0
+    for fold in complete:
+        fitted = L.fit_preparation(df.filter(F.col("fold") != fold), columns)
+        names = [*columns, *(f"NA_{c}" for c in fitted["flags"])]
+        filled, k = L.fold_matrices(L.prepare(df, fitted), [*names, "y"]), len(names)
+        total = sum(filled.values())
+        n += filled[fold][0, 0]
+        error += L.error_sum(filled[fold], L.ols_coefficients(total - filled[fold], k), k + 1)
+        spread = L.error_sum(total, np.array([total[0, k + 1] / total[0, 0]]), k + 1)
+    df.unpersist()
+    rows = [("all_rows", int(n), float(1 - error / spread) if spread > 0 else None), ("complete_rows", int(sum(m[0, 0] for m in complete.values())), L.cross_validated_r2(complete, columns, columns))]
     return spark.createDataFrame(rows, "rows string, n long, r2 double")
 
 

@@ -232,3 +232,33 @@ def test_structures(spark):
     tetra = spark.createDataFrame([("s", 0, "Si", 1.9, 28.0, 1.11), *(("s", j, "O", 3.44, 16.0, 0.66) for j in range(1, 6))], "k string, i int, symbol string, chi double, mass double, radius double")
     r = structure.bond_statistics(edges, tetra, "k").first()
     assert (r.n_bonds, r.mean_cn, r.n_anion_group_types, r.anion_group_o_fraction, r.polymerization_index, r.cv_bond) == (4, 4, 1, 0.8, 0, 0)
+
+
+def test_formulas():
+    from lithoscope.functions.chemistry import formula_amounts as amounts
+
+    assert amounts("CaSO_4_·2H_2_O") == {"Ca": 1, "S": 1, "O": 6, "H": 4} and amounts("Fe^2+^S; pyrrhotite") == {"Fe": 1, "S": 1}
+    assert amounts("2(Mg0.5Fe1.5)2[SiO4] Â· 0.5 H2O") == {"Mg": 2, "Fe": 6, "Si": 2, "O": 8.5, "H": 1}
+    assert amounts("Ca1_0Si") == {"Ca": 10, "Si": 1} and amounts("·NaCl·") == {"Na": 1, "Cl": 1} and amounts("Si0.5 O") == {"Si": 0.5, "O": 1}
+    assert all(amounts(x) is None for x in (None, "", ";x", "Si(O2", "SiO2)", "(2H2O)", "Xx", "Si 2 3", "2", "Na+", "2·H2O", "()2", "[Na)x"))
+
+
+def test_formula_units_and_images(spark):
+    from lithoscope.operators import structure
+
+    rows = [({"Ca": 6, "O": 9},), ({"H": 2**40, "O": 3 * 2**30},), ({"Si": 7},), ({},), ({"A": 0, "B": 4},)]
+    df = spark.createDataFrame(rows, "c map<string,long>")
+    assert [r[0] for r in df.select(structure.formula_units(F.col("c"))).collect()] == [3, 2**30, 7, None, 4]
+    cell = [[2.0, 0.0, 0.0], [0.5, 3.0, 0.0], [0.0, 0.3, 9.0]]
+    sites = [(0, [0.1, 0.1, 0.1]), (1, [2.2, 2.8, 8.5])]
+    df = spark.createDataFrame([("a", sites, cell)], "k string, sites array<struct<i int, xyz array<double>>>, cell array<array<double>>")
+    got = sorted((r.i, r.j, round(r.d, 6)) for r in structure.neighbours(df, "k", 6.0, F.array(*(F.array(*(F.lit(x) for x in v)) for v in cell))).collect())
+    want, vectors = [], np.array(cell)
+    for i, a in sites:
+        for j, b in sites:
+            for s in np.ndindex(15, 15, 15):
+                d = float(np.linalg.norm(np.array(b) + (np.array(s) - 7) @ vectors - np.array(a)))
+                want += [(i, j, round(d, 6))] if 1e-8 < d <= 6.0 else []
+    assert got == sorted(want)
+    with pytest.raises(ValueError):
+        structure.with_element_data(spark.range(1).selectExpr("'A' AS symbol"), spark.range(201).selectExpr("concat('E', id) AS symbol", "1.0 AS chi", "1.0 AS mass", "1.0 AS radius"))

@@ -5,6 +5,9 @@ from oracle import SMALL, differences
 
 from lithoscope.plans import catalog
 
+#: Reports of what is significant; on a small table nothing may be.
+MAY_BE_EMPTY = {"top_coefficients"}
+
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="the provided tables are not here")
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
@@ -13,4 +16,4 @@ def test_query(spark, name):
     if name in catalog.ORACLES:
         assert differences(df, catalog.ORACLES[name]) == []
     else:
-        assert df.count() > 0
+        assert df.count() > 0 or name in MAY_BE_EMPTY

@@ -39,17 +39,28 @@ def test_spectra(spark, tmp_path):
     rows = {r["mineral"]: r for r in files.read_spectra(spark, f"file://{tmp_path}/r").collect()}
     assert set(rows) == {"Quartz A", "B"}
     q = rows["Quartz A"]
-    assert (q.ident, q.wavelength, q.mineral_norm, q.quality, q.orientation, q.tier_rank) == ("R01", "532", "quartza", "excellent", "oriented", 4)
+    assert (q.ident, q.wavelength, q.mineral_norm, q.quality, q.orientation, q.tier_rank) == ("R01", "532", "quartza", "excellent", "oriented", 1)
     assert [tuple(p) for p in q.points] == [(100.5, 1000.0), (200.0, -1.0), (300.0, 2.5)]
     assert (q.ideal_chemistry, q.measured_chemistry) == ("Si=O", "")
     assert rows["B"].points == [] and rows["B"].ident == "RAMAN_DATA_PROCESSED"
 
 
+def test_spectrum_order(spark, tmp_path):
+    """Quality goes before orientation, orientation before the laser, that before the name."""
+    for folder, laser in (("poor_unoriented", 532), ("excellent_oriented", 780), ("fair_unoriented", 532), ("excellent_oriented", 532), ("unrated_oriented", 532)):
+        write(tmp_path / f"o/{folder}/Q__R{laser}__Raman__{laser}__Raman_Data_Processed.txt", "1, 2\n")
+    rows = files.read_spectra(spark, f"file://{tmp_path}/o").orderBy(*files.spectrum_order()).collect()
+    assert [(r.quality, r.orientation, r.wavelength) for r in rows] == [
+        ("excellent", "oriented", "532"), ("excellent", "oriented", "780"), ("fair", "unoriented", "532"), ("unrated", "oriented", "532"), ("poor", "unoriented", "532")]
+
+
 def test_structures(spark, tmp_path):
     write(tmp_path / "c/Forst__0012.cif", CIF)
     write(tmp_path / "c/Forst.cif", "kbarrier\n")
     a, b = files.read_structures(spark, f"file://{tmp_path}/c").orderBy("record").collect()
     assert (a.record, a.is_high_pt, a.n_unknown_labels, b.record, b.is_high_pt) == (12, True, 1, 10**9, False)
+    names = spark.createDataFrame([("A__b__7.cif",), ("A.cif",), ("x.y__1.cif",), ("__2.cif",)], "f string").select(files.structure_name(F.col("f"))).collect()
+    assert [r[0] for r in names] == ["A__b", "A", "x.y", ""]
     lines = a.repaired.split("\n")
     assert lines[1] == " _symmetry_equiv_pos_as_xyz" and "END" not in lines
     assert lines[5:11] == ["# Ba9 0 0 0", "  Ba 0.1 0.2 0.3", "O 0 0 0", "X 0 0 0", "short 1", "loop_"] and lines[11] == "Ba2 0 0 0"
