@@ -43,8 +43,8 @@ def family_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def family_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Families by their median price, with the median and quartiles of a seventh of it as text."""
-    part = table(spark, sf_dir, "part").select(F.col("p_type").alias("family"), (F.col("p_retailprice") / 7).alias("price"))
+    """Families by their median price, with the median and quartiles of its share of 3.14159 as text."""
+    part = table(spark, sf_dir, "part").select(F.col("p_type").alias("family"), (F.col("p_retailprice") / 3.14159).alias("price"))
     one = C.median_iqr(part, "family", ["price"]).filter("family <> 'All'")
     text = X.median_text(F.col("median"), F.col("q25"), F.col("q75"))
     order = Window.partitionBy(F.lit(0)).orderBy("median", "family")
@@ -82,7 +82,7 @@ def p_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def three_digit_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices over powers of ten, printed with three significant digits."""
-    v = F.col("p_retailprice") / F.pow(F.lit(10.0), F.col("p_partkey") % 12 - 2) / 7
+    v = F.col("p_retailprice") / F.pow(F.lit(10.0), F.col("p_partkey") % 12 - 2) / 3.14159
     return table(spark, sf_dir, "part").select("p_partkey", X.three_digits(v).alias("text"))
 
 
@@ -178,14 +178,14 @@ SELECT o_custkey, file, tier FROM r WHERE k = 1""",
     "structure_names": "SELECT p_partkey, replace(p_name, ' ', '__') AS mineral FROM part",
     "family_sizes": "SELECT p_type AS family, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_type) AS place FROM part GROUP BY 1",
     "family_medians": """
-SELECT p_type AS family, count(p_retailprice) AS n, format('{:.3g} [{:.3g}-{:.3g}]', median(p_retailprice / 7), quantile_cont(p_retailprice / 7, 0.25), quantile_cont(p_retailprice / 7, 0.75)) AS price,
-  row_number() OVER (ORDER BY median(p_retailprice / 7), p_type) AS place FROM part GROUP BY 1""",
+SELECT p_type AS family, count(p_retailprice) AS n, format('{:.3g} [{:.3g}-{:.3g}]', median(p_retailprice / 3.14159::DOUBLE), quantile_cont(p_retailprice / 3.14159::DOUBLE, 0.25), quantile_cont(p_retailprice / 3.14159::DOUBLE, 0.75)) AS price,
+  row_number() OVER (ORDER BY median(p_retailprice / 3.14159::DOUBLE), p_type) AS place FROM part GROUP BY 1""",
     "categorical_effects": _KINDS + "SELECT * FROM e ORDER BY eta2 DESC, factor, target LIMIT 10",
     "eta2_matrix": _KINDS + "SELECT factor, " + ", ".join(f"max(eta2) FILTER (WHERE target = '{t}') AS {t}" for t in ("l_extendedprice", "l_quantity", "l_tax")) + " FROM e GROUP BY 1",
     "p_texts": """
 WITH v AS (SELECT l_tax * l_discount / l_linenumber / 7 AS v FROM lineitem)
 SELECT CASE WHEN v IS NULL THEN '' WHEN v < 0.001 THEN '<0.001' ELSE printf('%.3f', v) END AS p, CASE WHEN v < 0.001 THEN '***' WHEN v < 0.01 THEN '**' WHEN v < 0.05 THEN '*' ELSE '' END AS mark, count(*) AS n FROM v GROUP BY 1, 2""",
-    "three_digit_texts": "SELECT p_partkey, format('{:.3g}', p_retailprice / pow(10.0, p_partkey % 12 - 2) / 7) AS text FROM part",
+    "three_digit_texts": "SELECT p_partkey, format('{:.3g}', p_retailprice / pow(10.0, p_partkey % 12 - 2) / 3.14159::DOUBLE) AS text FROM part",
     "structure_ok": """
 WITH s AS (SELECT p_partkey, p_partkey AS k, CASE WHEN p_partkey % 5 > 0 THEN p_partkey % 230 END AS g, CASE WHEN p_partkey % 3 > 0 THEN CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE p_partkey % 230 END END AS p FROM part
 ), c AS (SELECT *, coalesce(g > 0, false) AS known FROM s
