@@ -1,4 +1,4 @@
-"""Linear models from sums of products per fold, nearest neighbours in blocks, and MLlib's trees.
+"""Linear models from sums of products per fold, nearest neighbours in blocks, and MLlib's forests.
 
 One aggregate gives each fold's matrix of products; training sets are differences of such matrices, and fits, paths,
 validation errors and components follow on the driver from (k+2) x (k+2) numbers. The data are read once.
@@ -6,7 +6,9 @@ validation errors and components follow on the driver from (k+2) x (k+2) numbers
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -175,25 +177,24 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 1024) -> D
     return top.select("query", F.explode("near").alias("e")).select("query", "e.neighbour", "e.d2")
 
 
-def tree_out_of_fold(df: DataFrame, y: str, columns: list[str], kind: str = "gbt", trees: int = 150, fold: str = "fold", seed: int = 0) -> DataFrame:
-    """Adds ``pred``: MLlib boosting (depth 3, leaves of 15, step 0.06) or forest (leaves of 3), fitted per fold on the rest.
+def forest_out_of_fold(df: DataFrame, y: str, columns: list[str], trees: int = 100, depth: int = 30, fold: str = "fold", seed: int = 0) -> DataFrame:
+    """Adds ``pred``: MLlib's forest (leaves of 3, 0.7 of the columns a split, its greatest depth), fitted per fold on the rest.
 
     MLlib takes no missing values: columns are filled with the training folds' medians and flagged.
     """
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+    from pyspark.ml.regression import RandomForestRegressor
 
-    out = None
-    for f in [r[0] for r in df.select(fold).distinct().collect()]:
-        train, held = df.filter(F.col(fold) != f), df.filter(F.col(fold) == f)
+    def one(f) -> DataFrame:
+        train, held = df.filter(~F.col(fold).eqNullSafe(F.lit(f))), df.filter(F.col(fold).eqNullSafe(F.lit(f)))
         fitted = fit_preparation(train, columns)
         inputs = VectorAssembler(inputCols=[*columns, *(f"NA_{c}" for c in fitted["flags"])], outputCol="__x")
-        model = (
-            GBTRegressor(featuresCol="__x", labelCol=y, predictionCol="pred", maxIter=trees, maxDepth=3, stepSize=0.06, minInstancesPerNode=15, seed=seed) if kind == "gbt"
-            else RandomForestRegressor(featuresCol="__x", labelCol=y, predictionCol="pred", numTrees=trees, minInstancesPerNode=3, featureSubsetStrategy="0.7", maxDepth=12, seed=seed))
-        part = model.fit(inputs.transform(prepare(train.filter(F.col(y).isNotNull()), fitted))).transform(inputs.transform(prepare(held, fitted))).drop("__x")
-        out = part.select(*df.columns, "pred") if out is None else out.unionByName(part.select(*df.columns, "pred"))
-    return out
+        model = RandomForestRegressor(featuresCol="__x", labelCol=y, predictionCol="pred", numTrees=trees, minInstancesPerNode=3, featureSubsetStrategy="0.7", maxDepth=depth, seed=seed)
+        return model.fit(inputs.transform(prepare(train.filter(F.col(y).isNotNull()), fitted))).transform(inputs.transform(prepare(held, fitted))).select(*df.columns, "pred")
+
+    with ThreadPool(4) as pool:  # small jobs of several folds side by side
+        parts = pool.map(one, [r[0] for r in df.select(fold).distinct().collect()])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def cross_validated_r2(matrices: dict, columns: list[str], chosen: list[str]) -> float | None:

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import boosting as B
 from ..operators import models as L
 from ..operators import resampling as R
 from ..operators.stats import as_matrix, product_sums
@@ -167,23 +168,35 @@ def missing_representation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(native.unionByName(views.select(F.lit("median").alias("view"), "a", "b")).unionByName(views.select(F.lit("mask").alias("view"), F.col("NA_a").alias("a"), F.col("NA_b").alias("b"))))
 
 
+SETS = {"first": FEATURES[:2], "all": FEATURES, "drop_first": FEATURES[2:], "drop_last": FEATURES[:6]}
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Out-of-fold sums per label of 150 boosted trees for each set, target, repeat and fold, and their 300 draws of labels."""
+    df = _vectors(spark, sf_dir).withColumn("y2", F.col("f3") - F.col("f0") * F.col("f1"))
+    sums = B.tree_grid(df, ["y", "y2"], SETS, "label", "vec_id").checkpoint()
+    return sums, B.grid_draws(sums)
+
+
 def gbt_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees with two sets of descriptors on the same three folds; R2 of each (10 trees, to keep the query short)."""
-    df, out = R.group_folds(_vectors(spark, sf_dir), "vec_id", 3), None
-    for name, columns in {"first": FEATURES[:2], "all": FEATURES}.items():
-        sums = R.group_sums(L.tree_out_of_fold(df, "y", columns, trees=10), "fold", {name: "pred"}, "y")
-        out = sums if out is None else out.unionByName(sums)
-    return R.pooled_r2(out, ["model"])
+    """R2 of four sets of descriptors for two targets, five folds three times, with intervals."""
+    return rounded(B.grid_scores(*_grid(spark, sf_dir)))
+
+
+def gbt_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2 of all descriptors less that of each other set, on the same draws."""
+    return rounded(B.grid_contrasts(*_grid(spark, sf_dir), "all"))
 
 
 def rf_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = R.group_folds(_vectors(spark, sf_dir), "vec_id", 3)
-    return R.pooled_r2(R.group_sums(L.tree_out_of_fold(df, "y", FEATURES, "forest", trees=20), "fold", {"forest": "pred"}, "y"), ["model"])
+    """Forest of 100 trees on five folds."""
+    df = _folded(spark, sf_dir)
+    return R.pooled_r2(R.group_sums(L.forest_out_of_fold(df, "y", FEATURES), "fold", {"forest": "pred"}, "y"), ["model"])
 
 
 QUERIES = {f.__name__: f for f in (
     group_folds, bootstrap_r2_ci, paired_delta_r2, pooled_r2, cluster_bootstrap, oof_mean_baseline, lofo_linear, lasso_1se, lasso_nested, lasso_stability, pls_q2,
-    perm_importance, knn_baseline, missing_representation, gbt_sets, rf_arms)}
+    perm_importance, knn_baseline, missing_representation, gbt_sets, gbt_contrasts, rf_arms)}
 
 _SUMS = """
 WITH l AS (SELECT l_suppkey AS g, p_type, l_extendedprice AS y, p_retailprice * l_quantity AS own FROM lineitem JOIN part ON l_partkey = p_partkey
