@@ -1,5 +1,7 @@
 """DuckDB SQL for the training-data queries that SQL can express."""
 
+from .url_graph import LINK
+
 OP2_CHAT_FORMAT = r"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -67,4 +69,104 @@ SELECT *, base_failed = FALSE AND n_words - kept_words <= 0.5 * n_words AS kept
 FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
 """
 
-ORACLES = {"op2_chat_format": OP2_CHAT_FORMAT, "op5_warc": OP5_WARC, "op10_quality_rules": OP10_QUALITY_RULES}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+
+
+def _op11(rounds: int = 20) -> str:
+    """Each round as a statement of its own; the ranks as in ``url_graph``."""
+    steps = "\n".join(f"""), r{k + 1} AS MATERIALIZED (
+  SELECT kind, host, sum(r)::BIGINT AS r FROM (
+    SELECT kind, s.dst AS host, CAST(floor(r.r::DOUBLE * s.share) AS BIGINT) AS r FROM r{k} r JOIN ways s USING (kind, host)
+    UNION ALL SELECT kind, host, r FROM r0) GROUP BY ALL""" for k in range(rounds))
+    link = LINK.replace("'", "''")
+    return rf"""
+WITH parts AS MATERIALIZED (
+  SELECT page_id, {_LOWER("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')")} AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path, html FROM pages
+), rules(h, p, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), judged AS MATERIALIZED (
+  SELECT page_id, host, path, (SELECT max_by(struct_pack(t := h || p, v := verdict), length(h || p)) FROM rules
+    WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule FROM parts
+), links AS (
+  SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html, '{link}', 1), lambda x: {_LOWER("x")}))) AS dst FROM parts
+), edges AS (
+  SELECT src, dst, count(*) AS n FROM links WHERE src <> '' AND src <> dst GROUP BY ALL
+), ways AS MATERIALIZED (
+  SELECT 'trust' AS kind, src AS host, dst, 0.85::DOUBLE * n / sum(n) OVER (PARTITION BY src) AS share FROM edges
+  UNION ALL SELECT 'distrust', dst, src, 0.85::DOUBLE * n / sum(n) OVER (PARTITION BY dst) FROM edges
+), seeds AS (
+  SELECT host, 1000000000 * count(*) FILTER (WHERE rule.v = 'allow') // count(*) AS t, 1000000000 * count(*) FILTER (WHERE rule.v = 'block') // count(*) AS d
+  FROM judged WHERE host <> '' GROUP BY host
+), r0 AS MATERIALIZED (
+  SELECT * FROM (SELECT 'trust' AS kind, host, (t * 15 // 100)::BIGINT AS r FROM seeds UNION ALL SELECT 'distrust', host, (d * 15 // 100)::BIGINT FROM seeds) WHERE r > 0
+{steps}
+), ranks AS (
+  SELECT host, coalesce(sum(r) FILTER (WHERE kind = 'trust'), 0)::BIGINT AS trust, coalesce(sum(r) FILTER (WHERE kind = 'distrust'), 0)::BIGINT AS distrust FROM r{rounds} GROUP BY host
+)
+SELECT page_id, host, path, rule.t AS rule,
+  coalesce(rule.v, CASE WHEN 2 * (coalesce(distrust, 0) - coalesce(trust, 0)) > 150000000 THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
+FROM judged LEFT JOIN ranks USING (host)
+"""
+
+
+OP12_IMPORTANCE_RESAMPLING = rf"""
+WITH texts AS (
+  SELECT 'd' AS kind, row_number() OVER () AS rid, doc_id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark
+), words AS MATERIALIZED (
+  SELECT kind, rid, doc_id, coalesce(regexp_extract_all({_LOWER("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM texts
+), features AS MATERIALIZED (
+  SELECT kind, rid, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words
+), polynomial AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS crc
+), hashed AS MATERIALIZED (
+  SELECT f, xor(list_reduce(list_transform(range(octet_length(encode(f))), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM features), polynomial
+), counts AS (
+  SELECT bucket, count(*) FILTER (WHERE kind = 'd') AS s, count(*) FILTER (WHERE kind = 'b') AS t FROM features JOIN hashed USING (f) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counts
+), weighed AS (
+  SELECT rid, count(*) AS n, sum(gain)::BIGINT AS g FROM features JOIN hashed USING (f) JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY rid
+), scored AS (
+  SELECT rid, doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0)::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise
+  FROM words LEFT JOIN weighed USING (rid) WHERE kind = 'd'
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY weight + noise DESC, doc_id NULLS LAST, rid) AS place, count(*) FILTER (WHERE n_words >= 20) OVER () AS able FROM scored
+)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN n_words >= 20 AND place <= 25 * able // 100 THEN place END AS rank FROM placed
+"""
+
+OP13_SOURCE_DIVERGENCE = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER("coalesce(text, '')")} AS text FROM documents
+), terms AS MATERIALIZED (
+  SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS MATERIALIZED (
+  SELECT lang, term FROM terms GROUP BY ALL HAVING count(DISTINCT rid) >= 30
+), counts AS (
+  SELECT lang, source, term, count(*) AS n FROM terms JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), dense AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY lang, source) AS total, count(*) OVER (PARTITION BY lang, source) AS v
+  FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)
+), priced AS MATERIALIZED (
+  SELECT lang, source, term, n, 1 + (1000000000 * (n + 5))::BIGINT // (total + 5 * v)::BIGINT AS p FROM dense
+), usual AS (
+  SELECT lang, term, 1 + (1000000000 * (sum(n) + 5))::BIGINT // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang))::BIGINT AS q FROM counts GROUP BY lang, term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(d.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p))::BIGINT AS value FROM priced x JOIN priced y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) d
+    ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) FROM priced JOIN usual USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLES = {"op11_url_filters": _op11(), "op12_importance_resampling": OP12_IMPORTANCE_RESAMPLING, "op13_source_divergence": OP13_SOURCE_DIVERGENCE, "op2_chat_format": OP2_CHAT_FORMAT, "op5_warc": OP5_WARC, "op10_quality_rules": OP10_QUALITY_RULES}

@@ -104,4 +104,28 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_chat_format, op3_embedding_dedup, op4_html_extract, op5_warc, op6_sentencepiece_sampling, op7_toxicity, op8_simhash, op9_quality_classifier, op10_quality_rules)}
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of every page's URL: fixed rules, else trust and distrust propagated over the host graph."""
+    from .url_graph import Rule, judge_urls
+
+    rules = [Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow")]
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents drawn by how far their n-grams resemble those of the benchmark."""
+    from .importance_resampling import importance_resample
+
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms by which a source stands out."""
+    from .source_divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op2_chat_format, op3_embedding_dedup, op4_html_extract, op5_warc, op6_sentencepiece_sampling, op7_toxicity, op8_simhash,
+    op9_quality_classifier, op10_quality_rules, op11_url_filters, op12_importance_resampling, op13_source_divergence)}
