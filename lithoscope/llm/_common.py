@@ -73,6 +73,23 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     return rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "y"), digest).alias("r")).select("doc_id", "r.text", "r.y")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def ordered_numbers(ids: DataFrame) -> DataFrame:
+    """(id, number) of the distinct non-null ids of a one-column frame ``id``: longs in the order of the ids, with gaps.
+
+    Rows are dealt by ranges of ids and numbered within the partitions, so that no task sees all of them.
+    """
+    placed = cut(ids.na.drop().distinct()).repartitionByRange("id").sortWithinPartitions("id")
+    return cut(placed.withColumn("number", F.monotonically_increasing_id()))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(u long, v long)`` as (node, root), root the smallest node reached.
 

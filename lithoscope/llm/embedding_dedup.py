@@ -17,7 +17,7 @@
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows without a label, link
 with nothing and are their own component; vectors link only with vectors of their own length; repeated rows count as vectors of their own; ids should be unique (an id that comes with several vectors is one node
-of the components); a null id gives a null component unless its class has others; extra columns are never read; an
+of the components); a null id gives a null component unless its class has others; ids that are not whole numbers are numbered in their order; extra columns are never read; an
 empty table gives an empty table.
 """
 
@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from ._common import components, cut
+from ._common import components, cut, ordered_numbers
 from .simhash import local_roots
 
 MEMBER, QUERY = 0, 1
@@ -122,7 +123,14 @@ def vector_classes(vectors: DataFrame) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
                     sample: int = 16_384, max_lists: int = 1024, parts: int = 8, words: int = 64, block: int = 4096) -> DataFrame:
-    """(id, n_links, component_id, kept) of every row."""
+    """(id, n_links, component_id, kept) of every row; ids of any type that has an order."""
+    if not isinstance(vectors.schema[id_col].dataType, IntegralType):
+        given = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding"), F.col(label_col).alias("label"))
+        numbers = ordered_numbers(given.select("id"))
+        found = near_duplicates(given.join(numbers, "id", "left"), threshold, "number", "embedding", "label", sample, max_lists, parts, words, block)
+        name = lambda c, number: numbers.select(F.col("id").alias(c), F.col("number").alias(number))
+        named = found.withColumnRenamed("component_id", "root").join(name(id_col, "number"), "number", "left").join(name("component_id", "root"), "root", "left")
+        return named.select(id_col, "n_links", "component_id", "kept")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(label_col).alias("label"))
     classes = cut(vector_classes(rows))
     found = classes.count()

@@ -9,8 +9,8 @@ and less than ``good_fill`` full when a lane ends (at most ``open_bins`` of them
 many lanes, until one lane is left; so the waste does not grow with the number of lanes.
 
 Defined results: a null or empty text is the end token alone; a long text is cut into full pieces, the last may be
-shorter; repeated rows are packed as often as they occur (their pieces are told apart by place, not by id); a null id
-is kept; only the two named columns are read; an empty table gives an empty table. Lanes are sorted by a total order
+shorter; repeated rows are packed as often as they occur (their pieces are told apart by place, not by id, and are spread over
+all lanes); a null id is kept; only the two named columns are read; an empty table gives an empty table. Lanes are sorted by a total order
 of what is packed, so a lane that runs again gives the same bins.
 """
 
@@ -279,7 +279,8 @@ def pack_round(pieces: DataFrame, lanes: int, capacity: int, open_bins: int, goo
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
     order = [F.col("length").desc(), *[c for c in fields if c != "length"]]
-    spread = pieces.repartition(lanes, F.xxhash64("doc_id", "piece", "ids_crc32"))
+    # the row's place in the written pieces is part of the hash: equal rows, however many, are spread over all lanes
+    spread = pieces.repartition(lanes, F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()))
     return spread.sortWithinPartitions(*order).mapInArrow(run, f"{kinds}, sequence_id long, offset long")
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, cut
+from ._common import components, cut, free_name
 
 BITS, SEED, WIDTH, DISTANCE, FAN = 64, 42, 3, 2, 8
 
@@ -232,12 +232,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, one of each group of near-duplicates: the smallest id (null only if all are), of its texts the one
-    with the smallest digest, once if the row repeats.
+    with the smallest digest, once if the row repeats. Ids may be of any type that has an order; ``docs`` may have any other
+    columns.
 
     The wide rows are shuffled once: the semi join and the removal of repeated rows share their key.
     """
-    given = F.col(id_col)
-    key = F.struct(given.isNull().alias("none"), F.coalesce(given.cast("long"), F.lit(0)).alias("id"), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("")).alias("text"))
-    keyed = docs.withColumn("__k", key)
-    found = simhash_components(keyed, "__k", text_col).filter("__k = component_id").select("__k")
-    return keyed.join(found, "__k", "left_semi").dropDuplicates(["__k"]).select(*docs.columns)
+    given, key = F.col(id_col), free_name(docs, "__k")
+    value = F.struct(given.isNull().alias("none"), given.alias("id"), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("")).alias("text"))
+    keyed = docs.withColumn(key, value)
+    found = simhash_components(keyed, key, text_col).filter(F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct()
+    return keyed.join(found, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
