@@ -3,7 +3,8 @@
 A page is read once into leaf blocks (runs of text between block-level tags) with their open ancestors. Features of a
 block are its ancestors' tags, what their class, id and role names say, and its text (length, share of linked text,
 sentence ends, page-furniture words). Two labels, text and furniture; weights of features and of label transitions
-maximise the likelihood of labelled pages (``labelled_pages`` makes a fixed set of varied layouts; ``train`` takes any).
+maximise the likelihood of labelled pages (``labelled_pages`` makes a fixed set of varied layouts, with and without a
+container of the article, with names that mislead, with much furniture or none; ``train`` takes any).
 Blocks labelled text are joined in page order.
 
 Defined results: a null or empty page has the empty text; character references are decoded, white space (no-break
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 from html import unescape
 
@@ -54,6 +55,8 @@ NAMES = (
     ("hidden", r"hidden|invisible|sr|visually|screen|offscreen|print|display:none"),
 )
 _NAME = re.compile("|".join(rf"(?P<{n}>(?:{p}))\Z" for n, p in NAMES))
+#: Names of an article in the generated pages that say something else.
+MISLEADING = ("review", "post comments-open", "has-sidebar", "post with-ads", "notice", "post share-on", "story contact")
 #: Words of page furniture in a text.
 PHRASES = re.compile(
     r"(?P<copy>©|\(c\)|copyright|all rights)|(?P<cookie>cookie|consent|privacy)|(?P<reply>\breply\b|comment|\bsaid:|wrote:)"
@@ -166,8 +169,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
 def place_features(above: tuple) -> tuple[str, ...]:
     """Features of a block's ancestors."""
     out = {f"self={above[-1][0]}"} if above else {"self="}
-    inner = ""
+    inner = outer = ""
     for tag, names in above:
+        held = inner
         if tag not in ("html", "body"):
             out.add(f"in={tag}")
         for name in names:
@@ -175,7 +179,8 @@ def place_features(above: tuple) -> tuple[str, ...]:
             inner = name if name in ("main", "comment", "ad", "side", "notice", "menu", "share", "form", "foot") else inner
         if tag in ("nav", "aside", "footer", "header", "form", "article", "main"):
             inner = tag
-    out.add(f"inner={inner}")
+        outer = held if held != inner else outer
+    out |= {f"inner={inner}", f"inner={outer}>{inner}"}
     return tuple(sorted(out))
 
 
@@ -204,15 +209,29 @@ class ChainField:
     weights: dict[str, float]
     step: list[list[float]]
     start: list[float]
-
-    def decode(self, rows: list[list[str]]) -> list[int]:
-        """The likeliest labels of a page's blocks (Viterbi)."""
-        if not rows:
+    places: dict[tuple, float] = field(default_factory=dict)
+
+    def weigh(self, row: list[str]) -> float:
+        return sum(self.weights.get(f, 0.0) for f in row)
+
+    def gains(self, blocks: list[Block]) -> list[float]:
+        """Summed weights of the features of each block; what open elements weigh is kept for the next block with the same."""
+        places, out = self.places, []
+        if len(places) > 50_000:
+            places.clear()
+        for k, b in enumerate(blocks):
+            if (place := places.get(b.above)) is None:
+                place = places[b.above] = self.weigh(place_features(b.above))
+            out.append(place + self.weigh(list(dict.fromkeys(text_features(b, k, len(blocks))))))
+        return out
+
+    def decode(self, gains: list[float]) -> list[int]:
+        """The likeliest labels of a page's blocks (Viterbi), from what each block's features weigh for the label text."""
+        if not gains:
             return []
-        w, (s00, s01), (s10, s11) = self.weights, *self.step
+        (s00, s01), (s10, s11) = self.step
         zero, one, back = self.start[0], self.start[1], []
-        for k, row in enumerate(rows):
-            gain = sum(w.get(f, 0.0) for f in row)
+        for k, gain in enumerate(gains):
             if k:
                 a, b = (zero + s00, 0) if zero + s00 >= one + s10 else (one + s10, 1)
                 c, d = (one + s11, 1) if one + s11 >= zero + s01 else (zero + s01, 0)
@@ -282,7 +301,8 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, list[str
         return " ".join(word() for _ in range(draw.randint(low, high)))
 
     def sentence(low: int = 3, high: int = 18) -> str:
-        return words(low, high).capitalize() + draw.choice([".", ".", ".", "!", "?", "", ".%%%", "!!", " |"])
+        noise = "".join(draw.choices("!?.,:;%#*|~_$&-=+", k=draw.randint(1, 4))) if draw.random() < 0.3 else ""
+        return words(low, high).capitalize() + draw.choice([".", ".", ".", "!", "?", ""]) + draw.choice(["", " "]) * bool(noise) + noise
 
     def prose(n: int = 4) -> str:
         return " ".join(sentence() for _ in range(draw.randint(1, n)))
@@ -315,7 +335,7 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, list[str
             return tag("form", tag("label", words(1, 4)) + '<input name="q">' + tag("button", words(1, 2)) + draw.choice(["", tag("p", inner), tag("select", tag("option", words(1, 2)))]))
         if kind == "share":
             return tag("div", links(3), named("share", "social-links", "post-tags"))
-        lines = "".join(tag("div", tag("span", words(1, 2), 'class="author"') + tag("p", prose(3)), named("comment", "reply", "comment-body")) for _ in range(draw.randint(1, 5)))
+        lines = "".join(tag(draw.choice(["div", "div", "li", "article"]), tag("span", words(1, 2), 'class="author"') + tag("p", prose(3)), named("comment", "reply", "comment-body")) for _ in range(draw.randint(1, 5)))
         return draw.choice([tag("section", tag("h2", words(1, 2)) + lines, named("comments", "discussion", "responses")), tag("div", lines, named("comments", "comment-list", "disqus"))])
 
     pages = []
@@ -360,11 +380,26 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, list[str
         if draw.random() < 0.15:
             inside.append(furniture("comment"))
         body = "".join(inside)
+        before = [furniture(x) for x in draw.sample(["nav", "ad", "header", "notice", "form", "side", "nav", "share"], draw.choice([0, 1, 2, 3, 4, 5]))]
+        after = [furniture(x) for x in draw.sample(["footer", "comment", "side", "ad", "form", "share", "notice", "nav"], draw.choice([0, 1, 2, 3, 4, 5]))]
         form = draw.random()
-        body = (tag("article", body, draw.choice(["", "", 'class="post"'])) if form < 0.55 else tag("main", body) if form < 0.7
-                else tag("div", body, named("content", "article-body", "post-content", "entry", "story-text", "main-content")))
-        before = [furniture(x) for x in draw.sample(["nav", "ad", "header", "notice", "form", "side", "nav", "share"], draw.randint(1, 5))]
-        after = [furniture(x) for x in draw.sample(["footer", "comment", "side", "ad", "form", "share", "notice", "nav"], draw.randint(1, 5))]
+        if form < 0.3:
+            body = tag("article", body, draw.choice(["", "", 'class="post"', named(*MISLEADING)]))
+        elif form < 0.38:
+            body = tag("main", body, draw.choice(["", "", named(*MISLEADING)]))
+        elif form < 0.52:
+            body = tag("div", body, named("content", "article-body", "post-content", "entry", "story-text", "main-content"))
+        elif form < 0.7:
+            for _ in range(draw.randint(1, 3)):
+                body = tag(draw.choice(["div", "div", "section"]), body, draw.choice(["", named("wrapper", "row", "col-8", "container", "inner", "x1", word())]))
+        elif form < 0.76:
+            body = tag("table", tag("tr", tag("td", body)))
+        elif form < 0.8 and not before and not after:
+            main[:] = [prose(8)]
+            body = main[0].replace("&", "&amp;")
+            if draw.random() < 0.5:
+                pages.append((body, main))
+                continue
         pages.append((f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title><script>var a='</p>';</script></head><body>{''.join(before)}{body}{''.join(after)}</body></html>", main))
     return pages
 
@@ -390,19 +425,19 @@ def default_field(count: int = 400, seed: int = 11) -> ChainField:
 def main_text(page: str | None, model: ChainField) -> str:
     """The main text of a page."""
     blocks = leaf_blocks(page)
-    return " ".join(b.text for b, y in zip(blocks, model.decode(page_features(blocks)), strict=True) if y)
+    return " ".join(b.text for b, y in zip(blocks, model.decode(model.gains(blocks)), strict=True) if y)
 
 
 def extract_text(pages: DataFrame, model: ChainField | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    field = model or default_field()
+    weights = model or default_field()
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
-                texts = [main_text(h.as_py(), field) for h in part.column(2)]
+                texts = [main_text(h.as_py(), weights) for h in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                                                  names=["page_id", "url", "text", "n_chars"])
 
