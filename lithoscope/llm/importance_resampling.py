@@ -20,12 +20,10 @@ table leaves only the raw shares in the gains.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, cut, shared_dir
+from ._common import ascii_lower, cut, written
 
 #: Words before A-Z are lower-cased, which changes no word's ends.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -49,9 +47,7 @@ def position_table(docs: DataFrame, id_col: str | None, text_col: str = "text",
     ends = {f"e{n}": F.lead("word", n - 1).over(following).isNotNull() for n in range(2, orders + 1)}
     placed = words.select("row", "id", "word", *(c.alias(name) for name, c in (grams | ends).items()))
     columns = [bucket(F.col("word"), buckets).alias("b1"), *(F.when(F.col(f"e{n}"), bucket(F.col(f"g{n}"), buckets)).alias(f"b{n}") for n in range(2, orders + 1))]
-    where = f"{shared_dir(docs.sparkSession)}/positions-{uuid.uuid4().hex}"
-    placed.select("row", "id", *columns).write.parquet(where)
-    return docs.sparkSession.read.parquet(where)
+    return written(placed.select("row", "id", *columns), "positions")
 
 
 def bucket_counts(table: DataFrame, orders: int, name: str) -> DataFrame:

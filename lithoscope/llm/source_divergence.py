@@ -9,8 +9,8 @@ differences of price. No table of V terms a pair is made; by inclusion and exclu
 * for terms that both have, from the join of their postings: the true difference less the two that were assumed;
 * a constant |p(0) - p(0)| for each term that neither has.
 
-Counts and document counts are combined before they are shuffled, so a source with a third of all rows adds a few rows a
-task and term. Postings join by (language, term): a term has at most one posting a source, each pair is made once. The
+Counts and document counts are combined within each task, from the bytes of whole texts, before they are shuffled, so a
+source with a third of all rows adds a few rows a task and term. Postings join by (language, term): a term has at most one posting a source, each pair is made once. The
 top terms of a group are cut to ``top`` within each task before they meet.
 
 Defined results: null text, language and source are ''; a text without terms leaves its group without counts; a group
@@ -21,21 +21,51 @@ table gives an empty table.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, cut
+from ._common import cut, written
+
+#: A byte of UTF-8 as part of a term: A-Z lower-cased, ASCII other than letters as a blank. No byte of a longer character is ASCII.
+AS_TERMS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
+
+
+def term_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str, most: int = 500_000) -> DataFrame:
+    """(lang, source, term, n, docs): occurrences and documents of each term in each group.
+
+    A task counts its rows' terms itself and passes the counts on whenever it holds more than ``most`` of them.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+        def passed() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (n, present) in held.items():
+                terms = list(n)
+                for low in range(0, len(terms), 100_000):
+                    some = terms[low:low + 100_000]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([lang] * len(some), pa.string()), pa.array([source] * len(some), pa.string()), pa.array(some, pa.binary()),
+                        pa.array([n[t] for t in some], pa.int64()), pa.array([present[t] for t in some], pa.int64())], names=["lang", "source", "term", "n", "docs"])
+            held.clear()
 
+        for batch in batches:
+            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n, present = held.setdefault((lang, source), (Counter(), Counter()))
+                terms = text.translate(AS_TERMS).split()
+                n.update(terms)
+                present.update(set(terms))
+            if sum(len(n) for n, _ in held.values()) > most:
+                yield from passed()
+        yield from passed()
 
-def term_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, term, n) and (lang, term, docs): occurrences in each group, documents of each language."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    rows = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), F.regexp_extract_all(ascii_lower(text(text_col)), F.lit(TERM), F.lit(0)).alias("terms"))
-    n = rows.select("lang", "source", F.explode("terms").alias("term")).groupBy("lang", "source", "term").agg(F.count("*").alias("n"))
-    present = rows.select("lang", F.explode(F.array_distinct("terms")).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("docs"))
-    return n, present
+    rows = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).cast("binary").alias("text"))
+    parts = rows.mapInArrow(run, "lang string, source string, term binary, n long, docs long")
+    return parts.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def price(count: Column, n: Column, v: Column, unit: int, add: int) -> Column:
@@ -48,9 +78,9 @@ def price(count: Column, n: Column, v: Column, unit: int, add: int) -> Column:
 def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = 30,
                       add: int = 5, unit: int = 1_000_000_000, top: int = 50) -> DataFrame:
     """(lang, source, part, item, value, rank): ``pair`` rows for each other source, ``term`` rows for the telling terms."""
-    counts, present = term_counts(docs, text_col, lang_col, source_col)
-    kept = present.filter(F.col("docs") >= least_docs).select("lang", "term")
-    postings = cut(counts.join(kept, ["lang", "term"]))
+    counts = written(term_counts(docs, text_col, lang_col, source_col), "terms")
+    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs).select("lang", "term")
+    postings = cut(counts.select("lang", "source", "term", "n").join(kept, ["lang", "term"]))
     named = docs.select(F.coalesce(lang_col, F.lit("")).alias("lang"), F.coalesce(source_col, F.lit("")).alias("source")).distinct()
     whole = postings.groupBy("lang", "term").agg(F.sum("n").alias("n"))
     langs = whole.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("all"))
