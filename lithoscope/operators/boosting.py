@@ -1,8 +1,9 @@
 """Boosted regression trees as a grid of jobs: predictor sets x targets x repeats x folds.
 
-The fits are many and each of them small, so a job is one task: rows go to the jobs that train on them, and a task fits
-its trees on at most about ``max_rows`` rows, a sample by the hash of the rows' keys. All rows are then predicted, each by
-the model of its own fold. Missing values need no filling: a split sends them to the better side.
+While a fit's rows fit into a task, a job is one task: rows go to the jobs that train on them. Beyond ``max_rows`` rows the
+same fits are grown from histograms that the executors sum (``level_trees``), so every row is trained on, however many there
+are. All rows are predicted, each by the model of its own fold. Missing values need no filling: a split sends them to the
+better side.
 """
 
 from __future__ import annotations
@@ -60,10 +61,11 @@ def best_splits(count: np.ndarray, total: np.ndarray, leaf: int, l2: float) -> t
     return side == 1, column, code, flat[np.arange(len(flat)), best] > 1e-12
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 150, rate: float = 0.06, depth: int = 3, leaf: int = 15, l2: float = 1.0, bins: int = 255) -> Trees:
-    """Squared-error boosting on columns cut at their quantiles; NaN is a missing value."""
+def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 150, rate: float = 0.06, depth: int = 3, leaf: int = 15, l2: float = 1.0, bins: int = 255,
+              cuts: list[np.ndarray] | None = None) -> Trees:
+    """Squared-error boosting on columns cut at their quantiles, or at given ``cuts``; NaN is a missing value."""
     rows, columns = x.shape
-    cuts = [np.unique(np.quantile(v[~np.isnan(v)], np.linspace(0, 1, bins + 1)[1:-1])) if (~np.isnan(v)).any() else np.zeros(0) for v in x.T]
+    cuts = cuts if cuts is not None else [np.unique(np.quantile(v[~np.isnan(v)], np.linspace(0, 1, bins + 1)[1:-1])) if (~np.isnan(v)).any() else np.zeros(0) for v in x.T]
     codes = np.column_stack([np.where(np.isnan(v), bins, np.searchsorted(c, v)) for v, c in zip(x.T, cuts, strict=True)])
     bounds = np.full((columns, bins), np.inf)
     for j, c in enumerate(cuts):
@@ -94,11 +96,14 @@ def tree_grid(df: DataFrame, targets: list[str], sets: dict[str, list[str]], gro
               trees: int = 150, max_rows: int = 100_000, seed: int = 0) -> DataFrame:
     """(grp, target, set, repeat, n, sy, syy, see): sums of the out-of-fold predictions of each group.
 
-    Every row with a target is predicted in every repeat by the model of the fold that holds its group. A model trains on
-    the other folds' rows, of which about ``max_rows`` are taken by the hash of ``key`` if there are more; models are as
-    many as jobs, never as rows. Null groups are one group; null and NaN values are missing; rows without a target are
+    Every row with a target is predicted in every repeat by the model of the fold that holds its group, which trains on all
+    rows of the other folds: in one task up to ``max_rows`` rows, level by level beyond; models are as many as jobs. Null groups are one group; null and NaN values are missing; rows without a target are
     left out of its jobs; a job without training rows predicts nothing; an empty table gives no row.
     """
+    if df.count() > max_rows:
+        from .level_trees import boosted_sums
+
+        return boosted_sums(df, targets, sets, group, key, folds, repeats, trees, seed=seed)
     columns, names = sorted({c for some in sets.values() for c in some}), list(sets)
     inside = [[columns.index(c) for c in sets[name]] for name in names]
     for r in range(repeats):
@@ -106,11 +111,9 @@ def tree_grid(df: DataFrame, targets: list[str], sets: dict[str, list[str]], gro
     number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
     rows = df.select(F.col(group).alias("grp"), F.xxhash64(key, F.lit(seed)).alias("key"), F.array(*map(number, columns)).alias("x"),
                      F.array(*map(number, targets)).alias("y"), F.array(*(f"__fold_{r}" for r in range(repeats))).alias("folds"))
-    share = min(1.0, max_rows / max(1, rows.count()))
-    sample = rows.filter(F.pmod("key", F.lit(1 << 30)) < int(share * (1 << 30)))
     jobs = list(product(range(len(targets)), range(len(names)), range(repeats), range(folds)))
     numbered_jobs = F.array(*(F.struct(F.lit(i).alias("job"), *(F.lit(v).alias(n) for n, v in zip("tsrf", job, strict=True))) for i, job in enumerate(jobs)))
-    long = sample.select("key", "x", "y", "folds", F.explode(numbered_jobs).alias("j")).withColumn("y", F.expr("y[j.t]"))
+    long = rows.select("key", "x", "y", "folds", F.explode(numbered_jobs).alias("j")).withColumn("y", F.expr("y[j.t]"))
     training = long.filter("folds[j.r] <> j.f AND NOT isnan(y)").select("j.job", "key", "x", "y")
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
@@ -152,6 +155,19 @@ def grid_draws(sums: DataFrame, n_boot: int = 300, seed: int = 0) -> DataFrame:
     return bootstrap_r2(models, draws).groupBy("b", "model.target", "model.set").agg(F.avg("r2").alias("r2"))
 
 
+def arm_draws(sums: DataFrame, n_boot: int = 300, seed: int = 0) -> DataFrame:
+    """(b, target, model, r2) of sums with a ``model`` column, as ``grid_draws``."""
+    return grid_draws(sums.withColumnRenamed("model", "set"), n_boot, seed).withColumnRenamed("set", "model")
+
+
+def arm_report(sums: DataFrame, boot: DataFrame) -> DataFrame:
+    """(target, model, n, r2, ci_lo, ci_hi, delta_r2, delta_lo, delta_hi) of joint and separate arms; deltas are joint less separate."""
+    named = lambda df: df.withColumnRenamed("model", "set")
+    scores = grid_scores(named(sums), named(boot)).withColumnRenamed("set", "model")
+    delta = grid_contrasts(named(sums), named(boot), "joint").select("target", "delta_r2", F.col("ci_lo").alias("delta_lo"), F.col("ci_hi").alias("delta_hi"))
+    return scores.join(delta, "target").select("target", "model", "n", "r2", "ci_lo", "ci_hi", "delta_r2", "delta_lo", "delta_hi")
+
+
 def grid_scores(sums: DataFrame, boot: DataFrame) -> DataFrame:
     """(target, set, r2, r2_sd_repeats, n, ci_lo, ci_hi)."""
     per = pooled_r2(sums, COMBINATION).groupBy("target", "set").agg(F.avg("r2").alias("r2"), F.stddev_pop("r2").alias("r2_sd_repeats"), F.max("n").alias("n"))

@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import boosting as B
+from ..operators import level_trees as V
 from ..operators import models as L
 from ..operators import resampling as R
 from ..operators.stats import as_matrix, product_sums
+from ..session import cut
 from .tables import rounded, table
 
 FEATURES = [f"f{i}" for i in range(8)]
@@ -174,7 +176,7 @@ SETS = {"first": FEATURES[:2], "all": FEATURES, "drop_first": FEATURES[2:], "dro
 def _grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold sums per label of 150 boosted trees for each set, target, repeat and fold, and their 300 draws of labels."""
     df = _vectors(spark, sf_dir).withColumn("y2", F.col("f3") - F.col("f0") * F.col("f1"))
-    sums = B.tree_grid(df, ["y", "y2"], SETS, "label", "vec_id").checkpoint()
+    sums = cut(B.tree_grid(df, ["y", "y2"], SETS, "label", "vec_id"))
     return sums, B.grid_draws(sums)
 
 
@@ -194,8 +196,26 @@ def rf_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.pooled_r2(R.group_sums(L.forest_out_of_fold(df, "y", FEATURES), "fold", {"forest": "pred"}, "y"), ["model"])
 
 
+def gbt_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees for two targets of all lines, grown from summed histograms: ten trees on three folds of suppliers."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size", "p_retailprice")
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_quantity", "l_tax", F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("l_discount"),
+                                                    F.col("l_extendedprice").alias("price"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"))
+    sets = {"line": ["l_quantity", "l_discount", "l_tax"], "all": ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]}
+    sums = V.boosted_sums(lines.join(part, "l_partkey", "left"), ["price", "net"], sets, "l_suppkey", "line", folds=3, repeats=1, trees=10, rate=0.3)
+    return rounded(R.pooled_r2(sums, ["target", "set"]))
+
+
+def rf_multioutput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest with vector leaves against a forest for each of three targets, 50 trees of depth 8 on five folds: R2 of both, their
+    difference, 300 draws of labels."""
+    df = _vectors(spark, sf_dir).withColumn("y2", F.col("f3") - F.col("f0") * F.col("f1")).withColumn("y3", F.col("f4") + F.col("f0"))
+    sums = cut(V.forest_sums(df, ["y", "y2", "y3"], FEATURES, "label", "vec_id", trees=50, depth=8))
+    return rounded(B.arm_report(sums, B.arm_draws(sums)))
+
+
 QUERIES = {f.__name__: f for f in (
-    group_folds, bootstrap_r2_ci, paired_delta_r2, pooled_r2, cluster_bootstrap, oof_mean_baseline, lofo_linear, lasso_1se, lasso_nested, lasso_stability, pls_q2,
+    gbt_all_rows, rf_multioutput, group_folds, bootstrap_r2_ci, paired_delta_r2, pooled_r2, cluster_bootstrap, oof_mean_baseline, lofo_linear, lasso_1se, lasso_nested, lasso_stability, pls_q2,
     perm_importance, knn_baseline, missing_representation, gbt_sets, gbt_contrasts, rf_arms)}
 
 _SUMS = """

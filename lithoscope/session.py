@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -33,3 +34,17 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(path)
         context._lithoscope_shipped = True
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to ``spark.checkpoint.dir``, which driver and executors share, and read again: a short lineage.
+
+    Where none is set, a local session gets a temporary one; on a cluster that is an error.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not (spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().isDefined()):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lithoscope-"))
+    return df.checkpoint(eager=True)
