@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..operators import cohort as C
 from ..operators import matching as M
+from ..operators import panel as P
 from ..operators import stats as S
 from ..operators import structure as T
 from ..sources import files
@@ -15,7 +16,14 @@ from ..sources.sinks import markdown, wide
 from . import cohorts, modelling, statistics, structures
 from .tables import rounded, table
 
-RESPONSES, CORE, EXTENDED = ["l_extendedprice", "l_tax"], ["l_quantity"], ["l_quantity", "l_discount", "p_size"]
+RESPONSES = ["price", "ln_price", "root_price", "net", "charge", "rebate", "levy", "unit_price", "weighted", "rate", "line", "p_retailprice"]
+
+
+def _jobs() -> list[P.Job]:
+    """Four tiers of every response."""
+    tiers = [("M1 core", ("l_quantity",), False, None), ("M2 extended", ("l_quantity", "p_size"), False, None), ("M3 extended + category", ("l_quantity", "p_size"), True, None),
+             ("GT discount", ("l_discount", "p_size"), False, F.col("l_discount") > 0)]
+    return [P.Job(y, tier, predictors, absorb, where) for y in RESPONSES for tier, predictors, absorb, where in tiers]
 
 
 def spectrum_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,39 +109,39 @@ def mode_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df.select("point_group", T.mode_counts("rotations", "fixed").alias("m")).select("point_group", *T.derived_ratios(F.col("m"))))
 
 
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with twelve responses: amounts, rates and their transforms."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    price, discount, tax = (F.col(c) for c in ("l_extendedprice", "l_discount", "l_tax"))
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_partkey", "l_suppkey", "l_quantity", discount, tax, F.col("l_linenumber").cast("double").alias("line"), price.alias("price"), F.ln(price).alias("ln_price"), (price * (1 - discount)).alias("net"),
+        (price * (1 - discount) * (1 + tax)).alias("charge"), (price * discount).alias("rebate"), (price * tax).alias("levy"), (price / F.col("l_quantity")).alias("unit_price"),
+        F.sqrt(price).alias("root_price"), (price * F.col("l_quantity")).alias("weighted"), tax.alias("rate"))
+    return lines.join(part, "l_partkey")
+
+
 def tiered_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each response on the core predictors, the extended ones, and these with an effect of each category; standardised
-    coefficients with clustered errors and q values over all terms. Constant predictors are dropped, and a job needs twenty
-    rows more than terms."""
-    lines = statistics._lines(spark, sf_dir).withColumn("p_kind", F.substring_index("p_type", " ", 1))
-    levels = [r[0] for r in lines.filter("p_kind IS NOT NULL").groupBy("p_kind").count().orderBy(F.desc("count"), "p_kind").limit(101).collect()]
-    if len(levels) > 100:
-        raise ValueError("a category of more than 100 levels is no fixed effect")
-    lines = lines.withColumns({f"kind_{i}": (F.col("p_kind") == level).cast("double") for i, level in enumerate(levels[1:], 1)}).cache()
-    tiers = {"M1 core": CORE, "M2 extended": EXTENDED, "M3 extended + category": [*EXTENDED, *(f"kind_{i}" for i in range(1, len(levels)))]}
-    columns, rows = [*EXTENDED, *RESPONSES], []
-    facts = lines.agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp)))).first()
-    scaled = lines.withColumns({c: (F.col(c) - facts[f"m_{c}"]) / facts[f"s_{c}"] for c in columns if facts[f"s_{c}"]})
-    for response in RESPONSES:
-        for tier, predictors in tiers.items():
-            used = [c for c in predictors if c not in columns or facts[f"s_{c}"]]
-            if facts[f"s_{response}"] and scaled.select(response, *used).na.drop().limit(len(used) + 21).count() >= len(used) + 21:
-                rows += [(response, tier, *(r[c] for c in ("term", "beta", "se", "p", "n", "r2"))) for r in S.ols(scaled, response, used, "l_suppkey") if r["term"] != "const"]
-    lines.unpersist()
-    table_ = spark.createDataFrame(rows, "response string, tier string, term string, beta double, se double, p double, n long, r2 double")
-    return S.benjamini_hochberg(table_)
+    """Every response on the core predictors, the extended ones, these with an effect of each part type, and on a sub-sample
+    (lines with a discount) with its own predictor; standardised slopes with clustered errors, q values within each tier."""
+    out = P.tiered_regressions(_responses(spark, sf_dir), _jobs(), "p_type", "l_suppkey")
+    return S.benjamini_hochberg(out, panel=["tier"])
+
+
+def tiered_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slopes and R2 of all tiers, without errors, for SQL to have them too."""
+    return rounded(P.tiered_regressions(_responses(spark, sf_dir), _jobs(), "p_type").select("response", "tier", "term", "beta", "n", "r2", "n_groups"), 5)
 
 
 def top_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty strongest significant coefficients of the extended tiers: the cut is the report."""
+    """The eight strongest significant slopes of the extended tiers: the cut is the report."""
     strong = tiered_regressions(spark, sf_dir).filter("q < 0.05 AND tier <> 'M1 core'")
-    return strong.orderBy(F.desc(F.abs("beta")), "response", "tier", "term").limit(20)
+    return strong.orderBy(F.desc(F.abs("beta")), "response", "tier", "term").limit(8)
 
 
 def regression_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The regressions as text, one section for each response and tier; terms are printed with their interval, p and mark."""
     df = tiered_regressions(spark, sf_dir)
-    line = F.concat_ws("  ", F.rpad("term", 16, " "), X.interval_text(F.col("beta"), F.col("beta") - 1.96 * F.col("se"), F.col("beta") + 1.96 * F.col("se")), X.p_text(F.col("p")), X.stars(F.col("q")))
+    line = F.concat_ws("  ", F.rpad("term", 16, " "), X.interval_text(F.col("beta"), F.col("ci_lo"), F.col("ci_hi")), X.p_text(F.col("p")), X.stars(F.col("q")))
     per = df.groupBy("response", "tier").agg(F.first("n").alias("n"), F.first("r2").alias("r2"), F.array_sort(F.collect_list(line)).alias("lines"))
     head = F.format_string("%s, %s: n = %d, R2 = %.3f\n", "response", "tier", "n", "r2")
     return per.select("response", "tier", F.concat(head, F.array_join("lines", "\n")).alias("text"))
@@ -156,7 +164,7 @@ def summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    spectrum_pick, structure_names, family_sizes, family_medians, categorical_effects, eta2_matrix, interval_texts, p_texts, three_digit_texts, structure_ok, mode_ratios, tiered_regressions,
+    spectrum_pick, structure_names, family_sizes, family_medians, categorical_effects, eta2_matrix, interval_texts, p_texts, three_digit_texts, structure_ok, mode_ratios, tiered_regressions, tiered_slopes,
     top_coefficients, regression_report, sparse_equations, summary_text)}
 
 _KINDS = """
@@ -168,7 +176,26 @@ WITH l AS (SELECT p_type, p_brand, l_returnflag, l_extendedprice, l_quantity, l_
 ), v AS (SELECT factor, target, level, sum(rk) AS s, count(*) AS m FROM r GROUP BY 1, 2, 3
 ), h AS (SELECT factor, target, sum(m)::BIGINT AS n, count(*) AS k, (12 * sum(s * s / m) / (sum(m)::DOUBLE * (sum(m) + 1)) - 3 * (sum(m) + 1)) / (1 - any_value(ties) / (sum(m)::DOUBLE ** 3 - sum(m))) AS h FROM v JOIN t USING (factor, target) GROUP BY 1, 2
 ), e AS (SELECT factor, target, round(greatest(0, (h - k + 1) / (n - k)), 5) + 0 AS eta2, n FROM h)"""
+_TIERS = [("M1 core", "l_quantity", None, "''", "TRUE"), ("M2 extended", "l_quantity", "p_size", "''", "TRUE"), ("M3 extended + category", "l_quantity", "p_size", "p_type", "TRUE"), ("GT discount", "l_discount", "p_size", "''", "l_discount > 0")]
+#: Two slopes by Cramer's rule on products of columns less their group means.
+_SLOPES = """
+WITH l AS (SELECT p_type, l_quantity::DOUBLE AS l_quantity, l_discount::DOUBLE AS l_discount, p_size::DOUBLE AS p_size, l_linenumber::DOUBLE AS line, l_extendedprice AS price, ln(l_extendedprice) AS ln_price, sqrt(l_extendedprice) AS root_price,
+    l_extendedprice * (1 - l_discount) AS net, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, l_extendedprice * l_discount AS rebate, l_extendedprice * l_tax AS levy, l_extendedprice / l_quantity AS unit_price,
+    l_extendedprice * l_quantity AS weighted, l_tax AS rate, p_retailprice FROM lineitem JOIN part ON l_partkey = p_partkey
+), j AS (""" + " UNION ALL ".join(f"SELECT '{y}' AS response, '{tier}' AS tier, {level} AS level, {y}::DOUBLE AS y, {a}::DOUBLE AS a, {b or 0}::DOUBLE AS b, '{a}' AS na, {f"'{b}'" if b else 'NULL'} AS nb FROM l WHERE {where}"
+                                    for y in RESPONSES for tier, a, b, level, where in _TIERS) + """
+), k AS (SELECT * FROM j WHERE y IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL
+), m AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY response, tier, level) >= 15 THEN level ELSE '-' END AS grp FROM k
+), d AS (SELECT *, y - avg(y) OVER g AS dy, a - avg(a) OVER g AS da, b - avg(b) OVER g AS db, stddev_pop(y) OVER t AS sy, stddev_pop(a) OVER t AS sa, stddev_pop(b) OVER t AS sb FROM m
+  WINDOW g AS (PARTITION BY response, tier, grp), t AS (PARTITION BY response, tier)
+), s AS (SELECT response, tier, any_value(na) AS na, any_value(nb) AS nb, count(*) AS n, count(DISTINCT grp) AS n_groups, any_value(sy) AS sy, any_value(sa) AS sa, any_value(sb) AS sb,
+    sum(da * da) AS aa, sum(da * db) AS ab, sum(db * db) AS bb, sum(da * dy) AS ay, sum(db * dy) AS by_, sum(dy * dy) AS yy FROM d GROUP BY response, tier
+), c AS (SELECT *, CASE WHEN nb IS NULL THEN ay / aa ELSE (ay * bb - by_ * ab) / (aa * bb - ab * ab) END AS ca, CASE WHEN nb IS NOT NULL THEN (by_ * aa - ay * ab) / (aa * bb - ab * ab) ELSE 0 END AS cb FROM s WHERE sy > 1e-12
+), r AS (SELECT *, 1 - (yy - ca * ay - cb * by_) / (n * sy * sy) AS r2 FROM c)
+SELECT response, tier, na AS term, round(ca * sa / sy, 5) + 0 AS beta, n, round(r2, 5) + 0 AS r2, n_groups FROM r
+UNION ALL SELECT response, tier, nb, round(cb * sb / sy, 5) + 0, n, round(r2, 5) + 0, n_groups FROM r WHERE nb IS NOT NULL"""
 ORACLES = {
+    "tiered_slopes": _SLOPES,
     "spectrum_pick": """
 WITH s AS (SELECT o_custkey, ['poor_oriented', 'fair_oriented', 'unrated_oriented', 'excellent_oriented', 'poor_unoriented', 'fair_unoriented', 'unrated_unoriented', 'excellent_unoriented'][(o_orderkey * 7) % 8 + 1] AS tier,
   'M__R' || o_orderkey || '__Raman__' || CASE WHEN o_orderkey % 3 = 0 THEN '532' ELSE '780' END || '__Raman_Data_Processed.txt' AS file FROM orders
