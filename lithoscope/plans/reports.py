@@ -22,7 +22,12 @@ GROUPS = {"group_a": ["f0", "f1"], "group_b": ["f2", "f3", "f4"], "group_c": ["f
 
 
 def endpoint_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(ENDPOINTS.items()), "endpoint string, definition string")
+    """Every endpoint of a spectrum: what it is, for how many spectra it is defined, and its mean there."""
+    df = S.peak_features(spectra(spark, sf_dir))
+    df = S.moments(df).withColumnsRenamed({"centroid": "shape_centroid", "skewness": "shape_skewness"}).withColumn("shape_w1_distance", S.wasserstein(F.col("corrected"), S.uniform_reference(F.size("corrected"))))
+    value = lambda c: F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double")
+    rows = F.array(*(F.struct(F.lit(c).alias("endpoint"), F.lit(d).alias("definition"), value(c).alias("v")) for c, d in ENDPOINTS.items()))
+    return rounded(df.select(F.explode(rows).alias("r")).select("r.*").groupBy("endpoint", "definition").agg(F.count("v").alias("n_defined"), F.avg("v").alias("mean")))
 
 
 def exclusive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +107,6 @@ def ratio_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (endpoint_definitions, exclusive_pairs, drop_group, complete_case, predictor_baselines, setting_agreement, curated_lookup, ratio_fractions)}
 
 ORACLES = {
-    "endpoint_definitions": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in ENDPOINTS.items()) + ") t(endpoint, definition)",
     "exclusive_pairs": statistics._rho(False) + """, a AS (SELECT feature, rho FROM rho WHERE target = 'l_extendedprice' AND rho IS NOT NULL ORDER BY abs(rho) DESC, feature LIMIT 1
 ), b AS (SELECT feature, rho FROM rho WHERE target = 'l_tax' AND rho IS NOT NULL AND feature NOT IN (SELECT feature FROM a) ORDER BY abs(rho) DESC, feature LIMIT 1)
 SELECT 0 AS place, feature, 'l_extendedprice' AS target, rho FROM a UNION ALL SELECT 1, feature, 'l_tax', rho FROM b""",

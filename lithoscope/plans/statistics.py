@@ -31,12 +31,12 @@ def spearman_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.benjamini_hochberg(df).withColumn("stars", F.when(F.col("q") < 0.001, "***").when(F.col("q") < 0.01, "**").when(F.col("q") < 0.05, "*").otherwise("")))
 
 
-P_VALUES = [("a", 0.01), ("a", 0.04), ("a", 0.03), ("a", None), ("a", 0.03), ("b", 0.9), ("b", 0.2), ("b", 0.2), ("b", 1.0), ("c", None)]
-
-
 def bh_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(P_VALUES)], "i long, panel string, p double")
-    return rounded(S.benjamini_hochberg(df, panel=["panel"]))
+    """Parts as tests in the panel of their brand: p values with ties, some unknown."""
+    k = F.col("p_partkey")
+    p = F.when(k % 11 > 0, F.pow(F.pmod(k * 7919, F.lit(997)) / F.lit(997.0), F.lit(3)))
+    tests = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("panel"), p.alias("p"))
+    return rounded(S.benjamini_hochberg(tests, panel=["panel"]), 9)
 
 
 def kruskal_eta2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,9 +126,10 @@ def _rho(covariates: bool) -> str:
 ORACLES = {
     "spearman_matrix": _rho(False) + "SELECT * FROM rho",
     "partial_spearman": _rho(True) + "SELECT * FROM rho",
-    "bh_fdr": "WITH t(i, panel, p) AS (VALUES " + ", ".join(f"({i}::BIGINT, '{a}', {'NULL' if p is None else p}::DOUBLE)" for i, (a, p) in enumerate(P_VALUES)) + """
-), r AS (SELECT *, p * count(p) OVER (PARTITION BY panel) / row_number() OVER (PARTITION BY panel, p IS NULL ORDER BY p, i) AS s FROM t)
-SELECT i, panel, p, CASE WHEN p IS NOT NULL THEN round(least(1, min(s) OVER (PARTITION BY panel, p IS NULL ORDER BY p, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) END AS q FROM r""",
+    "bh_fdr": """
+WITH t AS (SELECT p_partkey, p_brand AS panel, CASE WHEN p_partkey % 11 > 0 THEN pow(((p_partkey * 7919) % 997) / 997.0::DOUBLE, 3) END AS p FROM part
+), r AS (SELECT *, p * count(p) OVER (PARTITION BY panel) / row_number() OVER (PARTITION BY panel, p IS NULL ORDER BY p, p_partkey) AS s FROM t)
+SELECT p_partkey, panel, round(p, 9) AS p, CASE WHEN p IS NOT NULL THEN round(least(1, min(s) OVER (PARTITION BY panel, p IS NULL ORDER BY p, p_partkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) END AS q FROM r""",
     "kruskal_eta2": _LINES + " , g AS (" + " UNION ALL ".join(f"SELECT '{t}' AS target, p_type AS level, {t} AS y FROM l WHERE {t} IS NOT NULL AND p_type IS NOT NULL" for t in ("l_extendedprice", "l_quantity")) + """
 ), k AS (SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY target, level) >= 8
 ), r AS (SELECT *, rank() OVER (PARTITION BY target ORDER BY y) + (count(*) OVER (PARTITION BY target, y) - 1) / 2.0::DOUBLE AS rk FROM k

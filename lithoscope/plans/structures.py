@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.chemistry import element_of_label, parse_formula
+from ..functions.chemistry import ELEMENTS, element_of_label, parse_formula
 from ..operators import structure as S
 from .tables import rounded, table
 
@@ -56,31 +56,60 @@ def _groups() -> dict[str, list]:
     return {"1": [unit], "-1": [unit, minus], "2": [unit, [[-1, 0, 0], [0, 1, 0], [0, 0, -1]]], "4mm": [m for m in signed if m[2] == [0, 0, 1]], "m-3m": signed}
 
 
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part as a primitive cell: its number chooses the point group, its size how many atoms sit where every operation
+    leaves them."""
+    groups = [(i, name, ops) for i, (name, ops) in enumerate(_groups().items())]
+    known = F.broadcast(spark.createDataFrame(groups, "g int, point_group string, rotations array<array<array<int>>>"))  # five rows
+    part = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(groups)).cast("int").alias("g"), (F.col("p_size") % 7 + 1).cast("int").alias("atoms"))
+    cells = part.join(known, "g").withColumn("fixed", F.array_repeat("atoms", F.size("rotations")))
+    return cells.select("p_partkey", "point_group", "atoms", S.mode_counts("rotations", "fixed").alias("m"))
+
+
 def group_theory_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two atoms that every operation leaves in place, under five point groups."""
-    rows = [(name, ops, [2] * len(ops)) for name, ops in _groups().items()]
-    df = spark.createDataFrame(rows, "point_group string, rotations array<array<array<int>>>, fixed array<int>")
-    return rounded(df.select("point_group", S.mode_counts("rotations", "fixed").alias("m")).select("point_group", "m.*"))
+    """Counts of vibrations of every part's cell."""
+    return rounded(_cells(spark, sf_dir).select("p_partkey", "point_group", "atoms", "m.*"))
 
 
-LABELS = [("Ba1", "Ba"), ("OH2", "O"), ("Wat1", "O"), ("Sb", "Sb"), ("D", "H"), ("'Fe2'", "Fe"), ("Qx9", None), ("12", None), ("SI1", "S")]
-FORMULAS = [("CaSO_4_·2H_2_O", "Ca:1.0;H:4.0;O:6.0;S:1.0"), ("Fe^2+^S", "Fe:1.0;S:1.0"), ("Mg(OH)2; brucite", "H:2.0;Mg:1.0;O:2.0"), ("Ca5(PO4)3[OH]", "Ca:5.0;H:1.0;O:13.0;P:3.0"), ("not a formula", None), ("", None), ("Si(O2", None)]
+def mode_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratios derived from the counts of vibrations."""
+    return rounded(_cells(spark, sf_dir).select("p_partkey", "point_group", *S.derived_ratios(F.col("m"))))
 
 
 def label_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(label,) for label, _ in LABELS], "label string")
-    return df.select("label", element_of_label(F.col("label")).alias("element"))
+    """Labels made of parts' names: a symbol with a number, in capitals, in quotes, or the words for water and deuterium."""
+    k, a = F.col("p_partkey"), F.initcap(F.substring("p_name", 1, 2))
+    label = F.when(k % 4 == 0, F.concat(a, F.col("p_size").cast("string"))).when(k % 4 == 1, F.concat(F.upper(a), F.col("p_size").cast("string"))).when(k % 4 == 2, F.concat(F.lit("'"), a, F.lit("'")))
+    label = label.when(k % 8 == 3, F.concat(F.lit("wAt"), k.cast("string"))).otherwise("d")
+    return table(spark, sf_dir, "part").select("p_partkey", label.alias("label")).withColumn("element", element_of_label(F.col("label")))
+
+
+SYMBOLS = ("Si", "Fe", "Ca", "Mg", "Na", "Al")
 
 
 def formula_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(f,) for f, _ in FORMULAS], "formula string").withColumn("m", parse_formula("formula"))
+    """Formulas of five spellings made of parts' numbers (hydrates, subscripts, charges, comments, an open bracket)."""
+    k = F.col("p_partkey")
+    x, a, b = F.get(F.array(*map(F.lit, SYMBOLS)), (k % len(SYMBOLS)).cast("int")), (F.col("p_size") % 4 + 1).cast("string"), (k % 3 + 1).cast("string")
+    forms = [F.concat(x, a, F.lit("O"), b), F.concat(x, F.lit("(OH)"), a, F.lit("\u00b7"), b, F.lit("H_2_O")), F.concat(x, F.lit("_"), a, F.lit("_O_"), b, F.lit("_; as told")),
+             F.concat(x, F.lit("^2+^S"), a), F.concat(x, a, F.lit("(O"))]
+    formula = forms[4]
+    for i in range(4):
+        formula = F.when(k % 5 == i, forms[i]).otherwise(formula)
+    df = table(spark, sf_dir, "part").select("p_partkey", formula.alias("formula")).withColumn("m", parse_formula("formula"))
     told = F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ";")
-    return df.select("formula", F.when(F.col("m").isNotNull(), told).alias("amounts"))
+    return df.select("p_partkey", "formula", F.when(F.col("m").isNotNull(), told).alias("amounts"))
 
 
-QUERIES = {f.__name__: f for f in (bond_stats, composition_spread, env_stats, group_theory_modes, label_elements, formula_amounts)}
+QUERIES = {f.__name__: f for f in (bond_stats, composition_spread, env_stats, group_theory_modes, mode_ratios, label_elements, formula_amounts)}
 
-_VALUES = lambda rows: ", ".join("(" + ", ".join("NULL" if v is None else f"'{v.replace(chr(39), chr(39) * 2)}'" for v in r) + ")" for r in rows)
+#: Per atom less one, worked out by hand from the character tables: distinct modes, freedom of each, seen by Raman, by infrared.
+_MODES = """
+WITH t(g, point_group, d, f, r, i) AS (VALUES (0, '1', 3, 1, TRUE, TRUE), (1, '-1', 3, 1, FALSE, TRUE), (2, '2', 3, 1, TRUE, TRUE), (3, '4mm', 2, 1, TRUE, TRUE), (4, 'm-3m', 1, 3, FALSE, TRUE)
+), c AS (SELECT p_partkey, point_group, (p_size % 7 + 1)::INTEGER AS atoms, (p_size % 7)::INTEGER AS n, d, f, r, g FROM part JOIN t ON p_partkey % 5 = g
+), m AS (SELECT *, 3 * n AS n_vib_dof, d * n AS n_vib_distinct, CASE WHEN r THEN d * n ELSE 0 END AS n_raman, d * n AS n_ir, CASE WHEN r THEN d * n ELSE 0 END AS n_overlap, 0 AS n_silent, CASE WHEN r THEN 3 * n ELSE 0 END AS n_raman_dof, 3 * n AS n_ir_dof,
+    CASE WHEN r AND n > 0 THEN CASE point_group WHEN '1' THEN 1 ELSE 2 END ELSE 0 END AS n_raman_irreps, CASE WHEN r THEN CASE point_group WHEN '1' THEN 3 * n WHEN '2' THEN 2 * n ELSE n END ELSE 0 END AS max_raman_mult,
+    CASE WHEN n > 0 AND point_group = '2' THEN round(-(ln(1 / 3.0::DOUBLE) / 3 + 2 * ln(2 / 3.0::DOUBLE) / 3), 6) WHEN n > 0 AND point_group = '4mm' THEN round(ln(2.0::DOUBLE), 6) ELSE 0 END AS raman_entropy, g IN (1, 4) AS centrosymmetric, '' AS error FROM c)"""
 ORACLES = {
     "bond_stats": f"""
 WITH el(symbol, chi, mass, radius) AS (VALUES {", ".join(f"('{s}', {c}::DOUBLE, {m}::DOUBLE, {r}::DOUBLE)" for s, c, m, r in ELEMENT_DATA)}
@@ -101,6 +130,15 @@ SELECT vec_id, coalesce(n, 0) AS n_bonds, round(coalesce(n, 0) / 8, 6) AS bonds_
 FROM (SELECT DISTINCT vec_id FROM s) LEFT JOIN g USING (vec_id) LEFT JOIN o USING (vec_id)""",
     "composition_spread": """
 SELECT p_type, round(sqrt(avg(p_retailprice * p_retailprice) - avg(p_retailprice) ** 2), 6) AS sigma_chi, round(ln(max(p_size)::DOUBLE / min(p_size)), 6) AS mass_contrast FROM part GROUP BY p_type""",
-    "label_elements": f"SELECT * FROM (VALUES {_VALUES(LABELS)}) t(label, element)",
-    "formula_amounts": f"SELECT * FROM (VALUES {_VALUES(FORMULAS)}) t(formula, amounts)",
+    "group_theory_modes": _MODES + "SELECT * EXCLUDE (n, d, f, r, g) FROM m",
+    "mode_ratios": _MODES + """SELECT p_partkey, point_group, round(n_raman / nullif(n_vib_distinct, 0)::DOUBLE, 6) AS raman_mode_fraction, round(1 - n_vib_distinct / nullif(n_vib_dof, 0)::DOUBLE, 6) AS degeneracy_fraction, 'ok' AS status FROM m""",
+    "label_elements": f"""
+WITH p AS (SELECT p_partkey, p_size, upper(substr(p_name, 1, 1)) || lower(substr(p_name, 2, 1)) AS a, [{", ".join(f"'{e}'" for e in ELEMENTS)}] AS known FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN a || p_size WHEN p_partkey % 4 = 1 THEN upper(a) || p_size WHEN p_partkey % 4 = 2 THEN chr(39) || a || chr(39) WHEN p_partkey % 8 = 3 THEN 'wAt' || p_partkey ELSE 'd' END AS label,
+  CASE WHEN p_partkey % 8 = 3 THEN 'O' WHEN p_partkey % 8 = 7 THEN 'H' WHEN p_partkey % 4 <> 1 AND list_contains(known, a) THEN a WHEN list_contains(known, a[1]) THEN a[1] END AS element FROM p""",
+    "formula_amounts": f"""
+WITH p AS (SELECT p_partkey, p_partkey % 5 AS f, ([{", ".join(f"'{e}'" for e in SYMBOLS)}])[p_partkey % {len(SYMBOLS)} + 1] AS x, (p_size % 4 + 1)::INTEGER AS a, (p_partkey % 3 + 1)::INTEGER AS b FROM part
+), l AS (SELECT *, CASE f WHEN 0 THEN [(x, a), ('O', b)] WHEN 1 THEN [(x, 1), ('O', a + b), ('H', a + 2 * b)] WHEN 2 THEN [(x, a), ('O', b)] WHEN 3 THEN [(x, 1), ('S', a)] END AS e FROM p)
+SELECT p_partkey, CASE f WHEN 0 THEN x || a || 'O' || b WHEN 1 THEN x || '(OH)' || a || chr(183) || b || 'H_2_O' WHEN 2 THEN x || '_' || a || '_O_' || b || '_; as told' WHEN 3 THEN x || '^2+^S' || a ELSE x || a || '(O' END AS formula,
+  array_to_string(list_sort(list_transform(e, lambda t: t[1] || ':' || t[2]::DOUBLE::VARCHAR)), ';') AS amounts FROM l""",
 }

@@ -13,7 +13,7 @@ from ..operators import stats as S
 from ..operators import structure as T
 from ..sources import files
 from ..sources.sinks import markdown, wide
-from . import cohorts, modelling, statistics, structures
+from . import cohorts, modelling, statistics
 from .tables import rounded, table
 
 RESPONSES = ["price", "ln_price", "root_price", "net", "charge", "rebate", "levy", "unit_price", "weighted", "rate", "line", "p_retailprice"]
@@ -102,13 +102,6 @@ def structure_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", *T.structure_status(blocks, group, primitive, "group_theory"))
 
 
-def mode_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ratios derived from the vibration counts of five point groups."""
-    rows = [(name, ops, [2] * len(ops)) for name, ops in structures._groups().items()]
-    df = spark.createDataFrame(rows, "point_group string, rotations array<array<array<int>>>, fixed array<int>")
-    return rounded(df.select("point_group", T.mode_counts("rotations", "fixed").alias("m")).select("point_group", *T.derived_ratios(F.col("m"))))
-
-
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with twelve responses: amounts, rates and their transforms."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
@@ -164,7 +157,7 @@ def summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    spectrum_pick, structure_names, family_sizes, family_medians, categorical_effects, eta2_matrix, interval_texts, p_texts, three_digit_texts, structure_ok, mode_ratios, tiered_regressions, tiered_slopes,
+    spectrum_pick, structure_names, family_sizes, family_medians, categorical_effects, eta2_matrix, interval_texts, p_texts, three_digit_texts, structure_ok, tiered_regressions, tiered_slopes,
     top_coefficients, regression_report, sparse_equations, summary_text)}
 
 _KINDS = """
