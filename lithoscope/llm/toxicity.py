@@ -7,7 +7,7 @@ lexicon's trie and the Levenshtein automaton of each term at once: a state is a
 states and their transitions are made once and kept. Words of 5 letters may differ by one edit, of 9 by two; each
 (term, edits) pair has its own weight, learnt from the labelled rows, so a spelling that clean documents share with
 a term counts for nothing. Each hit has a context: addressed (near a word for the reader), quoted (between two
-quotation marks of a line, or near a reporting word) or plain. What a hit in a context is worth is learnt as well: how
+quotation marks of a line, near a reporting verb, or right after a naming noun), both of them, or plain. What a hit in a context is worth is learnt as well: how
 telling such hits are among the labelled rows against plain ones, starting from a documented prior. A logistic curve
 over a document's hits, fitted on the same rows, gives the score.
 
@@ -41,7 +41,9 @@ WORD = re.compile(r"\w(?:[\w@*$!]*\w)?")
 STEMS = range(4, 9)
 WINDOW = 8
 #: Fixed word lists of the context windows.
-REPORTING = frozenset("said says called calls wrote word words term quote quoted dit mot disait sagte sagt wort zitat dijo dice palabra".split())
+REPORTING = frozenset("said says called calls wrote quote quoted dit disait sagte sagt zitat dijo dice".split())
+#: Nouns that name a term only right before it, as in "the word ...".
+NAMING = frozenset("word words term mot mots wort begriff palabra".split())
 ADDRESS = frozenset("you your youre yourself u ur tu toi vous votre du dich dein ihr euch tú usted ustedes te".split())
 #: Spans between two quotation marks of one line.
 QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|‘[^’\n]*’(?!\w)|(?<!\w)'[^'\n]*'(?!\w)")
@@ -139,7 +141,8 @@ class Matcher:
         self.hot: dict[str, tuple[int, int]] = {}
 
     def hits(self, text: str | None) -> Counter:
-        """Counts of (term number, edits, context): context 0 plain, 1 quoted or reported, 2 addressed.
+        """Counts of (term number, edits, context): context 0 plain, 1 quoted or reported, 2 addressed, 3 both between quotation
+        marks and addressed (someone's words to someone else).
 
         A text with hits also has its number of words, under (-1, 0, 0).
         """
@@ -170,13 +173,14 @@ class Matcher:
                     edits, term = found[word]
                     near = said[max(0, k - WINDOW):k] + said[k + 1:k + 1 + WINDOW]
                     span = bisect_left(opened, spans[k][0]) - 1
-                    quoted = (span >= 0 and spans[k][1] <= quotes[span][1]) or not REPORTING.isdisjoint(near)
-                    out[(term, edits, 2 if not ADDRESS.isdisjoint(near) else 1 if quoted else 0)] += 1
+                    marked, addressed = span >= 0 and spans[k][1] <= quotes[span][1], not ADDRESS.isdisjoint(near)
+                    reported = not REPORTING.isdisjoint(near) or not NAMING.isdisjoint(said[max(0, k - 2):k])
+                    out[(term, edits, 3 if marked and addressed else 2 if addressed else 1 if marked or reported else 0)] += 1
         return out
 
 
-#: Prior worth of a hit by context (plain, quoted, addressed), and how many labelled rows it counts for.
-CONTEXT_PRIOR, PRIOR_ROWS = (1.0, 0.3, 1.25), 20
+#: Prior worth of a hit by context (plain, quoted, addressed, quoted and addressed), and how many labelled rows it counts for.
+CONTEXT_PRIOR, PRIOR_ROWS = (1.0, 0.3, 1.25, 0.3), 20
 
 
 @dataclass
@@ -377,7 +381,7 @@ def fitted_contexts(weights: dict[tuple[int, int], float], hits: pd.DataFrame, n
             seen[y].update(found)
     plain = log_odds(seen[1][0], seen[0][0], n_toxic, n_clean)
     out = [1.0]
-    for c in (1, 2):
+    for c in range(1, len(CONTEXT_PRIOR)):
         rows = seen[1][c] + seen[0][c] if plain > 0 else 0
         share = min(2.0, max(0.0, log_odds(seen[1][c], seen[0][c], n_toxic, n_clean) / plain)) if plain > 0 else 0.0
         out.append((PRIOR_ROWS * CONTEXT_PRIOR[c] + rows * share) / (PRIOR_ROWS + rows))

@@ -195,3 +195,19 @@ def test_contexts_are_learnt(spark):
     matcher = toxicity.Matcher(model.terms)
     score = [model.score(matcher.hits(t)) for t in (said() + " snorbwick " + said(), said() + ' “that snorbwick of old” ' + said())]
     assert score[0] > 0.5 > score[1]
+
+
+def test_quoted_abuse_with_a_pronoun_is_quotation(spark):
+    """Whoever is addressed inside quotation marks is not the reader; a noun like "words" elsewhere marks no quotation."""
+    words = ["river", "stone", "light", "garden", "window", "letter", "music", "winter", "bridge", "forest", "silver", "candle"]
+    draw = np.random.default_rng(9)
+    said = lambda: " ".join(draw.choice(words, 40))
+    texts = [(said() + " snorbwick " + said(), 1) for _ in range(300)] + [(said(), 0) for _ in range(900)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int"))
+    matcher = toxicity.Matcher(model.terms)
+    assert matcher.hits('he said "you snorbwick" to the man')[(0, 0, 3)] == 1 and matcher.hits("you snorbwick")[(0, 0, 2)] == 1
+    assert matcher.hits("plain words about a river here snorbwick")[(0, 0, 0)] == 1 and matcher.hits("the word snorbwick is old")[(0, 0, 1)] == 1
+    score = lambda t: model.score(matcher.hits(said() + " " + t + " " + said()))
+    assert score('he said "you snorbwick" to the man') < 0.5 < score("plain words about a river here snorbwick")
+    assert score("you snorbwick") > 0.5
