@@ -24,7 +24,6 @@ GROUPS = {"group_a": ["f0", "f1"], "group_b": ["f2", "f3", "f4"], "group_c": ["f
 def endpoint_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every endpoint of a spectrum: what it is, for how many spectra it is defined, and its mean there."""
     df = S.peak_features(spectra(spark, sf_dir))
-    df = S.moments(df).withColumnsRenamed({"centroid": "shape_centroid", "skewness": "shape_skewness"}).withColumn("shape_w1_distance", S.wasserstein(F.col("corrected"), S.uniform_reference(F.size("corrected"))))
     value = lambda c: F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double")
     rows = F.array(*(F.struct(F.lit(c).alias("endpoint"), F.lit(d).alias("definition"), value(c).alias("v")) for c, d in ENDPOINTS.items()))
     return rounded(df.select(F.explode(rows).alias("r")).select("r.*").groupBy("endpoint", "definition").agg(F.count("v").alias("n_defined"), F.avg("v").alias("mean")))
