@@ -93,26 +93,31 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 150, rate: float = 0.06
 
 
 def tree_grid(df: DataFrame, targets: list[str], sets: dict[str, list[str]], group: str, key: str, folds: int = 5, repeats: int = 3,
-              trees: int = 150, max_rows: int = 100_000, seed: int = 0) -> DataFrame:
+              trees: int = 150, max_rows: int = 100_000, seed: int = 0, target_of_fold: list[str] | None = None, fold_column: str | None = None) -> DataFrame:
     """(grp, target, set, repeat, n, sy, syy, see): sums of the out-of-fold predictions of each group.
 
     Every row with a target is predicted in every repeat by the model of the fold that holds its group, which trains on all
     rows of the other folds: in one task up to ``max_rows`` rows, level by level beyond; models are as many as jobs. Null groups are one group; null and NaN values are missing; rows without a target are
-    left out of its jobs; a job without training rows predicts nothing; an empty table gives no row.
+    left out of its jobs; a job without training rows predicts nothing; an empty table gives no row. With
+    ``target_of_fold``, the model of fold f learns and predicts the f-th of these columns only. With ``fold_column`` the
+    folds are given (0 to folds - 1) and there is one repeat.
     """
+    if fold_column:
+        repeats = 1
+    wanted = lambda t, f: not target_of_fold or target_of_fold[f] == targets[t]
     if df.count() > max_rows:
         from .level_trees import boosted_sums
 
-        return boosted_sums(df, targets, sets, group, key, folds, repeats, trees, seed=seed)
+        return boosted_sums(df, targets, sets, group, key, folds, repeats, trees, seed=seed, target_of_fold=target_of_fold, fold_column=fold_column)
     columns, names = sorted({c for some in sets.values() for c in some}), list(sets)
     inside = [[columns.index(c) for c in sets[name]] for name in names]
     for r in range(repeats):
-        df = group_folds(df, group, folds, seed + r).withColumnRenamed("fold", f"__fold_{r}")
+        df = df.withColumn("__fold_0", F.col(fold_column).cast("int")) if fold_column else group_folds(df, group, folds, seed + r).withColumnRenamed("fold", f"__fold_{r}")
     number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
     rows = df.select(F.col(group).alias("grp"), F.xxhash64(key, F.lit(seed)).alias("key"), F.array(*map(number, columns)).alias("x"),
                      F.array(*map(number, targets)).alias("y"), F.array(*(f"__fold_{r}" for r in range(repeats))).alias("folds"))
     jobs = list(product(range(len(targets)), range(len(names)), range(repeats), range(folds)))
-    numbered_jobs = F.array(*(F.struct(F.lit(i).alias("job"), *(F.lit(v).alias(n) for n, v in zip("tsrf", job, strict=True))) for i, job in enumerate(jobs)))
+    numbered_jobs = F.array(*(F.struct(F.lit(i).alias("job"), *(F.lit(v).alias(n) for n, v in zip("tsrf", job, strict=True))) for i, job in enumerate(jobs) if wanted(job[0], job[3])))
     long = rows.select("key", "x", "y", "folds", F.explode(numbered_jobs).alias("j")).withColumn("y", F.expr("y[j.t]"))
     training = long.filter("folds[j.r] <> j.f AND NOT isnan(y)").select("j.job", "key", "x", "y")
 

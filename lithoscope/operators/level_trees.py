@@ -213,10 +213,11 @@ def quantile_cuts(df: DataFrame, columns: list[str], bins: int = 255) -> list[np
     return [np.unique(row[f"c{i}"] or []) for i in range(len(columns))]
 
 
-def coded_rows(df: DataFrame, columns: list[str], targets: list[str], group: str, key: str, cuts: list[np.ndarray], folds: int, repeats: int, seed: int) -> DataFrame:
+def coded_rows(df: DataFrame, columns: list[str], targets: list[str], group: str, key: str, cuts: list[np.ndarray], folds: int, repeats: int, seed: int,
+               fold_column: str | None = None) -> DataFrame:
     """(grp, key, folds, codes, y): folds of each repeat, a byte a column, unknown targets null or NaN."""
     for r in range(repeats):
-        df = group_folds(df, group, folds, seed + r).withColumnRenamed("fold", f"__fold_{r}")
+        df = df.withColumn("__fold_0", F.col(fold_column).cast("int")) if fold_column else group_folds(df, group, folds, seed + r).withColumnRenamed("fold", f"__fold_{r}")
     number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
     rows = df.select(F.col(group).alias("grp"), F.xxhash64(key, F.lit(seed)).alias("key"), F.array(*map(number, columns)).alias("x"),
                      F.array(*map(number, targets)).alias("y"), F.array(*(f"__fold_{r}" for r in range(repeats))).alias("folds"))
@@ -278,13 +279,16 @@ def frame_codes(frame: pd.DataFrame) -> np.ndarray:
 
 
 def boosted_sums(df: DataFrame, targets: list[str], sets: dict[str, list[str]], group: str, key: str, folds: int = 5, repeats: int = 3, trees: int = 150,
-                 rate: float = 0.06, depth: int = 3, leaf: int = 15, l2: float = 1.0, seed: int = 0, most_jobs: int = 240, every: int = 8) -> DataFrame:
+                 rate: float = 0.06, depth: int = 3, leaf: int = 15, l2: float = 1.0, seed: int = 0, most_jobs: int = 240, every: int = 8,
+                 target_of_fold: list[str] | None = None, fold_column: str | None = None) -> DataFrame:
     """(grp, target, set, repeat, n, sy, syy, see) of out-of-fold predictions, as ``boosting.tree_grid``, from all rows.
 
     Fits run in batches of about ``most_jobs``, whole (target, set, repeat) combinations at a time.
     """
+    repeats = 1 if fold_column else repeats
+    wanted = lambda t, f: not target_of_fold or target_of_fold[f] == targets[t]
     columns = sorted({c for some in sets.values() for c in some})
-    names, rows = list(sets), coded_rows(df, columns, targets, group, key, quantile_cuts(df, columns), folds, repeats, seed)
+    names, rows = list(sets), coded_rows(df, columns, targets, group, key, quantile_cuts(df, columns), folds, repeats, seed, fold_column)
     moments, out = target_moments(rows, len(targets), repeats, folds, False), None
     combinations = list(product(range(len(targets)), range(len(names)), range(repeats)))
     kind = df.schema[group].dataType.simpleString()
@@ -312,7 +316,7 @@ def boosted_sums(df: DataFrame, targets: list[str], sets: dict[str, list[str]],
                 if "arrays" not in frame.attrs:
                     frame.attrs["arrays"] = (np.stack(frame["y"]), np.stack(frame["folds"]), applied(np.stack(frame["pred"]).copy(), frame, since))
                 y, fold, pred = frame.attrs["arrays"]
-                on = np.flatnonzero((fold[:, r] != f) & ~np.isnan(y[:, t]))
+                on = np.flatnonzero((fold[:, r] != f) & ~np.isnan(y[:, t]) & wanted(t, f))
                 return on, np.ones(len(on)), (y[on, t] - pred[on, job])[:, None]
 
             for _ in range(depth):
@@ -330,7 +334,7 @@ def boosted_sums(df: DataFrame, targets: list[str], sets: dict[str, list[str]],
                 y, fold, pred = (np.stack(f[c]) for c in ("y", "folds", "pred"))
                 for i, (t, s, r) in enumerate(some):
                     on = np.flatnonzero(~np.isnan(y[:, t]))
-                    trained = np.array([moments[r, x][0][t] > 0 for x in range(folds)])
+                    trained = np.array([moments[r, x][0][t] > 0 and wanted(t, x) for x in range(folds)])
                     on = on[trained[fold[on, r]]]
                     yield pd.DataFrame({"grp": f["grp"].iloc[on], "target": targets[t], "set": names[s], "repeat": r, "y": y[on, t], "pred": pred[on, i * folds + fold[on, r]]})
 

@@ -205,3 +205,12 @@ def cross_validated_r2(matrices: dict, columns: list[str], chosen: list[str]) ->
     error = sum(error_sum(held, ols_coefficients(total - held, k), k + 1) for held in parts.values())
     spread = error_sum(total, np.array([total[0, k + 1] / total[0, 0]]), k + 1)
     return float(1 - error / spread) if spread > 0 else None
+
+
+def fold_target_coefficients(df: DataFrame, columns: list[str], fold: str = "fold", model_fold: str = "model_fold", y: str = "target") -> dict:
+    """fold -> least squares of a target that differs by model fold, fitted on that fold's rows of the other folds.
+
+    One aggregate with a row for each model fold.
+    """
+    used = df.filter(~F.col(fold).eqNullSafe(F.col(model_fold))).select(model_fold, *columns, y).na.drop()
+    return {r[model_fold]: ols_coefficients(as_matrix(r, len(columns) + 2), len(columns)) for r in used.groupBy(model_fold).agg(*product_sums([*columns, y])).collect()}

@@ -272,3 +272,27 @@ def peak_features(df: DataFrame, points: str = "points", settings: dict[str, Set
         band = F.when(ok, band_summary(F.col("peaks"), low, high))
         df = df.withColumns({f"n_{name}": band["n"], f"s_{name}": band["entropy"], f"gamma_{name}": band["width"]})
     return df.withColumn("raman_ok", ok).drop("__grid", "__raw", "__f", "__p", "total", "centroid", "skewness")
+
+
+def fold_references(df: DataFrame, fold: str, profile: str = "profile") -> DataFrame:
+    """(model_fold, reference): for each fold the pooled profile of all rows of the other folds, as (x, y) over the common grid.
+
+    Profiles are summed place by place per fold, the sums of the other folds follow from the whole; folds are few.
+    """
+    places = df.filter(F.col(profile).isNotNull()).select(F.col(fold).alias("__f"), F.explode(profile).alias("p")).groupBy("__f", F.col("p.x").alias("x")).agg(F.sum("p.y").alias("y"))
+    whole = places.groupBy("x").agg(F.sum("y").alias("all"))
+    folds = df.select(F.col(fold).alias("model_fold")).filter("model_fold IS NOT NULL").distinct()
+    own = folds.join(whole).join(places.select(F.col("__f").alias("model_fold"), "x", "y"), ["model_fold", "x"], "left")  # folds x places rows
+    rest = F.struct("x", (F.col("all") - F.coalesce("y", F.lit(0.0))).alias("y"))
+    return own.groupBy("model_fold").agg(F.array_sort(F.collect_list(rest)).alias("reference"))
+
+
+def fold_targets(df: DataFrame, fold: str, points: str = "corrected", places: int = 481) -> DataFrame:
+    """``df`` with ``model_fold`` and ``target``, a row for each row and fold: the log of the distance of its profile to the
+    pooled profile of the rows outside that fold. A model of a fold trains on its rows of other folds and is judged on its own.
+
+    NULL targets where there is no profile (too few points, no intensity) or the distance is 0.
+    """
+    shaped = df.withColumn("profile", resample(F.col(points), places))
+    return (shaped.join(F.broadcast(fold_references(shaped, fold)))  # one row a fold
+            .withColumn("target", F.ln(wasserstein(F.col("profile"), F.col("reference")))).drop("profile", "reference"))

@@ -10,9 +10,10 @@ from ..operators import boosting as B
 from ..operators import level_trees as V
 from ..operators import models as L
 from ..operators import resampling as R
-from ..operators.stats import as_matrix, product_sums
+from ..operators import spectra as S
+from ..operators.stats import as_matrix, product_sums, rank_correlations
 from ..session import cut
-from .tables import rounded, table
+from .tables import rounded, spectra, table
 
 FEATURES = [f"f{i}" for i in range(8)]
 
@@ -214,8 +215,29 @@ def rf_multioutput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(B.arm_report(sums, B.arm_draws(sums)))
 
 
+def w1_reference_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shape target against a uniform reference and against the pooled profile of each fold's training rows: boosted trees
+    of 150 on both with the same folds of labels, R2 with intervals of 300 draws, and the rank correlation of the targets."""
+    vectors = _vectors(spark, sf_dir).select("vec_id", *FEATURES)
+    shapes = S.subtract_baseline(spectra(spark, sf_dir), fraction=1 / 40).filter("label IS NOT NULL")
+    folded = R.group_folds(shapes, "label")
+    uniform = folded.select("vec_id", F.ln(S.wasserstein(F.col("corrected"), S.uniform_reference(F.size("corrected")))).alias("uniform"))
+    targets = S.fold_targets(folded.select("vec_id", "label", "fold", "corrected"), "fold").join(uniform, "vec_id")
+    wide = targets.groupBy("vec_id", "label", "fold").agg(F.first("uniform").alias("uniform"), *(F.first(F.when(F.col("model_fold") == f, F.col("target")), True).alias(f"t{f}") for f in range(5)))
+    rows = cut(wide.join(vectors, "vec_id"))
+    sets = {"all": FEATURES}
+    sums = [B.tree_grid(rows, ["uniform"], sets, "label", "vec_id", fold_column="fold"),
+            B.tree_grid(rows, [f"t{f}" for f in range(5)], sets, "label", "vec_id", target_of_fold=[f"t{f}" for f in range(5)], fold_column="fold")]
+    both = cut(sums[0].unionByName(sums[1]).withColumn("target", F.when(F.col("target") == "uniform", "fixed uniform").otherwise("training-fold pooled"))
+               .groupBy("grp", *B.COMBINATION).agg(*(F.sum(c).alias(c) for c in ("n", "sy", "syy", "see"))))
+    own = rows.select("uniform", F.coalesce(*(F.when(F.col("fold") == f, F.col(f"t{f}")) for f in range(5))).alias("pooled"))
+    rho = rank_correlations(own, ["uniform"], ["pooled"]).select("rho")  # one row
+    scores = B.grid_scores(both, B.grid_draws(both)).select(F.col("target").alias("reference"), "n", "r2", "ci_lo", "ci_hi")
+    return rounded(scores.join(F.broadcast(rho)).select("reference", "n", "r2", "ci_lo", "ci_hi", F.when(F.col("reference") == "fixed uniform", F.lit(1.0)).otherwise(F.col("rho")).alias("rank_rho_vs_uniform")))
+
+
 QUERIES = {f.__name__: f for f in (
-    gbt_all_rows, rf_multioutput, group_folds, bootstrap_r2_ci, paired_delta_r2, pooled_r2, cluster_bootstrap, oof_mean_baseline, lofo_linear, lasso_1se, lasso_nested, lasso_stability, pls_q2,
+    w1_reference_models, gbt_all_rows, rf_multioutput, group_folds, bootstrap_r2_ci, paired_delta_r2, pooled_r2, cluster_bootstrap, oof_mean_baseline, lofo_linear, lasso_1se, lasso_nested, lasso_stability, pls_q2,
     perm_importance, knn_baseline, missing_representation, gbt_sets, gbt_contrasts, rf_arms)}
 
 _SUMS = """

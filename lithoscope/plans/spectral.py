@@ -50,6 +50,12 @@ def wasserstein_pooled_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df.join(profile, "label").select("vec_id", "label", S.wasserstein(F.col("corrected"), F.col("reference")).alias("w1")))
 
 
+def w1_fold_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of each spectrum to the pooled profile of all spectra outside each of five folds of labels, on 481 places."""
+    df = _corrected(spark, sf_dir).filter("label IS NOT NULL").withColumn("fold", F.col("label") % 5)
+    return rounded(S.fold_targets(df.select("vec_id", "fold", "corrected"), "fold").select("vec_id", "fold", "model_fold", "target"), 5)
+
+
 def resampled_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corrected spectra as shares on a coarser grid of 25 places."""
     df = _corrected(spark, sf_dir).select("vec_id", S.resample(F.col("corrected"), 25).alias("grid"))
@@ -122,7 +128,7 @@ def peak_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    spectral_cohort, spectrum_window_points, baseline_rollmin, spectral_moments, wasserstein_uniform, wasserstein_pooled_reference, resampled_profile,
+    spectral_cohort, spectrum_window_points, baseline_rollmin, spectral_moments, wasserstein_uniform, wasserstein_pooled_reference, w1_fold_targets, resampled_profile,
     local_maxima_candidates, robust_noise_mad, peak_features, band_summary, settings_grid, settings_peaks, event_spacing, peak_entropy)}
 
 # --- oracles ---------------------------------------------------------------------------------------------------------
@@ -169,6 +175,18 @@ SELECT vec_id, round(x, 6) AS x, round(y, 6) AS y, round(x - lag(x) OVER (PARTIT
   SELECT vec_id, k, y_bc + coalesce((y2 - y_bc) / nullif(x2 - x, 0), 0) * (100 + k * 50::DOUBLE - x) AS y
   FROM s, range(25) r(k) WHERE 100 + k * 50::DOUBLE >= x AND (100 + k * 50::DOUBLE < x2 OR last)
 ) SELECT vec_id, k AS i, round(y / sum(y) OVER (PARTITION BY vec_id), 8) AS share FROM g QUALIFY sum(y) OVER (PARTITION BY vec_id) > 0""",
+    "w1_fold_targets": _BASE + """, s AS (
+  SELECT vec_id, label % 5 AS fold, x, y_bc, coalesce(lead(x) OVER w, x) AS x2, coalesce(lead(y_bc) OVER w, y_bc) AS y2, lead(x) OVER w IS NULL AS last, count(*) OVER (PARTITION BY vec_id) AS m FROM b WHERE label IS NOT NULL WINDOW w AS (PARTITION BY vec_id ORDER BY x)
+), g AS (
+  SELECT vec_id, fold, k, y_bc + coalesce((y2 - y_bc) / nullif(x2 - x, 0), 0) * (100 + k * 2.5::DOUBLE - x) AS y
+  FROM s, range(481) r(k) WHERE m >= 20 AND 100 + k * 2.5::DOUBLE >= x AND (100 + k * 2.5::DOUBLE < x2 OR last)
+), h AS (SELECT vec_id, fold, k, y / sum(y) OVER (PARTITION BY vec_id) AS y FROM g QUALIFY sum(y) OVER (PARTITION BY vec_id) > 0
+), r AS (SELECT f.fold AS model_fold, k, sum(y) FILTER (WHERE h.fold <> f.fold) AS ref FROM h, (SELECT DISTINCT label % 5 AS fold FROM b WHERE label IS NOT NULL) f GROUP BY ALL
+), c AS (SELECT model_fold, k, sum(ref) OVER (PARTITION BY model_fold ORDER BY k) / sum(ref) OVER (PARTITION BY model_fold) AS cr FROM r
+), a AS (SELECT vec_id, fold, k, sum(y) OVER (PARTITION BY vec_id ORDER BY k) AS cp FROM h
+), d AS (SELECT vec_id, any_value(fold) AS fold, model_fold, ln(sum(abs(cp - cr) * 2.5::DOUBLE) FILTER (WHERE k < 480)) AS target FROM a JOIN c USING (k) GROUP BY vec_id, model_fold)
+SELECT v.vec_id, v.fold, f.fold AS model_fold, round(target, 5) AS target FROM (SELECT DISTINCT vec_id, label % 5 AS fold FROM embeddings WHERE label IS NOT NULL) v
+CROSS JOIN (SELECT DISTINCT label % 5 AS fold FROM embeddings WHERE label IS NOT NULL) f LEFT JOIN d ON d.vec_id = v.vec_id AND d.model_fold = f.fold""",
     "local_maxima_candidates": _POINTS + """SELECT vec_id, round(x, 6) AS x, round(y, 6) AS y FROM (
   SELECT *, lag(y) OVER w AS a, lead(y) OVER w AS b FROM p WINDOW w AS (PARTITION BY vec_id ORDER BY x, y)) WHERE y > a AND y > b""",
     "robust_noise_mad": _BASE + """, c AS (SELECT vec_id, median(y_bc) AS m FROM b GROUP BY vec_id),

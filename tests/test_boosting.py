@@ -68,3 +68,20 @@ def test_grid_equals_separate_fits(spark):
     scores = B.grid_scores(sums, B.grid_draws(sums, 20)).collect()
     assert len(scores) == 2 and all(s["ci_lo"] <= s["ci_hi"] for s in scores)
     assert B.tree_grid(df.limit(0), ["y"], {"one": ["b"]}, "g", "id", trees=2).count() == 0
+
+
+def test_targets_that_differ_by_fold(spark):
+    """The model of a fold learns and is judged by that fold's own target, on given folds."""
+    random = np.random.default_rng(8)
+    rows = [(i, i % 2, *map(float, random.normal(size=2)), float(random.normal()), float(random.normal())) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, part int, a double, b double, t0 double, t1 double")
+    got = {(r["grp"], r["target"]): (r["n"], r["see"]) for r in B.tree_grid(df, ["t0", "t1"], {"all": ["a", "b"]}, "part", "id", folds=2, trees=3, target_of_fold=["t0", "t1"], fold_column="part").collect()}
+    p = df.withColumn("k", F.xxhash64("id", F.lit(0))).orderBy("k").toPandas()
+    want = {}
+    for f in range(2):
+        train, held = p[p["part"] != f], p[p["part"] == f]
+        model = B.fit_trees(train[["a", "b"]].to_numpy(), train[f"t{f}"].to_numpy(), 3)
+        want[f, f"t{f}"] = (60, pytest.approx(((held[f"t{f}"] - model.predict(held[["a", "b"]].to_numpy())) ** 2).sum()))
+    assert got == want
+    grown = B.tree_grid(df, ["t0", "t1"], {"all": ["a", "b"]}, "part", "id", folds=2, trees=2, max_rows=10, target_of_fold=["t0", "t1"], fold_column="part")
+    assert sorted((r["grp"], r["target"], r["n"]) for r in grown.collect()) == [(0, "t0", 60), (1, "t1", 60)]
