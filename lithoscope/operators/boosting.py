@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .resampling import bootstrap_draws, bootstrap_r2, group_folds, intervals, numbered, pooled_r2
+from .resampling import cluster_bootstrap, group_folds, intervals, numbered, pooled_r2
 
 COMBINATION = ["target", "set", "repeat"]
 
@@ -154,10 +154,10 @@ def grid_draws(sums: DataFrame, n_boot: int = 300, seed: int = 0) -> DataFrame:
 
     Groups of any type are numbered in order of a 52-bit hash; groups whose hashes are equal are drawn together.
     """
-    models = sums.withColumn("__hash", F.shiftrightunsigned(F.xxhash64("grp"), 12)).withColumn("model", F.struct(*COMBINATION))
+    models = sums.withColumn("__hash", F.shiftrightunsigned(F.xxhash64("grp"), 12))
     groups = numbered(models.select("__hash").distinct(), "__hash")
-    draws, models = bootstrap_draws(sums.sparkSession, n_boot, groups.count(), seed), models.join(groups, "__hash")
-    return bootstrap_r2(models, draws).groupBy("b", "model.target", "model.set").agg(F.avg("r2").alias("r2"))
+    boot = cluster_bootstrap(models.join(groups, "__hash"), groups.count(), n_boot, seed, tuple(COMBINATION))
+    return boot.groupBy("b", "target", "set").agg(F.avg("r2").alias("r2"))
 
 
 def arm_draws(sums: DataFrame, n_boot: int = 300, seed: int = 0) -> DataFrame:

@@ -155,12 +155,14 @@ def prepare(df: DataFrame, fitted: dict) -> DataFrame:
 def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 1024, max_pivots: int = 512) -> DataFrame:
     """(query, neighbour, d2): the k nearest rows of each query, itself left out; exact, ties by id.
 
-    Both frames are (id long, v array<double>) of equal length. Rows belong to the cell of their nearest pivot, a sample of
+    Both frames are (id long, v array<double>) of equal length; if they have a column ``part`` too, a query's neighbours are
+    of other parts than its own (folds). Rows belong to the cell of their nearest pivot, a sample of
     at most ``max_pivots`` rows. A query first searches its nearest cells until they hold more than k rows; the k-th distance
     found there is its radius. By the triangle inequality another cell can only help if its pivot is nearer than the radius
     and the cell's own reach together, and a row of it only if its distance to the pivot differs from the query's by at most
     the radius. Cells are searched in blocks of about ``block`` rows, so a dense cell is many tasks.
     """
+    queries, rows = (df.select("id", "v", F.col("part" if "part" in df.columns else "id").cast("long").alias("part")) for df in (queries, rows))
     n = rows.count()
     drawn = rows.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(int(max(1, min(max_pivots, round(n**0.5))))).collect()
     if not drawn:
@@ -176,15 +178,15 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 1024, max_
             if len(f):
                 d = reach(np.stack(f["v"]))
                 cell = d.argmin(1)
-                yield pd.DataFrame({"id": f["id"], "v": f["v"], "cell": cell.astype(np.int32), "far": d[np.arange(len(d)), cell]})
+                yield pd.DataFrame({"id": f["id"], "v": f["v"], "part": f["part"], "cell": cell.astype(np.int32), "far": d[np.arange(len(d)), cell]})
 
-    members = cut(rows.select("id", "v").mapInPandas(placed, "id long, v array<double>, cell int, far double"))
+    members = cut(rows.mapInPandas(placed, "id long, v array<double>, part long, cell int, far double"))
     sizes, wide = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
     for r in members.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():  # a row a pivot
         sizes[r["cell"]], wide[r["cell"]] = r["n"], r["far"]
     parts = -(-sizes // block)
     count = F.get(F.lit(parts.astype(int).tolist()).cast("array<int>"), F.col("cell"))
-    blocks = members.groupBy("cell", F.pmod(F.xxhash64("id"), count).cast("int").alias("b")).agg(F.collect_list(F.struct("id", "v", "far")).alias("members"))
+    blocks = members.groupBy("cell", F.pmod(F.xxhash64("id"), count).cast("int").alias("b")).agg(F.collect_list(F.struct("id", "v", "part", "far")).alias("members"))
 
     def first(frames):
         for f in frames:
@@ -193,7 +195,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 1024, max_
                 order = np.argsort(d, axis=1, kind="stable")
                 enough = (np.cumsum(sizes[order], 1) > k).argmax(1) + 1 if n > k else np.full(len(f), len(pivots))
                 visits = [[{"cell": int(c), "near": float(row[c])} for c in o[:m] if sizes[c]] for row, o, m in zip(d, order, enough)]
-                yield pd.DataFrame({"id": f["id"], "v": f["v"], "radius": np.inf, "visits": visits})
+                yield pd.DataFrame({"id": f["id"], "v": f["v"], "part": f["part"], "radius": np.inf, "visits": visits})
 
     def rest(frames):
         for f in frames:
@@ -201,23 +203,23 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 1024, max_
                 d, radius = reach(np.stack(f["v"])), f["radius"].to_numpy() * (1 + 1e-9) + 1e-12
                 seen = [{x["cell"] for x in v} for v in f["visits"]]
                 visits = [[{"cell": int(c), "near": float(row[c])} for c in np.flatnonzero((row - wide <= r) & (sizes > 0)) if c not in s] for row, r, s in zip(d, radius, seen)]
-                yield pd.DataFrame({"id": f["id"], "v": f["v"], "radius": radius, "visits": visits})
+                yield pd.DataFrame({"id": f["id"], "v": f["v"], "part": f["part"], "radius": radius, "visits": visits})
 
-    kind = "id long, v array<double>, radius double, visits array<struct<cell int, near double>>"
+    kind = "id long, v array<double>, part long, radius double, visits array<struct<cell int, near double>>"
 
     def search(asking: DataFrame) -> DataFrame:
-        each = asking.select("id", "v", "radius", F.explode("visits").alias("x")).select("id", "v", "radius", "x.cell", "x.near").withColumn("b", F.explode(F.sequence(F.lit(0), count - 1)))
+        each = asking.select("id", "v", "part", "radius", F.explode("visits").alias("x")).select("id", "v", "part", "radius", "x.cell", "x.near").withColumn("b", F.explode(F.sequence(F.lit(0), count - 1)))
         groups = each.groupBy("cell", "b").agg(F.count("*").alias("m"))
         dealt = each.join(groups, ["cell", "b"]).withColumn("q", F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("m") / block)))
-        asked = dealt.groupBy("cell", "b", "q").agg(F.collect_list(F.struct("id", "v", "near", "radius")).alias("asked"))
+        asked = dealt.groupBy("cell", "b", "q").agg(F.collect_list(F.struct("id", "v", "part", "near", "radius")).alias("asked"))
 
         def best(frames):
             for f in frames:
                 for asked, held in zip(f["asked"], f["members"]):
-                    r, ri, far = np.array([x["v"] for x in held]), np.array([x["id"] for x in held]), np.array([x["far"] for x in held])
+                    r, ri, far, part = (np.array([x[c] for x in held]) for c in ("v", "id", "far", "part"))
                     out = []
                     for q in asked:
-                        on = np.flatnonzero((np.abs(far - q["near"]) <= q["radius"]) & (ri != q["id"]))
+                        on = np.flatnonzero((np.abs(far - q["near"]) <= q["radius"]) & (part != q["part"]))
                         d2 = ((r[on] - np.asarray(q["v"])) ** 2).sum(1)
                         near = np.lexsort((ri[on], d2))[:k]
                         out.append(pd.DataFrame({"query": q["id"], "neighbour": ri[on][near], "d2": d2[near]}))
@@ -229,10 +231,10 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 1024, max_
         order = Window.partitionBy("query").orderBy("d2", "neighbour")
         return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
-    asking = cut(queries.select("id", "v").mapInPandas(first, kind))
+    asking = cut(queries.mapInPandas(first, kind))
     near = cut(top(search(asking)))
     radius = near.filter(F.col("place") == k).select(F.col("query").alias("id"), F.sqrt("d2").alias("r"))
-    wider = asking.join(radius, "id", "left").select("id", "v", F.coalesce("r", F.lit(float("inf"))).alias("radius"), "visits").mapInPandas(rest, kind)
+    wider = asking.join(radius, "id", "left").select("id", "v", "part", F.coalesce("r", F.lit(float("inf"))).alias("radius"), "visits").mapInPandas(rest, kind)
     return top(near.drop("place").unionByName(search(wider))).drop("place")
 
 

@@ -1,12 +1,16 @@
 """Grouped folds and cluster bootstraps without materialised resamples.
 
 A bootstrap draws whole groups, so a resample is a weight per group: R2 of every draw is a sum of weighted group sums
-(n, sum y, sum y^2, sum e^2). Draws are hashes of (seed, draw, slot) and depend on nothing else.
+(n, sum y, sum y^2, sum e^2). Weights follow from the seed and a group's number alone, so each task makes its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,10 +36,51 @@ def group_folds(df: DataFrame, group: str, k: int = 5, seed: int = 0, fine: int
     return df.join(F.broadcast(table), F.col(group).eqNullSafe(F.col("__g")), "left").withColumn("fold", F.coalesce("__fold", spread)).drop("__g", "__fold")
 
 
-def bootstrap_draws(spark: SparkSession, n_boot: int, n_groups: int, seed: int = 0) -> DataFrame:
-    """(b, g, w): how often group number g (0 to n_groups-1) is in draw b, of n_groups drawn with replacement."""
-    slots = spark.range(n_boot * n_groups).select(F.floor(F.col("id") / n_groups).cast("long").alias("b"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n_groups)).alias("g"))
-    return slots.groupBy("b", "g").agg(F.count("*").alias("w"))
+def cluster_weights(groups: np.ndarray, n_groups: int, n_boot: int, seed: int = 0) -> np.ndarray:
+    """How often each of ``groups`` (distinct numbers below ``n_groups``) is in each draw of n_groups with replacement: (group, draw).
+
+    An exact multinomial by halving: of the draws that fall into a range of numbers, a binomial share falls into its lower
+    half, drawn by a generator of (seed, range) alone. So any task finds the same weights for any group by itself, in
+    log2(n_groups) steps, and a draw's weights sum to n_groups over all groups.
+    """
+    out, order = np.zeros((len(groups), n_boot), np.int64), np.argsort(groups)
+    ordered = np.asarray(groups)[order]
+    todo = [(0, n_groups, 0, len(groups), np.full(n_boot, n_groups, np.int64))] if len(groups) else []
+    while todo:
+        low, high, first, last, drawn = todo.pop()
+        if high - low == 1:
+            out[order[first:last]] = drawn
+            continue
+        middle = (low + high) // 2
+        share = np.random.default_rng([seed & 0xFFFFFFFF, low, high]).binomial(drawn, (middle - low) / (high - low))
+        at = first + int(np.searchsorted(ordered[first:last], middle))
+        todo += [t for t in ((low, middle, first, at, share), (middle, high, at, last, drawn - share)) if t[2] < t[3]]
+    return out
+
+
+def bootstrap_sums(rows: DataFrame, by: list[str], cells: list[str], n_groups: int, n_boot: int, seed: int = 0) -> DataFrame:
+    """(b, by, cells): sums of the cells over each draw of groups, whose number is the column ``g``.
+
+    Tasks weight their own rows and pass on one row a draw and key; there is no table of draws. A null cell counts as 0.
+    """
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+
+    def weigh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        for f in frames:
+            if not len(f):
+                continue
+            number, at = np.unique(f["g"].to_numpy(), return_inverse=True)
+            weights = cluster_weights(number, n_groups, n_boot, seed).astype(float)
+            values = np.nan_to_num(f[cells].to_numpy(float))
+            for key, places in (f.groupby(by, dropna=False, sort=False).indices.items() if by else [((), np.arange(len(f)))]):
+                key = key if isinstance(key, tuple) else (key,)
+                held[key] = held.get(key, 0) + weights[at[places]].T @ values[places]
+        for key, sums in held.items():
+            yield pd.DataFrame({"b": np.arange(n_boot), **dict(zip(by, key)), **dict(zip(cells, sums.T))})
+
+    made = rows.select("g", *by, *(F.col(c).cast("double").alias(c) for c in cells)).mapInPandas(weigh, ", ".join(["b long", *([kinds] if by else []), *(f"`{c}` double" for c in cells)]))
+    return made.groupBy("b", *by).agg(*(F.sum(c).alias(c) for c in cells))
 
 
 def numbered(groups: DataFrame, group: str) -> DataFrame:
@@ -52,12 +97,21 @@ def group_sums(df: DataFrame, group: str, models: dict[str, str], y: str) -> Dat
     return long.groupBy(group, "model").agg(F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(F.pow(F.col("y") - F.col("pred"), 2)).alias("see"))
 
 
+def draw_r2(t: DataFrame, by: list[str]) -> DataFrame:
+    """(b, by, r2) of summed draws; NULL if a draw has no spread."""
+    sst = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), "n")
+    return t.select("b", *by, (1 - F.try_divide(F.col("see"), F.when(sst > 0, sst))).alias("r2"))
+
+
 def bootstrap_r2(sums: DataFrame, draws: DataFrame) -> DataFrame:
-    """(b, model, r2) of ``sums`` with a group number ``g``; NULL if a draw has no spread."""
+    """(b, model, r2) of ``sums`` with a group number ``g``, for given draws (b, g, w)."""
     w = F.col("w")
-    t = sums.join(draws, "g").groupBy("b", "model").agg(*(F.sum(w * F.col(c)).alias(c) for c in ("n", "sy", "syy", "see")))
-    sst = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), "n")
-    return t.select("b", "model", (1 - F.try_divide(F.col("see"), F.when(sst > 0, sst))).alias("r2"))
+    return draw_r2(sums.join(draws, "g").groupBy("b", "model").agg(*(F.sum(w * F.col(c)).alias(c) for c in ("n", "sy", "syy", "see"))), ["model"])
+
+
+def cluster_bootstrap(sums: DataFrame, n_groups: int, n_boot: int = 300, seed: int = 0, by: tuple[str, ...] = ("model",)) -> DataFrame:
+    """(b, by, r2) of ``sums`` with a group number ``g``, over random draws of groups, the same for all models."""
+    return draw_r2(bootstrap_sums(sums, list(by), ["n", "sy", "syy", "see"], n_groups, n_boot, seed), list(by))
 
 
 def pooled_r2(sums: DataFrame, by: list[str]) -> DataFrame:

@@ -64,7 +64,7 @@ def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three hundred random draws of suppliers."""
     sums = R.group_sums(_predicted(spark, sf_dir), "l_suppkey", {"type_mean": "type_mean", "own_price": "own_price"}, "y")
     groups = R.numbered(sums.select("l_suppkey").distinct(), "l_suppkey")
-    boot = R.bootstrap_r2(sums.join(groups, "l_suppkey"), R.bootstrap_draws(spark, 300, groups.count()))
+    boot = R.cluster_bootstrap(sums.join(groups, "l_suppkey"), groups.count(), 300)
     return rounded(R.pooled_r2(sums, ["model"]).join(R.intervals(boot, ["model"]), "model"))
 
 
@@ -120,7 +120,7 @@ def lasso_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = df.groupBy("label").agg(*product_sums([*FEATURES, "y"]))
     groups = R.numbered(per.select("label"), "label")
     cells = [c for c in per.columns if c != "label"]
-    weighted = per.join(groups, "label").join(R.bootstrap_draws(spark, 100, groups.count()), "g").groupBy("b").agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in cells))
+    weighted = R.bootstrap_sums(per.join(groups, "label"), [], cells, groups.count(), 100)
     kept = np.array([np.abs(L.lasso(as_matrix(r, k + 2), k, 0.1)) > 1e-10 for r in weighted.collect()])  # 100 small matrices
     return spark.createDataFrame(list(zip(FEATURES, kept.mean(0).tolist())), "feature string, frequency double").orderBy(F.desc("frequency"), "feature")
 

@@ -10,6 +10,7 @@ from ..operators import models as L
 from ..operators import resampling as R
 from ..operators import spectra as S
 from ..operators import stats
+from ..session import cut
 from . import modelling, statistics
 from .tables import rounded, spectra, table
 
@@ -66,19 +67,37 @@ def complete_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictor_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three predictors on the same folds, R2 with intervals over the same 300 bootstraps of labels, and their differences."""
-    df, columns = modelling._folded(spark, sf_dir), modelling.FEATURES
+    """Predictors on the same folds: none, a category, numbers, both, and the mean of the 1 and 5 nearest training rows; R2 with
+    intervals over the same 300 bootstraps of labels, and their differences to the numbers.
+
+    A category's prediction is the mean of its training rows, or the overall mean where a fold has none; both adds that mean of the residuals. Numbers are scaled by deviations for the distances.
+    """
+    columns = modelling.FEATURES
+    df = cut(modelling._folded(spark, sf_dir).withColumn("category", F.pmod(F.hash("label"), F.lit(7))))
     matrices = L.fold_matrices(df, [*columns, "y"])
-    total = sum(matrices.values())
-    for name, chosen in {"none": [], "two": columns[:2], "all": columns}.items():
-        keep = [0, *(1 + columns.index(c) for c in chosen), len(columns) + 1]
-        fits = {f: L.ols_coefficients((total - m)[:, keep][keep], len(chosen)) for f, m in matrices.items()}
-        df = L.out_of_fold(df, chosen, fits, name=name)
-    sums = R.group_sums(df, "label", {n: n for n in ("none", "two", "all")}, "y")
+    total, k = sum(matrices.values()), len(columns) + 1
+    df = L.out_of_fold(df, [], {f: np.array([(total - m)[0, k] / (total - m)[0, 0]]) for f, m in matrices.items()}, name="none")
+    df = L.out_of_fold(df, columns, {f: L.ols_coefficients(total - m, len(columns)) for f, m in matrices.items()}, name="numbers")
+
+    def other_folds(value: str, name: str) -> DataFrame:
+        """(fold, category, name): the mean of the category's values outside the fold, from sums of (category, fold)."""
+        per = df.groupBy("category", "fold").agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+        whole = per.groupBy("category").agg(F.sum("s").alias("s_all"), F.sum("n").alias("n_all"))
+        return per.join(whole, "category").select("fold", "category", F.try_divide(F.col("s_all") - F.col("s"), F.col("n_all") - F.col("n")).alias(name))
+
+    df = df.withColumn("left", F.col("y") - F.col("numbers"))
+    df = df.join(other_folds("y", "m"), ["fold", "category"]).join(other_folds("left", "shift"), ["fold", "category"])
+    df = df.withColumns({"category_mean": F.coalesce("m", "none"), "both": F.col("numbers") + F.coalesce("shift", F.lit(0.0))})
+    sd = L.standardised(total, len(columns))[1]
+    points = df.select(F.col("vec_id").alias("id"), F.array(*(F.col(c) / float(s) for c, s in zip(columns, sd))).alias("v"), F.col("fold").alias("part"))
+    near = L.nearest(points, points, 5).join(df.select(F.col("vec_id").alias("neighbour"), F.col("y").alias("t")), "neighbour")
+    df = df.join(near.groupBy(F.col("query").alias("vec_id")).agg(F.avg("t").alias("knn5"), F.min_by("t", F.struct("d2", "neighbour")).alias("knn1")), "vec_id")
+    models = ["none", "category_mean", "numbers", "both", "knn1", "knn5"]
+    sums = cut(R.group_sums(df, "label", {n: n for n in models}, "y"))
     groups = R.numbered(sums.select("label").distinct(), "label")
-    boot = R.bootstrap_r2(sums.join(groups, "label"), R.bootstrap_draws(spark, 300, groups.count()))
+    boot = R.cluster_bootstrap(sums.join(groups, "label"), groups.count(), 300)
     r2 = R.pooled_r2(sums, ["model"]).join(R.intervals(boot, ["model"]), "model").select("model", "r2", "ci_lo", "ci_hi")
-    return rounded(r2.unionByName(R.paired_differences(boot, "all", ["two", "none"]).select(F.col("contrast").alias("model"), F.col("mean").alias("r2"), "ci_lo", "ci_hi")))
+    return rounded(r2.unionByName(R.paired_differences(boot, "numbers", [m for m in models if m != "numbers"]).select(F.col("contrast").alias("model"), F.col("mean").alias("r2"), "ci_lo", "ci_hi")))
 
 
 def setting_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
