@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .ranking import exact_quantiles
+from .ranking import average_ranks, exact_quantiles
 from .stats import as_matrix, product_sums
 
 
@@ -275,3 +275,57 @@ def fold_target_coefficients(df: DataFrame, columns: list[str], fold: str = "fol
     """
     used = df.filter(~F.col(fold).eqNullSafe(F.col(model_fold))).select(model_fold, *columns, y).na.drop()
     return {r[model_fold]: ols_coefficients(as_matrix(r, len(columns) + 2), len(columns)) for r in used.groupBy(model_fold).agg(*product_sums([*columns, y])).collect()}
+
+
+def leave_one_family_out(df: DataFrame, sets: dict[str, list[str]], targets: list[str], family: str, fold: str, least_family: int = 5, least_test: int = 5,
+                         least_train: int = 30, most: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Least squares fitted on all other families and judged on one: a table of families and one of pooled figures.
+
+    (set, target, family, n_train, n_test, skill, r2, spearman) for each family of at least ``least_family`` rows, skill
+    being against the mean of the training rows; and (set, target, n, skill_pooled, r2_pooled, r2_grouped_folds, gap), the
+    last two on the same rows with the folds of the column ``fold``. Fits are differences of the families' matrices of
+    products, which the driver holds: more than ``most`` families are an error. Rows with a missing family, target or
+    predictor are left out of their job.
+    """
+    columns, fits, gaps = sorted({c for some in sets.values() for c in some}), [], {}
+    if df.select(family).distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} families")
+    for target in targets:
+        cells = {}
+        for r in df.filter(F.col(family).isNotNull()).select(family, fold, *columns, target).na.drop(subset=[*columns, target]).groupBy(family, fold).agg(*product_sums([*columns, target])).collect():
+            cells[r[family], r[fold]] = as_matrix(r, len(columns) + 2)
+        total = sum(cells.values())
+        per, folds = {}, {}
+        for (name, f), m in cells.items():
+            per[name], folds[f] = per.get(name, 0) + m, folds.get(f, 0) + m
+        good = [name for name, m in per.items() if m[0, 0] >= max(least_family, least_test) and total[0, 0] - m[0, 0] >= least_train]
+        for label, chosen in sets.items():
+            keep = np.array([0, *(1 + columns.index(c) for c in chosen), len(columns) + 1])
+            part = lambda m: m[np.ix_(keep, keep)]  # noqa: B023, E731
+            for name in good:
+                train = part(total - per[name])
+                b = np.zeros(len(columns) + 1)
+                b[keep[:-1]] = ols_coefficients(train, len(chosen))
+                fits.append((label, target, name, b.tolist(), float(train[0, -1] / train[0, 0]), int(train[0, 0])))
+            error = sum(error_sum(part(m), ols_coefficients(part(total - folds[f]), len(chosen)), len(chosen) + 1) for (name, f), m in cells.items() if name in set(good))
+            used = part(sum((per[name] for name in good), np.zeros_like(total)))
+            spread = error_sum(used, np.array([used[0, -1] / used[0, 0]]), len(chosen) + 1) if good else 0.0
+            gaps[label, target] = float(1 - error / spread) if spread > 0 else None
+    spark, kind = df.sparkSession, df.schema[family].dataType.simpleString()
+    table = F.broadcast(spark.createDataFrame(fits, f"set string, target string, family {kind}, b array<double>, base double, n_train long"))  # a row a fit
+    value = F.coalesce(*(F.when(F.col("target") == t, F.col(f"__y_{i}")) for i, t in enumerate(targets)))
+    pred = sum((F.get("b", F.lit(i + 1)) * F.col(c) for i, c in enumerate(columns)), F.get("b", F.lit(0)))
+    rows = df.select(F.col(family).alias("family"), *(F.col(c).cast("double").alias(c) for c in columns), *(F.col(t).cast("double").alias(f"__y_{i}") for i, t in enumerate(targets)))
+    key = ["set", "target", "family"]
+    scored = cut(rows.join(table, "family").select(*key, "n_train", "base", value.alias("y"), pred.alias("pred")).na.drop(subset=["y", "pred"]))
+    square = lambda c: F.sum(F.pow(c, 2))
+    sums = scored.groupBy(*key, "n_train").agg(F.count("*").alias("n_test"), F.sum("y").alias("sy"), square(F.col("y")).alias("syy"), square(F.col("y") - F.col("pred")).alias("see"), square(F.col("y") - F.col("base")).alias("sbb"))
+    ranked = scored.join(average_ranks(scored, key, "y", "__ry"), [*key, "y"]).join(average_ranks(scored, key, "pred", "__rp"), [*key, "pred"])
+    rho = ranked.groupBy(*key).agg(F.try_divide(F.covar_pop("__ry", "__rp"), F.stddev_pop("__ry") * F.stddev_pop("__rp")).alias("spearman"))
+    less = lambda of: 1 - F.try_divide(F.col("see"), F.when(of > 0, of))
+    spread = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n_test")
+    families = sums.join(rho, key).select(*key, "n_train", "n_test", less(F.col("sbb")).alias("skill"), less(spread).alias("r2"), "spearman")
+    pooled = sums.groupBy("set", "target").agg(*(F.sum(c).alias(c) for c in ("n_test", "sy", "syy", "see", "sbb")))
+    folds = F.broadcast(spark.createDataFrame([(*k, v) for k, v in gaps.items()], "set string, target string, r2_grouped_folds double"))
+    out = pooled.join(folds, ["set", "target"]).select("set", "target", F.col("n_test").alias("n"), less(F.col("sbb")).alias("skill_pooled"), less(spread).alias("r2_pooled"), "r2_grouped_folds")
+    return families, out.withColumn("gap", F.col("r2_grouped_folds") - F.col("r2_pooled"))

@@ -1,7 +1,7 @@
 """Rank statistics and regression in a few passes over the data.
 
-Pairs of variables are one long table, ranked per pair after pairwise deletion and reduced by one aggregate, not one
-job per pair. Regression reads sums of products (a k x k matrix) and solves them on the driver.
+Pairs that need the same rows share them: a column is ranked once in each population of rows, and all pairs come from one
+aggregate, not one job or one copy of the rows per pair. Regression reads sums of products (a k x k matrix) and solves them on the driver.
 """
 
 from __future__ import annotations
@@ -21,14 +21,6 @@ def wanted_pairs(features: list[str], targets: list[str], covariates: tuple[str,
     return [(a, b) for a in features for b in targets if a != b and a not in covariates and (a, b) not in trivial]
 
 
-def pair_rows(df: DataFrame, wanted: list[tuple[str, str]], covariates: tuple[str, ...] = ()) -> DataFrame:
-    """(pair, x, y, z0, z1, ...): a row for each pair (its number) and each row in which all of its columns are known."""
-    number = lambda c: F.col(c).cast("double")
-    zs = [number(c).alias(f"z{i}") for i, c in enumerate(covariates)]
-    rows = F.array(*(F.struct(F.lit(k).alias("pair"), number(a).alias("x"), number(b).alias("y"), *zs) for k, (a, b) in enumerate(wanted)))
-    return df.select(F.explode(rows).alias("r")).select("r.*").na.drop()
-
-
 def named(number: str, names: list[tuple[str, str]], into: tuple[str, str]) -> list[Column]:
     """The two names that belong to a number, as columns."""
     return [F.get(F.array(*(F.lit(n[i]) for n in names)), F.col(number)).alias(c) for i, c in enumerate(into)]
@@ -38,23 +30,72 @@ def _correlation(a: str, b: str) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
-def rank_correlations(df: DataFrame, features: list[str], targets: list[str], covariates: tuple[str, ...] = (), trivial: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+def populations(df: DataFrame, wanted: list[tuple[str, str]], columns: list[str], covariates: tuple[str, ...], subsets: dict[str, Column], most: int = 4096) -> tuple[DataFrame, dict, dict]:
+    """(rows with ``__p``, what each population is used for, its pairs): pairs that need the same rows share a population.
+
+    A row's missing columns are a bit pattern. The patterns that occur are counted once; a pair's population is the set of
+    patterns without any of its columns, in a subset. A row appears once for each population that it belongs to, not for
+    each pair. More than ``most`` patterns are an error.
+    """
+    bit = {c: 1 << i for i, c in enumerate(columns)}
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)
+    flags = [F.coalesce(c, F.lit(False)).alias(f"__s{i}") for i, c in enumerate(subsets.values())]
+    rows = df.select(*flags, *map(number, columns))
+    rows = rows.withColumn("__m", sum((F.when(F.col(c).isNull(), F.lit(b).cast("long")).otherwise(F.lit(0).cast("long")) for c, b in bit.items()), F.lit(0).cast("long")))
+    patterns = [r["__m"] for r in rows.groupBy("__m").count().limit(most + 1).collect()]
+    if len(patterns) > most:
+        raise ValueError(f"more than {most} patterns of missing columns")
+    numbers: dict[tuple, int] = {}
+    pairs: dict[int, list] = {}
+    used: dict[int, set] = {}
+    for k, (a, b) in enumerate(wanted):
+        need = sum(bit[c] for c in {a, b, *covariates})
+        complete = tuple(sorted(m for m in patterns if not m & need))
+        for s in range(len(subsets)):
+            if complete:
+                p = numbers.setdefault((s, complete), len(numbers))
+                pairs.setdefault(p, []).append((s, k))
+                used.setdefault(p, set()).update((a, b, *covariates))
+    member = [F.when(F.col(f"__s{s}") & F.col("__m").isin(list(complete)), F.lit(p)) for (s, complete), p in numbers.items()]
+    long = rows.withColumn("__p", F.explode(F.array_compact(F.array(*member)) if member else F.array().cast("array<int>")))
+    return long.select("__p", *columns), used, pairs
+
+
+def rank_correlations(df: DataFrame, features: list[str], targets: list[str], covariates: tuple[str, ...] = (), trivial: tuple[tuple[str, str], ...] = (),
+                      subsets: dict[str, Column] | None = None) -> DataFrame:
     """(feature, target, rho, n): correlation of average ranks, the covariates' ranks taken out, after pairwise deletion.
 
-    Partial correlation follows from the pairwise ones by removing a covariate at a time. Too few rows (10 and one per
-    covariate) or a constant column: NULL. Pairs without any complete row do not appear.
+    A column is ranked once in each population of rows (``populations``), and one aggregate has all pairs. Partial
+    correlation follows from the pairwise ones by removing a covariate at a time. Too few rows (10 and one per covariate) or
+    a constant column: NULL. Pairs without any complete row do not appear. With ``subsets`` (name -> condition) there is a
+    first column ``subset``, and all of them come from the same pass.
     """
-    wanted, names = wanted_pairs(features, targets, covariates, trivial), ["x", "y", *(f"z{i}" for i in range(len(covariates)))]
-    ranked = long = pair_rows(df, wanted, covariates)
-    for c in names:
-        ranked = ranked.join(average_ranks(long, ["pair"], c, f"r_{c}"), ["pair", c])
-    sums = ranked.groupBy("pair").agg(F.count("*").alias("n"), *(_correlation(f"r_{a}", f"r_{b}").alias(f"c_{a}_{b}") for a, b in combinations(names, 2)))
-    known = {(a, b): F.col(f"c_{a}_{b}") for a, b in combinations(names, 2)}
-    for i in reversed(range(len(covariates))):
-        left = [c for c in names if c != f"z{i}" and (not c.startswith("z") or int(c[1:]) < i)]
-        z = lambda a: known[(a, f"z{i}")]  # noqa: B023, E731
-        known = {(a, b): F.try_divide(known[(a, b)] - z(a) * z(b), F.sqrt((1 - z(a) * z(a)) * (1 - z(b) * z(b)))) for a, b in combinations(left, 2)}
-    return sums.select(*named("pair", wanted, ("feature", "target")), F.when(F.col("n") >= 10 + len(covariates), known[("x", "y")]).alias("rho"), "n")
+    wanted, given = wanted_pairs(features, targets, covariates, trivial), subsets or {"": F.lit(True)}
+    columns = list(dict.fromkeys([c for pair in wanted for c in pair] + list(covariates)))
+    long, used, pairs = populations(df, wanted, columns, covariates, given)
+    ranked = long
+    for c in columns:
+        ranked = ranked.join(average_ranks(long, ["__p"], c, f"__r_{c}"), ["__p", c], "left")
+    both = list(combinations(columns, 2))
+    sums = ranked.groupBy("__p").agg(F.count("*").alias("n"), *(_correlation(f"__r_{a}", f"__r_{b}").alias(f"c_{i}") for i, (a, b) in enumerate(both)))
+    place = {frozenset(pair): i for i, pair in enumerate(both)}
+
+    def rho(a: str, b: str) -> Column:
+        names = [a, b, *covariates]
+        known = {frozenset(p): F.col(f"c_{place[frozenset(p)]}") for p in combinations(names, 2)}
+        for i in reversed(range(len(covariates))):
+            z, left = covariates[i], [a, b, *covariates[:i]]
+            to = lambda c: known[frozenset((c, z))]  # noqa: B023, E731
+            known = {frozenset((x, y)): F.try_divide(known[frozenset((x, y))] - to(x) * to(y), F.sqrt((1 - to(x) * to(x)) * (1 - to(y) * to(y)))) for x, y in combinations(left, 2)}
+        return known[frozenset((a, b))]
+
+    names = list(given)
+    out = [F.when(F.col("__p") == p, F.struct(F.lit(names[s]).alias("subset"), F.lit(wanted[k][0]).alias("feature"), F.lit(wanted[k][1]).alias("target"), F.when(F.col("n") >= 10 + len(covariates), rho(*wanted[k])).alias("rho")))
+           for p, some in pairs.items() for s, k in some]
+    if not out:
+        return df.sparkSession.createDataFrame([], ("subset string, " if subsets else "") + "feature string, target string, rho double, n long")
+    each = sums.select("n", F.explode(F.array_compact(F.array(*out))).alias("r"))
+    return each.select(*(["r.subset"] if subsets else []), "r.feature", "r.target", "r.rho", "n")
 
 
 def with_interval(df: DataFrame, n_covariates: int = 0) -> DataFrame:
@@ -163,13 +204,15 @@ def variance_inflation(df: DataFrame, columns: list[str]) -> dict[str, float]:
     return dict(zip(columns, np.diag(np.linalg.pinv(cov / np.outer(sd, sd))).tolist()))
 
 
-def agreement(main: DataFrame, other: DataFrame, strong_q: float = 0.05, strong_rho: float = 0.2) -> DataFrame:
-    """One row: strong pairs of ``main``, their share with the same sign in ``other``, and with the same sign and q below 0.05."""
-    both = main.select("feature", "target", F.col("rho").alias("a"), F.col("q").alias("qa")).join(other.select("feature", "target", F.col("rho").alias("b"), F.col("q").alias("qb")), ["feature", "target"])
+def agreement(table: DataFrame, main: str, strong_q: float = 0.05, strong_rho: float = 0.2) -> DataFrame:
+    """A row for each other subset of a table of correlations (subset, feature, target, rho, q): the strong pairs of the subset
+    ``main``, the share of them with the same sign in the other, and with the same sign and q below 0.05 there."""
+    first = table.filter(F.col("subset") == main).select("feature", "target", F.col("rho").alias("a"), F.col("q").alias("qa"))
+    both = table.filter(F.col("subset") != main).select("subset", "feature", "target", F.col("rho").alias("b"), F.col("q").alias("qb")).join(first, ["feature", "target"])
     strong = (F.col("qa") < strong_q) & (F.abs("a") >= strong_rho)
     same = F.signum("a") == F.signum("b")
     mean = lambda c: F.avg(F.when(strong, F.coalesce(c, F.lit(False)).cast("int")))
-    return both.agg(F.count_if(strong).alias("n_strong"), mean(same).alias("same_sign"), mean(same & (F.col("qb") < 0.05)).alias("same_sign_and_q"))
+    return both.groupBy("subset").agg(F.count_if(strong).alias("n_strong"), mean(same).alias("same_sign"), mean(same & (F.col("qb") < 0.05)).alias("same_sign_and_q"))
 
 
 def exclusive_picks(table: DataFrame, targets: list[str], most: int = 10_000) -> list[tuple[str, str, float]]:

@@ -89,6 +89,21 @@ def lofo_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "held_out string, n_train long, n_test long, skill double")
 
 
+def _left_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    df = _folded(spark, sf_dir).withColumn("y2", F.col("f3") - F.col("f0") * F.col("f1"))
+    return L.leave_one_family_out(df, {"core": FEATURES[:3], "all": FEATURES}, ["y", "y2"], "label", "fold")
+
+
+def lofo_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label left out, for two sets of descriptors and two targets: skill, R2 and rank correlation."""
+    return rounded(_left_out(spark, sf_dir)[0])
+
+
+def lofo_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pooled skill and R2 of the labels left out, and the gap to grouped folds on the same rows."""
+    return rounded(_left_out(spark, sf_dir)[1])
+
+
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.group_folds(_vectors(spark, sf_dir), "vec_id")
 
@@ -237,7 +252,7 @@ def w1_reference_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    w1_reference_models, gbt_all_rows, rf_multioutput, group_folds, bootstrap_r2_ci, paired_delta_r2, pooled_r2, cluster_bootstrap, oof_mean_baseline, lofo_linear, lasso_1se, lasso_nested, lasso_stability, pls_q2,
+    w1_reference_models, gbt_all_rows, rf_multioutput, group_folds, bootstrap_r2_ci, paired_delta_r2, pooled_r2, cluster_bootstrap, oof_mean_baseline, lofo_linear, lofo_families, lofo_gap, lasso_1se, lasso_nested, lasso_stability, pls_q2,
     perm_importance, knn_baseline, missing_representation, gbt_sets, gbt_contrasts, rf_arms)}
 
 _SUMS = """

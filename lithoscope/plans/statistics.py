@@ -69,14 +69,16 @@ def peak_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qc_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlations again under other price limits, in one long table keyed by limit, against the main ones."""
-    df, out = _lines(spark, sf_dir), None
-    table_of = lambda d: S.benjamini_hochberg(S.with_interval(S.rank_correlations(d, FEATURES, TARGETS)))
-    main = table_of(df)
-    for limit in (2000, 20000):
-        row = S.agreement(main, table_of(df.filter(F.col("l_extendedprice") >= limit))).withColumn("spec", F.lit(f"price>={limit}"))
-        out = row if out is None else out.unionByName(row)
-    return rounded(out)
+    """Correlations again under other price limits against the main ones: all limits are subsets of one pass."""
+    limits = {"main": F.lit(True)} | {f"price>={v}": F.col("l_extendedprice") >= v for v in (2000, 10000, 20000, 50000)}
+    found = S.benjamini_hochberg(S.with_interval(S.rank_correlations(_lines(spark, sf_dir), FEATURES, TARGETS, subsets=limits)), panel=["subset"])
+    return rounded(S.agreement(found, "main").withColumnRenamed("subset", "spec"))
+
+
+def limited_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The correlations of every price limit, as they are."""
+    limits = {f"price>={v}": F.col("l_extendedprice") >= v for v in (0, 2000, 10000, 20000, 50000)}
+    return rounded(S.rank_correlations(_lines(spark, sf_dir), FEATURES, TARGETS, subsets=limits))
 
 
 def top_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,13 +99,13 @@ def wide_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def best_target_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often a feature is the strongest of a target."""
-    best = spearman_matrix(spark, sf_dir).groupBy("target").agg(F.max_by("feature", F.abs("rho")).alias("feature"))
+    best = spearman_matrix(spark, sf_dir).filter("rho IS NOT NULL").groupBy("target").agg(F.min(F.struct((-F.abs("rho")).alias("r"), "feature"))["feature"].alias("feature"))  # ties by name
     return best.groupBy("feature").agg(F.count("*").alias("wins"))
 
 
 QUERIES = {f.__name__: f for f in (
     spearman_matrix, partial_spearman, spearman_significance, bh_fdr, kruskal_eta2, ols_single, ols_cluster_robust, variance_inflation, peak_residual,
-    qc_sensitivity, top_correlations, headline_pairs, wide_matrix, best_target_wins)}
+    qc_sensitivity, limited_correlations, top_correlations, headline_pairs, wide_matrix, best_target_wins)}
 
 _LINES = """
 WITH l AS (SELECT l_quantity::DOUBLE AS l_quantity, CASE WHEN l_discount > 0 THEN l_discount END AS l_discount, p_size::DOUBLE AS p_size, l_extendedprice, l_tax, l_linenumber::DOUBLE AS l_linenumber, p_retailprice, p_type, l_suppkey
@@ -124,6 +126,10 @@ def _rho(covariates: bool) -> str:
 
 
 ORACLES = {
+    "limited_correlations": _LINES + ", p AS (" + " UNION ALL ".join(
+        f"SELECT 'price>={v}' AS subset, '{a}' AS feature, '{b}' AS target, {a} AS x, {b} AS y FROM l WHERE {a} IS NOT NULL AND {b} IS NOT NULL AND l_extendedprice >= {v}" for v in (0, 2000, 10000, 20000, 50000) for a in FEATURES for b in TARGETS) + """
+), r AS (SELECT subset, feature, target, """ + ", ".join(f"rank() OVER (PARTITION BY subset, feature, target ORDER BY {c}) + (count(*) OVER (PARTITION BY subset, feature, target, {c}) - 1) / 2.0::DOUBLE AS r{c}" for c in "xy") + """ FROM p)
+SELECT subset, feature, target, CASE WHEN count(*) >= 10 THEN round(corr(rx, ry), 6) END AS rho, count(*) AS n FROM r GROUP BY ALL""",
     "spearman_matrix": _rho(False) + "SELECT * FROM rho",
     "partial_spearman": _rho(True) + "SELECT * FROM rho",
     "bh_fdr": """
