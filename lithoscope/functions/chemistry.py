@@ -21,13 +21,13 @@ DEFAULT_ELEMENT = (2.0, 16.0, 1.5)
 #: Labels that are spelled after something else, as patterns, and their elements (water, deuterium).
 SPELLED = {r"""(?i)^['"]*wat""": "O", r"""(?i)^['"]*d['"]*$""": "H"}
 #: A symbol at the beginning of a label, its first letter in either case; the longer symbols are tried first.
-_SYMBOL = r"""^['"]*(""" + "|".join(f"[{s[0]}{s[0].lower()}]{s[1:]}" for s in sorted(ELEMENTS, key=len, reverse=True)) + ")"
+SYMBOL = r"""^['"]*(""" + "|".join(f"[{s[0]}{s[0].lower()}]{s[1:]}" for s in sorted(ELEMENTS, key=len, reverse=True)) + ")"
 
 
 def element_of_label(label: Column) -> Column:
     """Element of an atom label (Ba1, OH2, Wat1, D); NULL if there is none."""
     spelled = [F.when(label.rlike(pattern), element) for pattern, element in SPELLED.items()]
-    return F.coalesce(*spelled, F.nullif(F.initcap(F.regexp_extract(label, _SYMBOL, 1)), F.lit("")))
+    return F.coalesce(*spelled, F.nullif(F.initcap(F.regexp_extract(label, SYMBOL, 1)), F.lit("")))
 
 
 #: What a formula is made of; anything else makes it unreadable.

@@ -10,6 +10,7 @@ from ..operators import models as L
 from ..operators import resampling as R
 from ..operators import spectra as S
 from ..operators import stats
+from ..operators.boxes import overlaps
 from ..session import cut
 from . import modelling, statistics
 from .tables import rounded, spectra, table
@@ -107,6 +108,14 @@ def setting_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.rank_correlations(wide, ["default"], [s for s in S.SETTINGS if s != "default"]))
 
 
+def label_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as text boxes on the page of their brand, some long and some tall: which of them overlap, and by how much."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    x, y = F.pmod(k * 7919, F.lit(1009)).cast("double"), F.pmod(k * 104729, F.lit(997)).cast("double")
+    boxes = table(spark, sf_dir, "part").select("p_brand", "p_partkey", x.alias("x0"), y.alias("y0"), (x + size * F.when(k % 10 == 0, 16).otherwise(2)).alias("x1"), (y + size / F.when(k % 7 == 0, 1).otherwise(4)).alias("y1"))
+    return rounded(overlaps(boxes, "p_brand", "p_partkey").withColumnRenamed("page", "p_brand"))
+
+
 def curated_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a short list of names, compared without regard to case; the first by key of each."""
     wanted = spark.createDataFrame([("SMALL RING", "first"), ("Red Widget", "second"), ("no such part", "third")], "wanted string, role string")
@@ -122,9 +131,13 @@ def ratio_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(per.select("l_suppkey", "n", *(F.try_divide(f"n_{f}", "n").alias(f"frac_{f}") for f in "anr"), F.try_divide("n", F.when(F.col("parts") > 0, F.col("parts"))).alias("eta")))
 
 
-QUERIES = {f.__name__: f for f in (endpoint_definitions, exclusive_pairs, drop_group, complete_case, predictor_baselines, setting_agreement, curated_lookup, ratio_fractions)}
+QUERIES = {f.__name__: f for f in (endpoint_definitions, exclusive_pairs, drop_group, complete_case, predictor_baselines, setting_agreement, label_overlaps, curated_lookup, ratio_fractions)}
 
 ORACLES = {
+    "label_overlaps": """
+WITH b AS (SELECT p_brand, p_partkey AS k, ((p_partkey * 7919) % 1009)::DOUBLE AS x0, ((p_partkey * 104729) % 997)::DOUBLE AS y0, p_size * CASE WHEN p_partkey % 10 = 0 THEN 16 ELSE 2 END AS w, p_size / CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 4 END::DOUBLE AS h FROM part
+), p AS (SELECT a.p_brand, a.k AS a, b.k AS b, least(a.x0 + a.w, b.x0 + b.w) - greatest(a.x0, b.x0) AS dx, least(a.y0 + a.h, b.y0 + b.h) - greatest(a.y0, b.y0) AS dy FROM b a JOIN b ON a.p_brand = b.p_brand AND a.k < b.k)
+SELECT p_brand, a, b, round(dx * dy, 6) AS area FROM p WHERE dx > 0 AND dy > 0""",
     "exclusive_pairs": statistics._rho(False) + """, a AS (SELECT feature, rho FROM rho WHERE target = 'l_extendedprice' AND rho IS NOT NULL ORDER BY abs(rho) DESC, feature LIMIT 1
 ), b AS (SELECT feature, rho FROM rho WHERE target = 'l_tax' AND rho IS NOT NULL AND feature NOT IN (SELECT feature FROM a) ORDER BY abs(rho) DESC, feature LIMIT 1)
 SELECT 0 AS place, feature, 'l_extendedprice' AS target, rho FROM a UNION ALL SELECT 1, feature, 'l_tax', rho FROM b""",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chemistry import ELEMENTS, element_of_label, parse_formula
 from ..operators import structure as S
+from ..sources.cells import with_structure
 from .tables import rounded, table
 
 #: symbol, electronegativity, mass, radius of the stand-in's elements, and the symbols of its eight atoms.
@@ -84,6 +85,19 @@ def label_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", label.alias("label")).withColumn("element", element_of_label(F.col("label")))
 
 
+def structure_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as structure texts of two symmetries, some damaged: cell, sites and status that are read from them."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    lines = [
+        F.lit("data_part\n_cell_length_a "), (size + 3).cast("string"), F.lit("(2)\n_cell_length_b 4.5\n_cell_length_c '8'\n_cell_angle_alpha 90\n_cell_angle_beta 90.0(1)\n_cell_angle_gamma "), F.when(k % 9 == 0, "?").otherwise("90"),
+        F.lit("\n_publ_text\n;\nloop_ 'not' a loop\n;\nloop_\n_symmetry_equiv_pos_as_xyz\n'x,y,z'\n"), F.when(k % 2 == 0, "'-x, -y, -z'\n").otherwise("# no other\n"),
+        F.lit("loop_\n_atom_site_label\n_atom_site_fract_x\n_atom_site_fract_y\n_atom_site_fract_z\n_atom_site_occupancy\nSi1 0 0 0 1\nO1 0.5 .5 0.5(1) .\nO2 0."), (k % 8 + 1).cast("string"), F.lit("1 0.2 0.3 0.75\n"), F.when(k % 7 == 0, "Fe1 ? 0 0 1").otherwise("")]
+    df = with_structure(table(spark, sf_dir, "part").select("p_partkey", F.concat(*lines).alias("text")))
+    s = F.col("structure")
+    occupied = F.aggregate(s["sites"], F.lit(0.0), lambda a, x: a + x["occupancy"])
+    return rounded(df.select("p_partkey", s["volume"].alias("volume"), s["n_operations"].alias("n_operations"), F.size(s["sites"]).alias("n_sites"), occupied.alias("occupied"), s["status"].alias("status")))
+
+
 SYMBOLS = ("Si", "Fe", "Ca", "Mg", "Na", "Al")
 
 
@@ -101,7 +115,7 @@ def formula_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("p_partkey", "formula", F.when(F.col("m").isNotNull(), told).alias("amounts"))
 
 
-QUERIES = {f.__name__: f for f in (bond_stats, composition_spread, env_stats, group_theory_modes, mode_ratios, label_elements, formula_amounts)}
+QUERIES = {f.__name__: f for f in (structure_cells, bond_stats, composition_spread, env_stats, group_theory_modes, mode_ratios, label_elements, formula_amounts)}
 
 #: Per atom less one, worked out by hand from the character tables: distinct modes, freedom of each, seen by Raman, by infrared.
 _MODES = """
@@ -111,6 +125,10 @@ WITH t(g, point_group, d, f, r, i) AS (VALUES (0, '1', 3, 1, TRUE, TRUE), (1, '-
     CASE WHEN r AND n > 0 THEN CASE point_group WHEN '1' THEN 1 ELSE 2 END ELSE 0 END AS n_raman_irreps, CASE WHEN r THEN CASE point_group WHEN '1' THEN 3 * n WHEN '2' THEN 2 * n ELSE n END ELSE 0 END AS max_raman_mult,
     CASE WHEN n > 0 AND point_group = '2' THEN round(-(ln(1 / 3.0::DOUBLE) / 3 + 2 * ln(2 / 3.0::DOUBLE) / 3), 6) WHEN n > 0 AND point_group = '4mm' THEN round(ln(2.0::DOUBLE), 6) ELSE 0 END AS raman_entropy, g IN (1, 4) AS centrosymmetric, '' AS error FROM c)"""
 ORACLES = {
+    "structure_cells": """
+WITH p AS (SELECT p_partkey, p_size, p_partkey % 9 = 0 AS lost, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END AS n FROM part)
+SELECT p_partkey, CASE WHEN NOT lost THEN (p_size + 3) * 36::DOUBLE END AS volume, CASE WHEN NOT lost THEN n END AS n_operations, CASE WHEN NOT lost THEN 2 + n END AS n_sites, CASE WHEN NOT lost THEN 2 + 0.75::DOUBLE * n END AS occupied,
+  CASE WHEN lost THEN 'no cell' WHEN p_partkey % 7 = 0 THEN 'site Fe1' ELSE 'ok' END AS status FROM p""",
     "bond_stats": f"""
 WITH el(symbol, chi, mass, radius) AS (VALUES {", ".join(f"('{s}', {c}::DOUBLE, {m}::DOUBLE, {r}::DOUBLE)" for s, c, m, r in ELEMENT_DATA)}
 ), a AS (SELECT vec_id, i, ([{", ".join(f"'{s}'" for s in ATOMS)}])[i + 1] AS symbol, embedding[3 * i + 1]::DOUBLE * 10 AS x, embedding[3 * i + 2]::DOUBLE * 10 AS y, embedding[3 * i + 3]::DOUBLE * 10 AS z
