@@ -87,19 +87,38 @@ def ols_coefficients(g: np.ndarray, k: int) -> np.ndarray:
     return np.linalg.pinv(g[: k + 1, : k + 1]) @ g[: k + 1, k + 1]
 
 
-def pls_coefficients(c: np.ndarray, xy: np.ndarray, components: int) -> list[np.ndarray]:
-    """Coefficients (standardised X to Y) after 1, 2, ... components; directions are the first singular vectors."""
-    left, weights, loads, answers, out = xy.copy(), [], [], [], []
+def pls_parts(c: np.ndarray, xy: np.ndarray, components: int) -> tuple[list, list, list]:
+    """Directions on standardised X, loadings of X and of Y of 1, 2, ... components, from covariances alone; directions are the
+    first singular vectors of what the components before have left."""
+    left, directions, loads, answers = xy.copy(), [], [], []
     for _ in range(min(components, len(c))):
         w = np.linalg.svd(left, full_matrices=False)[0][:, 0]
-        r = w - sum((p @ w * q for p, q in zip(loads, weights)), np.zeros(len(w)))
+        r = w - sum((p @ w * q for p, q in zip(loads, directions)), np.zeros(len(w)))
         scale = r @ c @ r
         if scale < 1e-12:
             break
         p, q = c @ r / scale, left.T @ r / scale
         left = left - np.outer(p, q) * scale
-        weights, loads, answers = [*weights, r], [*loads, p], [*answers, q]
-        out.append(np.array(weights).T @ np.array(answers))
+        directions, loads, answers = [*directions, r], [*loads, p], [*answers, q]
+    return directions, loads, answers
+
+
+def pls_coefficients(c: np.ndarray, xy: np.ndarray, components: int) -> list[np.ndarray]:
+    """Coefficients (standardised X to Y) after 1, 2, ... components."""
+    directions, _, answers = pls_parts(c, xy, components)
+    return [np.array(directions[:a]).T @ np.array(answers[:a]) for a in range(1, len(directions) + 1)]
+
+
+def pls_loadings(g: np.ndarray, names: list[str], targets: list[str], components: int = 2) -> list[tuple[str, str, int, float]]:
+    """(side, variable, component, loading) of all standardised rows, from their matrix of ``[1, *names, *targets]``. A component's
+    sign is such that its largest loading of X is positive."""
+    k = len(names)
+    mean, _, c, xy = standardised(g, k)
+    sd_y = np.sqrt(np.clip(np.diag(g)[k + 1 :] / g[0, 0] - mean[k + 1 :] ** 2, 0, None))
+    out = []
+    for a, (_, p, q) in enumerate(zip(*pls_parts(c, xy / np.where(sd_y > 1e-12, sd_y, 1.0), components), strict=True), 1):
+        sign = 1.0 if p[np.abs(p).argmax()] > 0 else -1.0
+        out += [("x", n, a, float(sign * v)) for n, v in zip(names, p)] + [("y", n, a, float(sign * v)) for n, v in zip(targets, q)]
     return out
 
 

@@ -141,6 +141,14 @@ def element_set_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.select("c_custkey", m["status"].alias("status"), m["source"].alias("source"))
 
 
+def failure_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as structures with error texts of all kinds, none among them: how many fall into each category."""
+    k = F.col("p_partkey")
+    kind = F.get(F.array(*map(F.lit, X.STRUCTURE_CATEGORIES)), (k % len(X.STRUCTURE_CATEGORIES)).cast("int"))
+    error = F.when(k % 5 == 0, F.lit(None).cast("string")).when(k % 7 == 0, "something else").otherwise(F.concat(F.lit("part "), k.cast("string"), F.lit(": "), kind))
+    return table(spark, sf_dir, "part").select(X.failure_category(error).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+
+
 FORMULAS = [("SiO2", {"Si": 1.0, "O": 2.0}), ("CaCO3", {"Ca": 1.0, "C": 1.0, "O": 3.0}), ("CaSO4", {"Ca": 1.0, "S": 1.0, "O": 4.0}), ("PbCrO4", {"Pb": 1.0, "Cr": 1.0, "O": 4.0}),
             ("Ca5P3O13H", {"Ca": 5.0, "P": 3.0, "O": 13.0, "H": 1.0}), ("NaNO3", {"Na": 1.0, "N": 1.0, "O": 3.0}), ("H3BO3", {"H": 3.0, "B": 1.0, "O": 3.0}), ("FeS2", {"Fe": 1.0, "S": 2.0}),
             ("NaCl", {"Na": 1.0, "Cl": 1.0}), ("Fe", {"Fe": 1.0}), ("C", {"C": 1.0}), ("Al2O3", {"Al": 2.0, "O": 3.0}), ("H2O", {"H": 2.0, "O": 1.0}), ("none", {})]
@@ -158,7 +166,7 @@ def family_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     qc_funnel, cohort_median_iqr, family_profile_zscore, ratio_table, wl_bucket, reason_codes, rare_level_pool, one_hot, decile_bins, auto_transforms, usable_columns,
-    name_normalise_match, ambiguous_id_reject, priority_pick, merged_and_failures, failure_breakdown, element_set_status, family_rules)}
+    name_normalise_match, ambiguous_id_reject, priority_pick, merged_and_failures, failure_breakdown, element_set_status, failure_categories, family_rules)}
 
 _PICKS = """
 WITH c AS (SELECT *, TRY_CAST(o_orderpriority[1] AS INTEGER) AS tier, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS st, coalesce(o_totalprice >= 250000, FALSE) AS ok FROM orders
@@ -234,5 +242,9 @@ WITH p AS (SELECT o_custkey AS c_custkey, year(o_orderdate) AS y, p_type FROM li
 ), s AS (SELECT c_custkey, list_sort(list_distinct(list(p_type) FILTER (WHERE y = 1997))) AS a, list_sort(list_distinct(list(p_type) FILTER (WHERE y = 1998))) AS b FROM p GROUP BY 1)
 SELECT c_custkey, CASE WHEN a IS NULL OR b IS NULL THEN 'unverified' WHEN a = b THEN 'same_element_set' WHEN list_has_any(a, b) THEN 'partial_element_overlap' ELSE 'disjoint_element_sets' END AS status,
   CASE WHEN a IS NULL THEN 'amcsd_formula_unparseable' WHEN b IS NOT NULL THEN 'measured' ELSE 'unavailable' END AS source FROM s""",
+    "failure_categories": f"""
+WITH c AS (SELECT [{", ".join(f"'{c}'" for c in X.STRUCTURE_CATEGORIES)}] AS known, p_partkey AS k FROM part
+), e AS (SELECT known, CASE WHEN k % 5 = 0 THEN '' WHEN k % 7 = 0 THEN 'something else' ELSE 'part ' || k || ': ' || known[k % {len(X.STRUCTURE_CATEGORIES)} + 1] END AS error FROM c)
+SELECT CASE WHEN error = '' THEN 'no_atoms' ELSE coalesce(list_filter(known, lambda w: contains(error, w))[1], 'other') END AS category, count(*) AS n FROM e GROUP BY 1""",
     "family_rules": "SELECT p_partkey, formula, family FROM part JOIN (VALUES " + ", ".join(f"({i}, '{f}', '{v}')" for i, (f, v) in enumerate(FAMILIES.items())) + f") t(i, formula, family) ON p_partkey % {len(FAMILIES)} = i",
 }

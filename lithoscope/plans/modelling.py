@@ -147,6 +147,13 @@ def pls_q2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(q2, 1)], "n_components int, q2 double")
 
 
+def pls_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loadings of descriptors and targets on two latent variables."""
+    df = _vectors(spark, sf_dir).withColumn("y2", F.col("f3") - F.col("f0")).withColumn("all", F.lit(0))
+    g = sum(L.fold_matrices(df, [*FEATURES, "y", "y2"], "all").values())
+    return rounded(spark.createDataFrame(L.pls_loadings(g, FEATURES, ["y", "y2"]), "side string, variable string, component int, loading double"))
+
+
 def perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rise of the out-of-fold error over the variance when a descriptor, or the group of the first three, is permuted: mean
     and spread of five permutations."""
@@ -252,7 +259,7 @@ def w1_reference_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    w1_reference_models, gbt_all_rows, rf_multioutput, group_folds, bootstrap_r2_ci, paired_delta_r2, pooled_r2, cluster_bootstrap, oof_mean_baseline, lofo_linear, lofo_families, lofo_gap, lasso_1se, lasso_nested, lasso_stability, pls_q2,
+    w1_reference_models, gbt_all_rows, rf_multioutput, group_folds, bootstrap_r2_ci, paired_delta_r2, pooled_r2, cluster_bootstrap, oof_mean_baseline, lofo_linear, lofo_families, lofo_gap, lasso_1se, lasso_nested, lasso_stability, pls_q2, pls_loadings,
     perm_importance, knn_baseline, missing_representation, gbt_sets, gbt_contrasts, rf_arms)}
 
 _SUMS = """
