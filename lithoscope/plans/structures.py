@@ -125,6 +125,20 @@ WITH t(g, point_group, d, f, r, i) AS (VALUES (0, '1', 3, 1, TRUE, TRUE), (1, '-
     CASE WHEN r AND n > 0 THEN CASE point_group WHEN '1' THEN 1 ELSE 2 END ELSE 0 END AS n_raman_irreps, CASE WHEN r THEN CASE point_group WHEN '1' THEN 3 * n WHEN '2' THEN 2 * n ELSE n END ELSE 0 END AS max_raman_mult,
     CASE WHEN n > 0 AND point_group = '2' THEN round(-(ln(1 / 3.0::DOUBLE) / 3 + 2 * ln(2 / 3.0::DOUBLE) / 3), 6) WHEN n > 0 AND point_group = '4mm' THEN round(ln(2.0::DOUBLE), 6) ELSE 0 END AS raman_entropy, g IN (1, 4) AS centrosymmetric, '' AS error FROM c)"""
 ORACLES = {
+    "env_stats": f"""
+WITH a AS (SELECT vec_id, i, i % 2 AS el, list_transform(embedding[i * 8 + 1:i * 8 + 8], lambda v: v::DOUBLE) AS v FROM embeddings, range(8) t(i) WHERE embedding IS NOT NULL
+), l AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM a
+), u AS (SELECT vec_id, i, el, CASE WHEN n > 1e-12 THEN list_transform(v, lambda x: x / n) ELSE v END AS v FROM l
+), c AS (SELECT vec_id, el, [{", ".join(f"avg(v[{k}])" for k in range(1, 9))}] AS m FROM u GROUP BY 1, 2
+), s AS (SELECT vec_id, sum(list_sum(list_transform(list_zip(u.v, c.m), lambda p: (p[1] - p[2]) ** 2))) / count(*) AS dispersion FROM u JOIN c USING (vec_id, el) GROUP BY 1
+), d AS (SELECT p.vec_id, p.i, q.i AS j, sqrt(list_sum(list_transform(list_zip(p.v, q.v), lambda t: (t[1] - t[2]) ** 2))) AS d FROM u p JOIN u q ON p.vec_id = q.vec_id AND p.el = q.el AND p.i < q.i
+), r AS (SELECT vec_id, i, el FROM u WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.vec_id = u.vec_id AND d.j = u.i AND d.d <= {S.SAME_ENVIRONMENT})
+), e AS (SELECT d.vec_id, d.d FROM d JOIN r x ON x.vec_id = d.vec_id AND x.i = d.i JOIN r y ON y.vec_id = d.vec_id AND y.i = d.j
+), g AS (SELECT vec_id, min(d) AS lo, avg(d) AS m, quantile_cont(d, [0.5, 0.9, 0.95]) AS q, max(d) AS hi FROM e GROUP BY 1
+), k AS (SELECT vec_id, el, count(*) AS k FROM r GROUP BY 1, 2
+), h AS (SELECT vec_id, sum(k)::BIGINT AS n_env, -sum(k / t * ln(k / t)) AS entropy FROM (SELECT *, sum(k) OVER (PARTITION BY vec_id)::DOUBLE AS t FROM k) GROUP BY 1)
+SELECT s.vec_id, round(dispersion, 5) AS intra_species_dispersion, n_env, round(lo, 5) AS min_env_sep, round(m, 5) AS pairwise_env_sep_mean, round(q[1], 5) AS pairwise_env_sep_median, round(q[2], 5) AS pairwise_env_sep_q90,
+  round(q[3], 5) AS pairwise_env_sep_q95, round(hi, 5) AS pairwise_env_sep_max, round(entropy, 5) + 0 AS env_count_entropy FROM s JOIN h USING (vec_id) LEFT JOIN g USING (vec_id)""",
     "structure_cells": """
 WITH p AS (SELECT p_partkey, p_size, p_partkey % 9 = 0 AS lost, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END AS n FROM part)
 SELECT p_partkey, CASE WHEN NOT lost THEN (p_size + 3) * 36::DOUBLE END AS volume, CASE WHEN NOT lost THEN n END AS n_operations, CASE WHEN NOT lost THEN 2 + n END AS n_sites, CASE WHEN NOT lost THEN 2 + 0.75::DOUBLE * n END AS occupied,
