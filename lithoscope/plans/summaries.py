@@ -13,6 +13,7 @@ from ..operators import spectra as E
 from ..operators import stats as S
 from ..operators import structure as T
 from ..operators.deadline import with_deadline
+from ..session import spread
 from ..sources import files
 from ..sources.sinks import markdown, wide
 from . import cohorts, modelling, statistics
@@ -124,7 +125,7 @@ def timed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             time.sleep(1)
         return sum(map(int, str(number)))
 
-    return with_deadline(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", digits, "int", 2.0, "digits")
+    return with_deadline(spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey"), "p_partkey", digits, "int", 2.0, "digits")
 
 
 def tiered_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +137,7 @@ def tiered_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tiered_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slopes and R2 of all tiers, without errors, for SQL to have them too."""
-    return rounded(P.tiered_regressions(_responses(spark, sf_dir), _jobs(), "p_type").select("response", "tier", "term", "beta", "n", "r2", "n_groups"), 5)
+    return rounded(P.tiered_regressions(_responses(spark, sf_dir), _jobs(), "p_type", errors=False).select("response", "tier", "term", "beta", "n", "r2", "n_groups"), 5)
 
 
 def top_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,11 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt over tasks by a key, four a core: for slow work on the rows of a table of few files."""
+    return df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to ``spark.checkpoint.dir``, which driver and executors share, and read again: a short lineage.
 

@@ -65,3 +65,23 @@ def test_small_and_constant_jobs_give_no_row(spark):
     jobs = [panel.Job("y", "constant", ("x",)), panel.Job("x", "constant predictor", ("y",)), panel.Job("x", "few", ("x", "y"))]
     assert panel.tiered_regressions(df, jobs, "g").count() == 0 and panel.tiered_regressions(df.limit(0), jobs, "g").count() == 0
     assert panel.t_quantiles([10.0, 1.0]) == pytest.approx({10.0: 2.2281388, 1.0: 12.7062047}, abs=1e-6)
+
+
+def test_every_row_passes_once_for_all_jobs(spark):
+    """Work and shuffle don't grow with the number of jobs: a row is not copied for each; slopes alone read the rows once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    rows = [(float(i), float(i * i % 97), float(i % 13), "abc"[i % 3], i % 30) for i in range(600)]
+    df = spark.createDataFrame(rows, "x1 double, y double, x2 double, g string, c int").withColumn("x1", counted.asNondeterministic()("x1"))
+    jobs = [panel.Job("y", f"t{k}", ("x1", "x2"), k % 2 == 0) for k in range(40)]
+    bare = panel.tiered_regressions(df, jobs, "g", "c", errors=False).collect()
+    assert seen.value == 600 and len(bare) == 80 and all(r["se"] is None and r["p"] is None for r in bare)
+    full = panel.tiered_regressions(df, jobs, "g", "c").collect()
+    assert seen.value == 1800 and [r["beta"] for r in full] == pytest.approx([r["beta"] for r in bare])
+    many = panel.tiered_regressions(df, jobs, "g", "c", broadcast_levels=1).collect()  # means joined, not broadcast
+    assert [r["se"] for r in many] == pytest.approx([r["se"] for r in full])
