@@ -24,3 +24,16 @@ def test_each_record_has_its_own_fate(spark):
     assert time.time() - began < 60
     again = with_deadline(df.withColumnRenamed("id", "status"), "text", len, "int", 2.0, "text")
     assert again.columns == ["text", "status"] and with_deadline(df.limit(0), "text", len, "int", 1.0).count() == 0
+
+
+def test_records_that_overrun_wait_side_by_side(spark):
+    """Forty records of a task that never end cost a few deadlines, not forty; the others come out in their order."""
+    def work(v):
+        while v % 10 == 3:
+            time.sleep(1)
+        return v + 1
+
+    began = time.time()
+    got = with_deadline(spark.range(400).coalesce(1), "id", work, "long", 2.0, "n").collect()
+    assert time.time() - began < 40
+    assert [(r["id"], r["n"], r["status"]) for r in got] == [(i, None if i % 10 == 3 else i + 1, "timeout" if i % 10 == 3 else "ok") for i in range(400)]
