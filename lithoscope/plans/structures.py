@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chemistry import ELEMENTS, element_of_label, parse_formula
 from ..operators import structure as S
+from ..session import spread
 from ..sources.cells import with_structure
 from .tables import rounded, table
 
@@ -63,7 +64,7 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = [(i, name, ops) for i, (name, ops) in enumerate(_groups().items())]
     known = F.broadcast(spark.createDataFrame(groups, "g int, point_group string, rotations array<array<array<int>>>"))  # five rows
     part = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(groups)).cast("int").alias("g"), (F.col("p_size") % 7 + 1).cast("int").alias("atoms"))
-    cells = part.join(known, "g").withColumn("fixed", F.array_repeat("atoms", F.size("rotations")))
+    cells = spread(part, "p_partkey").join(known, "g").withColumn("fixed", F.array_repeat("atoms", F.size("rotations")))
     return cells.select("p_partkey", "point_group", "atoms", S.mode_counts("rotations", "fixed").alias("m"))
 
 
@@ -92,7 +93,7 @@ def structure_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("data_part\n_cell_length_a "), (size + 3).cast("string"), F.lit("(2)\n_cell_length_b 4.5\n_cell_length_c '8'\n_cell_angle_alpha 90\n_cell_angle_beta 90.0(1)\n_cell_angle_gamma "), F.when(k % 9 == 0, "?").otherwise("90"),
         F.lit("\n_publ_text\n;\nloop_ 'not' a loop\n;\nloop_\n_symmetry_equiv_pos_as_xyz\n'x,y,z'\n"), F.when(k % 2 == 0, "'-x, -y, -z'\n").otherwise("# no other\n"),
         F.lit("loop_\n_atom_site_label\n_atom_site_fract_x\n_atom_site_fract_y\n_atom_site_fract_z\n_atom_site_occupancy\nSi1 0 0 0 1\nO1 0.5 .5 0.5(1) .\nO2 0."), (k % 8 + 1).cast("string"), F.lit("1 0.2 0.3 0.75\n"), F.when(k % 7 == 0, "Fe1 ? 0 0 1").otherwise("")]
-    df = with_structure(table(spark, sf_dir, "part").select("p_partkey", F.concat(*lines).alias("text")))
+    df = with_structure(spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", F.concat(*lines).alias("text")))
     s = F.col("structure")
     occupied = F.aggregate(s["sites"], F.lit(0.0), lambda a, x: a + x["occupancy"])
     return rounded(df.select("p_partkey", s["volume"].alias("volume"), s["n_operations"].alias("n_operations"), F.size(s["sites"]).alias("n_sites"), occupied.alias("occupied"), s["status"].alias("status")))
