@@ -46,5 +46,6 @@ def overlaps(boxes: DataFrame, page: str, key: str, sides: tuple[str, str, str,
     corner = (F.floor(left / F.pow(F.lit(2.0), F.col("l"))) == F.col("cx")) & (F.floor(bottom / F.pow(F.lit(2.0), F.col("l"))) == F.col("cy"))
     own = lambda s: (F.col(f"x1_{s}") - F.col(f"x0_{s}")) * (F.col(f"y1_{s}") - F.col(f"y0_{s}"))
     enough = wide * high > least_share * F.least(own("l"), own("s"))
-    met = large.join(small, ["page", "l", "cx", "cy"]).filter(once & (F.col("key_s") != F.col("key_l")) & (wide > 0) & (high > 0) & enough & corner)
+    # Spark sizes the entries by the boxes before they are exploded: it would send a side of millions through the driver
+    met = large.hint("merge").join(small.hint("merge"), ["page", "l", "cx", "cy"]).filter(once & (F.col("key_s") != F.col("key_l")) & (wide > 0) & (high > 0) & enough & corner)
     return met.select("page", F.least("key_l", "key_s").alias("a"), F.greatest("key_l", "key_s").alias("b"), (wide * high).alias("area"))

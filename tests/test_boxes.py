@@ -26,3 +26,12 @@ def test_equal_to_all_pairs(spark):
     area = {(r[0], r[1]): (r[4] - r[2]) * (r[5] - r[3]) for r in good}
     half = {k for k, v in want.items() if v > 0.5 * min(area[k[0], k[1]], area[k[0], k[2]])}
     assert {(r["page"], r["a"], r["b"]) for r in overlaps(boxes, "page", "id", least_share=0.5).collect()} == half
+
+
+def test_no_side_goes_through_the_driver(spark):
+    """Exploded entries are larger than the plan thinks: no side may be broadcast."""
+    df = spark.range(200).selectExpr("id % 2 AS page", "id AS k", "double(id % 17) AS x0", "double(id % 13) AS y0", "double(id % 17 + 3) AS x1", "double(id % 13 + 2) AS y1")
+    got = overlaps(df, "page", "k")
+    rows = got.count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert rows and "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
