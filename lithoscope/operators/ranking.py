@@ -19,14 +19,15 @@ def enough_blocks(df: DataFrame) -> int:
     return min(4096, max(64, 1 << (4 * tasks - 1).bit_length()))
 
 
-def value_places(df: DataFrame, keys: list[str], value: str, blocks: int | None = None) -> DataFrame:
-    """One row per key and distinct non-null value: (keys, value, n, before, total); ``blocks`` is a power of two.
+def value_places(df: DataFrame, keys: list[str], value: str, blocks: int | None = None, weight: str | None = None) -> DataFrame:
+    """One row per key and distinct non-null value: (keys, value, n, before, total); ``blocks`` is a power of two. A row of
+    ``df`` stands for as many as its ``weight`` says.
 
     ``n`` rows hold the value, ``before`` rows of the key hold smaller ones, ``total`` rows hold any. NULL keys form
     a key of their own.
     """
     blocks = blocks or enough_blocks(df)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     ends = [i / blocks for i in range(1, blocks)]
     renamed = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
     same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]

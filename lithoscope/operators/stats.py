@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tails import chi2_pvalue, t_pvalue, t_tail
+from ..session import cut
 from .ranking import average_ranks, value_places
 
 
@@ -128,12 +129,12 @@ def kruskal(df: DataFrame, factors: list[str], targets: list[str], least: int =
     wanted = [(f, t) for f in factors for t in targets]
     rows = F.array(*(F.struct(F.lit(i).alias("pair"), F.col(f).cast("string").alias("level"), F.col(t).cast("double").alias("y")) for i, (f, t) in enumerate(wanted)))
     long = df.select(F.explode(rows).alias("r")).select("r.*").na.drop()
-    large = long.groupBy("pair", "level").count().filter(F.col("count") >= least).drop("count")
-    kept = long.join(large, ["pair", "level"])
-    places = value_places(kept, ["pair"], "y")
+    every = cut(long.groupBy("pair", "level", "y").agg(F.count("*").alias("c")))  # equal values of a level have one rank: the rows are read once
+    large = every.groupBy("pair", "level").agg(F.sum("c").alias("m")).filter(F.col("m") >= least).drop("m")
+    counts = every.join(large, ["pair", "level"])
+    places = cut(value_places(counts, ["pair"], "y", weight="c"))
     ties = places.groupBy("pair").agg(F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
     ranks = places.select("pair", "y", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
-    counts = kept.groupBy("pair", "level", "y").agg(F.count("*").alias("c"))  # equal values of a level have one rank
     per_level = counts.join(ranks, ["pair", "y"]).groupBy("pair", "level").agg(F.sum(F.col("rank") * F.col("c")).alias("r"), F.sum("c").alias("m"))
     n, k = F.col("n"), F.col("k_levels")
     raw = F.try_divide(12 * F.col("s"), n * (n + 1)) - 3 * (n + 1)

@@ -262,3 +262,19 @@ def test_formula_units_and_images(spark):
     assert got == sorted(want)
     with pytest.raises(ValueError):
         structure.with_element_data(spark.range(1).selectExpr("'A' AS symbol"), spark.range(201).selectExpr("concat('E', id) AS symbol", "1.0 AS chi", "1.0 AS mass", "1.0 AS radius"))
+
+
+def test_kruskal_reads_the_rows_once(spark):
+    """The rows are counted once by (pair, level, value); what follows reads the counts."""
+    from lithoscope.operators import stats
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    df = spark.range(300).select((F.col("id") % 3).alias("f"), counted.asNondeterministic()((F.col("id") % 7).cast("double")).alias("t"))
+    got = stats.kruskal(df, ["f"], ["t"]).collect()
+    assert seen.value == 300 and got[0]["n"] == 300 and got[0]["k_levels"] == 3
