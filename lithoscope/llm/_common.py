@@ -57,16 +57,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def bounded_labels(labels: DataFrame, label: str, max_zero: int, max_one: int) -> DataFrame:
-    """At most ``max_zero`` and ``max_one`` learnable rows (doc_id, y) of either class, the first by a hash of the id.
-
-    Repeated or conflicting labels of one document collapse to their largest value, null labels go.
-    """
-    known = (
+def learnable_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) of all learnable rows: repeated or conflicting labels of one document collapse to their largest value, null labels go."""
+    return (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y"))
         .filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("y").alias("y"))
     )
+
+
+def bounded_labels(labels: DataFrame, label: str, max_zero: int, max_one: int) -> DataFrame:
+    """At most ``max_zero`` and ``max_one`` of the ``learnable_labels`` of either class, the first by a hash of the id."""
+    known = learnable_labels(labels, label)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     return (known.filter("y = 0").orderBy(*order).limit(max_zero)).unionByName(
         known.filter("y = 1").orderBy(*order).limit(max_one))

@@ -6,8 +6,10 @@ logistic loss on feature differences. The threshold is the quantile of the train
 poor documents below it; a logistic scale around the threshold turns a strength into a score between 0 and 1 that
 crosses ``cut_at`` there.
 
-Training reads at most ``per_class`` labelled rows of either class (the first by a hash of the id, never held-out
-rows), whose features are computed by the executors; only these feature rows reach the driver. Scoring is one pass.
+Training uses all labelled rows but held-out ones, and all their pairs: features are computed once for every document and
+kept; each step adds up, by class and bin of strength, how many rows there are and their features (a combiner in each task,
+at most two thousand rows to the driver), which gives the gradient over all pairs, a bin's rows taken at their mean
+strength. The threshold is the exact quantile over all training rows.
 
 Defined results: a null or empty text has zero features and gets a score like any other; without labels of both
 classes every score is the share of good labels, or 0.5 without any; labels of unknown ids, null and repeated labels
@@ -25,8 +27,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import held_out, labelled_texts
+from ..operators.ranking import exact_quantiles
+from ._common import cut, held_out, learnable_labels
 
 #: Byte kinds whose shares are features, as (name, bytes).
 KINDS = (
@@ -91,43 +95,104 @@ class BradleyTerry:
         return 1 / (1 + np.exp(-np.clip(at, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, cut_at: float = 0.3, pairs: int = 60_000, l2: float = 1e-3, steps: int = 400, seed: int = 7) -> BradleyTerry:
-    """Bradley-Terry weights by gradient descent with momentum on pairs of a good and a poor row."""
+def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(y, x) of a batch of training rows."""
+    return batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+
+
+def _moments(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> dict[int, tuple]:
+    """y -> (n, sum, sum of products) of the standardised features; a task sends a row for each class."""
+    d = len(mean)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, 1 + d + d * d))
+        for batch in batches:
+            y, x = _rows(batch)
+            z = np.clip((x - mean) / scale, -8, 8)
+            for c in (0, 1):
+                own = z[y == c]
+                held[c] += np.r_[len(own), own.sum(0), (own.T @ own).ravel()]
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(held.tolist(), pa.list_(pa.float64()))], names=["y", "m"])
+
+    parts = sorted((r["y"], r["m"]) for r in rows.mapInArrow(run, "y int, m array<double>").collect())  # two rows a task
+    sums = {c: sum((np.array(m) for y, m in parts if y == c), np.zeros(1 + d + d * d)) for c in (0, 1)}
+    return {c: (m[0], m[1:1 + d], m[1 + d:].reshape(d, d)) for c, m in sums.items()}
+
+
+def _binned(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, w: np.ndarray, bins: int) -> np.ndarray:
+    """(y, n, sum of standardised features) of each bin of strength that holds rows of a class."""
+    d, reach = len(mean), max(1e-6, min(8 * float(np.abs(w).sum()), 40.0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2 * bins, 1 + d))
+        for batch in batches:
+            y, x = _rows(batch)
+            z = np.clip((x - mean) / scale, -8, 8)
+            cell = y * bins + np.clip(((z @ w + reach) * (bins / (2 * reach))).astype(np.int64), 0, bins - 1)
+            order = np.argsort(cell, kind="stable")
+            if len(order):
+                starts = np.flatnonzero(np.r_[True, np.diff(cell[order]) > 0])
+                held[cell[order][starts]] += np.add.reduceat(np.column_stack([np.ones(len(z)), z])[order], starts)
+        on = np.flatnonzero(held[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), *(pa.array(c) for c in held[on].T.copy())], names=["cell", *(f"z{i}" for i in range(1 + d))])
+
+    parts = rows.mapInArrow(run, "cell int, " + ", ".join(f"z{i} double" for i in range(1 + d)))
+    got = parts.groupBy("cell").agg(*(F.sum(f"z{i}") for i in range(1 + d))).collect()  # a row for each class and bin
+    return np.array([[r[0] // bins, *r[1:]] for r in sorted(got)])
+
+
+def fit(rows: DataFrame, cut_at: float = 0.3, l2: float = 1e-3, steps: int = 25, bins: int = 1024) -> BradleyTerry:
+    """Bradley-Terry weights over all pairs of a good and a poor row of ``rows`` (y, x), by accelerated steps of the logistic bound."""
     d = len(FEATURES)
-    if len(y) == 0 or y.min() == y.max():
-        return BradleyTerry(np.zeros(d), np.ones(d), np.zeros(d), constant=float(y.mean()) if len(y) else 0.5)
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-    z = np.clip((x - mean) / scale, -8, 8)
-    good, poor = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    draw = np.random.default_rng(seed)
-    n = min(pairs, 20 * len(y))
-    diff = z[draw.choice(good, n)] - z[draw.choice(poor, n)]
-    w, v = np.zeros(d), np.zeros(d)
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
-        v = 0.9 * v + (diff.T @ p / n - l2 * w)
-        w = w + 0.2 * v
-    s = z @ w
-    threshold = float(np.quantile(s, (y == 0).mean()))
-    low, high = s[y == 0], s[y == 1]
-    slope = 4.0 / max(1e-6, float(np.median(high) - np.median(low)))
-    return BradleyTerry(mean, scale, w, threshold, slope, cut_at)
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text",
-          per_class: int = 10_000, cut_at: float = 0.3) -> BradleyTerry:
-    """A model from the labelled rows of ``docs``."""
-    rows = labelled_texts(docs, labels, label, id_col, text_col, per_class, per_class)
+    n0, n1 = ((m := _moments(rows, np.zeros(d), np.ones(d)))[c][0] for c in (0, 1))
+    n = n0 + n1
+    if not n0 or not n1:
+        return BradleyTerry(np.zeros(d), np.ones(d), np.zeros(d), constant=float(n1 / n) if n else 0.5)
+    mean = (m[0][1] + m[1][1]) / n
+    scale = np.maximum(np.sqrt(np.clip(np.diag(m[0][2] + m[1][2]) / n - mean**2, 0, None)), 1e-6)
+    z = _moments(rows, mean, scale)
+    centre = {c: z[c][1] / z[c][0] for c in (0, 1)}
+    apart = centre[1] - centre[0]
+    spread = sum(z[c][2] / z[c][0] - np.outer(centre[c], centre[c]) for c in (0, 1)) + np.outer(apart, apart)
+    bound = spread / 4 + l2 * np.eye(d)  # the loss is nowhere more curved
+    w = before = np.zeros(d)
+    for t in range(1, steps + 1):
+        v = w + (t - 1) / (t + 2) * (w - before)
+        got = _binned(rows, mean, scale, v, bins)
+        (good, x1), (poor, x0) = ((p[:, 1], p[:, 2:]) for p in (got[got[:, 0] == 1], got[got[:, 0] == 0]))
+        less = 1 / (1 + np.exp(np.clip((x1 @ v / good)[:, None] - x0 @ v / poor, -30, 30)))
+        step = np.linalg.solve(bound, ((less @ poor) @ x1 - (good @ less) @ x0) / (n0 * n1) - l2 * v)
+        before, w = w, v + step
+        if np.abs(step).max() < 1e-4:
+            break
+
+    @F.pandas_udf("double")
+    def strength(x: pd.Series) -> pd.Series:
+        return pd.Series((np.clip((np.stack(x) - mean) / scale, -8, 8) @ w).round(9)) if len(x) else pd.Series([], dtype=float)
+
+    scored = cut(rows.select(F.lit(0).alias("all"), "y", strength("x").alias("s")))
+    threshold = exact_quantiles(scored, ["all"], "s", {"q": float(n0 / n)}).first()["q"]
+    middle = {r["y"]: r["q"] for r in exact_quantiles(scored, ["y"], "s", {"q": 0.5}).collect()}  # two rows
+    return BradleyTerry(mean, scale, w, float(threshold), 4.0 / max(1e-6, middle[1] - middle[0]), cut_at)
+
+
+def feature_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, held_out, digest, x) of every row of ``docs``, kept in the shared folder: texts are read once."""
+    rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("")).alias("digest"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+            x = pa.array([features(t) for t in batch.column(3).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], x], names=["id", "held_out", "digest", "x"])
 
-    got = rows.select(F.col("text").cast("binary").alias("text"), "y").mapInArrow(run, "y int, x array<double>").toPandas()  # bounded as the labels are
-    got = got.assign(key=[np.asarray(v).tobytes() for v in got["x"]]).sort_values(["y", "key"])
-    x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, len(FEATURES)))
-    return fit(x, got["y"].to_numpy(), cut_at)
+    return cut(rows.mapInArrow(run, T.StructType([*rows.schema.fields[:3], T.StructField("x", T.ArrayType(T.DoubleType()))])))
+
+
+def train(featured: DataFrame, labels: DataFrame, label: str = "quality", cut_at: float = 0.3) -> BradleyTerry:
+    """A model from all learnable rows of ``feature_rows``; of repeated ids the one whose text has the smallest digest counts."""
+    known = learnable_labels(labels, label).withColumnRenamed("doc_id", "id")
+    rows = featured.join(known, "id").groupBy("id").agg(F.min_by(F.struct("y", "x"), "digest").alias("r"))
+    return fit(cut(rows.select("r.y", "r.x")), cut_at)
 
 
 def score_column(model: BradleyTerry, text: Column) -> Column:
@@ -142,8 +207,14 @@ def score_column(model: BradleyTerry, text: Column) -> Column:
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut_at: float = 0.3) -> DataFrame:
     """(id, held_out, score, predicted) for every row of ``docs``."""
-    model = train(docs, labels, "quality", id_col, text_col, cut_at=cut_at)
-    scored = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), score_column(model, F.col(text_col)).alias("score"))
+    featured = feature_rows(docs, id_col, text_col)
+    model = train(featured, labels, "quality", cut_at)
+
+    @F.pandas_udf("double")
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.stack(x))) if len(x) else pd.Series([], dtype=float)
+
+    scored = featured.select(F.col("id").alias(id_col), "held_out", score("x").alias("score"))
     return scored.select("*", (F.col("score") >= cut_at).cast("int").alias("predicted"))
 
 
@@ -153,5 +224,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, cut_at: float = 0.3) -> DataFr
     Null and empty texts are judged by their zero features; a null or repeated id doesn't matter, each row is judged by
     its own text; an empty table gives an empty table.
     """
-    model = train(docs, labels, cut_at=cut_at)
+    model = train(feature_rows(docs), labels, cut_at=cut_at)
     return docs.filter(score_column(model, F.col("text")) >= cut_at)
