@@ -1,7 +1,7 @@
 """Rank statistics and regression in a few passes over the data.
 
-Pairs that need the same rows share them: a column is ranked once in each population of rows, and all pairs come from one
-aggregate, not one job or one copy of the rows per pair. Regression reads sums of products (a k x k matrix) and solves them on the driver.
+Pairs that need the same rows share them: a column is ranked once in each population of rows, from counts of its values, and all
+pairs come from one aggregate, not one job or one copy of the rows per pair. Regression reads sums of products (a k x k matrix) and solves them on the driver.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tails import chi2_pvalue, t_pvalue, t_tail
 from ..session import cut
-from .ranking import average_ranks, value_places
+from .ranking import value_places
 
 
 def wanted_pairs(features: list[str], targets: list[str], covariates: tuple[str, ...] = (), trivial: tuple[tuple[str, str], ...] = ()) -> list[tuple[str, str]]:
@@ -27,76 +27,103 @@ def named(number: str, names: list[tuple[str, str]], into: tuple[str, str]) -> l
     return [F.get(F.array(*(F.lit(n[i]) for n in names)), F.col(number)).alias(c) for i, c in enumerate(into)]
 
 
-def _correlation(a: str, b: str) -> Column:
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+def masked(df: DataFrame, columns: list[str], subsets: dict[str, Column]) -> DataFrame:
+    """The columns as numbers (NaN is missing), the bit pattern ``__m`` of a row's missing ones and a flag ``__s<i>`` for each subset."""
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)
+    rows = df.select(*(F.coalesce(c, F.lit(False)).alias(f"__s{i}") for i, c in enumerate(subsets.values())), *map(number, columns))
+    bits = (F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(columns))
+    return rows.withColumn("__m", sum(bits, F.lit(0).cast("long")))
 
 
-def populations(df: DataFrame, wanted: list[tuple[str, str]], columns: list[str], covariates: tuple[str, ...], subsets: dict[str, Column], most: int = 4096) -> tuple[DataFrame, dict, dict]:
-    """(rows with ``__p``, what each population is used for, its pairs): pairs that need the same rows share a population.
+def populations(patterns: list[int], wanted: list[tuple[str, str]], columns: list[str], covariates: tuple[str, ...], n_subsets: int) -> tuple[list[Column], list[list], list[set]]:
+    """(whether a row belongs to it, its pairs as (subset, number), its columns) of each population: pairs that need the same rows share one.
 
-    A row's missing columns are a bit pattern. The patterns that occur are counted once; a pair's population is the set of
-    patterns without any of its columns, in a subset. A row appears once for each population that it belongs to, not for
-    each pair. More than ``most`` patterns are an error.
+    A pair's population is the set of occurring patterns of missing columns without any of its own, in a subset.
     """
-    bit = {c: 1 << i for i, c in enumerate(columns)}
-    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)
-    flags = [F.coalesce(c, F.lit(False)).alias(f"__s{i}") for i, c in enumerate(subsets.values())]
-    rows = df.select(*flags, *map(number, columns))
-    rows = rows.withColumn("__m", sum((F.when(F.col(c).isNull(), F.lit(b).cast("long")).otherwise(F.lit(0).cast("long")) for c, b in bit.items()), F.lit(0).cast("long")))
-    patterns = [r["__m"] for r in rows.groupBy("__m").count().limit(most + 1).collect()]
-    if len(patterns) > most:
-        raise ValueError(f"more than {most} patterns of missing columns")
-    numbers: dict[tuple, int] = {}
-    pairs: dict[int, list] = {}
-    used: dict[int, set] = {}
+    bit, numbers, pairs, used = {c: 1 << i for i, c in enumerate(columns)}, {}, [], []
     for k, (a, b) in enumerate(wanted):
         need = sum(bit[c] for c in {a, b, *covariates})
         complete = tuple(sorted(m for m in patterns if not m & need))
-        for s in range(len(subsets)):
-            if complete:
-                p = numbers.setdefault((s, complete), len(numbers))
-                pairs.setdefault(p, []).append((s, k))
-                used.setdefault(p, set()).update((a, b, *covariates))
-    member = [F.when(F.col(f"__s{s}") & F.col("__m").isin(list(complete)), F.lit(p)) for (s, complete), p in numbers.items()]
-    long = rows.withColumn("__p", F.explode(F.array_compact(F.array(*member)) if member else F.array().cast("array<int>")))
-    return long.select("__p", *columns), used, pairs
+        for s in range(n_subsets if complete else 0):
+            p = numbers.setdefault((s, complete), len(numbers))
+            if p == len(pairs):
+                pairs.append([])
+                used.append(set())
+            pairs[p].append((s, k))
+            used[p].update((a, b, *covariates))
+    return [F.col(f"__s{s}") & F.col("__m").isin(list(complete)) for s, complete in numbers], pairs, used
+
+
+def _partial(products: dict, a: str, b: str, covariates: tuple[str, ...]) -> float | None:
+    """Correlation of two columns from their products, the covariates taken out one at a time; None if undefined."""
+    names, known = [a, b, *covariates], {}
+    for x, y in combinations(names, 2):
+        spread = np.sqrt(products[frozenset((x,))]) * np.sqrt(products[frozenset((y,))])
+        known[frozenset((x, y))] = products[frozenset((x, y))] / spread if spread > 0 else None
+    for i in reversed(range(len(covariates))):
+        z, left, now = covariates[i], [a, b, *covariates[:i]], {}
+        for x, y in combinations(left, 2):
+            p, q, r = (known[frozenset(pair)] for pair in ((x, y), (x, z), (y, z)))
+            rest = 0.0 if None in (p, q, r) else (1 - q * q) * (1 - r * r)
+            now[frozenset((x, y))] = (p - q * r) / np.sqrt(rest) if rest > 0 else None
+        known = now
+    rho = known[frozenset((a, b))]
+    return None if rho is None else float(rho)
 
 
 def rank_correlations(df: DataFrame, features: list[str], targets: list[str], covariates: tuple[str, ...] = (), trivial: tuple[tuple[str, str], ...] = (),
-                      subsets: dict[str, Column] | None = None) -> DataFrame:
+                      subsets: dict[str, Column] | None = None, most: int = 4096, shared: int = 1_000_000) -> DataFrame:
     """(feature, target, rho, n): correlation of average ranks, the covariates' ranks taken out, after pairwise deletion.
 
-    A column is ranked once in each population of rows (``populations``), and one aggregate has all pairs. Partial
-    correlation follows from the pairwise ones by removing a covariate at a time. Too few rows (10 and one per covariate) or
-    a constant column: NULL. Pairs without any complete row do not appear. With ``subsets`` (name -> condition) there is a
-    first column ``subset``, and all of them come from the same pass.
+    The rows are read twice, however many pairs and subsets there are. The first pass counts the values of each column by pattern
+    of missing columns and subset; ranks in each population of rows follow from these counts (``value_places``). A rank less
+    the mean rank of its population is exact, so that variances come from the counts as well. The second pass looks up the
+    ranks and adds up their products. A column with up to ``shared`` ranks is looked up in a broadcast table, others by a join.
+
+    Partial correlation follows from the pairwise ones by removing a covariate at a time. Too few rows (10 and one per
+    covariate) or a constant column: NULL. Pairs without any complete row do not appear. With ``subsets`` (name -> condition)
+    there is a first column ``subset``. More than ``most`` patterns of missing columns are an error.
     """
     wanted, given = wanted_pairs(features, targets, covariates, trivial), subsets or {"": F.lit(True)}
     columns = list(dict.fromkeys([c for pair in wanted for c in pair] + list(covariates)))
-    long, used, pairs = populations(df, wanted, columns, covariates, given)
-    ranked = long
-    for c in columns:
-        ranked = ranked.join(average_ranks(long, ["__p"], c, f"__r_{c}"), ["__p", c], "left")
-    both = list(combinations(columns, 2))
-    sums = ranked.groupBy("__p").agg(F.count("*").alias("n"), *(_correlation(f"__r_{a}", f"__r_{b}").alias(f"c_{i}") for i, (a, b) in enumerate(both)))
-    place = {frozenset(pair): i for i, pair in enumerate(both)}
-
-    def rho(a: str, b: str) -> Column:
-        names = [a, b, *covariates]
-        known = {frozenset(p): F.col(f"c_{place[frozenset(p)]}") for p in combinations(names, 2)}
-        for i in reversed(range(len(covariates))):
-            z, left = covariates[i], [a, b, *covariates[:i]]
-            to = lambda c: known[frozenset((c, z))]  # noqa: B023, E731
-            known = {frozenset((x, y)): F.try_divide(known[frozenset((x, y))] - to(x) * to(y), F.sqrt((1 - to(x) * to(x)) * (1 - to(y) * to(y)))) for x, y in combinations(left, 2)}
-        return known[frozenset((a, b))]
-
-    names = list(given)
-    out = [F.when(F.col("__p") == p, F.struct(F.lit(names[s]).alias("subset"), F.lit(wanted[k][0]).alias("feature"), F.lit(wanted[k][1]).alias("target"), F.when(F.col("n") >= 10 + len(covariates), rho(*wanted[k])).alias("rho")))
-           for p, some in pairs.items() for s, k in some]
-    if not out:
-        return df.sparkSession.createDataFrame([], ("subset string, " if subsets else "") + "feature string, target string, rho double, n long")
-    each = sums.select("n", F.explode(F.array_compact(F.array(*out))).alias("r"))
-    return each.select(*(["r.subset"] if subsets else []), "r.feature", "r.target", "r.rho", "n")
+    names, flags, spark = list(given), [f"__s{i}" for i in range(len(given))], df.sparkSession
+    schema = ("subset string, " if subsets else "") + "feature string, target string, rho double, n long"
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    rows = masked(df, columns, given)
+    each = rows.select("__m", *flags, F.posexplode(F.array(*columns)).alias("__c", "__v")).filter("__v IS NOT NULL")
+    counts = cut(each.groupBy("__c", "__v", "__m", *flags).agg(F.count("*").alias("__n")))
+    patterns = [r["__m"] for r in counts.select("__m").distinct().limit(most + 1).collect()]
+    if len(patterns) > most:
+        raise ValueError(f"more than {most} patterns of missing columns")
+    inside, pairs, used = populations(patterns, wanted, columns, covariates, len(given))
+    if not pairs:
+        return spark.createDataFrame([], schema)
+    owns = (F.when(on & F.col("__c").isin([columns.index(c) for c in used[p]]), F.lit(p)) for p, on in enumerate(inside))
+    per = counts.select("__c", "__v", "__n", F.explode(F.array_compact(F.array(*owns))).alias("__p"))
+    places = cut(value_places(per, ["__c", "__p"], "__v", weight="__n").withColumn("__r", F.col("before") + (F.col("n") - F.col("total")) / 2))
+    known = places.groupBy("__c", "__p").agg(F.max("total").alias("total"), F.count("*").alias("values"), F.sum(F.col("n") * F.col("__r") * F.col("__r")).alias("square")).collect()  # a row a column and population
+    size, ranks = [0] * len(columns), [[] for _ in columns]
+    for r in known:
+        size[r["__c"]] += r["values"]
+        ranks[r["__c"]].append(r["__p"])
+    looked = rows
+    for c in sorted(range(len(columns)), key=lambda c: -size[c]):  # joins that shuffle come first, while rows are narrow
+        own = places.filter(F.col("__c") == c).groupBy(F.col("__v").alias(columns[c])).agg(*(F.max(F.when(F.col("__p") == p, F.col("__r"))).alias(f"__r{c}_{p}") for p in ranks[c]))
+        looked = looked.join(F.broadcast(own) if size[c] <= shared else own, columns[c], "left")
+    needs = [sorted({tuple(sorted(columns.index(c) for c in pair)) for _, k in some for pair in combinations((*wanted[k], *covariates), 2)}) for some in pairs]
+    total = {(r["__c"], r["__p"]): r["total"] for r in known}
+    sums = [F.sum(F.when(on, F.col(f"__r{a}_{p}") * F.col(f"__r{b}_{p}"))).alias(f"{a}_{b}_{p}") for p, on in enumerate(inside) for a, b in needs[p] if (a, p) in total]
+    got, out = looked.agg(*sums).first() if sums else {}, []
+    for p, some in enumerate(pairs):
+        products = {frozenset((columns[r["__c"]],)): r["square"] for r in known if r["__p"] == p}
+        if products:  # else no row
+            products |= {frozenset((columns[a], columns[b])): got[f"{a}_{b}_{p}"] for a, b in needs[p]}
+            for s, k in some:
+                n = total[columns.index(wanted[k][0]), p]
+                rho = _partial(products, *wanted[k], covariates) if n >= 10 + len(covariates) else None
+                out.append((*([names[s]] if subsets else []), *wanted[k], rho, n))
+    return spark.createDataFrame(out, schema)
 
 
 def with_interval(df: DataFrame, n_covariates: int = 0) -> DataFrame:
