@@ -257,11 +257,70 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 1024, max_
     return top(near.drop("place").unionByName(search(wider))).drop("place")
 
 
-def forest_out_of_fold(df: DataFrame, y: str, columns: list[str], trees: int = 100, depth: int = 30, fold: str = "fold", seed: int = 0) -> DataFrame:
-    """Adds ``pred``: MLlib's forest (leaves of 3, 0.7 of the columns a split, its greatest depth), fitted per fold on the rest.
-
-    MLlib takes no missing values: columns are filled with the training folds' medians and flagged.
+def filled(x: np.ndarray, train: np.ndarray, flag_over: float = 0.02) -> np.ndarray:
+    """``fit_preparation`` and ``prepare`` within a task: NaN filled with medians of the rows ``train``, then a flag for each pattern of gaps."""
+    absent = np.isnan(x)
+    medians = np.array([np.median(v[train & ~a]) if (train & ~a).any() else 0.0 for v, a in zip(x.T, absent.T)])
+    flags = {absent[train, j].tobytes(): j for j in reversed(range(x.shape[1])) if train.any() and absent[train, j].mean() > flag_over}
+    return np.column_stack([np.where(absent, medians, x), absent[:, sorted(flags.values())]])
+
+
+def grown_predictions(x: np.ndarray, y: np.ndarray, drawn: np.ndarray, held: np.ndarray, rng: np.random.Generator, depth: int, leaf: int, share: float) -> np.ndarray:
+    """What a regression tree on the rows ``drawn`` (repeats count) says of the rows ``held``, which go down while it grows."""
+    pred, chosen = np.zeros(len(x)), int(np.ceil(share * x.shape[1]))
+    going = [(drawn, held, 0)]
+    while going:
+        rows, asked, level = going.pop()
+        own, m, best = y[rows], len(rows), None
+        if len(asked) and level < depth and m >= 2 * leaf and own.min() < own.max():
+            columns = rng.permutation(x.shape[1])[:chosen]
+            v = x[rows[:, None], columns]
+            order = v.argsort(0, kind="stable")
+            v, left = np.take_along_axis(v, order, 0), np.cumsum((own - own.mean())[order], 0)[:-1]  # what is left sums to zero
+            n = np.arange(1.0, m)[:, None]
+            gain = np.where((v[:-1] < v[1:]) & (n >= leaf) & (m - n >= leaf), left * left * (1 / n + 1 / (m - n)), 0.0)
+            at, j = np.unravel_index(gain.argmax(), gain.shape)
+            middle = (v[at, j] + v[at + 1, j]) / 2
+            best = (columns[j], middle if middle < v[at + 1, j] else v[at, j]) if gain[at, j] > 0 else None
+        if best is None:
+            pred[asked] = own.mean()
+        else:
+            for side in (np.less_equal, np.greater):
+                going.append((rows[side(x[rows, best[0]], best[1])], asked[side(x[asked, best[0]], best[1])], level + 1))
+    return pred[held]
+
+
+def forest_out_of_fold(df: DataFrame, y: str, columns: list[str], trees: int = 100, depth: int = 30, fold: str = "fold", seed: int = 0, key: str | None = None,
+                       max_rows: int = 100_000, together: int = 4) -> DataFrame:
+    """Adds ``pred``: a forest (leaves of 3, 0.7 of the columns a split, Poisson weights) fitted per fold on the rest.
+
+    Columns are filled with the training folds' medians and flagged. Up to ``max_rows`` rows a task grows ``together`` trees of
+    a fold, and the fold's rows go down them: deep trees have nearly as many nodes as rows, which MLlib passes around as
+    histograms, a level a job. Beyond, the forest is MLlib's, to its greatest depth. ``key`` (else a row's place) seeds the weights.
     """
+    if 0 < df.count() <= max_rows:
+        from .level_trees import poisson
+
+        known = cut(df.withColumn("__id", F.monotonically_increasing_id()))
+        folds = sorted((r[0] for r in known.select(fold).distinct().collect()), key=lambda f: (f is not None, f))  # draws are seeded by a fold's place
+        number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
+        place = F.coalesce(*(F.when(F.col(fold).eqNullSafe(F.lit(f)), F.lit(i)) for i, f in enumerate(folds)))
+        n_jobs = len(folds) * -(-trees // together)
+        rows = known.select("__id", F.xxhash64(F.col(key or "__id"), F.lit(seed)).alias("key"), place.alias("f"), number(y).alias("y"), F.array(*map(number, columns)).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(n_jobs - 1))).alias("job"))
+
+        def grow(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values(["key", "__id"])
+            f, low = int(frame["job"].iloc[0]) % len(folds), int(frame["job"].iloc[0]) // len(folds) * together
+            target, train = frame["y"].to_numpy(), (frame["f"] != f).to_numpy()
+            x, held, total = filled(np.stack(frame["x"]), train), np.flatnonzero(~train), 0.0
+            fit, numbers = np.flatnonzero(train & ~np.isnan(target)), range(low, min(low + together, trees))
+            for t in numbers if len(fit) else ():
+                drawn = np.repeat(fit, poisson(frame["key"].iloc[fit], t).astype(int))
+                total = total + grown_predictions(x, target, drawn if len(drawn) else fit, held, np.random.default_rng([seed, f, t]), depth, 3, 0.7)
+            return pd.DataFrame({"__id": frame["__id"].iloc[held], "s": total, "n": len(numbers) if len(fit) else 0})
+
+        grown = rows.repartition(n_jobs, "job").groupBy("job").applyInPandas(grow, "__id long, s double, n long").groupBy("__id").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("pred"))
+        return known.join(grown, "__id").select(*df.columns, "pred")
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 

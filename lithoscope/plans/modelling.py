@@ -216,7 +216,7 @@ def gbt_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rf_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forest of 100 trees on five folds."""
     df = _folded(spark, sf_dir)
-    return R.pooled_r2(R.group_sums(L.forest_out_of_fold(df, "y", FEATURES), "fold", {"forest": "pred"}, "y"), ["model"])
+    return R.pooled_r2(R.group_sums(L.forest_out_of_fold(df, "y", FEATURES, key="vec_id"), "fold", {"forest": "pred"}, "y"), ["model"])
 
 
 def gbt_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
