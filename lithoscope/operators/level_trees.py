@@ -23,14 +23,16 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .resampling import group_folds
+from .blocks import Block, changed, error_sums, packed, read
 
 MISSING = 255
 SPLIT = ["job", "node", "column", "code", "side", "a", "g", "b", "h"]
+TREE = ["feature", "code", "missing_left", "left", "value"]
 
 
 @dataclass
@@ -53,16 +55,30 @@ class Tree:
         return [self.left[node], self.left[node] + 1]
 
     def place(self, codes: np.ndarray) -> np.ndarray:
-        """The leaf of each row of codes."""
+        """The leaf of each row of codes, which are (column, row)."""
+        if len(self.feature) <= 31:  # a few comparisons of whole columns are less work than a walk of every row
+            return self._below(0, codes)
         feature, code, missing_left, left = (np.asarray(x) for x in (self.feature, self.code, self.missing_left, self.left))
-        node, going = np.zeros(len(codes), np.int64), np.arange(len(codes))
+        node, going = np.zeros(codes.shape[1], np.int64), np.arange(codes.shape[1])
         while len(going):
             going = going[feature[node[going]] >= 0]
             at = node[going]
-            own = codes[going, feature[at]]
+            own = codes[feature[at], going]
             node[going] = left[at] + np.where(own == MISSING, ~missing_left[at], own > code[at])
         return node
 
+    def _below(self, node: int, codes: np.ndarray) -> np.ndarray:
+        if self.feature[node] < 0:
+            return np.full(codes.shape[1], node, np.uint8)
+        right = self.right(node, codes[self.feature[node]])
+        sides = [self._below(self.left[node] + i, codes) if self.feature[self.left[node] + i] >= 0 else np.uint8(self.left[node] + i) for i in (1, 0)]
+        return np.where(right, *sides)
+
+    def right(self, node: int, own: np.ndarray) -> np.ndarray:
+        """Whether rows with the codes ``own`` of the node's column go right; the code of missing values is the largest."""
+        out = own > self.code[node]
+        return out & (own != MISSING) if self.missing_left[node] else out
+
     def predict(self, codes: np.ndarray) -> np.ndarray:
         return np.asarray(self.value)[self.place(codes)]
 
@@ -76,7 +92,8 @@ def best_split(count: np.ndarray, total: np.ndarray, leaf: int, l2: float, allow
     if count[:, -1].any():
         left_n = np.concatenate((left_n, left_n + count[None, :, -1:]))
         left_g = np.concatenate((left_g, left_g + total[None, :, -1:]))
-    n, g = count[0].sum(), total[0].sum(0)
+    first = int(allowed.argmax())  # a column that is counted holds all rows
+    n, g = count[first].sum(), total[first].sum(0)
     score = lambda g, n: (g * g).sum(-1) / np.maximum(n + l2, 1e-12)
     gain = score(left_g, left_n) + score(g - left_g, n - left_n) - score(g, n)
     gain[(left_n < leaf) | (n - left_n < leaf) | ~allowed[None, :, None]] = -np.inf
@@ -109,54 +126,67 @@ class Batch:
         return self.allowed[job] & out
 
 
+def node_sums(codes: np.ndarray, at: np.ndarray, nodes: int, columns: list[int], weight: np.ndarray | None, wrong: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """((node, column, code) weights, (node, column, code, target) weighted residuals) of rows at nodes ``at``; other columns stay 0."""
+    n, sums = np.zeros((nodes, len(codes), 256)), np.zeros((nodes, len(codes), 256, wrong.shape[1]))
+    first, weighted = at.astype(np.int64) << 8, [np.ascontiguousarray(w if weight is None else w * weight) for w in wrong.T]
+    for c in columns:
+        cell = first + codes[c]
+        n[:, c] = np.bincount(cell, weight, nodes << 8).reshape(nodes, 256)
+        for t, w in enumerate(weighted):
+            sums[:, c, :, t] = np.bincount(cell, w, nodes << 8).reshape(nodes, 256)
+    return n, sums
+
+
 def grow_level(rows: DataFrame, batch: Batch, residual, cells: int = 1 << 24) -> bool:
     """Splits the open nodes of every tree of the batch by one pass; False if none was split.
 
-    ``residual(frame, job)`` gives (rows that train, their weights, their residuals as (row, target)) of an Arrow batch
-    with ``codes``. A task holds sums of at most about ``cells`` numbers before it passes them on.
+    ``residual(block, job)`` gives (rows that train, their weights or None for 1, their residuals as (row, target)). A task
+    holds sums of at most about ``cells`` numbers before it passes them on.
     """
     width = batch.columns * 256
+    used = [np.flatnonzero(a).tolist() for a in batch.allowed]
 
-    def histograms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple] = {}
         size = 0
 
-        def passed() -> Iterator[pd.DataFrame]:
+        def passed() -> Iterator[pa.RecordBatch]:
             out = []
             for job, (nodes, n, sums) in held.items():
-                for node, at in zip(nodes, range(0, len(n), width), strict=True):
-                    on = np.flatnonzero(n[at:at + width])
+                for i, node in enumerate(nodes):
+                    flat = n[i].ravel()
+                    on = np.flatnonzero(flat)
                     if len(on):
-                        out.append((job, node, on.astype(np.int32).tobytes(), n[at + on].tobytes(), sums[at + on].tobytes()))
+                        out.append((job, node, on.astype(np.int32).tobytes(), flat[on].tobytes(), sums[i].reshape(width, -1)[on].tobytes()))
             held.clear()
-            for low in range(0, len(out), 5000):
-                yield pd.DataFrame(out[low:low + 5000], columns=["job", "node", "cells", "n", "sums"])
-
-        for frame in frames:
-            if not len(frame):
-                continue
-            codes = frame_codes(frame)
-            place = codes + np.arange(batch.columns) * 256
-            for job, tree in enumerate(batch.trees):
-                if not tree.open:
-                    continue
-                on, weight, wrong = residual(frame, job)
-                number = np.full(len(tree.feature), -1)  # of each node among the open ones
-                number[tree.open] = np.arange(len(tree.open))
-                at = number[tree.place(codes[on])]
-                here = np.flatnonzero(at >= 0)
-                cell = (at[here, None] * width + place[on[here]]).ravel()
-                spread = lambda v: np.bincount(cell, np.repeat(v, batch.columns), len(tree.open) * width)  # noqa: B023, E731
-                n, sums = spread(weight[here]), np.column_stack([spread(weight[here] * w) for w in wrong[here].T])
-                if job in held:
-                    held[job][1][:] += n
-                    held[job][2][:] += sums
-                else:
-                    held[job] = (tree.open, n, sums)
-                    size += n.size + sums.size
-                if size > cells:
-                    yield from passed()
-                    size = 0
+            for low in range(0, len(out), 1000):
+                columns = list(zip(*out[low:low + 1000], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["job", "node", "cells", "n", "sums"])
+
+        for read_batch in batches:
+            for _, block in read(read_batch, np.uint8):
+                for job, tree in enumerate(batch.trees):
+                    if not tree.open:
+                        continue
+                    on, weight, wrong = residual(block, job)
+                    number = np.full(len(tree.feature), -1)  # of each node among the open ones
+                    number[tree.open] = np.arange(len(tree.open))
+                    codes = block.x[:, on]
+                    at = number[tree.place(codes)]
+                    if (at < 0).any():
+                        here = np.flatnonzero(at >= 0)
+                        codes, at, wrong, weight = codes[:, here], at[here], wrong[here], None if weight is None else weight[here]
+                    n, sums = node_sums(codes, at, len(tree.open), used[job], weight, wrong)
+                    if job in held:
+                        held[job][1][:] += n
+                        held[job][2][:] += sums
+                    else:
+                        held[job] = (tree.open, n, sums)
+                        size += n.size + sums.size
+                    if size > cells:
+                        yield from passed()
+                        size = 0
         yield from passed()
 
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,10 +196,7 @@ def grow_level(rows: DataFrame, batch: Batch, residual, cells: int = 1 << 24) ->
         def chosen() -> None:
             if key is not None:
                 shape = (batch.columns, 256)
-                found = best_split(n.reshape(shape), sums.reshape(*shape, -1), batch.leaf, batch.l2, batch.mask(*key))
-                whole = (n[:256].sum(), sums[:256].sum(0))
-                column, code, side, ((a, g), (b, h)) = found or (-1, 0, True, (whole, whole))
-                out.append((*key, column, code, side, a, g.tolist(), b, h.tolist()))
+                out.append((*key, *told(n.reshape(shape), sums.reshape(*shape, -1), batch, *key)))
 
         for frame in frames:
             for row in frame.itertuples(index=False):
@@ -189,20 +216,59 @@ def grow_level(rows: DataFrame, batch: Batch, residual, cells: int = 1 << 24) ->
         if out:
             yield pd.DataFrame(out, columns=SPLIT)
 
-    parts = rows.mapInPandas(histograms, "job int, node int, cells binary, n binary, sums binary").repartition("job", "node").sortWithinPartitions("job", "node", "cells", "n", "sums")
+    parts = rows.mapInArrow(histograms, "job int, node int, cells binary, n binary, sums binary").repartition("job", "node").sortWithinPartitions("job", "node", "cells", "n", "sums")
     splits = parts.mapInPandas(choose, "job int, node int, column int, code int, side boolean, a double, g array<double>, b double, h array<double>").collect()
     opened: dict[int, list[int]] = {}
-    value = lambda n, g: batch.rate * np.asarray(g) / np.maximum(n + batch.l2, 1e-12)
     for s in sorted(splits, key=lambda s: (s["job"], s["node"])):
-        tree = batch.trees[s["job"]]
-        if s["node"] == 0:
-            tree.value[0] = value(s["a"] + (s["b"] if s["column"] >= 0 else 0), np.asarray(s["g"]) + (np.asarray(s["h"]) if s["column"] >= 0 else 0))
-        if s["column"] >= 0:
-            children = tree.split(s["node"], s["column"], s["code"], s["side"], (value(s["a"], s["g"]), value(s["b"], s["h"])))
-            opened.setdefault(s["job"], []).extend(c for c, n in zip(children, (s["a"], s["b"]), strict=True) if n >= 2 * batch.leaf)
+        opened.setdefault(s["job"], []).extend(split_node(batch.trees[s["job"]], s["node"], tuple(s)[2:], batch))
     for job, tree in enumerate(batch.trees):
         tree.open = opened.get(job, [])
-    return bool(opened)
+    return any(opened.values())
+
+
+def told(n: np.ndarray, sums: np.ndarray, batch: Batch, job: int, node: int) -> tuple:
+    """(column, code, side, rows and sums of the left, of the right) of a node's best split; column -1 if there is none."""
+    found = best_split(n, sums, batch.leaf, batch.l2, batch.mask(job, node))
+    first = int(batch.allowed[job].argmax())
+    whole = (n[first].sum(), sums[first].sum(0))
+    column, code, side, ((a, g), (b, h)) = found or (-1, 0, True, (whole, whole))
+    return column, code, side, a, g.tolist(), b, h.tolist()
+
+
+def split_node(tree: Tree, node: int, split: tuple, batch: Batch) -> list[int]:
+    """Splits a node as ``told``; the children that may be split themselves."""
+    column, code, side, a, g, b, h = split
+    value = lambda n, g: batch.rate * np.asarray(g) / np.maximum(n + batch.l2, 1e-12)
+    if node == 0:
+        tree.value[0] = value(a + (b if column >= 0 else 0), np.asarray(g) + (np.asarray(h) if column >= 0 else 0))
+    if column < 0:
+        return []
+    children = tree.split(node, column, code, side, (value(a, g), value(b, h)))
+    return [c for c, n in zip(children, (a, b), strict=True) if n >= 2 * batch.leaf]
+
+
+def grow_here(codes: np.ndarray, weight: np.ndarray, wrong: np.ndarray, batch: Batch, job: int, depth: int, number: int) -> Tree:
+    """The tree ``number`` of a batch, level by level as ``grow_level`` does, from rows that one task holds."""
+    tree, node = Tree(), np.zeros(codes.shape[1], np.int64)
+    columns = np.flatnonzero(batch.allowed[job]).tolist()
+    for _ in range(depth):
+        n, sums = node_sums(codes, node, len(tree.open), columns, weight, wrong)
+        opened, place = [], np.full(len(tree.feature) + 2 * len(tree.open), -1)
+        for i, at in enumerate(tree.open):
+            opened += split_node(tree, at, told(n[i], sums[i], batch, number, at), batch)
+        place[opened] = np.arange(len(opened))
+        feature, code, missing_left, left = (np.asarray(v) for v in (tree.feature, tree.code, tree.missing_left, tree.left))
+        at = np.asarray(tree.open)[node]
+        own = codes[np.maximum(feature[at], 0), np.arange(len(at))]
+        node = np.where(feature[at] >= 0, place[left[at] + np.where(own == MISSING, ~missing_left[at], own > code[at])], -1)
+        tree.open = opened
+        if not opened:
+            break
+        on = np.flatnonzero(node >= 0)
+        if len(on) < len(node):
+            codes, weight, wrong, node = codes[:, on], weight[on], wrong[on], node[on]
+    tree.open = []
+    return tree
 
 
 def quantile_cuts(df: DataFrame, columns: list[str], bins: int = 255) -> list[np.ndarray]:
@@ -213,73 +279,46 @@ def quantile_cuts(df: DataFrame, columns: list[str], bins: int = 255) -> list[np
     return [np.unique(row[f"c{i}"] or []) for i in range(len(columns))]
 
 
-def coded_rows(df: DataFrame, columns: list[str], targets: list[str], group: str, key: str, cuts: list[np.ndarray], folds: int, repeats: int, seed: int,
-               fold_column: str | None = None) -> DataFrame:
-    """(grp, key, folds, codes, y): folds of each repeat, a byte a column, unknown targets null or NaN."""
-    for r in range(repeats):
-        df = df.withColumn("__fold_0", F.col(fold_column).cast("int")) if fold_column else group_folds(df, group, folds, seed + r).withColumnRenamed("fold", f"__fold_{r}")
-    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
-    rows = df.select(F.col(group).alias("grp"), F.xxhash64(key, F.lit(seed)).alias("key"), F.array(*map(number, columns)).alias("x"),
-                     F.array(*map(number, targets)).alias("y"), F.array(*(f"__fold_{r}" for r in range(repeats))).alias("folds"))
-    kind = df.schema[group].dataType.simpleString()
-
-    def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                x = np.stack(f["x"])
-                codes = np.column_stack([np.where(np.isnan(v), MISSING, np.searchsorted(c, v)) for v, c in zip(x.T, cuts, strict=True)]).astype(np.uint8)
-                yield pd.DataFrame({"grp": f["grp"], "key": f["key"], "folds": f["folds"], "codes": [c.tobytes() for c in codes], "y": f["y"]})
-
-    return cut(rows.mapInPandas(code, f"grp {kind}, key long, folds array<int>, codes binary, y array<double>"))
-
-
-def unknown(v: Column) -> Column:
-    return v.isNull() | F.isnan(v)
-
-
-def target_moments(rows: DataFrame, targets: int, repeats: int, folds: int, complete: bool) -> dict:
-    """(repeat, fold) -> (n, mean, sd) over the rows of the other folds, each an array over the targets.
-
-    One aggregate over at most repeats * folds keys; ``complete`` takes rows with all targets only.
-    """
-    known = rows.filter(~F.exists("y", unknown)) if complete else rows
-    r = known.select("y", F.posexplode("folds").alias("r", "f"))
-    value = [F.when(~unknown(F.col("y")[t]), F.col("y")[t]) for t in range(targets)]
-    sums = [a for t, v in enumerate(value) for a in (F.count(v).alias(f"n{t}"), F.sum(v).alias(f"s{t}"), F.sum(v * v).alias(f"q{t}"))]
-    got = {(row["r"], row["f"]): np.array([[row[f"{m}{t}"] or 0.0 for t in range(targets)] for m in "nsq"]) for row in r.groupBy("r", "f").agg(*sums).collect()}
-    zero, out = np.zeros((3, targets)), {}
+def target_moments(blocks: DataFrame, targets: int, repeats: int, folds: int) -> dict:
+    """(repeat, fold) -> (n, mean, sd) over the rows of the other folds, each an array over the targets; tasks add up."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((repeats, folds, targets, 3))
+        for batch in batches:
+            for _, b in read(batch, np.uint8):
+                for t, y in enumerate(b.y):
+                    known = np.flatnonzero(~np.isnan(y))
+                    for r in range(repeats):
+                        for m, v in enumerate((None, y[known], y[known] ** 2)):
+                            held[r, :, t, m] += np.bincount(b.folds[r, known], v, folds)
+        places = list(product(range(repeats), range(folds), range(targets)))
+        yield pa.RecordBatch.from_pandas(pd.DataFrame([(*p, *held[p]) for p in places], columns=["r", "f", "t", "n", "s", "q"]), preserve_index=False)
+
+    parts = blocks.mapInArrow(add, "r long, f long, t long, n double, s double, q double")
+    got, out = np.zeros((repeats, folds, targets, 3)), {}
+    for row in parts.groupBy("r", "f", "t").agg(*(F.sum(c).alias(c) for c in "nsq")).collect():
+        got[row["r"], row["f"], row["t"]] = row["n"], row["s"], row["q"]
     for repeat, fold in product(range(repeats), range(folds)):
-        n, s, q = sum((got.get((repeat, f), zero) for f in range(folds) if f != fold), zero)
+        n, s, q = np.moveaxis(got[repeat, [f for f in range(folds) if f != fold]].sum(0), -1, 0)
         mean = s / np.maximum(n, 1)
         sd = np.sqrt(np.clip(q / np.maximum(n, 1) - mean * mean, 0, None))
         out[repeat, fold] = (n, mean, np.where(sd > 1e-12, sd, 1.0))
     return out
 
 
-def error_sums(scored: DataFrame, by: list[str]) -> DataFrame:
-    """(by, n, sy, syy, see) of rows with y and pred."""
-    return scored.groupBy(*by).agg(F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(F.pow(F.col("y") - F.col("pred"), 2)).alias("see"))
-
-
-def with_predictions(rows: DataFrame, change, width: int) -> DataFrame:
-    """``rows`` with the array ``pred`` (``width`` numbers a row) replaced by ``change(pred, frame)``, written anew."""
-    schema = rows.schema if "pred" in rows.columns else rows.withColumn("pred", F.lit(None).cast("array<double>")).schema
+def with_predictions(blocks: DataFrame, predicted) -> DataFrame:
+    """``blocks`` with ``pred`` replaced by ``predicted(block)``, (column, row), written anew."""
+    schema = blocks.schema if "pred" in blocks.columns else blocks.withColumn("pred", F.lit(b"")).schema
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                pred = np.stack(f["pred"]) if "pred" in f else np.zeros((len(f), width))
-                yield f.assign(pred=list(change(pred.copy(), f)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, b in read(batch, np.uint8):
+                yield changed(batch.slice(i, 1), "pred", [predicted(b).tobytes()])
 
-    return cut(rows.mapInPandas(run, schema))
-
-
-def frame_codes(frame: pd.DataFrame) -> np.ndarray:
-    return np.frombuffer(b"".join(frame["codes"]), np.uint8).reshape(len(frame), -1)
+    return cut(blocks.mapInArrow(run, schema))
 
 
 def boosted_sums(df: DataFrame, targets: list[str], sets: dict[str, list[str]], group: str, key: str, folds: int = 5, repeats: int = 3, trees: int = 150,
-                 rate: float = 0.06, depth: int = 3, leaf: int = 15, l2: float = 1.0, seed: int = 0, most_jobs: int = 240, every: int = 8,
+                 rate: float = 0.06, depth: int = 3, leaf: int = 15, l2: float = 1.0, seed: int = 0, most_jobs: int = 240, every: int = 12,
                  target_of_fold: list[str] | None = None, fold_column: str | None = None) -> DataFrame:
     """(grp, target, set, repeat, n, sy, syy, see) of out-of-fold predictions, as ``boosting.tree_grid``, from all rows.
 
@@ -288,62 +327,55 @@ def boosted_sums(df: DataFrame, targets: list[str], sets: dict[str, list[str]],
     repeats = 1 if fold_column else repeats
     wanted = lambda t, f: not target_of_fold or target_of_fold[f] == targets[t]
     columns = sorted({c for some in sets.values() for c in some})
-    names, rows = list(sets), coded_rows(df, columns, targets, group, key, quantile_cuts(df, columns), folds, repeats, seed, fold_column)
-    moments, out = target_moments(rows, len(targets), repeats, folds, False), None
-    combinations = list(product(range(len(targets)), range(len(names)), range(repeats)))
-    kind = df.schema[group].dataType.simpleString()
+    combinations = list(product(range(len(targets)), range(len(sets)), range(repeats)))
     step = max(1, most_jobs // folds)
+    width = min(step, len(combinations)) * folds
+    names, rows = list(sets), cut(packed(df, columns, targets, group, key, folds, repeats, seed, fold_column, quantile_cuts(df, columns), MISSING, max(1024, min(1 << 15, (1 << 21) // max(width, 1)))))
+    moments, out = target_moments(rows, len(targets), repeats, folds), None
     for low in range(0, len(combinations), step):
         some = combinations[low:low + step]
         jobs = [(t, s, r, f) for t, s, r in some for f in range(folds)]
         allowed = [np.isin(columns, sets[names[s]]) for _, s, _, _ in jobs]
         base = np.array([moments[r, f][1][t] for t, _, r, f in jobs])
-        state = with_predictions(rows, lambda pred, f, base=base: pred + base, len(jobs))
-        since: list[list[Tree]] = []
+        state, since = rows, []
 
-        def applied(pred: np.ndarray, frame: pd.DataFrame, since: list = since) -> np.ndarray:
-            codes = frame_codes(frame)
+        def current(b: Block, job: int, on, base: np.ndarray, since: list) -> np.ndarray:
+            """Predictions of a fit for some rows: what the block holds, and the trees since then."""
+            pred = np.full(len(on), base[job]) if b.pred is None else b.pred[job, on]
+            codes = b.x[:, on] if since else None
             for grown in since:
-                for job, tree in enumerate(grown):
-                    pred[:, job] += tree.predict(codes)[:, 0]
+                pred = pred + grown[job].predict(codes)[:, 0]
             return pred
 
         for k in range(trees):
             batch = Batch(len(columns), [Tree() for _ in jobs], allowed, leaf, l2, rate)
 
-            def residual(frame: pd.DataFrame, job: int, jobs: list = jobs, since: list = list(since)) -> tuple:  # noqa: B008
+            def residual(b: Block, job: int, jobs: list = jobs, base: np.ndarray = base, since: list = list(since)) -> tuple:  # noqa: B008
                 t, _, r, f = jobs[job]
-                if "arrays" not in frame.attrs:
-                    frame.attrs["arrays"] = (np.stack(frame["y"]), np.stack(frame["folds"]), applied(np.stack(frame["pred"]).copy(), frame, since))
-                y, fold, pred = frame.attrs["arrays"]
-                on = np.flatnonzero((fold[:, r] != f) & ~np.isnan(y[:, t]) & wanted(t, f))
-                return on, np.ones(len(on)), (y[on, t] - pred[on, job])[:, None]
+                on = np.flatnonzero((b.folds[r] != f) & ~np.isnan(b.y[t]) & wanted(t, f))
+                return on, None, (b.y[t, on] - current(b, job, on, base, since))[:, None]
 
             for _ in range(depth):
                 if not grow_level(state, batch, residual):
                     break
             since.append(batch.trees)
-            if len(since) == every or k == trees - 1:
-                state = with_predictions(state, applied, len(jobs))
-                since.clear()
-
-        def held(frames: Iterator[pd.DataFrame], some: list = some) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                if not len(f):
-                    continue
-                y, fold, pred = (np.stack(f[c]) for c in ("y", "folds", "pred"))
-                for i, (t, s, r) in enumerate(some):
-                    on = np.flatnonzero(~np.isnan(y[:, t]))
-                    trained = np.array([moments[r, x][0][t] > 0 and wanted(t, x) for x in range(folds)])
-                    on = on[trained[fold[on, r]]]
-                    yield pd.DataFrame({"grp": f["grp"].iloc[on], "target": targets[t], "set": names[s], "repeat": r, "y": y[on, t], "pred": pred[on, i * folds + fold[on, r]]})
-
-        sums = error_sums(state.mapInPandas(held, f"grp {kind}, target string, set string, repeat int, y double, pred double"), ["grp", "target", "set", "repeat"])
+            if len(since) == every and k < trees - 1:
+                state = with_predictions(state, lambda b, base=base, since=list(since): np.stack([current(b, j, np.arange(b.n), base, since) for j in range(len(base))]))
+                since = []
+
+        def held(b: Block, some: list = some, base: np.ndarray = base, since: list = list(since)) -> Iterator[tuple]:  # noqa: B008
+            for i, (t, s, r) in enumerate(some):
+                for f in range(folds):
+                    on = np.flatnonzero((b.folds[r] == f) & ~np.isnan(b.y[t])) if moments[r, f][0][t] > 0 and wanted(t, f) else ()
+                    if len(on):
+                        yield (targets[t], names[s], r), on, b.y[t, on], current(b, i * folds + f, on, base, since)
+
+        sums = error_sums(state, held, {"target": "string", "set": "string", "repeat": "int"}, np.uint8)
         out = sums if out is None else out.unionByName(sums)
     return out
 
 
-def poisson(key: Column | np.ndarray, tree: int, most: int = 8) -> np.ndarray:
+def poisson(key: np.ndarray, tree: int, most: int = 8) -> np.ndarray:
     """Poisson(1) weights of rows, hashed from key and tree (splitmix steps)."""
     with np.errstate(over="ignore"):
         z = np.asarray(key).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(tree + 1)
@@ -355,55 +387,98 @@ def poisson(key: Column | np.ndarray, tree: int, most: int = 8) -> np.ndarray:
 
 
 def forest_sums(df: DataFrame, targets: list[str], columns: list[str], group: str, key: str, folds: int = 5, repeats: int = 1, trees: int = 100,
-                depth: int = 10, leaf: int = 3, share: float = 0.7, seed: int = 0, most_jobs: int = 1000) -> DataFrame:
+                depth: int = 10, leaf: int = 3, share: float = 0.7, seed: int = 0, most_jobs: int = 1000, max_rows: int = 2_000_000, together: int = 8) -> DataFrame:
     """(grp, model, target, repeat, n, sy, syy, see) of joint and separate forests on the rows that have all targets.
 
     Joint forests have vector leaves over all targets, separate ones are a forest for each; both see the same folds and row
-    weights. Depth bounds a tree's nodes, which the driver holds, whatever the rows are.
+    weights. Depth bounds a tree's nodes, which the driver holds, whatever the rows are. Up to ``max_rows`` rows a task gets
+    the coded rows of a fold's training set and grows the forests' trees ``together`` numbers at a time; beyond, the same
+    trees grow from histograms of all tasks, which are more to shuffle than the rows as long as these are few.
     """
     arms = [("joint", list(range(len(targets))))] + [("separate", [t]) for t in range(len(targets))]
-    rows = coded_rows(df, columns, targets, group, key, quantile_cuts(df, columns), folds, repeats, seed).filter(~F.exists("y", unknown))
-    moments, kind = target_moments(rows, len(targets), repeats, folds, True), df.schema[group].dataType.simpleString()
+    rows = cut(packed(df, columns, targets, group, key, folds, repeats, seed, None, quantile_cuts(df, columns), MISSING, complete=True))
+    moments = target_moments(rows, len(targets), repeats, folds)
     jobs = [(a, r, f, k) for k in range(trees) for a in range(len(arms)) for r in range(repeats) for f in range(folds)]
     state, slots = rows, 2 * len(targets) * repeats  # a prediction for each (target, arm kind, repeat): each row has one fold
+    whole = (rows.agg(F.sum("n")).first()[0] or 0) <= max_rows
 
     for low in range(0, len(jobs), most_jobs):
         some = jobs[low:low + most_jobs]
         batch = Batch(len(columns), [Tree() for _ in some], [np.ones(len(columns), bool)] * len(some), leaf, 0.0, 1.0, max(1, round(share * len(columns))), seed + low)
 
-        def residual(frame: pd.DataFrame, job: int, some: list = some) -> tuple:
+        def drawn(y: np.ndarray, key: np.ndarray, job: int, some: list = some) -> tuple:
+            """(rows with a weight, their weights, their residuals) of a job's training rows."""
             a, r, f, k = some[job]
-            if "arrays" not in frame.attrs:
-                frame.attrs["arrays"] = (np.stack(frame["y"]), np.stack(frame["folds"]))
-            y, fold = frame.attrs["arrays"]
-            weight = poisson(frame["key"], k + trees * r)
-            on = np.flatnonzero((fold[:, r] != f) & (weight > 0))
+            weight = poisson(key, k + trees * r)
+            on = np.flatnonzero(weight > 0)
             _, mean, sd = moments[r, f]
-            own = arms[a][1]
-            return on, weight[on], ((y[on] - mean) / sd)[:, own]
+            return on, weight[on], ((y[:, on].T - mean) / sd)[:, arms[a][1]]
 
-        for _ in range(depth):
-            if not grow_level(state, batch, residual):
-                break
+        if whole:
+            batch.trees = trees_of_tasks(rows, batch, some, drawn, depth, together)
+        else:
+            def residual(b: Block, job: int, some: list = some, drawn=drawn) -> tuple:
+                _, r, f, _ = some[job]
+                train = np.flatnonzero(b.folds[r] != f)
+                on, weight, wrong = drawn(b.y[:, train], b.key[train], job)
+                return train[on], weight, wrong
 
-        def add(pred: np.ndarray, frame: pd.DataFrame, some: list = some, grown: list = batch.trees) -> np.ndarray:
-            codes, fold = frame_codes(frame), np.stack(frame["folds"])
+            for _ in range(depth):
+                if not grow_level(state, batch, residual):
+                    break
+
+        def add(b: Block, some: list = some, grown: list = batch.trees) -> np.ndarray:
+            pred = np.zeros((slots, b.n)) if b.pred is None else b.pred.copy()
+            rows_of = {(r, f): np.flatnonzero(b.folds[r] == f) for r in range(repeats) for f in range(folds)}
+            codes_of = {p: b.x[:, on] for p, on in rows_of.items()}
             for (a, r, f, _), tree in zip(some, grown, strict=True):
-                on = np.flatnonzero(fold[:, r] == f)
+                on = rows_of[r, f]
                 if len(on):
                     _, mean, sd = moments[r, f]
-                    own, values = arms[a][1], tree.predict(codes[on])
+                    own, values = arms[a][1], tree.predict(codes_of[r, f])
                     for j, t in enumerate(own):
-                        pred[on, (t * 2 + (a > 0)) * repeats + r] += (values[:, min(j, values.shape[1] - 1)] * sd[t] + mean[t]) / trees
+                        pred[(t * 2 + (a > 0)) * repeats + r, on] += (values[:, min(j, values.shape[1] - 1)] * sd[t] + mean[t]) / trees
             return pred
 
-        state = with_predictions(state, add, slots)
+        state = with_predictions(state, add)
 
-    def held(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                y, pred = np.stack(f["y"]), np.stack(f["pred"])
-                for t, kind_of, r in product(range(len(targets)), range(2), range(repeats)):
-                    yield pd.DataFrame({"grp": f["grp"], "model": ["joint", "separate"][kind_of], "target": targets[t], "repeat": r, "y": y[:, t], "pred": pred[:, (t * 2 + kind_of) * repeats + r]})
+    def held(b: Block) -> Iterator[tuple]:
+        for t, kind_of, r in product(range(len(targets)), range(2), range(repeats)):
+            yield (["joint", "separate"][kind_of], targets[t], r), np.arange(b.n), b.y[t], b.pred[(t * 2 + kind_of) * repeats + r]
 
-    return error_sums(state.mapInPandas(held, f"grp {kind}, model string, target string, repeat int, y double, pred double"), ["grp", "model", "target", "repeat"])
+    return error_sums(state, held, {"model": "string", "target": "string", "repeat": "int"}, np.uint8)
+
+
+def trees_of_tasks(blocks: DataFrame, batch: Batch, jobs: list[tuple], drawn, depth: int, together: int) -> list[Tree]:
+    """The trees of all jobs (arm, repeat, fold, tree), grown by tasks that each get the training rows of a (repeat, fold)."""
+    tasks = sorted({(r, f, k // together) for _, r, f, k in jobs})
+    numbers = {task: [i for i, (_, r, f, k) in enumerate(jobs) if (r, f, k // together) == task] for task in tasks}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch_ in batches:
+            for _, b in read(batch_, np.uint8):
+                for i, (r, f, _) in enumerate(tasks):
+                    on = np.flatnonzero(b.folds[r] != f)
+                    if len(on):
+                        cells = [np.ascontiguousarray(v).tobytes() for v in (b.key[on], b.x[:, on], b.y[:, on])]
+                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([len(on)], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], names=["task", "n", "key", "x", "y"])
+
+    def grow(frame: pd.DataFrame) -> pd.DataFrame:
+        task = tasks[int(frame["task"].iloc[0])]
+        joined = lambda c, kind: np.concatenate([np.frombuffer(v, kind).reshape(-1, n) for v, n in zip(frame[c], frame["n"], strict=True)], 1)
+        key = joined("key", np.int64)[0]
+        order = np.argsort(key, kind="stable")  # sums of rows do not depend on how they came
+        key, x, y, out = key[order], joined("x", np.uint8)[:, order], joined("y", float)[:, order], []
+        for i in numbers[task]:
+            on, weight, wrong = drawn(y, key, i)
+            tree = grow_here(x[:, on], weight, wrong, batch, i, depth, i)
+            out.append((i, tree.feature, tree.code, tree.missing_left, tree.left, np.concatenate(tree.value).tolist()))
+        return pd.DataFrame(out, columns=["job", *TREE])
+
+    dealt = blocks.mapInArrow(deal, "task int, n int, key binary, x binary, y binary").repartition(max(1, len(tasks)), "task")
+    grown = dealt.groupBy("task").applyInPandas(grow, "job int, feature array<int>, code array<int>, missing_left array<boolean>, left array<int>, value array<double>")
+    trees = [Tree() for _ in jobs]
+    for row in grown.collect():  # a row a tree
+        values = np.asarray(row["value"]).reshape(len(row["feature"]), -1)
+        trees[row["job"]] = Tree(row["feature"], row["code"], row["missing_left"], row["left"], list(values), [])
+    return trees
