@@ -7,7 +7,7 @@ each group and block.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,13 @@ class Block:
     x: np.ndarray
     y: np.ndarray
     pred: np.ndarray | None = None
+    memo: dict = field(default_factory=dict)
+
+    def once(self, key, made):
+        """``made()``, kept with the block."""
+        if key not in self.memo:
+            self.memo[key] = made()
+        return self.memo[key]
 
 
 def read(batch: pa.RecordBatch, kind: type = float) -> Iterator[tuple[int, Block]]:

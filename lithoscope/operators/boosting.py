@@ -1,7 +1,8 @@
 """Boosted regression trees as a grid of jobs: predictor sets x targets x repeats x folds.
 
-While a fit's rows fit into a task, a job is one task: rows go to the jobs that train on them. Beyond ``max_rows`` rows the
-same fits are grown from histograms that the executors sum (``level_trees``), so every row is trained on, however many there
+While a fit's rows fit into a task, a job is one task: rows go to the jobs that train on them, as blocks of numbers (80 bytes
+a row of eight columns, so 2 million rows are 160 MB). Histograms of all tasks, for each node of each tree of each job, would be
+more to shuffle until a job has some ten million rows. Beyond ``max_rows`` rows the same fits are grown from histograms that the executors sum (``level_trees``), so every row is trained on, however many there
 are. All rows are predicted, each by the model of its own fold. Missing values need no filling: a split sends them to the
 better side.
 """
@@ -14,10 +15,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .resampling import cluster_bootstrap, group_folds, intervals, numbered, pooled_r2
+from ..session import cut
+from .blocks import Block, error_sums, packed, read
+from .resampling import cluster_bootstrap, intervals, numbered, pooled_r2
 
 COMBINATION = ["target", "set", "repeat"]
 
@@ -66,25 +70,27 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 150, rate: float = 0.06
     """Squared-error boosting on columns cut at their quantiles, or at given ``cuts``; NaN is a missing value."""
     rows, columns = x.shape
     cuts = cuts if cuts is not None else [np.unique(np.quantile(v[~np.isnan(v)], np.linspace(0, 1, bins + 1)[1:-1])) if (~np.isnan(v)).any() else np.zeros(0) for v in x.T]
-    codes = np.column_stack([np.where(np.isnan(v), bins, np.searchsorted(c, v)) for v, c in zip(x.T, cuts, strict=True)])
+    codes = np.stack([np.where(np.isnan(v), bins, np.searchsorted(c, v)) for v, c in zip(x.T, cuts, strict=True)]).astype(np.uint8 if bins < 256 else np.int32)
     bounds = np.full((columns, bins), np.inf)
     for j, c in enumerate(cuts):
         bounds[j, : len(c)] = c
-    place, every, size = codes + np.arange(columns) * (bins + 1), np.arange(rows), columns * (bins + 1)
+    every = np.arange(rows)
     feature, threshold = np.zeros((trees, 2**depth - 1), np.int32), np.full((trees, 2**depth - 1), np.inf)
     missing_left, leaves, base = np.ones(feature.shape, bool), np.zeros((trees, 2**depth)), float(y.mean())
     residual = y - base
     for t in range(trees):
-        node, repeated = np.zeros(rows, np.int64), np.repeat(residual, columns)
+        node = np.zeros(rows, np.int64)
         for level in range(depth):
-            at = slice(2**level - 1, 2 ** (level + 1) - 1)
-            cell, shape = (node[:, None] * size + place).ravel(), (2**level, columns, bins + 1)
-            count = np.bincount(cell, minlength=2**level * size).reshape(shape)
-            total = np.bincount(cell, repeated, 2**level * size).reshape(shape)
+            at, first, cells = slice(2**level - 1, 2 ** (level + 1) - 1), node * (bins + 1), 2**level * (bins + 1)
+            count, total = (np.zeros((2**level, columns, bins + 1)) for _ in range(2))
+            for j, own in enumerate(codes):
+                cell = first + own
+                count[:, j] = np.bincount(cell, minlength=cells).reshape(-1, bins + 1)
+                total[:, j] = np.bincount(cell, residual, cells).reshape(-1, bins + 1)
             side, column, code, found = best_splits(count, total, leaf, l2)
             column, code, side = np.where(found, column, 0), np.where(found, code, bins - 1), side | ~found  # all go left if no split is found
             feature[t, at], threshold[t, at], missing_left[t, at] = column, bounds[column, code], side
-            own = codes[every, column[node]]
+            own = codes[column[node], every]
             node = 2 * node + np.where(own == bins, ~side[node], own > code[node])
         n = np.bincount(node, minlength=2**depth)
         leaves[t] = rate * np.bincount(node, residual, 2**depth) / np.maximum(n + l2, 1e-12)
@@ -93,7 +99,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 150, rate: float = 0.06
 
 
 def tree_grid(df: DataFrame, targets: list[str], sets: dict[str, list[str]], group: str, key: str, folds: int = 5, repeats: int = 3,
-              trees: int = 150, max_rows: int = 100_000, seed: int = 0, target_of_fold: list[str] | None = None, fold_column: str | None = None) -> DataFrame:
+              trees: int = 150, max_rows: int = 2_000_000, seed: int = 0, target_of_fold: list[str] | None = None, fold_column: str | None = None) -> DataFrame:
     """(grp, target, set, repeat, n, sy, syy, see): sums of the out-of-fold predictions of each group.
 
     Every row with a target is predicted in every repeat by the model of the fold that holds its group, which trains on all
@@ -111,42 +117,37 @@ def tree_grid(df: DataFrame, targets: list[str], sets: dict[str, list[str]], gro
         return boosted_sums(df, targets, sets, group, key, folds, repeats, trees, seed=seed, target_of_fold=target_of_fold, fold_column=fold_column)
     columns, names = sorted({c for some in sets.values() for c in some}), list(sets)
     inside = [[columns.index(c) for c in sets[name]] for name in names]
-    for r in range(repeats):
-        df = df.withColumn("__fold_0", F.col(fold_column).cast("int")) if fold_column else group_folds(df, group, folds, seed + r).withColumnRenamed("fold", f"__fold_{r}")
-    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
-    rows = df.select(F.col(group).alias("grp"), F.xxhash64(key, F.lit(seed)).alias("key"), F.array(*map(number, columns)).alias("x"),
-                     F.array(*map(number, targets)).alias("y"), F.array(*(f"__fold_{r}" for r in range(repeats))).alias("folds"))
     jobs = list(product(range(len(targets)), range(len(names)), range(repeats), range(folds)))
-    numbered_jobs = F.array(*(F.struct(F.lit(i).alias("job"), *(F.lit(v).alias(n) for n, v in zip("tsrf", job, strict=True))) for i, job in enumerate(jobs) if wanted(job[0], job[3])))
-    long = rows.select("key", "x", "y", "folds", F.explode(numbered_jobs).alias("j")).withColumn("y", F.expr("y[j.t]"))
-    training = long.filter("folds[j.r] <> j.f AND NOT isnan(y)").select("j.job", "key", "x", "y")
+    blocks = cut(packed(df, columns, targets, group, key, folds, repeats, seed, fold_column))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, b in read(batch):
+                for i, (t, s, r, f) in enumerate(jobs):
+                    on = np.flatnonzero((b.folds[r] != f) & ~np.isnan(b.y[t])) if wanted(t, f) else ()
+                    if len(on):
+                        cells = [np.ascontiguousarray(v).tobytes() for v in (b.key[on], b.x[inside[s]][:, on], b.y[t, on])]
+                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([len(on)], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], names=["job", "n", "key", "x", "y"])
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, job = frame.sort_values(["key", "y"]), int(frame["job"].iloc[0])
-        model = fit_trees(np.stack(frame["x"])[:, inside[jobs[job][1]]], frame["y"].to_numpy(), trees)
+        job = int(frame["job"].iloc[0])
+        key, x, y = (np.concatenate([np.frombuffer(v, kind).reshape(-1, n) for v, n in zip(frame[c], frame["n"], strict=True)], 1) for c, kind in (("key", np.int64), ("x", float), ("y", float)))
+        order = np.lexsort((y[0], key[0]))
+        model = fit_trees(x[:, order].T, y[0, order], trees)
         return pd.DataFrame([{"job": job, "base": model.base, **{f: v.ravel() for f, v in model._asdict().items() if f != "base"}}])
 
-    fitted = training.groupBy("job").applyInPandas(fit, "job int, base double, feature array<int>, threshold array<double>, missing_left array<boolean>, leaves array<double>")
+    dealt = blocks.mapInArrow(deal, "job int, n int, key binary, x binary, y binary").repartition(len(jobs), "job")
+    fitted = dealt.groupBy("job").applyInPandas(fit, "job int, base double, feature array<int>, threshold array<double>, missing_left array<boolean>, leaves array<double>")
     models = {m["job"]: Trees(m["base"], *(np.array(m[f]).reshape(trees, -1) for f in Trees._fields[1:])) for m in fitted.collect()}  # one row a job
-    shared, kind = df.sparkSession.sparkContext.broadcast(models), df.schema[group].dataType.simpleString()
-
-    def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if not len(frame):
-                continue
-            x, y, fold = (np.stack(frame[c]) for c in ("x", "y", "folds"))
-            for t, s, r in product(range(len(targets)), range(len(names)), range(repeats)):
-                pred = np.full(len(x), np.nan)
-                for f in range(folds):
-                    model = shared.value.get(((t * len(names) + s) * repeats + r) * folds + f)
-                    held = np.flatnonzero((fold[:, r] == f) & ~np.isnan(y[:, t]))
-                    if model and len(held):
-                        pred[held] = model.predict(x[held][:, inside[s]])
-                on = ~np.isnan(pred)
-                yield pd.DataFrame({"grp": frame["grp"][on], "target": targets[t], "set": names[s], "repeat": r, "y": y[on, t], "pred": pred[on]})
-
-    scored = rows.select("grp", "x", "y", "folds").mapInPandas(predict, f"grp {kind}, target string, set string, repeat int, y double, pred double")
-    return scored.groupBy("grp", *COMBINATION).agg(F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(F.pow(F.col("y") - F.col("pred"), 2)).alias("see"))
+    shared = df.sparkSession.sparkContext.broadcast(models)
+
+    def held(b: Block) -> Iterator[tuple]:
+        for i, (t, s, r, f) in enumerate(jobs):
+            on = np.flatnonzero((b.folds[r] == f) & ~np.isnan(b.y[t])) if i in shared.value else ()
+            if len(on):
+                yield (targets[t], names[s], r), on, b.y[t, on], shared.value[i].predict(np.ascontiguousarray(b.x[inside[s]][:, on].T))
+
+    return error_sums(blocks, held, {"target": "string", "set": "string", "repeat": "int"})
 
 
 def grid_draws(sums: DataFrame, n_boot: int = 300, seed: int = 0) -> DataFrame:

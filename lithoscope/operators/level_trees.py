@@ -45,10 +45,11 @@ class Tree:
     left: list[int] = field(default_factory=lambda: [0])
     value: list[np.ndarray] = field(default_factory=lambda: [np.zeros(1)])
     open: list[int] = field(default_factory=lambda: [0])
+    table: np.ndarray | None = None  # the leaf of every byte of sides, once it was asked for
 
     def split(self, node: int, feature: int, code: int, missing_left: bool, values: tuple[np.ndarray, np.ndarray]) -> list[int]:
         """The two children of ``node``, made from a split."""
-        self.feature[node], self.code[node], self.missing_left[node], self.left[node] = feature, code, missing_left, len(self.feature)
+        self.feature[node], self.code[node], self.missing_left[node], self.left[node], self.table = feature, code, missing_left, len(self.feature), None
         for value in values:
             for name, v in (("feature", -1), ("code", 0), ("missing_left", True), ("left", 0), ("value", value)):
                 getattr(self, name).append(v)
@@ -56,8 +57,8 @@ class Tree:
 
     def place(self, codes: np.ndarray) -> np.ndarray:
         """The leaf of each row of codes, which are (column, row)."""
-        if len(self.feature) <= 31:  # a few comparisons of whole columns are less work than a walk of every row
-            return self._below(0, codes)
+        if len(self.feature) <= 17:  # comparisons of whole columns are less work than a walk of every row
+            return self.by_sides()[self.sides(codes)]
         feature, code, missing_left, left = (np.asarray(x) for x in (self.feature, self.code, self.missing_left, self.left))
         node, going = np.zeros(codes.shape[1], np.int64), np.arange(codes.shape[1])
         while len(going):
@@ -67,19 +68,37 @@ class Tree:
             node[going] = left[at] + np.where(own == MISSING, ~missing_left[at], own > code[at])
         return node
 
-    def _below(self, node: int, codes: np.ndarray) -> np.ndarray:
-        if self.feature[node] < 0:
-            return np.full(codes.shape[1], node, np.uint8)
-        right = self.right(node, codes[self.feature[node]])
-        sides = [self._below(self.left[node] + i, codes) if self.feature[self.left[node] + i] >= 0 else np.uint8(self.left[node] + i) for i in (1, 0)]
-        return np.where(right, *sides)
-
-    def right(self, node: int, own: np.ndarray) -> np.ndarray:
-        """Whether rows with the codes ``own`` of the node's column go right; the code of missing values is the largest."""
-        out = own > self.code[node]
-        return out & (own != MISSING) if self.missing_left[node] else out
+    def inner(self) -> list[int]:
+        return [i for i, f in enumerate(self.feature) if f >= 0]
+
+    def sides(self, codes: np.ndarray) -> np.ndarray:
+        """A byte a row: bit i is set if the row would go right at the i-th of at most eight inner nodes."""
+        out = np.zeros(codes.shape[1], np.uint8)
+        for i, node in enumerate(self.inner()):
+            own = codes[self.feature[node]]
+            right = own > self.code[node]
+            if self.missing_left[node]:
+                right &= own != MISSING
+            out |= right.view(np.uint8) << np.uint8(i)
+        return out
+
+    def by_sides(self) -> np.ndarray:
+        """The leaf of every such byte."""
+        if self.table is not None:
+            return self.table
+        inner = self.inner()
+        bit, out = {node: i for i, node in enumerate(inner)}, np.zeros(1 << len(inner), np.int64)
+        for byte in range(len(out)):
+            node = 0
+            while self.feature[node] >= 0:
+                node = self.left[node] + (byte >> bit[node] & 1)
+            out[byte] = node
+        self.table = out
+        return out
 
     def predict(self, codes: np.ndarray) -> np.ndarray:
+        if len(self.feature) <= 17:
+            return np.stack([v.take(self.sides(codes)) for v in np.asarray(self.value)[self.by_sides()].T], 1)
         return np.asarray(self.value)[self.place(codes)]
 
 
@@ -141,7 +160,7 @@ def node_sums(codes: np.ndarray, at: np.ndarray, nodes: int, columns: list[int],
 def grow_level(rows: DataFrame, batch: Batch, residual, cells: int = 1 << 24) -> bool:
     """Splits the open nodes of every tree of the batch by one pass; False if none was split.
 
-    ``residual(block, job)`` gives (rows that train, their weights or None for 1, their residuals as (row, target)). A task
+    ``residual(block, job)`` gives (codes of the rows that train, their weights or None for 1, residuals as (row, target)). A task
     holds sums of at most about ``cells`` numbers before it passes them on.
     """
     width = batch.columns * 256
@@ -169,11 +188,10 @@ def grow_level(rows: DataFrame, batch: Batch, residual, cells: int = 1 << 24) ->
                 for job, tree in enumerate(batch.trees):
                     if not tree.open:
                         continue
-                    on, weight, wrong = residual(block, job)
+                    codes, weight, wrong = residual(block, job)
                     number = np.full(len(tree.feature), -1)  # of each node among the open ones
                     number[tree.open] = np.arange(len(tree.open))
-                    codes = block.x[:, on]
-                    at = number[tree.place(codes)]
+                    at = number[tree.place(codes)] if tree.feature[0] >= 0 else np.zeros(codes.shape[1], np.int64)
                     if (at < 0).any():
                         here = np.flatnonzero(at >= 0)
                         codes, at, wrong, weight = codes[:, here], at[here], wrong[here], None if weight is None else weight[here]
@@ -339,12 +357,11 @@ def boosted_sums(df: DataFrame, targets: list[str], sets: dict[str, list[str]],
         base = np.array([moments[r, f][1][t] for t, _, r, f in jobs])
         state, since = rows, []
 
-        def current(b: Block, job: int, on, base: np.ndarray, since: list) -> np.ndarray:
-            """Predictions of a fit for some rows: what the block holds, and the trees since then."""
-            pred = np.full(len(on), base[job]) if b.pred is None else b.pred[job, on]
-            codes = b.x[:, on] if since else None
+        def current(b: Block, job: int, base: np.ndarray, since: list) -> np.ndarray:
+            """Predictions of a fit: what the block holds, and the trees since then."""
+            pred = np.full(b.n, base[job]) if b.pred is None else b.pred[job].copy()
             for grown in since:
-                pred = pred + grown[job].predict(codes)[:, 0]
+                pred += grown[job].predict(b.x)[:, 0]
             return pred
 
         for k in range(trees):
@@ -352,15 +369,18 @@ def boosted_sums(df: DataFrame, targets: list[str], sets: dict[str, list[str]],
 
             def residual(b: Block, job: int, jobs: list = jobs, base: np.ndarray = base, since: list = list(since)) -> tuple:  # noqa: B008
                 t, _, r, f = jobs[job]
-                on = np.flatnonzero((b.folds[r] != f) & ~np.isnan(b.y[t]) & wanted(t, f))
-                return on, None, (b.y[t, on] - current(b, job, on, base, since))[:, None]
+                known = b.once("known", lambda: [~np.isnan(y) for y in b.y])
+                alike = b.once("alike", lambda: [next(u for u in range(len(known)) if (known[u] == known[v]).all()) for v in range(len(known))])
+                key = (alike[t], r, f, wanted(t, f))
+                on = b.once(key, lambda: np.flatnonzero((b.folds[r] != f) & known[t] & wanted(t, f)))
+                return b.once((*key, "x"), lambda: b.x[:, on]), None, (b.y[t] - current(b, job, base, since))[on][:, None]
 
             for _ in range(depth):
                 if not grow_level(state, batch, residual):
                     break
             since.append(batch.trees)
             if len(since) == every and k < trees - 1:
-                state = with_predictions(state, lambda b, base=base, since=list(since): np.stack([current(b, j, np.arange(b.n), base, since) for j in range(len(base))]))
+                state = with_predictions(state, lambda b, base=base, since=list(since): np.stack([current(b, j, base, since) for j in range(len(base))]))
                 since = []
 
         def held(b: Block, some: list = some, base: np.ndarray = base, since: list = list(since)) -> Iterator[tuple]:  # noqa: B008
@@ -368,7 +388,7 @@ def boosted_sums(df: DataFrame, targets: list[str], sets: dict[str, list[str]],
                 for f in range(folds):
                     on = np.flatnonzero((b.folds[r] == f) & ~np.isnan(b.y[t])) if moments[r, f][0][t] > 0 and wanted(t, f) else ()
                     if len(on):
-                        yield (targets[t], names[s], r), on, b.y[t, on], current(b, i * folds + f, on, base, since)
+                        yield (targets[t], names[s], r), on, b.y[t, on], current(b, i * folds + f, base, since)[on]
 
         sums = error_sums(state, held, {"target": "string", "set": "string", "repeat": "int"}, np.uint8)
         out = sums if out is None else out.unionByName(sums)
@@ -421,7 +441,7 @@ def forest_sums(df: DataFrame, targets: list[str], columns: list[str], group: st
                 _, r, f, _ = some[job]
                 train = np.flatnonzero(b.folds[r] != f)
                 on, weight, wrong = drawn(b.y[:, train], b.key[train], job)
-                return train[on], weight, wrong
+                return b.x[:, train[on]], weight, wrong
 
             for _ in range(depth):
                 if not grow_level(state, batch, residual):
