@@ -171,6 +171,24 @@ def prepare(df: DataFrame, fitted: dict) -> DataFrame:
     return df.withColumns(flags).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(m))) for c, m in fitted["medians"].items()})
 
 
+def nearest_of_block(v: np.ndarray, qi: np.ndarray, own: np.ndarray, inside: np.ndarray, r: np.ndarray, ri: np.ndarray, part: np.ndarray, k: int) -> pd.DataFrame:
+    """(query, neighbour, d2): the k nearest rows r of each query v among those that are ``inside`` and of another part.
+
+    One product of matrices gives distances up to rounding; rows within that of the k-th are measured again, exactly.
+    """
+    inside = inside & (part != own[:, None])
+    qq, rr = (v * v).sum(1)[:, None], (r * r).sum(1)
+    with np.errstate(invalid="ignore", over="ignore"):
+        about = np.where(inside, qq + rr - 2 * (v @ r.T), np.inf)
+        last = np.partition(about, k - 1, axis=1)[:, k - 1 : k] if k < len(r) else np.full((len(v), 1), np.inf)
+        at, row = np.nonzero(inside & ((about <= last + 1e-9 * (qq + rr)) | ~np.isfinite(last)))
+        d2 = ((r[row] - v[at]) ** 2).sum(1)
+    order = np.lexsort((ri[row], d2, at))
+    at, row, d2 = at[order], row[order], d2[order]
+    on = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return pd.DataFrame({"query": qi[at[on]], "neighbour": ri[row[on]], "d2": d2[on]})
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 1024, max_pivots: int = 512) -> DataFrame:
     """(query, neighbour, d2): the k nearest rows of each query, itself left out; exact, ties by id.
 
@@ -236,13 +254,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 1024, max_
             for f in frames:
                 for asked, held in zip(f["asked"], f["members"]):
                     r, ri, far, part = (np.array([x[c] for x in held]) for c in ("v", "id", "far", "part"))
-                    out = []
-                    for q in asked:
-                        on = np.flatnonzero((np.abs(far - q["near"]) <= q["radius"]) & (part != q["part"]))
-                        d2 = ((r[on] - np.asarray(q["v"])) ** 2).sum(1)
-                        near = np.lexsort((ri[on], d2))[:k]
-                        out.append(pd.DataFrame({"query": q["id"], "neighbour": ri[on][near], "d2": d2[near]}))
-                    yield pd.concat(out)
+                    v, qi, near, radius, own = (np.array([x[c] for x in asked]) for c in ("v", "id", "near", "radius", "part"))
+                    yield nearest_of_block(v, qi, own, (np.abs(far - near[:, None]) <= radius[:, None]), r, ri, part, k)
 
         return asked.join(blocks, ["cell", "b"]).select("asked", "members").mapInPandas(best, "query long, neighbour long, d2 double")
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lithoscope.operators.models import nearest
+from lithoscope.operators.models import nearest, nearest_of_block
 
 
 def by_hand(q, rows, k):
@@ -37,3 +37,17 @@ def test_equal_to_all_pairs(spark, kind):
         plan = found._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
         assert nearest(frame(asked), frame(rows[:0]), 5).count() == 0 and nearest(frame(asked[:0]), frame(rows), 5).count() == 0
+
+
+def test_a_block_of_queries_at_once():
+    """Near copies far from the origin, where a product of matrices rounds the distances away, and vectors that are not numbers."""
+    random = np.random.default_rng(6)
+    v = 1e4 + random.normal(size=(60, 4)) * 1e-4
+    v[7] = np.nan
+    part = np.arange(60) % 3
+    inside = random.random((60, 60)) < 0.7
+    got = nearest_of_block(v, np.arange(60), part, inside, v, np.arange(60), part, 5)
+    for q in range(60):
+        on = np.flatnonzero(inside[q] & (part != part[q]))
+        d2 = ((v[on] - v[q]) ** 2).sum(1)
+        assert got[got["query"] == q]["neighbour"].tolist() == on[np.lexsort((on, d2))[:5]].tolist()
