@@ -157,12 +157,14 @@ def node_sums(codes: np.ndarray, at: np.ndarray, nodes: int, columns: list[int],
     return n, sums
 
 
-def grow_level(rows: DataFrame, batch: Batch, residual, cells: int = 1 << 24) -> bool:
+def grow_level(rows: DataFrame, batch: Batch, residual, cells: int = 1 << 24, pieces=None) -> bool:
     """Splits the open nodes of every tree of the batch by one pass; False if none was split.
 
     ``residual(block, job)`` gives (codes of the rows that train, their weights or None for 1, residuals as (row, target)). A task
-    holds sums of at most about ``cells`` numbers before it passes them on.
+    holds sums of at most about ``cells`` numbers before it passes them on. ``pieces(Arrow batch)`` gives blocks and the jobs
+    that they are for, by default all.
     """
+    pieces = pieces or (lambda read_batch: ((block, range(len(batch.trees))) for _, block in read(read_batch, np.uint8)))
     width = batch.columns * 256
     used = [np.flatnonzero(a).tolist() for a in batch.allowed]
 
@@ -172,20 +174,21 @@ def grow_level(rows: DataFrame, batch: Batch, residual, cells: int = 1 << 24) ->
 
         def passed() -> Iterator[pa.RecordBatch]:
             out = []
-            for job, (nodes, n, sums) in held.items():
+            while held:
+                job, (nodes, n, sums) = held.popitem()
                 for i, node in enumerate(nodes):
-                    flat = n[i].ravel()
+                    flat = np.where(batch.mask(job, node)[:, None], n[i], 0.0).ravel()  # no sums of columns that a node does not draw
                     on = np.flatnonzero(flat)
                     if len(on):
                         out.append((job, node, on.astype(np.int32).tobytes(), flat[on].tobytes(), sums[i].reshape(width, -1)[on].tobytes()))
-            held.clear()
-            for low in range(0, len(out), 1000):
-                columns = list(zip(*out[low:low + 1000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["job", "node", "cells", "n", "sums"])
+                if out and (len(out) >= 1000 or not held):
+                    columns, out = list(zip(*out, strict=True)), []
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["job", "node", "cells", "n", "sums"])
 
         for read_batch in batches:
-            for _, block in read(read_batch, np.uint8):
-                for job, tree in enumerate(batch.trees):
+            for block, jobs in pieces(read_batch):
+                for job in jobs:
+                    tree = batch.trees[job]
                     if not tree.open:
                         continue
                     codes, weight, wrong = residual(block, job)
@@ -234,7 +237,9 @@ def grow_level(rows: DataFrame, batch: Batch, residual, cells: int = 1 << 24) ->
         if out:
             yield pd.DataFrame(out, columns=SPLIT)
 
-    parts = rows.mapInArrow(histograms, "job int, node int, cells binary, n binary, sums binary").repartition("job", "node").sortWithinPartitions("job", "node", "cells", "n", "sums")
+    slices = sum(len(tree.open) for tree in batch.trees) * width >> 21  # a slice of some two million cells is sorted in memory
+    to = (slices, "job", "node") if slices > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else ("job", "node")
+    parts = rows.mapInArrow(histograms, "job int, node int, cells binary, n binary, sums binary").repartition(*to).sortWithinPartitions("job", "node", "cells", "n", "sums")
     splits = parts.mapInPandas(choose, "job int, node int, column int, code int, side boolean, a double, g array<double>, b double, h array<double>").collect()
     opened: dict[int, list[int]] = {}
     for s in sorted(splits, key=lambda s: (s["job"], s["node"])):
@@ -246,8 +251,9 @@ def grow_level(rows: DataFrame, batch: Batch, residual, cells: int = 1 << 24) ->
 
 def told(n: np.ndarray, sums: np.ndarray, batch: Batch, job: int, node: int) -> tuple:
     """(column, code, side, rows and sums of the left, of the right) of a node's best split; column -1 if there is none."""
-    found = best_split(n, sums, batch.leaf, batch.l2, batch.mask(job, node))
-    first = int(batch.allowed[job].argmax())
+    drawn = batch.mask(job, node)
+    found = best_split(n, sums, batch.leaf, batch.l2, drawn)
+    first = int(drawn.argmax())
     whole = (n[first].sum(), sums[first].sum(0))
     column, code, side, ((a, g), (b, h)) = found or (-1, 0, True, (whole, whole))
     return column, code, side, a, g.tolist(), b, h.tolist()
@@ -407,20 +413,25 @@ def poisson(key: np.ndarray, tree: int, most: int = 8) -> np.ndarray:
 
 
 def forest_sums(df: DataFrame, targets: list[str], columns: list[str], group: str, key: str, folds: int = 5, repeats: int = 1, trees: int = 100,
-                depth: int = 10, leaf: int = 3, share: float = 0.7, seed: int = 0, most_jobs: int = 1000, max_rows: int = 2_000_000, together: int = 8) -> DataFrame:
+                depth: int = 10, leaf: int = 3, share: float = 0.7, seed: int = 0, most_jobs: int = 1000, max_rows: int = 2_000_000, together: int = 8, cells: int = 1 << 25) -> DataFrame:
     """(grp, model, target, repeat, n, sy, syy, see) of joint and separate forests on the rows that have all targets.
 
     Joint forests have vector leaves over all targets, separate ones are a forest for each; both see the same folds and row
-    weights. Depth bounds a tree's nodes, which the driver holds, whatever the rows are. Up to ``max_rows`` rows a task gets
-    the coded rows of a fold's training set and grows the forests' trees ``together`` numbers at a time; beyond, the same
-    trees grow from histograms of all tasks, which are more to shuffle than the rows as long as these are few.
+    weights. Depth bounds a tree's nodes, which the driver holds, whatever the rows are. The coded rows of a fold's training
+    set are dealt once to a task for every ``together`` numbers of trees. Up to ``max_rows`` rows it grows these trees; beyond,
+    a fold's rows are dealt in parts and the same trees grow from the parts' histograms. A part passes on a node's sums once,
+    however many rows it has, so what is shuffled a level goes by the parts: at most one for each ``max_rows`` rows, and no
+    more than keep all cores busy. A task holds sums of about ``cells`` numbers, for which fewer trees may go together.
     """
     arms = [("joint", list(range(len(targets))))] + [("separate", [t]) for t in range(len(targets))]
     rows = cut(packed(df, columns, targets, group, key, folds, repeats, seed, None, quantile_cuts(df, columns), MISSING, complete=True))
     moments = target_moments(rows, len(targets), repeats, folds)
     jobs = [(a, r, f, k) for k in range(trees) for a in range(len(arms)) for r in range(repeats) for f in range(folds)]
     state, slots = rows, 2 * len(targets) * repeats  # a prediction for each (target, arm kind, repeat): each row has one fold
-    whole = (rows.agg(F.sum("n")).first()[0] or 0) <= max_rows
+    count, cores = rows.agg(F.sum("n")).first()[0] or 0, df.sparkSession.sparkContext.defaultParallelism
+    whole = count <= max_rows
+    if not whole:
+        together = max(1, min(together, cells // (sum(1 + len(own) for _, own in arms) * len(columns) << (7 + depth))))  # 256 codes, 2^(depth - 1) nodes
 
     for low in range(0, len(jobs), most_jobs):
         some = jobs[low:low + most_jobs]
@@ -434,17 +445,23 @@ def forest_sums(df: DataFrame, targets: list[str], columns: list[str], group: st
             _, mean, sd = moments[r, f]
             return on, weight[on], ((y[:, on].T - mean) / sd)[:, arms[a][1]]
 
+        tasks = sorted({(r, f, k // together) for _, r, f, k in some})
+        numbers = [[i for i, (_, r, f, k) in enumerate(some) if (r, f, k // together) == task] for task in tasks]
         if whole:
-            batch.trees = trees_of_tasks(rows, batch, some, drawn, depth, together)
+            batch.trees = trees_of_tasks(dealt(rows, tasks), batch, numbers, drawn, depth)
         else:
-            def residual(b: Block, job: int, some: list = some, drawn=drawn) -> tuple:
-                _, r, f, _ = some[job]
-                train = np.flatnonzero(b.folds[r] != f)
-                on, weight, wrong = drawn(b.y[:, train], b.key[train], job)
-                return b.x[:, train[on]], weight, wrong
+            parts = max(1, min(-(-count // max(1, max_rows)), -(-4 * cores // len(tasks))))
+            shared = cut(dealt(rows, tasks, parts))
+
+            def pieces(read_batch: pa.RecordBatch, numbers: list = numbers, parts: int = parts) -> Iterator[tuple]:
+                return (((key, x, y), numbers[part // parts]) for part, key, x, y in dealt_rows(read_batch))
+
+            def residual(b: tuple, job: int, drawn=drawn) -> tuple:
+                on, weight, wrong = drawn(b[2], b[0], job)
+                return b[1][:, on], weight, wrong
 
             for _ in range(depth):
-                if not grow_level(state, batch, residual):
+                if not grow_level(shared, batch, residual, cells, pieces):
                     break
 
         def add(b: Block, some: list = some, grown: list = batch.trees) -> np.ndarray:
@@ -469,35 +486,47 @@ def forest_sums(df: DataFrame, targets: list[str], columns: list[str], group: st
     return error_sums(state, held, {"model": "string", "target": "string", "repeat": "int"}, np.uint8)
 
 
-def trees_of_tasks(blocks: DataFrame, batch: Batch, jobs: list[tuple], drawn, depth: int, together: int) -> list[Tree]:
-    """The trees of all jobs (arm, repeat, fold, tree), grown by tasks that each get the training rows of a (repeat, fold)."""
-    tasks = sorted({(r, f, k // together) for _, r, f, k in jobs})
-    numbers = {task: [i for i, (_, r, f, k) in enumerate(jobs) if (r, f, k // together) == task] for task in tasks}
-
+def dealt(blocks: DataFrame, tasks: list[tuple], parts: int = 1) -> DataFrame:
+    """(part, n, key, x, y): the training rows of each task (repeat, fold, any), in ``parts`` parts by their keys; a part is a partition."""
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch_ in batches:
-            for _, b in read(batch_, np.uint8):
+        for batch in batches:
+            for _, b in read(batch, np.uint8):
+                own = (b.key.view(np.uint64) % np.uint64(parts)).astype(np.int64)
                 for i, (r, f, _) in enumerate(tasks):
-                    on = np.flatnonzero(b.folds[r] != f)
-                    if len(on):
-                        cells = [np.ascontiguousarray(v).tobytes() for v in (b.key[on], b.x[:, on], b.y[:, on])]
-                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([len(on)], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], names=["task", "n", "key", "x", "y"])
+                    for p in range(parts):
+                        on = np.flatnonzero((b.folds[r] != f) & (own == p))
+                        if len(on):
+                            cells = b.once((r, f, p), lambda: [np.ascontiguousarray(v).tobytes() for v in (b.key[on], b.x[:, on], b.y[:, on])])  # noqa: B023
+                            yield pa.RecordBatch.from_arrays([pa.array([i * parts + p], pa.int32()), pa.array([len(on)], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], names=["part", "n", "key", "x", "y"])
+
+    return blocks.mapInArrow(deal, "part int, n int, key binary, x binary, y binary").repartitionById(max(1, len(tasks) * parts), "part")
+
+
+def dealt_rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(part, key, x, y) of each row of a dealt batch; x and y are (column, row)."""
+    for i in range(batch.num_rows):
+        part, n = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+        yield part, *(np.frombuffer(batch.column(2 + c)[i].as_buffer(), kind).reshape(shape) for c, (kind, shape) in enumerate(((np.int64, n), (np.uint8, (-1, n)), (float, (-1, n)))))
+
 
-    def grow(frame: pd.DataFrame) -> pd.DataFrame:
-        task = tasks[int(frame["task"].iloc[0])]
-        joined = lambda c, kind: np.concatenate([np.frombuffer(v, kind).reshape(-1, n) for v, n in zip(frame[c], frame["n"], strict=True)], 1)
-        key = joined("key", np.int64)[0]
+def trees_of_tasks(parts: DataFrame, batch: Batch, numbers: list[list[int]], drawn, depth: int) -> list[Tree]:
+    """The trees of all jobs, grown by tasks that each hold the training rows of a (repeat, fold); ``numbers`` are a task's jobs."""
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [row for b in batches for row in dealt_rows(b)]
+        if not got:
+            return
+        key, x, y = (np.concatenate([row[c] for row in got], -1) for c in (1, 2, 3))
         order = np.argsort(key, kind="stable")  # sums of rows do not depend on how they came
-        key, x, y, out = key[order], joined("x", np.uint8)[:, order], joined("y", float)[:, order], []
-        for i in numbers[task]:
+        key, x, y, out = key[order], x[:, order], y[:, order], []
+        for i in numbers[got[0][0]]:
             on, weight, wrong = drawn(y, key, i)
             tree = grow_here(x[:, on], weight, wrong, batch, i, depth, i)
             out.append((i, tree.feature, tree.code, tree.missing_left, tree.left, np.concatenate(tree.value).tolist()))
-        return pd.DataFrame(out, columns=["job", *TREE])
+        types = (pa.int32(), *(pa.list_(t) for t in (pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.float64())))
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names=["job", *TREE])
 
-    dealt = blocks.mapInArrow(deal, "task int, n int, key binary, x binary, y binary").repartition(max(1, len(tasks)), "task")
-    grown = dealt.groupBy("task").applyInPandas(grow, "job int, feature array<int>, code array<int>, missing_left array<boolean>, left array<int>, value array<double>")
-    trees = [Tree() for _ in jobs]
+    grown = parts.mapInArrow(grow, "job int, feature array<int>, code array<int>, missing_left array<boolean>, left array<int>, value array<double>")
+    trees = [Tree() for _ in batch.trees]
     for row in grown.collect():  # a row a tree
         values = np.asarray(row["value"]).reshape(len(row["feature"]), -1)
         trees[row["job"]] = Tree(row["feature"], row["code"], row["missing_left"], row["left"], list(values), [])

@@ -41,6 +41,24 @@ def test_forests_of_tasks_equal_forests_of_histograms(spark):
     assert grown[0].keys() == grown[1].keys() and all(grown[0][k] == pytest.approx(grown[1][k]) for k in grown[0])
 
 
+def shuffled_records(spark):
+    """Records that all stages so far have written to shuffles."""
+    context = spark.sparkContext
+    none = context._gateway.new_array(context._jvm.double, 0)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, none, context._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_sums_of_large_forests_go_by_parts_not_by_blocks(spark):
+    """Each of twelve blocks passed on the sums of every node; a table of hundreds of blocks shuffled terabytes."""
+    df = spark.range(0, 12_000, 1, 12).select("id", (F.col("id") % 4).alias("g"), F.rand(1).alias("a"), F.rand(2).alias("b")).withColumn("y", F.col("a") - F.col("b"))
+    before = shuffled_records(spark)
+    sums = L.forest_sums(df, ["y"], ["a", "b"], "g", "id", folds=2, trees=10, depth=3, max_rows=6_000)
+    assert {r["n"] for r in sums.groupBy("model").agg(F.sum("n").alias("n")).collect()} == {12_000}
+    nodes = 2 * 2 * 10 * (1 + 2 + 4)
+    assert nodes < shuffled_records(spark) - before < 4 * nodes
+
+
 def test_few_comparisons_find_the_leaf(spark):
     random = np.random.default_rng(1)
     for _ in range(50):
