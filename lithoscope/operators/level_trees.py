@@ -32,7 +32,7 @@ from .blocks import Block, changed, error_sums, packed, read
 
 MISSING = 255
 SPLIT = ["job", "node", "column", "code", "side", "a", "g", "b", "h"]
-TREE = ["feature", "code", "missing_left", "left", "value"]
+TREE = {"feature": np.int32, "code": np.int32, "missing_left": bool, "left": np.int32, "value": float}
 
 
 @dataclass
@@ -68,6 +68,10 @@ class Tree:
             node[going] = left[at] + np.where(own == MISSING, ~missing_left[at], own > code[at])
         return node
 
+    def grown(self) -> Tree:
+        """The same tree as five arrays: an object a node is much to hold and to send for a thousand trees."""
+        return Tree(*(np.asarray(getattr(self, name), kind) for name, kind in TREE.items()), [])
+
     def inner(self) -> list[int]:
         return [i for i, f in enumerate(self.feature) if f >= 0]
 
@@ -464,7 +468,7 @@ def forest_sums(df: DataFrame, targets: list[str], columns: list[str], group: st
                 if not grow_level(shared, batch, residual, cells, pieces):
                     break
 
-        def add(b: Block, some: list = some, grown: list = batch.trees) -> np.ndarray:
+        def add(b: Block, some: list = some, grown: list = [tree.grown() for tree in batch.trees]) -> np.ndarray:  # noqa: B006, B008
             pred = np.zeros((slots, b.n)) if b.pred is None else b.pred.copy()
             rows_of = {(r, f): np.flatnonzero(b.folds[r] == f) for r in range(repeats) for f in range(folds)}
             codes_of = {p: b.x[:, on] for p, on in rows_of.items()}
@@ -521,13 +525,12 @@ def trees_of_tasks(parts: DataFrame, batch: Batch, numbers: list[list[int]], dra
         for i in numbers[got[0][0]]:
             on, weight, wrong = drawn(y, key, i)
             tree = grow_here(x[:, on], weight, wrong, batch, i, depth, i)
-            out.append((i, tree.feature, tree.code, tree.missing_left, tree.left, np.concatenate(tree.value).tolist()))
-        types = (pa.int32(), *(pa.list_(t) for t in (pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.float64())))
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names=["job", *TREE])
+            out.append((i, *(getattr(tree.grown(), name).tobytes() for name in TREE)))
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c else pa.int32()) for c, v in enumerate(zip(*out, strict=True))], names=["job", *TREE])
 
-    grown = parts.mapInArrow(grow, "job int, feature array<int>, code array<int>, missing_left array<boolean>, left array<int>, value array<double>")
+    grown = parts.mapInArrow(grow, "job int, " + ", ".join(f"{name} binary" for name in TREE))
     trees = [Tree() for _ in batch.trees]
     for row in grown.collect():  # a row a tree
-        values = np.asarray(row["value"]).reshape(len(row["feature"]), -1)
-        trees[row["job"]] = Tree(row["feature"], row["code"], row["missing_left"], row["left"], list(values), [])
+        cells = {name: np.frombuffer(row[name], kind) for name, kind in TREE.items()}
+        trees[row["job"]] = Tree(**cells | {"value": cells["value"].reshape(len(cells["feature"]), -1)}, open=[])
     return trees
