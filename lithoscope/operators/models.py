@@ -6,12 +6,14 @@ validation errors and components follow on the driver from (k+2) x (k+2) numbers
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -278,61 +280,120 @@ def filled(x: np.ndarray, train: np.ndarray, flag_over: float = 0.02) -> np.ndar
     return np.column_stack([np.where(absent, medians, x), absent[:, sorted(flags.values())]])
 
 
-def grown_predictions(x: np.ndarray, y: np.ndarray, drawn: np.ndarray, held: np.ndarray, rng: np.random.Generator, depth: int, leaf: int, share: float) -> np.ndarray:
-    """What a regression tree on the rows ``drawn`` (repeats count) says of the rows ``held``, which go down while it grows."""
-    pred, chosen = np.zeros(len(x)), int(np.ceil(share * x.shape[1]))
-    going = [(drawn, held, 0)]
-    while going:
-        rows, asked, level = going.pop()
-        own, m, best = y[rows], len(rows), None
-        if len(asked) and level < depth and m >= 2 * leaf and own.min() < own.max():
-            columns = rng.permutation(x.shape[1])[:chosen]
-            v = x[rows[:, None], columns]
-            order = v.argsort(0, kind="stable")
-            v, left = np.take_along_axis(v, order, 0), np.cumsum((own - own.mean())[order], 0)[:-1]  # what is left sums to zero
-            n = np.arange(1.0, m)[:, None]
-            gain = np.where((v[:-1] < v[1:]) & (n >= leaf) & (m - n >= leaf), left * left * (1 / n + 1 / (m - n)), 0.0)
-            at, j = np.unravel_index(gain.argmax(), gain.shape)
-            middle = (v[at, j] + v[at + 1, j]) / 2
-            best = (columns[j], middle if middle < v[at + 1, j] else v[at, j]) if gain[at, j] > 0 else None
-        if best is None:
-            pred[asked] = own.mean()
-        else:
-            for side in (np.less_equal, np.greater):
-                going.append((rows[side(x[rows, best[0]], best[1])], asked[side(x[asked, best[0]], best[1])], level + 1))
-    return pred[held]
+def grown_predictions(x: np.ndarray, y: np.ndarray, weight: np.ndarray, orders: list[np.ndarray], held: np.ndarray, rng: np.random.Generator, depth: int, leaf: int, share: float) -> np.ndarray:
+    """What a regression tree on the rows that have a weight says of the rows ``held``, which go down while it grows.
+
+    ``x`` is (column, row), ``orders`` are the rows that may have a weight by the value of each column. A level of all nodes is a
+    few passes over each column: rows lie in order of (node, value); all left children come before all right ones, which keeps it.
+    """
+    used, place = np.flatnonzero(weight > 0), np.cumsum(weight > 0) - 1
+    orders, asked, going, pred = [place[o[weight[o] > 0]] for o in orders], x[:, held], np.arange(len(held)), np.zeros(len(held))
+    x, y, weight, chosen, nodes = np.ascontiguousarray(x[:, used]), y[used], weight[used], int(np.ceil(share * len(x))), 1
+    node, own_node, every = np.zeros(len(used), np.intp), np.zeros(len(held), np.intp), np.arange(len(used))  # of training rows, of those asked, training rows that are left
+    for level in range(depth + 1):
+        at, nth = node[orders[0]], node[every]
+        starts = np.searchsorted(at, np.arange(nodes))
+        target, w = y[orders[0]], weight[orders[0]]
+        m = np.bincount(at, w, nodes)
+        mean = np.bincount(at, w * target, nodes) / m
+        wanted = (np.bincount(own_node[going], minlength=nodes) > 0) & (m >= 2 * leaf) & (np.minimum.reduceat(target, starts) < np.maximum.reduceat(target, starts)) & (level < depth)
+        allowed = (rng.random((nodes, len(x))).argsort(1) < chosen) & wanted[:, None]
+        residual = np.zeros(len(y))
+        residual[every] = weight[every] * (y[every] - mean[nth])  # sums to zero in a node
+        best, column, threshold, last = np.zeros(nodes), np.zeros(nodes, np.intp), np.zeros(nodes), np.r_[at[1:] > at[:-1], True]
+        for j, order in enumerate(orders if wanted.any() else ()):
+            v, w, left = x[j].take(order), weight.take(order), residual.take(order)
+            n, left = np.cumsum(w), np.cumsum(left)
+            n_before, before = n[starts] - w[starts], left[starts] - residual[order[starts]]
+            on = np.flatnonzero(allowed[:, j].take(at[:-1]) & (v[:-1] < v[1:]) & ~last[:-1])  # a split may follow these places
+            own = at.take(on)
+            n, left = n.take(on) - n_before.take(own), left.take(on) - before.take(own)
+            rest = m.take(own) - n
+            gain = np.where((n >= leaf) & (rest >= leaf), left * left * (1 / n + 1 / rest), 0.0)
+            if not len(on):
+                continue
+            first = np.flatnonzero(np.r_[True, own[1:] > own[:-1]])
+            most = np.zeros(nodes)
+            most[own[first]] = np.maximum.reduceat(gain, first)
+            most = np.where(most > best, most, np.inf)
+            hit = np.flatnonzero(gain == most.take(own))
+            hit = hit[np.r_[True, own[hit][1:] > own[hit][:-1]][: len(hit)]]  # the first of each node
+            i, low, high = own[hit], v[on[hit]], v[on[hit] + 1]
+            middle = (low + high) / 2
+            best[i], column[i], threshold[i] = gain[hit], j, np.where(middle < high, middle, low)
+        split = best > 0
+        child, done = np.cumsum(split) - 1, ~split[own_node[going]]
+        pred[going[done]] = mean[own_node[going[done]]]
+        going, every, alive = going[~done], every[split[nth]], split[at]
+        if not len(going):
+            return pred
+        nodes, right = 2 * int(split.sum()), np.zeros(len(y), bool)
+        for values, which, of in ((asked, going, own_node), (x, every, node)):
+            old = of[which]
+            moves = values[column[old], which] > threshold[old]
+            of[which] = child[old] + moves * (nodes // 2)
+            if of is node:
+                right[which] = moves
+        for j, order in enumerate(orders):
+            order = order[alive]
+            moves = right.take(order)
+            orders[j] = np.concatenate((order[~moves], order[moves]))
+    return pred
 
 
 def forest_out_of_fold(df: DataFrame, y: str, columns: list[str], trees: int = 100, depth: int = 30, fold: str = "fold", seed: int = 0, key: str | None = None,
-                       max_rows: int = 100_000, together: int = 4) -> DataFrame:
+                       max_rows: int = 1_000_000) -> DataFrame:
     """Adds ``pred``: a forest (leaves of 3, 0.7 of the columns a split, Poisson weights) fitted per fold on the rest.
 
-    Columns are filled with the training folds' medians and flagged. Up to ``max_rows`` rows a task grows ``together`` trees of
-    a fold, and the fold's rows go down them: deep trees have nearly as many nodes as rows, which MLlib passes around as
-    histograms, a level a job. Beyond, the forest is MLlib's, to its greatest depth. ``key`` (else a row's place) seeds the weights.
+    Columns are filled with the training folds' medians and flagged. Up to ``max_rows`` rows a task holds all rows (a few hundred
+    bytes each) and grows its share of all folds' trees, down which the fold's rows go: deep trees have nearly as many nodes
+    as rows, which MLlib passes around as histograms, a level a job. So the rows are sent to four tasks a core, not to each
+    tree. Beyond, the forest is MLlib's, to its greatest depth. ``key`` (else a row's place) seeds the weights.
     """
     if 0 < df.count() <= max_rows:
+        from .blocks import packed, read
         from .level_trees import poisson
 
         known = cut(df.withColumn("__id", F.monotonically_increasing_id()))
         folds = sorted((r[0] for r in known.select(fold).distinct().collect()), key=lambda f: (f is not None, f))  # draws are seeded by a fold's place
-        number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
         place = F.coalesce(*(F.when(F.col(fold).eqNullSafe(F.lit(f)), F.lit(i)) for i, f in enumerate(folds)))
-        n_jobs = len(folds) * -(-trees // together)
-        rows = known.select("__id", F.xxhash64(F.col(key or "__id"), F.lit(seed)).alias("key"), place.alias("f"), number(y).alias("y"), F.array(*map(number, columns)).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(n_jobs - 1))).alias("job"))
-
-        def grow(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values(["key", "__id"])
-            f, low = int(frame["job"].iloc[0]) % len(folds), int(frame["job"].iloc[0]) // len(folds) * together
-            target, train = frame["y"].to_numpy(), (frame["f"] != f).to_numpy()
-            x, held, total = filled(np.stack(frame["x"]), train), np.flatnonzero(~train), 0.0
-            fit, numbers = np.flatnonzero(train & ~np.isnan(target)), range(low, min(low + together, trees))
-            for t in numbers if len(fit) else ():
-                drawn = np.repeat(fit, poisson(frame["key"].iloc[fit], t).astype(int))
-                total = total + grown_predictions(x, target, drawn if len(drawn) else fit, held, np.random.default_rng([seed, f, t]), depth, 3, 0.7)
-            return pd.DataFrame({"__id": frame["__id"].iloc[held], "s": total, "n": len(numbers) if len(fit) else 0})
-
-        grown = rows.repartition(n_jobs, "job").groupBy("job").applyInPandas(grow, "__id long, s double, n long").groupBy("__id").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("pred"))
+        every = [(f, t) for f in range(len(folds)) for t in range(trees)]
+        n_jobs = min(len(every), 4 * df.sparkSession.sparkContext.defaultParallelism)
+        blocks = packed(known.withColumn("__f", place), columns, [y], "__id", key or "__id", len(folds), 1, seed, "__f")
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, b in read(batch):
+                    cells = [pa.array([v.tobytes()], pa.binary()) for v in (b.grp.to_numpy()[b.g], b.key, b.folds, b.x, b.y)]
+                    for job in range(n_jobs):
+                        yield pa.RecordBatch.from_arrays([pa.array([job], pa.int32()), *cells], names=["job", "id", "key", "f", "x", "y"])
+
+        def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = [(b.column(0)[i].as_py(), [np.frombuffer(b.column(1 + c)[i].as_buffer(), kind) for c, kind in enumerate((np.int64, np.int64, np.int32, float, float))]) for b in batches for i in range(b.num_rows)]
+            if not got:
+                return
+            job = got[0][0]
+            number, hashed, f, wide, target = (np.concatenate([cells[c].reshape(-1, len(cells[0])) for _, cells in got], 1) for c in range(5))
+            del got
+            order = np.lexsort((number[0], hashed[0]))  # trees do not depend on how the rows came
+            number, hashed, f, wide, target = number[0][order], hashed[0][order], f[0][order], wide[:, order].T, target[0][order]
+            own = every[job * len(every) // n_jobs:(job + 1) * len(every) // n_jobs]
+            for g in sorted({g for g, _ in own}):
+                train, numbers = f != g, [t for h, t in own if h == g]
+                x, held, total = filled(wide, train), np.flatnonzero(~train), 0.0
+                fit = np.flatnonzero(train & ~np.isnan(target))
+                x = np.ascontiguousarray(x.T)
+                orders = [fit[np.argsort(v[fit], kind="stable")] for v in x]
+                for t in numbers if len(fit) else ():
+                    weight = np.zeros(len(target))
+                    weight[fit] = poisson(hashed[fit], t)
+                    weight[fit] = weight[fit] if weight.any() else 1.0
+                    total = total + grown_predictions(x, target, weight, orders, held, np.random.default_rng([seed, g, t]), depth, 3, 0.7)
+                n = len(numbers) if len(fit) else 0
+                yield pa.RecordBatch.from_arrays([pa.array(number[held]), pa.array(np.broadcast_to(total, len(held)).astype(float)), pa.array(np.full(len(held), n, np.int64))], names=["__id", "s", "n"])
+
+        dealt = blocks.mapInArrow(deal, "job int, id binary, key binary, f binary, x binary, y binary").repartitionById(n_jobs, "job")
+        grown = dealt.mapInArrow(grow, "__id long, s double, n long").groupBy("__id").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("pred"))
         return known.join(grown, "__id").select(*df.columns, "pred")
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
