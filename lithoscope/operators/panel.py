@@ -4,7 +4,8 @@ Group effects need no columns: a slope with group effects is the slope of column
 products of such columns follow from plain sums per group, ``sum(ab) - sum(a) sum(b) / n``. So there may be any number of
 groups. One pass reduces the rows to sums per (job, group), a second one, which knows slopes and group means, to scores per
 cluster and HC3's products. Every row passes once for all jobs, not once for each; tasks add up in numpy before they shuffle, so
-a shuffle carries a row for each task and group, or task and cluster. The driver sees a matrix for each job.
+a shuffle carries a row for each task and group, or share of a cluster. A cluster's sums are much wider than a row, so the second
+pass deals the rows by cluster first, a few shares each for large clusters to be several tasks. The driver sees a matrix for each job.
 """
 
 from __future__ import annotations
@@ -216,20 +217,21 @@ def error_parts(rows: DataFrame, layout: Layout, fits: dict, means: DataFrame |
 
 
 def tiered_regressions(df: DataFrame, jobs: list[Job], group: str, cluster: str | None = None, least_group: int = 15, least_spare: int = 20,
-                       least_clusters: int = 20, errors: bool = True, broadcast_levels: int = 100_000) -> DataFrame:
+                       least_clusters: int = 20, errors: bool = True, broadcast_levels: int = 100_000, values: dict[str, Column] | None = None, shares: int = 4) -> DataFrame:
     """(response, tier, term, beta, se, ci_lo, ci_hi, p, vif, n, r2, adj_r2, se_kind, n_clusters, n_groups, y_sd), a row for each slope.
 
     Coefficients are standardised by population deviations. Groups of fewer than ``least_group`` rows of a job share one
     effect, a null group is a group. Constant predictors are dropped; a job without ``least_spare`` rows more than
     predictors, or whose response is constant, gives no row. Errors are clustered (CR1, clusters - 1 degrees of freedom)
     from ``least_clusters`` clusters on, else HC3; a row without a cluster is a cluster of such rows. Without ``errors`` the
-    rows are read once, and errors, intervals, p and the numbers of clusters are NULL.
+    rows are read once, and errors, intervals, p and the numbers of clusters are NULL. ``values`` are columns that jobs use and
+    that are made of those of ``df`` after its rows were dealt by cluster, in ``shares`` parts each: a shuffle carries ``df``'s own.
     """
     spark, most = df.sparkSession, max(len(j.predictors) for j in jobs) + 1
     pairs = [(i, j) for i in range(most) for j in range(i, most)]
     sums = [*(f"s_{i}" for i in range(most)), *(f"p_{i}_{j}" for i, j in pairs)]
     layout = Layout(jobs)
-    rows = layout.rows(df, group, cluster)
+    rows = layout.rows(df.withColumns(values or {}), group, cluster)
     cells = cut(level_sums(rows, layout, most))
     again = [F.sum("n").alias("n"), *(F.sum(name).alias(name) for name in sums)]
     named = F.when(F.col("n") >= least_group, F.concat(F.lit("="), "level")).otherwise(POOLED)
@@ -273,6 +275,10 @@ def tiered_regressions(df: DataFrame, jobs: list[Job], group: str, cluster: str
             means = per.groupBy("level").agg(F.array(*(F.coalesce(F.max(F.when(F.col("job") == a, F.col(f"m_{i}"))), F.lit(0.0)) for a in absorbing for i in range(most + 1))).alias("means"))
             means = cut(means)
             means = F.broadcast(means) if means.count() <= broadcast_levels else means
+        if cluster:
+            plain = [c for c, kind in df.dtypes if not kind.startswith(("array", "map", "struct", "variant"))]
+            dealt = df.repartition(F.col(cluster), F.pmod(F.xxhash64(*plain), F.lit(shares))).sortWithinPartitions(cluster)
+            rows = layout.rows(dealt.withColumns(values or {}), group, cluster)
         scores, hc3, clusters = error_parts(rows, layout, fits, means, most, cluster is not None)
         meats = {number: scores[number] if clusters.get(number, 0) >= least_clusters else hc3[number] for number in fits}
     out, counted = [], {number: clusters.get(number, 0) for number in fits}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
@@ -109,15 +109,17 @@ def structure_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", *T.structure_status(blocks, group, primitive, "group_theory"))
 
 
-def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with twelve responses: amounts, rates and their transforms."""
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
-    price, discount, tax = (F.col(c) for c in ("l_extendedprice", "l_discount", "l_tax"))
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_partkey", "l_suppkey", "l_quantity", discount, tax, F.col("l_linenumber").cast("double").alias("line"), price.alias("price"), F.ln(price).alias("ln_price"), (price * (1 - discount)).alias("net"),
-        (price * (1 - discount) * (1 + tax)).alias("charge"), (price * discount).alias("rebate"), (price * tax).alias("levy"), (price / F.col("l_quantity")).alias("unit_price"),
-        F.sqrt(price).alias("root_price"), (price * F.col("l_quantity")).alias("weighted"), tax.alias("rate"))
-    return lines.join(part, "l_partkey")
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with the type, size and price of their part."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_size", "p_retailprice")
+    return table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice").join(part, "l_partkey").drop("l_partkey")
+
+
+def _responses() -> dict[str, Column]:
+    """Amounts, rates and their transforms; made after the joins and shuffles, as they are more than what they are made from."""
+    price, discount, tax, quantity = (F.col(c) for c in ("l_extendedprice", "l_discount", "l_tax", "l_quantity"))
+    return {"price": price, "ln_price": F.ln(price), "root_price": F.sqrt(price), "net": price * (1 - discount), "charge": price * (1 - discount) * (1 + tax), "rebate": price * discount, "levy": price * tax,
+            "unit_price": price / quantity, "weighted": price * quantity, "rate": tax, "line": F.col("l_linenumber")}
 
 
 def timed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,13 +137,13 @@ def timed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tiered_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every response on the core predictors, the extended ones, these with an effect of each part type, and on a sub-sample
     (lines with a discount) with its own predictor; standardised slopes with clustered errors, q values within each tier."""
-    out = P.tiered_regressions(_responses(spark, sf_dir), _jobs(), "p_type", "l_suppkey")
+    out = P.tiered_regressions(_lines(spark, sf_dir), _jobs(), "p_type", "l_suppkey", values=_responses())
     return S.benjamini_hochberg(out, panel=["tier"])
 
 
 def tiered_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slopes and R2 of all tiers, without errors, for SQL to have them too."""
-    return rounded(P.tiered_regressions(_responses(spark, sf_dir), _jobs(), "p_type", errors=False).select("response", "tier", "term", "beta", "n", "r2", "n_groups"), 5)
+    return rounded(P.tiered_regressions(_lines(spark, sf_dir), _jobs(), "p_type", errors=False, values=_responses()).select("response", "tier", "term", "beta", "n", "r2", "n_groups"), 5)
 
 
 def top_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:

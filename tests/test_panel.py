@@ -85,3 +85,19 @@ def test_every_row_passes_once_for_all_jobs(spark):
     assert seen.value == 1800 and [r["beta"] for r in full] == pytest.approx([r["beta"] for r in bare])
     many = panel.tiered_regressions(df, jobs, "g", "c", broadcast_levels=1).collect()  # means joined, not broadcast
     assert [r["se"] for r in many] == pytest.approx([r["se"] for r in full])
+
+
+def test_sums_of_a_cluster_leave_few_tasks(spark, monkeypatch):
+    """Clusters that are spread over all tasks: their sums are wide, so rows are dealt by cluster before they become sums."""
+    tasks, own = [], panel.error_parts
+
+    def seen(rows, *others):
+        tasks.extend(rows.select("cluster", F.spark_partition_id().alias("p")).groupBy("cluster").agg(F.count_distinct("p").alias("t"), F.count("*").alias("n")).collect())
+        return own(rows, *others)
+
+    monkeypatch.setattr(panel, "error_parts", seen)
+    df = spark.range(0, 20_000, 1, 16).selectExpr("CAST(id % 101 AS double) AS x", "CAST(id % 89 AS double) AS y", "id % 2500 AS c", "'a' AS g")
+    jobs = [panel.Job("z", "one", ("x",)), panel.Job("y", "other", ("x",), True)]
+    out = panel.tiered_regressions(df, jobs, "g", "c", values={"z": F.col("y") + F.col("x") / 7}).collect()
+    assert len(out) == 2 and all(r["n"] == 20_000 and r["n_clusters"] == 2500 for r in out)
+    assert len(tasks) == 2500 and max(r["t"] for r in tasks) <= 4 and sum(r["n"] for r in tasks) == 20_000  # were up to 8
