@@ -173,17 +173,21 @@ def prepare(df: DataFrame, fitted: dict) -> DataFrame:
     return df.withColumns(flags).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(m))) for c, m in fitted["medians"].items()})
 
 
-def nearest_of_block(v: np.ndarray, qi: np.ndarray, own: np.ndarray, inside: np.ndarray, r: np.ndarray, ri: np.ndarray, part: np.ndarray, k: int) -> pd.DataFrame:
+def nearest_of_block(v: np.ndarray, qi: np.ndarray, own: np.ndarray, inside: np.ndarray, r: np.ndarray, ri: np.ndarray, part: np.ndarray, k: int, limit: np.ndarray | None = None) -> pd.DataFrame:
     """(query, neighbour, d2): the k nearest rows r of each query v among those that are ``inside`` and of another part.
 
-    One product of matrices gives distances up to rounding; rows within that of the k-th are measured again, exactly.
+    One product of matrices gives distances up to rounding; rows within that of the k-th, or of the query's ``limit`` if all have
+    one, are measured again, exactly.
     """
     inside = inside & (part != own[:, None])
     qq, rr = (v * v).sum(1)[:, None], (r * r).sum(1)
     with np.errstate(invalid="ignore", over="ignore"):
-        about = np.where(inside, qq + rr - 2 * (v @ r.T), np.inf)
-        last = np.partition(about, k - 1, axis=1)[:, k - 1 : k] if k < len(r) else np.full((len(v), 1), np.inf)
-        at, row = np.nonzero(inside & ((about <= last + 1e-9 * (qq + rr)) | ~np.isfinite(last)))
+        if limit is not None and np.isfinite(limit).all():
+            at, row = np.nonzero((qq + rr - 2 * (v @ r.T) <= limit[:, None] + 1e-9 * (qq + rr)) & inside)
+        else:
+            about = np.where(inside, qq + rr - 2 * (v @ r.T), np.inf)
+            last = np.partition(about, k - 1, axis=1)[:, k - 1 : k] if k < len(r) else np.full((len(v), 1), np.inf)
+            at, row = np.nonzero(inside & ((about <= last + 1e-9 * (qq + rr)) | ~np.isfinite(last)))
         d2 = ((r[row] - v[at]) ** 2).sum(1)
     order = np.lexsort((ri[row], d2, at))
     at, row, d2 = at[order], row[order], d2[order]
@@ -191,7 +195,20 @@ def nearest_of_block(v: np.ndarray, qi: np.ndarray, own: np.ndarray, inside: np.
     return pd.DataFrame({"query": qi[at[on]], "neighbour": ri[row[on]], "d2": d2[on]})
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 1024, max_pivots: int = 512) -> DataFrame:
+def neighbouring(points: np.ndarray) -> np.ndarray:
+    """The points in an order that halves them at the middle of their widest dimension, and the halves in turn."""
+    out, left = [], [np.arange(len(points))]
+    while left:
+        own = left.pop()
+        if len(own) < 3:
+            out.append(own)
+            continue
+        order = own[np.argsort(points[own, np.ptp(points[own], axis=0).argmax()], kind="stable")]
+        left += [order[len(own) // 2 :], order[: len(own) // 2]]
+    return np.concatenate(out)
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 1024, max_pivots: int = 512, asked_rows: int = 8192, held_rows: int = 65_536) -> DataFrame:
     """(query, neighbour, d2): the k nearest rows of each query, itself left out; exact, ties by id.
 
     Both frames are (id long, v array<double>) of equal length; if they have a column ``part`` too, a query's neighbours are
@@ -199,7 +216,9 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 1024, max_
     at most ``max_pivots`` rows. A query first searches its nearest cells until they hold more than k rows; the k-th distance
     found there is its radius. By the triangle inequality another cell can only help if its pivot is nearer than the radius
     and the cell's own reach together, and a row of it only if its distance to the pivot differs from the query's by at most
-    the radius. Cells are searched in blocks of about ``block`` rows, so a dense cell is many tasks.
+    the radius; a block also only if its bounding box is that near. A task searches about ``held_rows`` rows, in blocks of
+    about ``block``, for at most about ``asked_rows`` queries of cells that lie together: what is shuffled goes by such pairs of rows
+    and queries, not by a query and each of its cells, and a dense cell is many tasks.
     """
     queries, rows = (df.select("id", "v", F.col("part" if "part" in df.columns else "id").cast("long").alias("part")) for df in (queries, rows))
     n = rows.count()
@@ -207,10 +226,11 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 1024, max_
     if not drawn:
         return queries.sparkSession.createDataFrame([], "query long, neighbour long, d2 double")
     pivots = np.array([r["v"] for r in drawn])
+    pivots = pivots[neighbouring(pivots)]
 
-    def reach(v: np.ndarray) -> np.ndarray:
+    def reach(v: np.ndarray, cells: np.ndarray | slice = slice(None)) -> np.ndarray:
         """Distances of vectors to the pivots."""
-        return np.concatenate([np.sqrt(((v[i : i + 256, None] - pivots[None]) ** 2).sum(2)) for i in range(0, len(v), 256)])
+        return np.concatenate([np.sqrt(((v[i : i + 256, None] - pivots[cells][None]) ** 2).sum(2)) for i in range(0, len(v), 256)])
 
     def placed(frames):
         for f in frames:
@@ -219,57 +239,85 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 1024, max_
                 cell = d.argmin(1)
                 yield pd.DataFrame({"id": f["id"], "v": f["v"], "part": f["part"], "cell": cell.astype(np.int32), "far": d[np.arange(len(d)), cell]})
 
-    members = cut(rows.mapInPandas(placed, "id long, v array<double>, part long, cell int, far double"))
-    sizes, wide = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+    home = "id long, v array<double>, part long, cell int, far double"
+    members, asking = cut(rows.mapInPandas(placed, home)), cut(queries.mapInPandas(placed, home))
+    sizes, asked_sizes, wide = np.zeros(len(pivots), np.int64), np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
     for r in members.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():  # a row a pivot
-        sizes[r["cell"]], wide[r["cell"]] = r["n"], r["far"]
-    parts = -(-sizes // block)
-    count = F.get(F.lit(parts.astype(int).tolist()).cast("array<int>"), F.col("cell"))
-    blocks = members.groupBy("cell", F.pmod(F.xxhash64("id"), count).cast("int").alias("b")).agg(F.collect_list(F.struct("id", "v", "part", "far")).alias("members"))
-
-    def first(frames):
-        for f in frames:
-            if len(f):
-                d = reach(np.stack(f["v"]))
-                order = np.argsort(d, axis=1, kind="stable")
-                enough = (np.cumsum(sizes[order], 1) > k).argmax(1) + 1 if n > k else np.full(len(f), len(pivots))
-                visits = [[{"cell": int(c), "near": float(row[c])} for c in o[:m] if sizes[c]] for row, o, m in zip(d, order, enough)]
-                yield pd.DataFrame({"id": f["id"], "v": f["v"], "part": f["part"], "radius": np.inf, "visits": visits})
-
-    def rest(frames):
-        for f in frames:
-            if len(f):
-                d, radius = reach(np.stack(f["v"])), f["radius"].to_numpy() * (1 + 1e-9) + 1e-12
-                seen = [{x["cell"] for x in v} for v in f["visits"]]
-                visits = [[{"cell": int(c), "near": float(row[c])} for c in np.flatnonzero((row - wide <= r) & (sizes > 0)) if c not in s] for row, r, s in zip(d, radius, seen)]
-                yield pd.DataFrame({"id": f["id"], "v": f["v"], "part": f["part"], "radius": radius, "visits": visits})
-
-    kind = "id long, v array<double>, part long, radius double, visits array<struct<cell int, near double>>"
+        sizes[r["cell"]], wide[r["cell"]] = r["n"], np.nan_to_num(r["far"], nan=np.inf)
+    for r in asking.groupBy("cell").agg(F.count("*").alias("n")).collect():
+        asked_sizes[r["cell"]] = r["n"]
+    start, parts = np.cumsum(sizes) - sizes, -(-sizes // block)
+    slices = start // held_rows, (start + np.maximum(parts - 1, 0) * block) // held_rows  # the first and last of a cell
+    of_cell = lambda numbers, c="cell": F.get(F.lit(np.asarray(numbers).astype(int).tolist()).cast("array<long>"), F.col(c))
+    hashed = lambda count: F.pmod(F.xxhash64("id"), of_cell(np.maximum(count, 1)))
+
+    def held_block(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"cell": f["cell"].iloc[0], "b": f["b"].iloc[0], "id": f["id"].to_numpy().tobytes(), "v": np.stack(f["v"]).tobytes(), "part": f["part"].to_numpy().tobytes(), "far": f["far"].to_numpy().tobytes()}])
+
+    blocks = cut(members.withColumn("b", hashed(parts)).groupBy("cell", "b").applyInPandas(held_block, "cell int, b long, id binary, v binary, part binary, far binary"))
+    blocks = blocks.withColumn("s", F.floor((of_cell(start) + F.col("b") * block) / held_rows))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    asked_rows, tasks = int(min(asked_rows, max(block, asked_sizes.sum() // (2 * cores)))), max(4 * cores, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    many = -(-asked_sizes // asked_rows)
+    first_place = (np.cumsum(asked_sizes) - asked_sizes) // asked_rows
+    asking = asking.withColumn("g", F.when(of_cell(many) > 1, -1 - of_cell(np.cumsum(many) - many) - hashed(many)).otherwise(of_cell(first_place)))
 
     def search(asking: DataFrame) -> DataFrame:
-        each = asking.select("id", "v", "part", "radius", F.explode("visits").alias("x")).select("id", "v", "part", "radius", "x.cell", "x.near").withColumn("b", F.explode(F.sequence(F.lit(0), count - 1)))
-        groups = each.groupBy("cell", "b").agg(F.count("*").alias("m"))
-        dealt = each.join(groups, ["cell", "b"]).withColumn("q", F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("m") / block)))
-        asked = dealt.groupBy("cell", "b", "q").agg(F.collect_list(F.struct("id", "v", "part", "near", "radius")).alias("asked"))
-
-        def best(frames):
-            for f in frames:
-                for asked, held in zip(f["asked"], f["members"]):
-                    r, ri, far, part = (np.array([x[c] for x in held]) for c in ("v", "id", "far", "part"))
-                    v, qi, near, radius, own = (np.array([x[c] for x in asked]) for c in ("v", "id", "near", "radius", "part"))
-                    yield nearest_of_block(v, qi, own, (np.abs(far - near[:, None]) <= radius[:, None]), r, ri, part, k)
-
-        return asked.join(blocks, ["cell", "b"]).select("asked", "members").mapInPandas(best, "query long, neighbour long, d2 double")
+        """The k nearest within the radius of each query, or in its nearest cells where it has none, of each task."""
+        def asked_block(f: pd.DataFrame) -> pd.DataFrame:
+            v, radius = np.stack(f["v"]), f["radius"].to_numpy(float) * (1 + 1e-9) + 1e-12
+            d, limit = reach(v), np.full(len(f), np.inf)
+            if not f["wider"].iloc[0] and n > k:
+                order = np.argsort(d, axis=1, kind="stable")
+                last = (np.cumsum(sizes[order], 1) > k).argmax(1)
+                limit = d[np.arange(len(d)), order[np.arange(len(d)), last]] * (1 + 1e-12)
+            cells = np.flatnonzero((~(d > limit[:, None]) & ~(d - wide > radius[:, None])).any(0) & (sizes > 0))
+            s = sorted({i for c in cells for i in range(slices[0][c], slices[1][c] + 1)})
+            return pd.DataFrame([{"g": f["g"].iloc[0], "cells": cells.astype(int).tolist(), "slices": [int(i) for i in s], "id": f["id"].to_numpy().tobytes(), "v": v.tobytes(), "part": f["part"].to_numpy().tobytes(), "radius": radius.tobytes(), "near": limit.tobytes()}])
+
+        def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            if not len(asked) or not len(held):
+                return pd.DataFrame({"query": np.zeros(0, np.int64), "neighbour": np.zeros(0, np.int64), "d2": np.zeros(0)})
+            qi, own, radius, limit = (np.frombuffer(asked[c].iloc[0], kind).copy() for c, kind in (("id", np.int64), ("part", np.int64), ("radius", float), ("near", float)))
+            v = np.frombuffer(asked["v"].iloc[0]).reshape(len(qi), -1)
+            d2, found = np.full((len(qi), k), np.nan), np.full((len(qi), k), np.iinfo(np.int64).max)
+            cells, place = np.unique(held["cell"].to_numpy(), return_inverse=True)
+            near = reach(v, cells)
+            for i in near.mean(0)[place].argsort(kind="stable"):
+                r = held.iloc[i]
+                ri, part, far = (np.frombuffer(r[c], kind) for c, kind in (("id", np.int64), ("part", np.int64), ("far", float)))
+                x, d = np.frombuffer(r["v"]).reshape(len(ri), -1), near[:, place[i]]
+                gap = np.maximum(np.maximum(np.fmin.reduce(x) - v, v - np.fmax.reduce(x)), 0)
+                reached = np.flatnonzero(~(d > limit) & ~(d - wide[cells[place[i]]] > radius) & ~((gap * gap).sum(1) > radius * radius * (1 + 1e-9)))
+                for on in (reached[j : j + 1024] for j in range(0, len(reached), 1024)):
+                    new = nearest_of_block(v[on], np.arange(len(on)), own[on], ~(np.abs(far - d[on, None]) > radius[on, None]), x, ri, part, k, radius[on] ** 2)
+                    if not len(new):
+                        continue
+                    at = new["query"].to_numpy()
+                    some, first = np.unique(at, return_index=True)
+                    both_d, both_i = np.full((len(some), 2 * k), np.nan), np.full((len(some), 2 * k), np.iinfo(np.int64).max)
+                    both_d[:, :k], both_i[:, :k] = d2[on[some]], found[on[some]]
+                    to = np.searchsorted(some, at), k + np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
+                    both_d[to], both_i[to] = new["d2"], new["neighbour"]
+                    order = np.lexsort((both_i, both_d))[:, :k]
+                    d2[on[some]], found[on[some]] = np.take_along_axis(both_d, order, 1), np.take_along_axis(both_i, order, 1)
+                    radius[on[some]] = np.fmin(radius[on[some]], np.sqrt(d2[on[some], k - 1]) * (1 + 1e-9) + 1e-12)
+            at, j = np.nonzero(found < np.iinfo(np.int64).max)
+            return pd.DataFrame({"query": qi[at], "neighbour": found[at, j], "d2": d2[at, j]})
+
+        asked = cut(asking.groupBy("g").applyInPandas(asked_block, "g long, cells array<int>, slices array<long>, id binary, v binary, part binary, radius binary, near binary"))
+        held = asked.select(F.col("g").alias("for_g"), F.explode("cells").alias("cell")).join(blocks, "cell").withColumnRenamed("s", "for_s").repartition(tasks, "for_g", "for_s")  # few bytes, much work
+        asked = asked.withColumn("s", F.explode("slices")).drop("cells", "slices").repartition(tasks, "g", "s")
+        return asked.groupBy("g", "s").cogroup(held.groupBy("for_g", "for_s")).applyInPandas(best, "query long, neighbour long, d2 double")
 
     def top(found: DataFrame) -> DataFrame:
         order = Window.partitionBy("query").orderBy("d2", "neighbour")
         return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
-    asking = cut(queries.mapInPandas(first, kind))
-    near = cut(top(search(asking)))
-    radius = near.filter(F.col("place") == k).select(F.col("query").alias("id"), F.sqrt("d2").alias("r"))
-    wider = asking.join(radius, "id", "left").select("id", "v", "part", F.coalesce("r", F.lit(float("inf"))).alias("radius"), "visits").mapInPandas(rest, kind)
-    return top(near.drop("place").unionByName(search(wider))).drop("place")
+    near = top(search(asking.withColumns({"radius": F.lit(float("inf")), "wider": F.lit(False)})))
+    radius = cut(near.filter(F.col("place") == k).select(F.col("query").alias("id"), F.nanvl(F.sqrt("d2"), F.lit(float("inf"))).alias("r")))
+    wider = asking.join(radius, "id", "left").withColumns({"radius": F.coalesce("r", F.lit(float("inf"))), "wider": F.lit(True)})
+    return top(search(wider)).drop("place")
 
 
 def filled(x: np.ndarray, train: np.ndarray, flag_over: float = 0.02) -> np.ndarray:

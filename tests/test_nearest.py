@@ -51,3 +51,19 @@ def test_a_block_of_queries_at_once():
         on = np.flatnonzero(inside[q] & (part != part[q]))
         d2 = ((v[on] - v[q]) ** 2).sum(1)
         assert got[got["query"] == q]["neighbour"].tolist() == on[np.lexsort((on, d2))[:5]].tolist()
+
+
+def test_many_small_tasks_and_a_vector_that_is_no_number(spark):
+    """Groups of queries against slices of rows; a row without a distance hid the cell that it was put into."""
+    random = np.random.default_rng(8)
+    v = np.concatenate([random.normal(size=(250, 3)), random.normal(size=(150, 3)) * 0.01])  # a dense cell: several groups and slices
+    rows = [(i, x.tolist(), i % 4) for i, x in enumerate(v)]
+    frame = spark.createDataFrame([*rows, (400, [float("nan")] * 3, 9)], "id long, v array<double>, part long")
+    found = nearest(frame.filter("id < 400"), frame, 5, block=16)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r["query"], r["d2"], r["neighbour"])):
+        got.setdefault(r["query"], []).append(r["neighbour"])
+    small = nearest(frame.filter("id < 400"), frame, 5, block=16, asked_rows=32, held_rows=64)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, found.collect()))
+    for i, x, p in rows:
+        assert got[i] == [j for _, j in sorted((sum((a - b) ** 2 for a, b in zip(x, w)), j) for j, w, q in rows if q != p)[:5]]
